@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import decontaminate, embeddings, licenses, minhash, packing, reshard
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op3_resharding": reshard.op3_resharding,
+    "op5_packing": packing.op5_packing,
+    "op7_embeddings": embeddings.op7_embeddings,
     "op8_minhash": minhash.op8_minhash,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": decontaminate.SQL,
+    "op7_embeddings": embeddings.SQL,
     "op8_minhash": minhash.SQL,
+    "op10_licenses": licenses.sql(),
 }
