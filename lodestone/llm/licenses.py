@@ -163,6 +163,10 @@ def spaced_words(text: Column) -> Column:
     return F.when(body == "", F.lit("")).otherwise(F.concat(F.lit(" "), body, F.lit(" ")))
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def _words_in(part: Column) -> Column:
     """Words of a part of spaced words that ends with a word's space."""
     return (F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))) / 2
@@ -185,10 +189,11 @@ def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
         first = _words_in(F.substring(F.col("w"), F.lit(1), F.instr("w", p) - 1))
         last = F.col("n_words") - _words_in(F.substring_index("w", f" {_wide(phrase)} ", -1)) - len(phrase.split())
         df = df.withColumn(f"b{k}", F.when(has, F.struct(n.cast("long").alias("n"), first.cast("long").alias("first"), last.cast("long").alias("last"))))
-    by_word: dict[str, list] = {}
+    by_word: dict[str, list[str]] = {}
     for k, r in enumerate(own):
-        by_word.setdefault(r.keyword, []).append(F.struct(F.lit(k).alias("rule"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score")))
-    table = F.array(*(F.struct(F.lit(word).alias("keyword"), F.array(*some).alias("rules")) for word, some in by_word.items()))
+        by_word.setdefault(r.keyword, []).append(f"named_struct('rule', {k}, 'pattern', {_quoted(r.pattern)}, 'label', {_quoted(r.label)}, 'score', {r.score}D)")
+    # one constant, which Spark folds once
+    table = F.expr("array(" + ", ".join(f"named_struct('keyword', {_quoted(word)}, 'rules', array({', '.join(some)}))" for word, some in by_word.items()) + ")")
     gate = reduce(lambda a, b: a | b, (F.contains("w", F.lit(g)) for g in GATES))
     w = F.col("w")
     # a lambda is evaluated for each element: what it reads from outside has to be a column, not an expression
@@ -229,10 +234,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def sql() -> str:
     """The whole scan as DuckDB SQL."""
     own = rules()
