@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, licenses, minhash, packing, reshard
+from . import decontaminate, embeddings, extract, licenses, minhash, packing, reshard, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_resharding": reshard.op3_resharding,
+    "op4_extraction": extract.op4_extraction,
     "op5_packing": packing.op5_packing,
     "op7_embeddings": embeddings.op7_embeddings,
     "op8_minhash": minhash.op8_minhash,
