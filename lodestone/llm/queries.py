@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, extract, licenses, minhash, packing, reshard, toxicity
+from . import chunks, decontaminate, embeddings, extract, licenses, minhash, packing, reshard, suffixes, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_resharding": reshard.op3_resharding,
     "op4_extraction": extract.op4_extraction,
     "op5_packing": packing.op5_packing,
+    "op6_substring": chunks.op6_substring,
     "op7_embeddings": embeddings.op7_embeddings,
     "op8_minhash": minhash.op8_minhash,
+    "op9_suffixes": suffixes.op9_suffixes,
     "op10_licenses": licenses.op10_licenses,
 }
 
