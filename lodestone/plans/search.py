@@ -52,7 +52,8 @@ def term_counts(corpus: DataFrame, tokens: list[str]) -> DataFrame:
     """A1: ``corpus`` with dl and tf, an array with each distinct query token's count."""
     distinct = list(dict.fromkeys(tokens))
     df = corpus.withColumn("__tokens", X.tokenize(F.col("content")))
-    tf = F.array(*(F.size(F.filter("__tokens", lambda x, t=t: x == t)) for t in distinct)) if distinct else F.array().cast("array<int>")
+    count = lambda t: F.size(F.filter("__tokens", lambda x: x == t))
+    tf = F.array(*(count(t) for t in distinct)) if distinct else F.array().cast("array<int>")
     return df.withColumns({"dl": F.size("__tokens"), "tf": tf}).drop("__tokens")
 
 

@@ -47,11 +47,12 @@ def debounced(edits: DataFrame, debounce: int = DEBOUNCE, max_wait: int = MAX_WA
     return marked.groupBy("path").applyInPandasWithState(run, "path string, first_seen long, last_seen long, edits long", "first long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def suppressed(hints: DataFrame, ttl_days: int = TTL_DAYS) -> DataFrame:
+def suppressed(hints: DataFrame, ttl_days: int | None = TTL_DAYS) -> DataFrame:
     """Hints (session, file_path, name, line_start, line_end) that their session has not been shown.
 
     A hint is known if a shown range of the same file and name contains it. A session's state goes after
-    ``ttl_days`` without hints, in processing time.
+    ``ttl_days`` without hints, in processing time; None keeps it, as a run over what is there needs, since
+    timers of processing time would keep such a query going.
     """
     names = ["file_path", "name", "line_start", "line_end"]
 
@@ -72,13 +73,15 @@ def suppressed(hints: DataFrame, ttl_days: int = TTL_DAYS) -> DataFrame:
                     out.append((key[0], f, n, int(s), int(e)))
         flat = [(f, n, s, e) for (f, n), own in seen.items() for s, e in own]
         state.update(tuple(list(c) for c in zip(*flat, strict=True)) if flat else ([], [], [], []))
-        state.setTimeoutDuration(ttl_days * 86_400_000)
+        if ttl_days is not None:
+            state.setTimeoutDuration(ttl_days * 86_400_000)
         if out:
             yield pd.DataFrame(out, columns=["session", *names])
 
     kind = dict(hints.dtypes)["session"]
     return hints.groupBy("session").applyInPandasWithState(
-        run, f"session {kind}, file_path string, name string, line_start long, line_end long", "f array<string>, n array<string>, s array<long>, e array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, f"session {kind}, file_path string, name string, line_start long, line_end long", "f array<string>, n array<string>, s array<long>, e array<long>", "append",
+        GroupStateTimeout.NoTimeout if ttl_days is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
