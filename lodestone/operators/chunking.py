@@ -84,13 +84,13 @@ MODIFIERS = rb"(?:(?:public|private|protected|internal|static|final|abstract|sea
 #: Per language: declarations that a brace body follows (or a semicolon), as (pattern, kind); group n is the name.
 DECLARATIONS: dict[str, list[tuple[bytes, str]]] = {
     "rust": [
-        (rb"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\S+\s+)?fn\s+(?P<n>" + W + rb")", "function"),
-        (rb"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<n>" + W + rb")", "struct"),
-        (rb"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<n>" + W + rb")", "enum"),
-        (rb"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(?P<n>" + W + rb")", "trait"),
-        (rb"^[ \t]*(?:unsafe\s+)?impl\b", "impl"),
-        (rb"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(?P<n>" + W + rb")(?=\s*\{)", "module"),
-        (rb"^[ \t]*macro_rules!\s*(?P<n>" + W + rb")", "macro"),
+        (rb"(?:^|(?<=[{};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\S+\s+)?fn\s+(?P<n>" + W + rb")", "function"),
+        (rb"(?:^|(?<=[{};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<n>" + W + rb")", "struct"),
+        (rb"(?:^|(?<=[{};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<n>" + W + rb")", "enum"),
+        (rb"(?:^|(?<=[{};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(?P<n>" + W + rb")", "trait"),
+        (rb"(?:^|(?<=[{};]))[ \t]*(?:unsafe\s+)?impl\b", "impl"),
+        (rb"(?:^|(?<=[{};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(?P<n>" + W + rb")(?=\s*\{)", "module"),
+        (rb"(?:^|(?<=[{};]))[ \t]*macro_rules!\s*(?P<n>" + W + rb")", "macro"),
     ],
     "typescript": [
         (rb"^[ \t]*" + MODIFIERS + rb"function\s*\*?\s*(?P<n>" + W + rb")", "function"),

@@ -14,8 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = 1
-CHUNKS = T.StructType.fromDDL(
-    "repo string, file_path string, byte_start long, byte_end long, line_start long, line_end long, chunk_id long, language string, kind string, name string, file_hash binary, content string, vector array<float>"
+_KINDS = {"long": T.LongType(), "string": T.StringType(), "binary": T.BinaryType(), "vector": T.ArrayType(T.FloatType())}
+CHUNKS = T.StructType(
+    [
+        T.StructField(name, _KINDS[kind])
+        for kind, names in (
+            ("string", "repo file_path"),
+            ("long", "byte_start byte_end line_start line_end chunk_id"),
+            ("string", "language kind name"),
+            ("binary", "file_hash"),
+            ("string", "content"),
+            ("vector", "vector"),
+        )
+        for name in names.split()
+    ]
 )
 
 
