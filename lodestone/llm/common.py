@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session hand Python at most ``rows`` texts at a time, which bounds its memory and the JVM's."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Tables written to the cluster's shared checkpoint folder, to cut lineage.
 
@@ -28,6 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        text_batches(spark)
         sc = spark.sparkContext
         top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
         if not top:
@@ -95,7 +103,7 @@ def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def word_blocks(column: pa.Array, kind: bytes, most: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def word_blocks(column: pa.Array, kind: bytes, most: int = 1 << 19) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end row, words) for blocks of rows with about ``most`` bytes; MARK follows each row's words.
 
     Null and empty texts have no words. A text longer than ``most`` is a block of its own.
@@ -133,7 +141,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Word bytes to 64-bit hashes, cached; emptied at ``most`` words so that memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         import xxhash
 
         self.h, self.most = xxhash.xxh3_64_intdigest, most

@@ -181,6 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     are joined one by one; their hits meet by doc_id, so doc_id then has to name a row.
     """
     spark = docs.sparkSession
+    C.text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
     for items in _blocks(benchmark, block_words):

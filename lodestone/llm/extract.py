@@ -355,6 +355,7 @@ def extract(pages: DataFrame, model: Model | None = None, column: str = "html")
     Null and empty pages give an empty text. Rows are independent, so repeated rows repeat their result; an
     empty table gives none. A column ``text`` that is already there is replaced; others stay.
     """
+    C.text_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or Model(labelled_pages()))
     kept = [c for c in pages.columns if c not in ("text", column)]
     source = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`").cast("string").alias("__page"))

@@ -37,7 +37,7 @@ class Tokens:
     ids are kept, at most ``most`` of them. Texts in which a space meets other white space are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         import public_tokenizers
         import tiktoken
 

@@ -145,37 +145,41 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return w
 
 
-def fit(texts: list[set[str]], toxic: list[int]) -> Machine:
-    """Train on labelled texts, given as their units: even rows train the machine, odd ones the curve."""
+def fit(texts: list[np.ndarray], toxic: list[int], vocabulary: list[str]) -> Machine:
+    """Train on labelled texts, given as numbers of their units: even rows train the machine, odd ones the curve."""
     y = np.array(toxic, np.int64)
     if not len(y) or y.min() == y.max():  # nothing to learn: the share of label 1
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return Machine(np.zeros(1 << BITS), -1.0, np.array([np.log(share / (1 - share))] + 6 * [0.0]))
-    counts: dict[str, list[int]] = {}
+    bare = [u.strip(EDGE) for u in vocabulary]
+    names = sorted(set(bare))
+    number = {u: k for k, u in enumerate(names)}
+    to = np.array([number[u] for u in bare], np.int64)
+    n = np.zeros((len(names), 2))
     for own, t in zip(texts[::2], y[::2].tolist(), strict=True):
-        for u in {u.strip(EDGE) for u in own}:
-            counts.setdefault(u, [0, 0])[t] += 1
+        n[np.unique(to[own]), t] += 1
     half = y[::2]
     ratio = max(1.0, (half == 0).sum()) / max(1.0, (half == 1).sum())
-    odds = {u: np.log((n[1] * ratio + 0.5) / (n[0] + 0.5)) * np.sqrt(n[1] + n[0]) for u, n in counts.items()}
-    ranked = sorted(counts, key=lambda u: (-odds[u], u))
-    common = sorted(counts, key=lambda u: (-counts[u][0], u))
-    landmarks = list(dict.fromkeys(ranked[: 2 * LANDMARKS // 3] + common[: LANDMARKS // 3]))
-    train = list(dict.fromkeys(ranked[: UNITS // 2] + common[: UNITS // 2]))
+    odds = np.log((n[:, 1] * ratio + 0.5) / (n[:, 0] + 0.5)) * np.sqrt(n.sum(1))
+    held = np.flatnonzero(n.sum(1) > 0)
+    ranked, common = held[np.argsort(-odds[held], kind="stable")], held[np.argsort(-n[held, 0], kind="stable")]
+    landmarks = [names[k] for k in dict.fromkeys([*ranked[: 2 * LANDMARKS // 3], *common[: LANDMARKS // 3]])]
+    train = list(dict.fromkeys([*ranked[: UNITS // 2], *common[: UNITS // 2]]))
     own = kernel(landmarks, landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     root = vector * (1 / np.sqrt(np.maximum(value, 1e-3 * value.max())))[None, :] @ vector.T
-    x = np.hstack([kernel(train, landmarks) @ root, np.ones((len(train), 1))])
-    n = np.array([counts[u] for u in train], np.float64)
-    n *= (1 - 0.5 ** (n.sum(1, keepdims=True) - 1))  # a word seen once tells nothing
+    x = np.hstack([kernel([names[k] for k in train], landmarks) @ root, np.ones((len(train), 1))])
+    n = n[train]
+    n *= 1 - 0.5 ** (n.sum(1, keepdims=True) - 1)  # a word seen once tells nothing
     w = _svm(x, n[:, 1] * ratio, n[:, 0])
     beta = root @ w[:-1]
     r, c, weight = subsequences(landmarks)
     folded = np.zeros(1 << BITS)
     np.add.at(folded, c, weight * beta[r])
     machine = Machine(folded, float(w[-1]))
-    rows = [Machine.pooled(machine.words(sorted(own))) if own else Machine.pooled(np.zeros(0)) for own in texts[1::2]]
-    machine.curve = _logistic(np.array(rows), y[1::2]) if len(rows) and len(set(y[1::2].tolist())) == 2 else np.array([-2.5, 1.0, 0.0, 0.5, 1.0, 1.0, 0.0])
+    scores = np.concatenate([machine.words(vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)] or [np.zeros(0)])
+    rows = np.array([Machine.pooled(scores[own]) for own in texts[1::2]])
+    machine.curve = _logistic(rows, y[1::2]) if len(rows) and len(set(y[1::2].tolist())) == 2 else np.array([-2.5, 1.0, 0.0, 0.5, 1.0, 1.0, 0.0])
     return machine
 
 
@@ -186,6 +190,7 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fit on at most ``sample`` labelled texts whose doc_id is not held out."""
+    C.text_batches(docs.sparkSession)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     own = own.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -195,12 +200,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "units"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
-    rows = texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, units array<string>").toLocalIterator()
-    rows = sorted(((C.mix(np.array([r.doc_id], np.int64).view(C.U64))[0], r.doc_id, r.toxic, set(r.units)) for r in rows), key=lambda r: r[:2])
-    return fit([r[3] for r in rows], [r[2] for r in rows])
+    number: dict[str, int] = {}
+    rows = []
+    for r in texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, units array<string>").toLocalIterator():
+        rows.append((int(C.mix(np.array([r.doc_id], np.int64).view(C.U64))[0]), r.doc_id, r.toxic, np.array([number.setdefault(u, len(number)) for u in r.units], np.int32)))
+    rows.sort(key=lambda r: r[:3])
+    return fit([r[3] for r in rows], [r[2] for r in rows], list(number))
 
 
-def scorer(machine, most: int = 400_000):
+def scorer(machine, most: int = 100_000):
     """A column function from text to the probability of label 1."""
 
     @F.pandas_udf("double")
@@ -229,6 +237,7 @@ def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     Null and empty texts get the score of no words. Rows are independent: repeated rows repeat their score;
     an empty table gives none. A column ``score`` that is already there is replaced; others stay.
     """
+    C.text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     return docs.withColumn("score", scorer(shared)(F.col("text").cast("string")))
 
