@@ -8,6 +8,7 @@ reads it again, so that a lost executor costs one stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import chunks, decontaminate, minhash, packing
 from lodestone.llm import common as C
@@ -17,13 +18,15 @@ from lodestone.llm import toxicity as T
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.3; the labels that are held out are not learned from."""
     machine = T.train(docs, C.table(spark, sf_dir, "labels"))
-    return T.toxicity(docs, machine).where("score < 0.3").select(*docs.columns)
+    # the row goes as one column, so that a score of its own stays
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return T.toxicity(rows, machine).where("score < 0.3").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies."""
     gone = C.Scratch(spark).put(minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id"))
-    return docs.join(C.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(C.small(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents in which no window of a benchmark item stands."""
     hits = decontaminate.contamination(docs, C.table(spark, sf_dir, "benchmark"))
     gone = C.Scratch(spark).put(hits.where("size(spans) > 0 and doc_id is not null").select("doc_id"))
-    return docs.join(C.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(C.small(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,11 +154,13 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     that was null or blank before stays.
     """
     ranges = repeats(docs, min_words).where(F.size("cut") > 0)
-    ranges = ranges.groupBy("doc_id").agg(F.flatten(F.collect_list("cut")).alias("__cut")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(ranges, F.col("doc_id") == F.col("__id"), "left")
-    new = F.when(F.col("__cut").isNotNull(), F.pandas_udf(without, "string")(F.col("text").cast("string"), F.col("__cut"))).otherwise(F.col("text"))
-    out = out.withColumn("__new", new).where(F.col("__cut").isNull() | (F.trim(F.regexp_replace("__new", r"\s+", " ")) != ""))
-    columns = {c: F.col("__new") if c == "text" else F.length("__new").cast("long") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns}
+    ranges = ranges.groupBy(F.col("doc_id").alias("id")).agg(F.flatten(F.collect_list("cut")).alias("cut"))
+    # the row goes as one column, so that no name of it can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = rows.join(ranges, F.col("key") == F.col("id"), "left")
+    new = F.when(F.col("cut").isNotNull(), F.pandas_udf(without, "string")("text", "cut")).otherwise(F.col("text"))
+    out = out.select("row", "cut", new.alias("new")).where(F.col("cut").isNull() | (F.trim(F.regexp_replace("new", r"\s+", " ")) != ""))
+    columns = {c: F.col("new") if c == "text" else F.length("new").cast("long") if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns}
     return out.select(*(e.alias(c) for c, e in columns.items()))
 
 

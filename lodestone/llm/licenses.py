@@ -213,7 +213,8 @@ def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
     df = df.withColumn("all", F.flatten(F.transform("fit", places)))
     size = lambda x: x["end"] - x["start"]
     beats = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & ((size(y) > size(x)) | (y["rule"] < x["rule"]))
-    return df.withColumn("found", F.filter("all", lambda x: ~F.exists("all", lambda y: beats(x, y)))).drop("w", "fit", "all")
+    none = F.array().cast("array<struct<start:int,end:int,rule:int,label:string,score:double>>")
+    return df.withColumn("found", F.coalesce(F.filter("all", lambda x: ~F.exists("all", lambda y: beats(x, y))), none)).drop("w", "fit", "all")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

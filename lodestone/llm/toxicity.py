@@ -7,7 +7,7 @@ inverse square root of the landmarks' own kernel matrix, are a word's Nystroem c
 support vector machine is trained on words of labelled texts, weighted by how many toxic and other texts hold
 them. It is linear in the subsequences, so it folds into one weight for each of them, and a text is scored at
 the cost of its distinct words. A logistic curve over a text's highest word scores, fitted on labelled texts
-that the machine did not see, gives the probability.
+that the machine behind the scores did not see, gives the probability.
 """
 
 from __future__ import annotations
@@ -145,25 +145,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return w
 
 
-def fit(texts: list[np.ndarray], toxic: list[int], vocabulary: list[str]) -> Machine:
-    """Train on labelled texts, given as numbers of their units: even rows train the machine, odd ones the curve."""
-    y = np.array(toxic, np.int64)
-    if not len(y) or y.min() == y.max():  # nothing to learn: the share of label 1
-        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-        return Machine(np.zeros(1 << BITS), -1.0, np.array([np.log(share / (1 - share))] + 6 * [0.0]))
-    bare = [u.strip(EDGE) for u in vocabulary]
-    names = sorted(set(bare))
-    number = {u: k for k, u in enumerate(names)}
-    to = np.array([number[u] for u in bare], np.int64)
+def _machine(texts: list[np.ndarray], y: np.ndarray, to: np.ndarray, names: list[str]) -> Machine:
+    """The support vector machine of some labelled texts; ``to`` maps their unit numbers to names."""
     n = np.zeros((len(names), 2))
-    for own, t in zip(texts[::2], y[::2].tolist(), strict=True):
+    for own, t in zip(texts, y.tolist(), strict=True):
         n[np.unique(to[own]), t] += 1
-    half = y[::2]
-    ratio = max(1.0, (half == 0).sum()) / max(1.0, (half == 1).sum())
+    ratio = max(1.0, (y == 0).sum()) / max(1.0, (y == 1).sum())
     odds = np.log((n[:, 1] * ratio + 0.5) / (n[:, 0] + 0.5)) * np.sqrt(n.sum(1))
     held = np.flatnonzero(n.sum(1) > 0)
     ranked, common = held[np.argsort(-odds[held], kind="stable")], held[np.argsort(-n[held, 0], kind="stable")]
     landmarks = [names[k] for k in dict.fromkeys([*ranked[: 2 * LANDMARKS // 3], *common[: LANDMARKS // 3]])]
+    if not landmarks:
+        return Machine(np.zeros(1 << BITS), -1.0)
     train = list(dict.fromkeys([*ranked[: UNITS // 2], *common[: UNITS // 2]]))
     own = kernel(landmarks, landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
@@ -176,10 +169,33 @@ def fit(texts: list[np.ndarray], toxic: list[int], vocabulary: list[str]) -> Mac
     r, c, weight = subsequences(landmarks)
     folded = np.zeros(1 << BITS)
     np.add.at(folded, c, weight * beta[r])
-    machine = Machine(folded, float(w[-1]))
-    scores = np.concatenate([machine.words(vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)] or [np.zeros(0)])
-    rows = np.array([Machine.pooled(scores[own]) for own in texts[1::2]])
-    machine.curve = _logistic(rows, y[1::2]) if len(rows) and len(set(y[1::2].tolist())) == 2 else np.array([-2.5, 1.0, 0.0, 0.5, 1.0, 1.0, 0.0])
+    return Machine(folded, float(w[-1]))
+
+
+def fit(texts: list[np.ndarray], toxic: list[int], vocabulary: list[str]) -> Machine:
+    """Train on labelled texts, given as numbers of their units.
+
+    The curve is fitted on both halves of the texts, each scored by a machine of the other half; the machine
+    that is returned has seen both.
+    """
+    y = np.array(toxic, np.int64)
+    if not len(y) or y.min() == y.max():  # nothing to learn: the share of label 1
+        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
+        return Machine(np.zeros(1 << BITS), -1.0, np.array([np.log(share / (1 - share))] + 6 * [0.0]))
+    bare = [u.strip(EDGE) for u in vocabulary]
+    names = sorted(set(bare))
+    number = {u: k for k, u in enumerate(names)}
+    to = np.array([number[u] for u in bare], np.int64)
+    rows, marks = [], []
+    for half in (0, 1):
+        if len(set(y[half::2].tolist())) < 2:
+            continue
+        other = _machine(texts[half::2], y[half::2], to, names)
+        scores = np.concatenate([other.words(vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)])
+        rows += [Machine.pooled(scores[own]) for own in texts[1 - half :: 2]]
+        marks += y[1 - half :: 2].tolist()
+    machine = _machine(texts, y, to, names)
+    machine.curve = _logistic(np.array(rows), np.array(marks)) if len(set(marks)) == 2 else np.array([-2.5, 1.0, 0.0, 0.5, 1.0, 1.0, 0.0])
     return machine
 
 
