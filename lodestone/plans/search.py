@@ -122,7 +122,8 @@ def search(corpus: DataFrame, query: str, vector: DataFrame | list[float] | None
     df = dense(bm25(term_counts(filtered(corpus, languages, prefix), tokens), tokens, s), vector)
     hit = X.name_hit(F.col("name"), tokens)
     # content is not needed for ranking; it is fetched for the few hits by whoever shows them
-    df = fused(df.withColumn("ident", hit).drop("content", "vector"), s)
+    # ranks and maxima read the scores several times: keep these narrow rows, which Spark rebuilds if they are lost
+    df = fused(df.withColumn("ident", hit).drop("content", "vector").persist(), s)
     df = df.withColumn("score", F.round(boosted(F.col("fused"), F.col("ident"), s), 6))
     df = df.where(((F.col("bm25") > 0) | F.col("ident") | (F.col("dense") >= s.similarity_threshold)) & (F.col("score") >= s.min_score))
     first = Window.partitionBy("repo", "file_path").orderBy(F.desc("score"), "byte_start", "chunk_id")
