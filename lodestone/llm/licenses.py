@@ -2,14 +2,13 @@
 
 A text becomes its lower-case words, each with a space on either side (" cc  by  4  0 "), so that a rule is a
 plain regular expression over whole words and neighbours never share a space. Rules are in order: an earlier
-one has priority. A text is looked at by rules only if it holds one of the GATES, and by a rule only if it
-holds the rule's keyword. Of overlapping detections one is suppressed if its interval lies within another's
+one has priority. A rule looks at a text only if it holds the rule's keyword, which all texts that the rule
+matches do. Of overlapping detections one is suppressed if its interval lies within another's
 that is longer, or as long and of an earlier rule. Everything is row-local: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +20,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases that every scan counts, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Every rule's texts hold one of these.
+#: The SQL runs rules only on texts with one of these. Not all that a rule matches has one, so the scan does without.
 GATES = ("licen", "copy", "reserved", " cc ", "cc0", "spdx", "gpl", "public  domain", "permission", "warranty")
 
 #: Family, its names and its versions.
@@ -109,6 +108,11 @@ NOTICES = [
     ("license", "licen", "(licen[sc]ed|released|distributed) under( the)?( terms)?", 0.4),
     ("license", "licen", "see (the )?licen[sc]e( file)?( for)?( details)?", 0.4),
 ]
+#: Words of notices whose keyword in the SQL is not in all that they match, and one that is.
+KEYWORDS = {
+    "(proprietary|commercial) licen[sc]e": "licen",
+    "(licen[sc]ed|released|distributed) under( the)?( terms)?": "under",
+}
 
 
 class Rule(NamedTuple):
@@ -123,12 +127,21 @@ def _wide(words: str) -> str:
     return words.replace(" ", "  ")
 
 
-def rules() -> list[Rule]:
-    """The signature rules, first priority first: with a version before without, long forms before short."""
+def _held(keyword: str) -> str:
+    """A keyword as it stands in spaced words; a whole word has one space of its own on either side."""
+    return f" {_wide(keyword[1:-1])} " if keyword[0] == " " else _wide(keyword)
+
+
+def rules(as_sql: bool = False) -> list[Rule]:
+    """The signature rules, first priority first: with a version before without, long forms before short.
+
+    ``as_sql``: with the keywords of the SQL, which miss a whole word at either end of a text.
+    """
     out: list[Rule] = []
 
     def add(label: str, keyword: str, words: str, score: float) -> None:
-        out.append(Rule(label, _wide(keyword), f" {_wide(words)} ", score))
+        held = _wide(keyword) if as_sql else _held(KEYWORDS.get(words, keyword))
+        out.append(Rule(label, held, f" {_wide(words)} ", score))
 
     licensed = "(licen[sc]ed|released|distributed|available|published|provided|covered) (under|by) (the )?(terms of (the )?)?(a )?"
     for short, long in COMMONS.items():
@@ -194,11 +207,10 @@ def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
         by_word.setdefault(r.keyword, []).append(f"named_struct('rule', {k}, 'pattern', {_quoted(r.pattern)}, 'label', {_quoted(r.label)}, 'score', {r.score}D)")
     # one constant, which Spark folds once
     table = F.expr("array(" + ", ".join(f"named_struct('keyword', {_quoted(word)}, 'rules', array({', '.join(some)}))" for word, some in by_word.items()) + ")")
-    gate = reduce(lambda a, b: a | b, (F.contains("w", F.lit(g)) for g in GATES))
     w = F.col("w")
     # a lambda is evaluated for each element: what it reads from outside has to be a column, not an expression
     rules_held = F.flatten(F.transform(F.filter(table, lambda g: F.contains(w, g["keyword"])), lambda g: g["rules"]))
-    df = df.withColumn("fit", F.when(gate, F.filter(rules_held, lambda r: F.regexp_like(w, r["pattern"]))))
+    df = df.withColumn("fit", F.filter(rules_held, lambda r: F.regexp_like(w, r["pattern"])))
 
     def places(r: Column) -> Column:
         between, hits = F.split(w, r["pattern"], -1), F.regexp_extract_all(w, r["pattern"], F.lit(0))
@@ -237,7 +249,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     """The whole scan as DuckDB SQL."""
-    own = rules()
+    own = rules(as_sql=True)
     values = ", ".join(f"({k}, {_quoted(r.keyword)}, {_quoted(r.pattern)}, {_quoted(r.label)}, {r.score}::DOUBLE)" for k, r in enumerate(own))
     gate = " OR ".join(f"contains(w, {_quoted(g)})" for g in GATES)
     phrases = ", ".join(f"({k}, {_quoted(f' {_wide(p)} ')}, {len(p.split())}, {_quoted(label)})" for k, (p, label) in enumerate(BASE.items()))

@@ -318,3 +318,60 @@ def test_license_rules(spark):
     for k, want in enumerate(cases.values()):
         assert {w for w in want if w != "cc-by"} - {"gpl"} <= got[k] if want else not got[k], (k, got[k])
     assert len(licenses.rules()) >= 300
+
+
+def license_labels(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: {x.label for x in r.found} for r in licenses.scan(df).collect()}
+
+
+def example(pattern, rng):
+    """A string that a rule's pattern matches."""
+    from re import _parser as p
+
+    def make(items):
+        out = ""
+        for op, v in items:
+            if op is p.LITERAL:
+                out += chr(v)
+            elif op is p.IN:
+                kind, x = rng.choice(v)
+                out += chr(rng.randint(*x) if kind is p.RANGE else x)
+            elif op is p.BRANCH:
+                out += make(rng.choice(v[1]))
+            elif op is p.SUBPATTERN:
+                out += make(v[3])
+            else:
+                assert op is p.MAX_REPEAT, op
+                out += "".join(make(v[2]) for _ in range(rng.randint(v[0], min(v[1], 2))))
+        return out
+
+    return make(p.parse(pattern))
+
+
+def test_license_keywords_are_in_all_that_rules_match():
+    import re
+
+    rng = random.Random(13)
+    for r in licenses.rules():
+        for _ in range(20):
+            text = example(r.pattern, rng)
+            assert re.fullmatch(r.pattern, text) and r.keyword in text, (r, text)
+
+
+def test_license_rules_without_common_words(spark):
+    cases = {
+        "Creative Commons Attribution 4.0 International": "cc-by-4.0",
+        "Apache 2.0": "apache-2.0",
+        "MPL 2.0": "mpl-2.0",
+        "CC BY-SA 4.0": "cc-by-sa-4.0",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "No part of this publication may be reproduced": "reserved",
+        "Proprietary and confidential": "proprietary",
+        "A commercial license": "proprietary",
+        "For non commercial use only": "non-commercial",
+        "You just DO WHAT THE FUCK YOU WANT TO.": "wtfpl",
+        "Released under the terms": "license",
+    }
+    got = license_labels(spark, cases)
+    assert all(label in got[k] for k, label in enumerate(cases.values())), got
