@@ -123,8 +123,8 @@ class Rule(NamedTuple):
 
 
 def _wide(words: str) -> str:
-    """A regular expression over words from one in which a space separates two."""
-    return words.replace(" ", "  ")
+    """A regular expression over words from one in which a space separates two; " ?" is a gap that may be missing."""
+    return words.replace(" ?", "( )?").replace(" ", "  ")
 
 
 def _held(keyword: str) -> str:
@@ -135,13 +135,16 @@ def _held(keyword: str) -> str:
 def rules(as_sql: bool = False) -> list[Rule]:
     """The signature rules, first priority first: with a version before without, long forms before short.
 
-    ``as_sql``: with the keywords of the SQL, which miss a whole word at either end of a text.
+    ``as_sql``: as the SQL has them. Its keywords miss a whole word at either end of a text, and its " ?" asks for
+    one space at least, so that it finds no "sharealike".
     """
     out: list[Rule] = []
 
     def add(label: str, keyword: str, words: str, score: float) -> None:
-        held = _wide(keyword) if as_sql else _held(KEYWORDS.get(words, keyword))
-        out.append(Rule(label, held, f" {_wide(words)} ", score))
+        if as_sql:
+            out.append(Rule(label, keyword.replace(" ", "  "), f" {words.replace(' ', '  ')} ", score))
+        else:
+            out.append(Rule(label, _held(KEYWORDS.get(words, keyword)), f" {_wide(words)} ", score))
 
     licensed = "(licen[sc]ed|released|distributed|available|published|provided|covered) (under|by) (the )?(terms of (the )?)?(a )?"
     for short, long in COMMONS.items():
