@@ -2,10 +2,10 @@
 
 Suffixes start at words. Retained are those at minimisers: of eleven neighbouring places the one whose next
 forty words hash lowest. Two texts that share fifty words share such a place and the forty words after it, so
-equal forty-word prefixes, brought together by a sort, find every repeat of fifty words. Neighbours with an
-equal prefix match the first of them; matches on one diagonal of two documents merge, and their ends are then
-extended word by word to the left and to the right. Frequent passages cost a row an occurrence: each is
-compared with the passage's first occurrence, never with all others.
+equal forty-word prefixes, brought together by a shuffle, hold every repeat of fifty words. They only say where
+to look: around each of them all runs of fifty words are brought together in turn, so that two documents meet
+whatever an earlier one shares with both. Frequent passages cost a row an occurrence: each is compared with the
+passage's first occurrence, never with all others. Matches on one diagonal of two documents merge.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def prefix_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def minimisers(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the lowest hash in each window; a stretch of equal hashes keeps one place a window."""
+    """Places of the lowest hash in each window; a stretch of equal hashes keeps two places a window at most."""
     n = len(h)
     if n <= window:
         return np.array([int(h.argmin())]) if n else np.empty(0, np.int64)
@@ -50,7 +50,9 @@ def minimisers(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     same = np.concatenate([[False], (h[at[1:]] == h[at[:-1]]) & (np.diff(at) < window)])
     if same.any():
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
-        at = at[~same | ((at - at[first]) % window == 0)]
+        part = (at - at[first]) // window
+        new = ~same | (np.diff(part, prepend=-1) != 0)
+        at = at[new | np.append(new[1:], True)]
     return at
 
 
@@ -76,31 +78,33 @@ def suffix_rows(docs: DataFrame, prefix: int = PREFIX, window: int = WINDOW) ->
     return docs.mapInArrow(run, "key long, doc_id long, pos int")
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(doc_id, start, end, n, before, after): the words around spans of documents, the nearest first."""
+def passage_rows(docs: DataFrame, places: DataFrame, words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
+    """(key, doc_id, pos) of each run of ``words`` words that holds the prefix of a suffix at one of ``places`` (doc_id, pos)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc, text, spans in zip(batch.column(0).to_pylist(), C.binary(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = (text or b"").translate(C.SPACED).split()
-                for span in spans:
-                    s, e = span["start"], span["end"]
-                    row = (doc, s, e, len(own), own[max(0, s - words) : s][::-1], own[e : e + words])
-                    for column, v in zip(out, row, strict=True):
-                        column.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "start", "end", "n", "before", "after"])
-
-    spans = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return docs.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, start int, end int, n int, before array<binary>, after array<binary>")
+        hashes = C.WordHash()
 
+        def pack(rows):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in range(3)], ["key", "doc_id", "pos"])
 
-def _common(a: str, b: str) -> F.Column:
-    """How many leading elements two arrays share."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(same, F.lit(False))
-    return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
+        for batch in batches:
+            rows, held = [], 0
+            for doc, text, at in zip(batch.column(0).to_pylist(), C.binary(batch.column(1)), batch.column(2), strict=True):
+                own = prefix_hashes(hashes.array((text.as_py() or b"").translate(C.SPACED).split()), words)
+                starts = (at.values.to_numpy()[:, None] - np.arange(window)).ravel()
+                inside = np.zeros(len(own), bool)
+                inside[starts[(starts >= 0) & (starts < len(own))]] = True
+                starts = np.flatnonzero(inside)
+                rows.append((own[starts].view(np.int64), np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
+                held += len(starts)
+                if held > 100_000:
+                    yield pack(rows)
+                    rows, held = [], 0
+            if rows:
+                yield pack(rows)
+
+    places = places.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "key long, doc_id long, pos int")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
@@ -108,7 +112,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -
 
     ``docs`` has doc_id and text; other columns are not read. Every passage of ``min_words`` or more that
     stands in more than one document is found, in all of its documents; the document with the smallest doc_id
-    is the source, with a row of its own (source_id = doc_id). Words are compared with A-Z in lower case. Null, empty and
+    is the source, with a row of its own (source_id = doc_id). Where parts of a passage have different first
+    documents it has a row for each of them, and together these cover it. Words are compared with A-Z in lower case. Null, empty and
     short texts and rows without a doc_id have no row; rows that share a doc_id are one document. An empty
     table gives no rows.
     """
@@ -117,26 +122,22 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -
     prefix = min_words - window + 1
     rows = scratch.put(suffix_rows(docs, prefix, window))
     classes = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    classes = scratch.put(classes.where("low < high").select("key"))
+    runs = scratch.put(passage_rows(docs, rows.join(classes, "key").select("doc_id", "pos"), min_words, window))
+    scratch.drop(rows, classes)
+    classes = runs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     classes = scratch.put(classes.where("low < high").select("key", "low"))
-    shared = scratch.put(rows.join(classes, "key"))
+    shared = scratch.put(runs.join(classes, "key"))
+    scratch.drop(runs)
     first = scratch.put(shared.where("doc_id = low").groupBy("key").agg(F.min("pos").alias("source_pos")))
-    scratch.drop(rows)
     pairs = shared.join(first, "key").select("doc_id", "pos", F.col("low").alias("source_id"), "source_pos")
-    pairs = pairs.where("doc_id <> source_id or pos <> source_pos")
-    # matches of two documents on one diagonal that follow each other within a window are one span
-    line = Window.partitionBy("doc_id", "source_id", F.col("pos") - F.col("source_pos")).orderBy("pos")
-    new = (F.col("pos") - F.coalesce(F.lag("pos").over(line), F.lit(-(1 << 30))) > prefix).cast("int")
-    pairs = pairs.withColumn("new", new).withColumn("part", F.sum("new").over(line)).withColumn("diagonal", F.col("pos") - F.col("source_pos"))
-    spans = pairs.groupBy("doc_id", "source_id", "diagonal", "part").agg(F.min("pos").alias("start"), (F.max("pos") + prefix).cast("int").alias("end"))
-    spans = scratch.put(spans.select("doc_id", "source_id", "start", "end", (F.col("start") - F.col("diagonal")).cast("int").alias("s2"), (F.col("end") - F.col("diagonal")).cast("int").alias("e2")))
-    wanted = spans.select("doc_id", "start", "end").union(spans.select("source_id", "s2", "e2")).distinct()
-    around = scratch.put(_contexts(docs, wanted, window))
-    a = around.select("doc_id", "start", "end", F.col("before").alias("b1"), F.col("after").alias("a1")).dropDuplicates(["doc_id", "start", "end"])
-    b = around.select(F.col("doc_id").alias("source_id"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("before").alias("b2"), F.col("after").alias("a2")).dropDuplicates(["source_id", "s2", "e2"])
-    out = spans.join(a, ["doc_id", "start", "end"]).join(b, ["source_id", "s2", "e2"])
-    out = out.withColumn("left", _common("b1", "b2")).withColumn("right", _common("a1", "a2"))
-    out = out.select("doc_id", (F.col("start") - F.col("left")).alias("start"), (F.col("end") - F.col("start") + F.col("left") + F.col("right")).alias("n_words"), "source_id", (F.col("s2") - F.col("left")).alias("source_start"))
-    out = out.where(F.col("n_words") >= min_words)
+    pairs = pairs.where("doc_id <> source_id or pos <> source_pos").withColumn("diagonal", F.col("pos") - F.col("source_pos"))
+    # matches of two documents on one diagonal without a word between them are one passage
+    line = Window.partitionBy("doc_id", "source_id", "diagonal").orderBy("pos")
+    new = (F.col("pos") - F.coalesce(F.lag("pos").over(line), F.lit(-(1 << 30))) > min_words).cast("int")
+    pairs = pairs.withColumn("new", new).withColumn("part", F.sum("new").over(line))
+    out = pairs.groupBy("doc_id", "source_id", "diagonal", "part").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_words).cast("int").alias("n_words"))
+    out = scratch.put(out.select("doc_id", "start", "n_words", "source_id", (F.col("start") - F.col("diagonal")).cast("int").alias("source_start")))
     return out.union(out.select("source_id", "source_start", "n_words", "source_id", "source_start")).distinct()
 
 

@@ -396,3 +396,43 @@ def test_license_names_in_one_word(spark):
     texts = [example(r.pattern, rng) for r in own for _ in range(8)]
     assert {"sharealike", "noncommercial"} <= {w for t in texts for w in t.split()} and any("share  alike" in t for t in texts)
     assert all(license_labels(spark, texts).values())
+
+
+def covered_words(docs, n):
+    """Document to the words of it that stand in a run of n words which another document has too."""
+    where = defaultdict(list)
+    for d, t in docs:
+        w = t.split()
+        for i in range(len(w) - n + 1):
+            where[tuple(w[i : i + n])].append((d, i))
+    out = defaultdict(set)
+    for places in where.values():
+        if len({d for d, _ in places}) > 1:
+            for d, i in places:
+                out[d].update(range(i, i + n))
+    return out
+
+
+def test_suffixes_of_later_pairs(spark):
+    """Two documents share 50 to 80 words of which an earlier third has 40 to 49; and texts that repeat a few words."""
+    rng = random.Random(15)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for k in range(60):
+        passage = words(rng.choice([50, 52, 55, 80]))
+        n = rng.randint(40, 49)
+        at = rng.randrange(len(passage) - n + 1)
+        for own in (passage[at : at + n], passage, passage):
+            docs.append((len(docs), " ".join(words(rng.randint(0, 90)) + own + words(rng.randint(0, 90)))))
+    for period in (1, 2, 3, 5, 12):
+        turn = words(period) * 200
+        for _ in range(4):
+            at = rng.randrange(20)
+            docs.append((len(docs), " ".join(words(rng.randint(0, 30)) + turn[at : at + rng.randint(50, 130)] + words(rng.randint(0, 30)))))
+    texts = {d: t.split() for d, t in docs}
+    got = defaultdict(set)
+    for r in suffixes.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r.n_words >= 50 and texts[r.doc_id][r.start : r.start + r.n_words] == texts[r.source_id][r.source_start : r.source_start + r.n_words]
+        got[r.doc_id].update(range(r.start, r.start + r.n_words))
+    want = covered_words(docs, 50)
+    assert got == want and sum(d < 180 for d in want) == 120
