@@ -1,13 +1,13 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 The gear hash of a place sums a random number for each of the last 16 bytes, shifted by their age, so a cut
-depends on those bytes alone: an insertion moves the cuts around it and no others. Chunks average 32 bytes;
-a cut is dropped if another lies less than 8 bytes before it, and 256 bytes without a cut are cut anyway.
-Chunks whose digest is found in more than one document are repeats; neighbouring repeats make a run, and a
-run of MIN_WORDS or more is a repeated passage. A passage of 50 words keeps most of itself inside whole
-chunks, hence the lower bound for the run. Of each chunk the document with the smallest doc_id keeps its
-first copy. A digest has 64 bits and goes with the chunk's length; a run has several, so that it does not
-come about by accident.
+depends on the bytes around it alone: an insertion moves the cuts around it and no others. Cuts are word starts,
+the one of lowest hash of every few neighbours; a longer chunk than 256 bytes is cut further at low hashes. Of a
+passage of MIN_WORDS words, two cuts at least and all between them depend on its own bytes only, so every copy
+of it holds the same whole chunk. Chunks whose digest is found in more than one document are anchors: between
+these cuts a run of MIN_WORDS words that is shared holds no other chunk. The runs that pass are compared as wholes, byte by
+byte from their first word to their last (as a 64-bit hash), and those found in more than one document are
+repeats. Of each the document with the smallest doc_id keeps its first copy.
 """
 
 from __future__ import annotations
@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common as C
+from .suffixes import BASE, INVERSE
 
 AVERAGE, LEAST, MOST = 32, 8, 256
-MIN_WORDS = 20
+MIN_WORDS = 50
 GEAR = np.random.default_rng(3).integers(0, 1 << 16, 256).astype(np.uint16)
+#: A random number for each byte, in hashes of runs of words.
+BYTES = np.random.default_rng(4).integers(0, 1 << 64, 256, dtype=np.uint64)
 #: Bytes of white space.
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -55,8 +58,42 @@ def cuts(data: np.ndarray, average: int = AVERAGE, least: int = LEAST, most: int
     return ends
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, idx, start, size, words, again): a document's chunks; again: it has had the same one."""
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text's bytes."""
+    edge = np.diff(np.concatenate([[True], BLANK[data], [True]]).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def _window(min_words: int) -> int:
+    """Neighbouring word starts of which one is a cut."""
+    if min_words < 10:
+        raise ValueError("a passage of less than ten words may hold no whole chunk")
+    return (min_words - 6) // 4
+
+
+def word_cuts(data: np.ndarray, starts: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the chunks of a text's bytes, and those of them that words give: the lowest word start of each window, more in long chunks, and the text's end.
+
+    The 16 bytes before a word start are eight words at most. Of the other places of a passage, those a window
+    away from either end are chosen by the passage alone; they make up two windows, with a cut in each.
+    """
+    window = _window(min_words)
+    h = gear(data)[np.maximum(starts, 1) - 1]
+    if len(h) > window:
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(h, window).argmin(1) + np.arange(len(h) - window + 1))
+        ends = starts[at]
+    else:
+        ends = np.empty(0, np.int64)
+    ends = whole = np.append(ends[ends > 0], len(data))
+    gaps = np.diff(ends, prepend=0)
+    if gaps.max(initial=0) > MOST:
+        parts = [e - g + cuts(data[e - g : e]) if g > MOST else [e] for e, g in zip(ends.tolist(), gaps.tolist(), strict=True)]
+        ends = np.concatenate(parts)
+    return ends, whole
+
+
+def chunk_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(digest, doc_id, start): the chunks of the documents that have ``min_words`` words; the digest covers the size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -64,8 +101,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
 
         def pack(rows):
-            columns = [np.concatenate([r[k] for r in rows]) for k in range(7)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc_id", "idx", "start", "size", "words", "again"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in range(3)], ["digest", "doc_id", "start"])
 
         for batch in batches:
             rows, held = [], 0
@@ -74,17 +110,13 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 if not b or doc is None:
                     continue
                 data = np.frombuffer(b, np.uint8)
-                ends = cuts(data)
+                own, _ = words(data)
+                if len(own) < min_words:
+                    continue
+                ends, _ = word_cuts(data, own, min_words)
                 starts = np.concatenate([[0], ends[:-1]])
                 d = np.fromiter([digest(b[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64, len(ends)).view(np.int64)
-                blank = BLANK[data]
-                word = ~blank
-                word[1:] &= blank[:-1]
-                words = np.diff(np.concatenate([[0], np.cumsum(word)])[ends], prepend=0)
-                _, first = np.unique(d, return_index=True)
-                again = np.ones(len(d), bool)
-                again[first] = False
-                rows.append((d, np.full(len(d), doc, np.int64), np.arange(len(d), dtype=np.int32), starts.astype(np.int32), (ends - starts).astype(np.int32), words.astype(np.int32), again))
+                rows.append((d, np.full(len(d), doc, np.int64), starts.astype(np.int32)))
                 held += len(d)
                 if held > 100_000:
                     yield pack(rows)
@@ -92,38 +124,122 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pack(rows)
 
-    return docs.mapInArrow(run, "digest long, doc_id long, idx int, start int, size int, words int, again boolean")
+    return docs.mapInArrow(run, "digest long, doc_id long, start int")
+
+
+def run_rows(docs: DataFrame, anchors: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, doc_id, pos, start, size, chunk, chunks, again) of runs of ``min_words`` words whose inner chunks are all ``anchors``.
+
+    pos and chunk number the run's first word and whole chunk; again: the document has had the same run.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "doc_id", "pos", "start", "size", "chunk", "chunks", "again"]
+        powers = inverse = np.empty(0, np.uint64)
+        window = _window(min_words)
+        inner = 7 + window
+
+        def table(base, n):
+            out = np.full(n, base, np.uint64)
+            out[0] = 1
+            return np.cumprod(out)
+
+        def pack(rows):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in range(8)], names)
+
+        for batch in batches:
+            rows, held = [], 0
+            for doc, text, shared in zip(batch.column(0).to_pylist(), C.binary(batch.column(1)), batch.column(2), strict=True):
+                b = text.as_py()
+                if not b:
+                    continue
+                data = np.frombuffer(b, np.uint8)
+                starts, ends = words(data)
+                if len(starts) < min_words:
+                    continue
+                e, whole = word_cuts(data, starts, min_words)
+                s, whole_s = (np.concatenate([[0], x[:-1]]) for x in (e, whole))
+                n = len(starts) - min_words + 1
+                first, last = starts[:n], ends[min_words - 1 :]
+                other = np.zeros(len(whole), bool)
+                other[np.searchsorted(whole_s, s[~np.isin(s, shared.values.to_numpy())], "right") - 1] = True
+                # cuts at these words of a run depend on nothing outside it
+                low, high = starts[inner : inner + n], starts[min_words - window : min_words - window + n]
+                until = np.append(whole[other], len(data) + 1)[np.searchsorted(whole_s[other], low)]
+                some = np.searchsorted(whole, high, "right") > np.searchsorted(whole_s, low)
+                chunk = np.searchsorted(s, first)
+                chunks = np.searchsorted(e, last, "right") - chunk
+                pos = np.flatnonzero((until > high) & some)
+                if not len(pos):
+                    continue
+                if len(powers) <= len(data):
+                    powers, inverse = (table(x, 2 * len(data) + 1) for x in (BASE, INVERSE))
+                total = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[data] * powers[: len(data)], dtype=np.uint64)])
+                first, last = first[pos], last[pos]
+                key = C.mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
+                again = np.ones(len(pos), bool)
+                again[np.unique(key, return_index=True)[1]] = False
+                rows.append((key, np.full(len(pos), doc, np.int64), *(x.astype(np.int32) for x in (pos, first, last - first, chunk[pos], chunks[pos])), again))
+                held += len(pos)
+                if held > 100_000:
+                    yield pack(rows)
+                    rows, held = [], 0
+            if rows:
+                yield pack(rows)
+
+    anchors = anchors.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    kinds = "key long, doc_id long, pos int, start int, size int, chunk int, chunks int, again boolean"
+    return docs.join(anchors, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, kinds)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, scratch: C.Scratch | None = None) -> DataFrame:
     """Repeated passages: doc_id, start, length (bytes of UTF-8), n_words, n_chunks, source_id, cut.
 
-    ``docs`` has doc_id and text; other columns are not read. source_id is the smallest doc_id that holds a
-    chunk of the passage; cut lists the [start, end) byte ranges of the chunks that are kept elsewhere, and is
-    empty where this document keeps the passage. Texts that are null, empty or without partners, and rows
+    ``docs`` has doc_id and text; other columns are not read. A passage is a stretch of runs of ``min_words``
+    words that each stand in another document, byte for byte. source_id is the smallest doc_id that holds one of
+    them; cut lists the [start, end) byte ranges of the runs that are kept elsewhere, and is empty where this
+    document keeps the passage. Texts that are null, empty or without partners, and rows
     without a doc_id, have no row here. Repeats inside one document alone do not count; rows that share a
     doc_id are one document. An empty table gives no rows.
     """
     scratch = scratch or C.Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.put(chunk_rows(docs))
-    classes = rows.groupBy("digest", "size").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    rows = scratch.put(chunk_rows(docs, min_words))
     # written first, so that the join's sides are plain shuffles and Spark can split a frequent chunk's rows
-    classes = scratch.put(classes.where("low < high").select("digest", "size", "low"))
-    shared = rows.join(classes, ["digest", "size"])
-    own = Window.partitionBy("doc_id").orderBy("idx")
-    shared = shared.withColumn("new", (F.col("idx") - F.coalesce(F.lag("idx").over(own), F.lit(-9)) > 1).cast("int"))
-    shared = shared.withColumn("run", F.sum("new").over(own))
+    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    classes = scratch.put(classes.where("low < high").select("digest"))
+    runs = scratch.put(run_rows(docs, rows.join(classes, "digest").select("doc_id", "start"), min_words))
+    scratch.drop(rows, classes)
+    classes = runs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    classes = scratch.put(classes.where("low < high").select("key", "low"))
     away = (F.col("low") != F.col("doc_id")) | F.col("again")
-    out = shared.groupBy("doc_id", "run").agg(
+    shared = runs.join(classes, "key").select("doc_id", "pos", "start", (F.col("start") + F.col("size")).alias("end"), "chunk", (F.col("chunk") + F.col("chunks")).alias("stop"), "low", away.alias("away"))
+    own = Window.partitionBy("doc_id").orderBy("pos")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    far = F.lit(-(1 << 30))
+    shared = shared.withColumn("new", (F.col("pos") - F.coalesce(F.lag("pos").over(own), far) > min_words).cast("int"))
+    gone = F.last(F.when(F.col("away"), F.col("pos")), ignorenulls=True).over(before)
+    shared = shared.withColumn("apart", (F.col("away") & (F.col("pos") - F.coalesce(gone, far) > min_words)).cast("int"))
+    shared = shared.withColumn("run", F.sum("new").over(own)).withColumn("part", F.sum("apart").over(own))
+    parts = shared.groupBy("doc_id", "run", "part").agg(
         F.min("start").alias("start"),
-        F.max(F.col("start") + F.col("size")).alias("end"),
-        F.sum("words").alias("n_words"),
-        F.count("*").alias("n_chunks"),
-        F.min("low").alias("source_id"),
-        F.array_sort(F.collect_list(F.when(away, F.array("start", F.col("start") + F.col("size"))))).alias("cut"),
+        F.max("end").alias("end"),
+        F.min("pos").alias("pos"),
+        F.max("pos").alias("last"),
+        F.min("chunk").alias("chunk"),
+        F.max("stop").alias("stop"),
+        F.min("low").alias("low"),
+        F.min(F.when(F.col("away"), F.col("start"))).alias("s"),
+        F.max(F.when(F.col("away"), F.col("end"))).alias("e"),
     )
-    return out.where(F.col("n_words") >= min_words).select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "n_words", "n_chunks", "source_id", "cut")
+    return parts.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"),
+        (F.max("end") - F.min("start")).alias("length"),
+        (F.max("last") - F.min("pos") + min_words).cast("long").alias("n_words"),
+        (F.max("stop") - F.min("chunk")).cast("long").alias("n_chunks"),
+        F.min("low").alias("source_id"),
+        F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.array("s", "e")))).alias("cut"),
+    ).drop("run")
 
 
 def without(texts: pd.Series, cut: pd.Series) -> pd.Series:

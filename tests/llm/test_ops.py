@@ -436,3 +436,23 @@ def test_suffixes_of_later_pairs(spark):
         got[r.doc_id].update(range(r.start, r.start + r.n_words))
     want = covered_words(docs, 50)
     assert got == want and sum(d < 180 for d in want) == 120
+
+
+def test_chunks_find_every_passage_of_fifty_words(spark):
+    """Passages of 50 to 70 short words, the same byte for byte, in texts of other words."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([1, 3, 5, 7])))
+    words = lambda n: [word() for _ in range(n)]
+    docs = []
+    for _ in range(400):
+        passage = words(rng.choice([50, 51, 55, 70]))
+        for _ in range(2):
+            docs.append((len(docs), " ".join(words(rng.randint(20, 60)) + passage + words(rng.randint(20, 60)))))
+    got = defaultdict(set)
+    for r in chunks.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        b = docs[r.doc_id][1].encode()
+        first = len(b[: r.start].split())
+        assert len(b[r.start : r.start + r.length].split()) == r.n_words
+        got[r.doc_id].update(range(first, first + r.n_words))
+        assert (len(r["cut"]) > 0) == (r.source_id != r.doc_id)
+    assert got == covered_words(docs, 50)
