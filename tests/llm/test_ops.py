@@ -456,3 +456,20 @@ def test_chunks_find_every_passage_of_fifty_words(spark):
         got[r.doc_id].update(range(first, first + r.n_words))
         assert (len(r["cut"]) > 0) == (r.source_id != r.doc_id)
     assert got == covered_words(docs, 50)
+
+
+def test_chunks_of_several_documents_are_no_passage(spark):
+    """Pieces of twelve words that a text has from as many documents, and a passage of 49 words, stay."""
+    rng = random.Random(17)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs, mosaic = [], []
+    for k in range(40):
+        piece = words(30)
+        mosaic += piece
+        docs.append((k, " ".join(words(60) + piece + words(60))))
+    docs.append((100, " ".join(mosaic)))
+    passage = words(49)
+    docs += [(101 + k, " ".join(words(30) + passage + words(30))) for k in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert chunks.repeats(df).collect() == []
+    assert {r.doc_id: r.text for r in chunks.drop_repeats(df).collect()} == dict(docs)
