@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -19,18 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let the session hand Python at most ``rows`` texts at a time, which bounds its memory and the JVM's."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+#: Rows and bytes that go to Python at once; either bound ends a batch, so that very long texts are batches of few.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def text_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound what goes to Python at once by rows and by bytes, which bounds its memory and the JVM's.
+
+    The settings are the session's; they are only ever lowered, and change no result.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        was = str(spark.conf.get(key)).strip().lower().removesuffix("b")
+        if not was.lstrip("-").isdigit() or not 0 < int(was) <= most:
+            spark.conf.set(key, most)
 
 
 class Scratch:
     """Tables written to the cluster's shared checkpoint folder, to cut lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary
-    one is made. Tables go when they are dropped, or at the end of the driver's JVM.
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session (tests) may leave it unset; it gets a
+    temporary one. Tables go when they are dropped, or at the end of the driver's JVM.
     """
 
     def __init__(self, spark: SparkSession):
@@ -39,6 +49,8 @@ class Scratch:
         sc = spark.sparkContext
         top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
         if not top:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             top = tempfile.mkdtemp(prefix="lodestone-")
             sc.setCheckpointDir(top)
         self.top = top.rstrip("/")
@@ -64,9 +76,18 @@ class Scratch:
                 fs, p = self._fs(path)
                 fs.delete(p, True)
 
+    def free(self, *tables: DataFrame) -> None:
+        """``drop``, and let executors delete the shuffle files of jobs that have ended.
+
+        They go once the driver's JVM collects its own garbage, which it may not do for long.
+        """
+        self.drop(*tables)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 #: Rows of one or two numbers up to which a side of a join is broadcast; a larger one is shuffled.
-SMALL_ROWS = 2_000_000
+SMALL_ROWS = 200_000
 
 
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
@@ -74,6 +95,39 @@ def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``docs`` written once with a long column that tells every row from every other, also repeated ones.
+
+    The numbers are read back from the written table, so that no later run of a task can change them.
+    """
+    return scratch.put(docs.withColumn(name, F.monotonically_increasing_id()))
+
+
+def keyed(docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with a long column that names a row by what it says.
+
+    It is the row's doc_id where no other row has that; rows with a null or repeated doc_id get a number over 2 ** 62
+    from a hash of doc_id and text, so that only rows alike in both share one.
+    """
+    own = F.col("doc_id").cast("long")
+    twice = scratch.put(docs.select(own.alias("id")).where("id is not null").groupBy("id").count().where("count > 1").select("id"))
+    other = F.xxhash64(own, F.col("text")).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    if twice.isEmpty():
+        return docs.withColumn(name, F.coalesce(own, other))
+    there = unused("__twice", [*docs.columns, name])
+    rows = docs.withColumn(name, own)
+    rows = rows.join(small(twice).select(F.col("id").alias(name), F.lit(True).alias(there)), name, "left")
+    key = F.when(F.col(name).isNull() | F.col(there).isNotNull(), other).otherwise(F.col(name))
+    return rows.withColumn(name, key).select(*(F.col(f"`{c}`") for c in docs.columns), name)
+
+
 # -- words ---------------------------------------------------------------------------------------
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -113,17 +167,6 @@ def word_blocks(column: pa.Array, kind: bytes, most: int = 1 << 19) -> Iterator[
         yield s, e, (b" \xff ".join([t.translate(kind) if t else b"" for t in texts[s:e]]) + b" \xff").split()
 
 
-def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
-    """An Arrow mapper from a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield out
-
-    return run
-
-
 # -- 64-bit mixing ---------------------------------------------------------------------------------
 
 
@@ -208,8 +251,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``edges`` has two long columns, the ends of an undirected edge. Each task first replaces its edges
     by a spanning forest. Then large-star and small-star steps alternate until nothing changes, a number
-    of rounds that grows with the logarithm of the longest path. A hub's edges meet in a join only,
-    which Spark splits when skewed; its minimum is pre-aggregated. Nothing is collected.
+    of rounds that grows with the logarithm of the longest path. A hub's smallest neighbour is aggregated
+    before its edges are dealt out and written, so that both sides of the join that uses it are plain
+    exchanges, of which Spark splits the hub's. Nothing is collected.
     """
     a, b = edges.columns
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(
@@ -219,14 +263,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     was = _digest(e)
     while was[0]:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e2 = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        e2 = scratch.put(e2.where("u <> v"))
-        low = e2.groupBy("u").agg(F.min("v").alias("m"))
-        small = e2.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e3 = scratch.put(small.where("u <> v").distinct())
+        low = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        e2 = both.join(small(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e2 = scratch.put(e2.where("u <> v").distinct())
+        low2 = scratch.put(e2.groupBy("u").agg(F.min("v").alias("m")))
+        least = e2.join(small(low2), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = least.union(low2.select("u", F.col("m").alias("v")))
+        e3 = scratch.put(least.where("u <> v").distinct())
         now = _digest(e3)
-        scratch.drop(e, e2)
+        scratch.drop(e, e2, low, low2)
         e = e3
         if now == was:
             break

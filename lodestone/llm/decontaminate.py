@@ -6,12 +6,15 @@ documents, is the rarest one. Pass one counts the benchmark's shingles in all do
 each task. Pass two joins documents with prefix shingles by a hash table, applies the length and positional
 bounds (the window must fit into the document around the shingle) and verifies the window's words exactly.
 
-The benchmark is read in blocks of at most BLOCK_WORDS words, each broadcast; documents are never shuffled.
+The benchmark is read in blocks of at most BLOCK_WORDS words, each broadcast; a longer item's windows go to several
+blocks. Texts are never shuffled. With one block hits are a column of the document's row; with more, each block's hits
+are written under a number that every row gets first, and meet by it.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,8 +28,8 @@ from . import common as C
 WINDOW = 10
 SHINGLE = 3
 #: Words of the benchmark that are broadcast at once; with it the size of a broadcast is bounded.
-BLOCK_WORDS = 500_000
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+BLOCK_WORDS = 200_000
+HITS = "n_words long, spans array<array<long>>, items array<string>"
 
 
 class Block:
@@ -118,14 +121,15 @@ def find(ids: np.ndarray, b: Block) -> list[tuple[int, int, int]]:
     return out
 
 
-def _hits(docs: DataFrame, block) -> DataFrame:
-    """Each document's words and its hits: [start, end) spans and items."""
+def _hits(block):
+    """A column function from text to its words and its hits: [start, end) spans and items."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(HITS)
+    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         b = block.value
-        for batch in batches:
+        for column in batches:
             n_words, spans, items = [], [], []
-            for s, e, words in C.word_blocks(batch.column(1), C.ALNUM):
+            for s, e, words in C.word_blocks(column, C.ALNUM):
                 ids = b.numbers(words)
                 ends = np.flatnonzero(ids == -2)
                 starts = np.concatenate([[0], ends[:-1] + 1])
@@ -137,12 +141,11 @@ def _hits(docs: DataFrame, block) -> DataFrame:
                 n_words += (ends - starts).tolist()
                 spans += [merged(x) for x in own_spans]
                 items += [sorted(x) for x in own_items]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "items"],
-            )
+            columns = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
+            yield pa.StructArray.from_arrays(columns, ["n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, spans array<array<long>>, items array<string>")
+    # not deterministic to Spark, or it would run once in a filter and once more after it
+    return hits.asNondeterministic()
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -156,74 +159,86 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items' words, some at a time; the driver holds one block."""
+def _blocks(benchmark: DataFrame, most: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items' words, at most about ``most`` at a time; the driver holds one block.
+
+    A longer item goes in parts that overlap by all but one word of a window, so that each window is in one part.
+    """
     items, n = [], 0
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null")
     for item, text in rows.distinct().toLocalIterator():
         words = (text or "").encode().translate(C.ALNUM).split()
-        if words:
-            items.append((item, words))
-            n += len(words)
-        if n >= most:
-            yield items
-            items, n = [], 0
+        for start in range(0, max(len(words) - window + 1, 1) if words else 0, most):
+            part = words[start : start + most + window - 1]
+            if n and n + len(part) > most:
+                yield items
+                items, n = [], 0
+            items.append((item, part))
+            n += len(part)
     if items:
         yield items
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, spans (hit word ranges), items (item ids in string order) for each row of ``docs``.
+    """``docs`` with n_words, spans (hit word ranges, merged) and items (item ids in string order) for each row.
 
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are not read. Null and empty
-    texts have no words and no hits; null item ids and items without words are left out; rows that repeat
-    an item id count as one item. Repeated documents each get their row. Several blocks of the benchmark
-    are joined one by one; their hits meet by doc_id, so doc_id then has to name a row.
+    ``docs`` has a column text, ``benchmark`` item_id and text; no other column is read. Columns of ``docs`` of the
+    three names are replaced. Null and empty texts have no words and no hits; null item ids and items without words
+    are left out; rows that repeat an item id count as one item. Each row of ``docs`` has its own result, whatever
+    its doc_id is; an empty table has none.
     """
     spark = docs.sparkSession
     C.text_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
-    for items in _blocks(benchmark, block_words):
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "spans", "items")))
+    texts, text = docs.select(F.col("text").cast("string").alias("text")), F.col("text").cast("string")
+
+    def indexed(items):
         block = Block(items, window, shingle)
         shared = spark.sparkContext.broadcast(block)
-        block = Block(items, window, shingle)
-        block.order(_counts(docs, shared))
-        parts.append(_hits(docs, spark.sparkContext.broadcast(block)))
-    if not parts:
-        parts = [_hits(docs, spark.sparkContext.broadcast(_empty()))]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0].select("doc_id", "n_words")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    found = found.where(F.size("spans") > 0).groupBy("doc_id", "n_words").agg(
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-    empty_spans, empty_items = F.array().cast("array<array<long>>"), F.array().cast("array<string>")
-    return every.join(found, ["doc_id", "n_words"], "left").select("doc_id", "n_words", F.coalesce("spans", empty_spans).alias("spans"), F.coalesce("items", empty_items).alias("items"))
-
-
-def _empty() -> Block:
-    block = Block([])
-    block.order({})
-    return block
-
-
-def covered(spans) -> F.Column:
-    """Words inside any of the spans, which may overlap."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
-    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x[1] - F.greatest(x[0], a["to"]))).alias("n"), F.greatest(a["to"], x[1]).alias("to"))
-    return F.aggregate(F.array_sort(spans), zero, step, lambda a: a["n"])
+        counts = _counts(texts, shared)
+        shared.destroy()
+        block.order(counts)
+        return _hits(spark.sparkContext.broadcast(block))(text)
+
+    row, hits = (C.unused(x, docs.columns) for x in ("__row", "__hits"))
+    blocks = _blocks(benchmark, block_words, window)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return docs.withColumn(hits, indexed(first)).select(*(F.col(f"`{c}`") for c in docs.columns), f"{hits}.*")
+    scratch = C.Scratch(spark)
+    rows = C.numbered(docs, scratch, row)
+    found = scratch.put(rows.select(row, indexed(first).alias("h")).select(row, "h.*"))
+    parts = [found.select(row, "spans", "items")]
+    for items in itertools.chain([second], blocks):
+        parts.append(scratch.put(rows.select(row, indexed(items).alias("h")).where(F.size("h.spans") > 0).select(row, "h.spans", "h.items")))
+    every = functools.reduce(DataFrame.union, parts).where(F.size("spans") > 0)
+    every = every.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = (F.array().cast("array<array<long>>"), F.array().cast("array<string>"))
+    out = rows.join(found.select(row, "n_words"), row).join(every, row, "left")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "n_words", F.coalesce(united("spans"), none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+
+
+def united(spans: str) -> F.Column:
+    """Spans that may overlap or touch, as their union in order."""
+    none = F.array().cast("array<array<long>>")
+
+    def add(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        grown = F.array(last[0], F.greatest(last[1], x[1]))
+        apart = F.size(done) == 0
+        return F.when(apart | (last[1] < x[0]), F.concat(done, F.array(x))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown)))
+
+    return F.aggregate(F.array_sort(spans), none, add)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    """The digest of each document's hits; each row of ``documents`` has one, repeated rows repeat it."""
+    docs = C.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hits = contamination(docs, C.table(spark, sf_dir, "benchmark"))
     return hits.select(
         "doc_id",
         "n_words",
-        covered(F.col("spans")).alias("n_hit"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0]).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
