@@ -11,7 +11,8 @@ which comes from counts of hash blocks, not from one sorted list.
 
 from __future__ import annotations
 
-import base64
+import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,49 +31,60 @@ END = 1
 BLOCK_ROWS = 8192
 
 
+#: Characters of white space, as the tokenizer's pattern has them.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 class Tokens:
-    """Token ids of texts as little-endian 32-bit bytes, the same ids that the tokenizer's JSON file gives.
+    """Token ids of texts as little-endian 32-bit bytes, as the tokenizer of a JSON file gives them.
 
-    A text is cut before single spaces, where the tokenizer's own splitting always has a border; each piece's
-    ids are kept, at most ``most`` of them. Texts in which a space meets other white space are encoded whole.
+    A text is cut around its white space and after words that ASCII punctuation follows, where the tokenizer's own
+    splitting always has a border; each piece goes through the tokenizer once and its ids are kept: those of the last
+    ``most`` pieces and as many before them. Texts in which an added token of the tokenizer stands are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
-        import public_tokenizers
-        import tiktoken
+    def __init__(self, path: str, most: int = 150_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
-        self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s (?:\s|$)|^ (?:\s|$)")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        mark = r"!-/:-@\[-`{-~"
+        self.parts = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{mark}{SPACE}]|\\Z)|[{mark}]+(?=[{SPACE}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, text: str) -> bytes:
-        if self.odd.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        first, *rest = text.split(" ")
-        if first:
-            out.append(np.array(self.encode(first), "<u4").tobytes())
-        for piece in rest:
-            b = known.get(piece)
-            if b is None:
-                b = np.array(self.encode(" " + piece), "<u4").tobytes()
-                if len(piece) <= 24:
-                    known[piece] = b
-            out.append(b)
-        return b"".join(out)
+        if any(a in text for a in self.added):
+            return self.encode([text])[0]
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        parts, known = self.parts(text), self.young
+        lacking = [p for p in set(parts) if p not in known]
+        if not lacking:
+            return b"".join([known[p] for p in parts])
+        found = {p: b for p in lacking if (b := self.old.get(p)) is not None}
+        new = [p for p in lacking if p not in found]
+        found.update(zip(new, self.encode(new), strict=True))
+        known.update((p, b) for p, b in found.items() if len(p) <= 24)
+        return b"".join([known.get(p) or found[p] for p in parts])
+
+
+@functools.lru_cache(1)
+def tokens_of(path: str) -> Tokens:
+    """A worker's tokenizer, which keeps what it knows from one task to the next."""
+    return Tokens(path)
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of each window and remainder of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = Tokens(path), np.array([END], "<u4").tobytes()
+        tokens, end = tokens_of(path), np.array([END], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -168,7 +180,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
             seen[size] += times * used[size]
             offset += size * used[size]
         sequence += times
-    table = spark.createDataFrame(ranges, "length long, low long, high long, per long, at long, base long")
+    names = ["length", "low", "high", "per", "at", "base"]
+    table = spark.createDataFrame(pa.table({c: pa.array([r[k] for r in ranges], pa.int64()) for k, c in enumerate(names)}))
     # at most a few thousand ranges, whatever the number of documents; grouped, so that each piece meets one row
     table = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "per", "at", "base"))).alias("ranges"))
     out = ranked.join(F.broadcast(table), "length")
@@ -187,10 +200,12 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
 
 def vocabulary() -> str:
+    """The tokenizer's file."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces; repeated rows are documents of their own."""
     return pack(C.table(spark, sf_dir, "documents"), vocabulary())

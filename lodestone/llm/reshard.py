@@ -13,9 +13,9 @@ import heapq
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common as C
@@ -106,6 +106,10 @@ def transfers(blocks: list[tuple[int, int, int]], flow: list[list[int]]) -> tupl
     return whole, border
 
 
+def _numbers(rows: list[tuple], names: tuple[str, ...], kind: pa.DataType) -> pa.Table:
+    return pa.table({c: pa.array([r[k] for r in rows], kind) for k, c in enumerate(names)})
+
+
 def reshard(docs: DataFrame, old_shard: F.Column, shards: int, capacities: list[int] | None = None, cost: list[list[int]] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, block, shard, slot for each row of ``docs`` (doc_id, text, ...).
 
@@ -144,8 +148,8 @@ def reshard(docs: DataFrame, old_shard: F.Column, shards: int, capacities: list[
             heapq.heapreplace(lack, [lack[0][0] + n, lack[0][1]])
         return pdf.assign(shard=target)
 
-    keys = T.StructType([T.StructField(k, T.IntegerType()) for k in ("old_shard", "block", "shard")])
-    plan = spark.createDataFrame([(s, b, j) for (s, b), j in whole.items()] + [(s, b, None) for s, b in border], keys)
+    placed = [(s, b, j) for (s, b), j in whole.items()] + [(s, b, None) for s, b in border]
+    plan = spark.createDataFrame(_numbers(placed, ("old_shard", "block", "shard"), pa.int32()))
     # at most BLOCKS rows a shard
     placed = base.join(F.broadcast(plan), ["old_shard", "block"])
     fine = placed.where("shard is null").drop("shard").groupBy("old_shard", "block")
@@ -158,7 +162,7 @@ def reshard(docs: DataFrame, old_shard: F.Column, shards: int, capacities: list[
     for j, s, b, n in cells:
         offsets.append((j, s, b, at[j]))
         at[j] += n
-    first = spark.createDataFrame(offsets, "shard int, old_shard int, block int, first long")
+    first = spark.createDataFrame(_numbers(offsets, ("shard", "old_shard", "block", "first"), pa.int64()))
     cell = Window.partitionBy("shard", "old_shard", "block").orderBy("doc_id", "size", "text_crc32")
     out = placed.join(F.broadcast(first), ["shard", "old_shard", "block"])
     return out.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", (F.col("first") + F.row_number().over(cell) - 1).alias("slot"))
