@@ -111,7 +111,7 @@ class Machine:
     def pooled(scores: np.ndarray) -> np.ndarray:
         """Highest score, how many lie above some levels, and which share lies above the first."""
         if not len(scores):
-            return np.zeros(7)
+            return np.array([1.0] + 6 * [0.0])
         n = [(scores > level).sum() for level in LEVELS]
         return np.array([1.0, max(scores.max(), 0.0), *np.log1p(n), np.sqrt(n[0] / len(scores))])
 
