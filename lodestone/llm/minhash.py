@@ -88,25 +88,40 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             for s in shingle_sets(batch.column(1), hashes):
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                values.append(sketch.band_values(s) if len(s) else None)
+                if len(s):
+                    values.append(sketch.band_values(s))
             if n:
+                ends = np.cumsum([0, *(bands if d else 0 for d in digest)]).astype(np.int32)
+                flat = np.concatenate(values) if values else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(values, pa.list_(pa.int64()))],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     ["doc_id", "n_shingles", "digest", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(part, doc_id, grams) of rows of (part, doc_id, text)."""
+def _sets(docs: DataFrame, most: int = 250_000) -> DataFrame:
+    """(part, doc_id, grams) of rows of (part, doc_id, text); a batch has about ``most`` shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = C.WordHash()
         for batch in batches:
-            if batch.num_rows:
-                sets = [s.view(np.int64) for s in shingle_sets(batch.column(2), hashes)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["part", "doc_id", "grams"])
+            done, sets, n = 0, [], 0
+
+            def out(batch=batch):
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                return pa.RecordBatch.from_arrays([*(batch.column(k).slice(done, len(sets)) for k in (0, 1)), grams], ["part", "doc_id", "grams"])
+
+            for s in shingle_sets(batch.column(2), hashes):
+                sets.append(s)
+                n += len(s)
+                if n > most:
+                    yield out()
+                    done, sets, n = done + len(sets), [], 0
+            if sets:
+                yield out()
 
     return docs.mapInArrow(run, "part long, doc_id long, grams array<long>")
 
@@ -229,12 +244,14 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group; of a group the smallest doc_id is kept, rows that tie on it alike."""
     return near_duplicates(C.table(spark, sf_dir, "documents"))
 
 
 SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents),
 grams AS (
   SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
