@@ -10,10 +10,11 @@ the labelled pages come from a generator of page layouts (``labelled_pages``), t
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import log
 
@@ -27,12 +28,18 @@ BOILER, MIXED, CONTENT = 0, 1, 2
 #: Pages of the training set.
 PAGES = 600
 
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|svg|math|iframe|object|select|textarea|button|title|canvas|video|audio)\b[^>]*>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<=]*)")
+#: The rest of a tag, with ">" in quotes; where a quote does not end, the tag ends at the first ">".
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+#: Elements whose text is no markup, up to their closing tag or the page's end.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements that are dropped with what is in them.
+DROPPED = RAW | frozenset("noscript template svg object select button canvas video audio annotation annotation-xml datalist".split())
+#: Elements that never hold anything.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: The label of an element of a generated page.
+LABEL = re.compile(r'\bdata-state="([012])"')
 WORD = re.compile(r"[a-z]+")
 BLOCKS = frozenset(
     "html head body main article section div header footer nav aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd menu"
@@ -59,48 +66,127 @@ class Node:
             self.words = tuple(dict.fromkeys(w for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall((m[2] or m[3] or m[4] or "").lower())))
 
 
-def parse(page: str) -> list[Node]:
-    """The page's block elements in order, the root first; inline markup only counts as link or not."""
-    nodes = [Node("html", -1, "")]
-    stack, link, place, last = [0], 0, 0, 0
+def tokens(page: str) -> Iterator[tuple[str, str | None, str, bool]]:
+    """(text, None, "", False) or ("", tag, attributes, closing) of a page, in time linear in its length.
 
-    def text(s: str) -> None:
-        nonlocal place
-        if s and not s.isspace():
-            node = nodes[stack[-1]]
-            node.runs.append((place, s))
-            if link:
-                node.linked += len(s)
-        elif s and nodes[stack[-1]].runs:
-            nodes[stack[-1]].runs.append((place, " "))
-
-    for m in TOKEN.finditer(page):
-        if m.start() > last:
-            text(page[last : m.start()])
-        last = m.end()
-        tag = m[3]
+    A comment or raw text that does not end takes the rest of the page, and so does a tag without ">".
+    """
+    n, start, at, last = len(page), 0, 0, page.rfind(">")
+    while (at := page.find("<", at)) >= 0:
+        m = NAME.match(page, at)
+        if m is None and page[at + 1 : at + 2] not in ("!", "?", "/"):
+            at += 1  # a plain "<"
+            continue
+        if at > start:
+            yield page[start:at], None, "", False
+        if m is None:
+            end = page.find("-->", at + 4) + 2 if page.startswith("<!--", at) else page.find(">", at)
+            start = at = n if end < at else end + 1
+            continue
+        if at > last:
+            return
+        rest = REST.match(page, m.end())
+        end = rest.end() if rest else page.find(">", m.end()) + 1
+        tag, closing = m[2].lower(), m[1] == "/"
+        yield "", tag, page[m.end() : end - 1], closing
+        start = at = end
+        if tag in RAW and not closing:
+            close = _closer(tag).search(page, end)
+            start = at = n if close is None else close.start()
+    if start < n:
+        yield page[start:], None, "", False
+
+
+@functools.cache
+def _closer(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}(?=[\\s/>])", re.I)
+
+
+class Closers:
+    """Whether a page closes an element after some place; asked for ever later places, in linear time altogether."""
+
+    def __init__(self, page: str):
+        self.page, self.next = page, {}
+
+    def __call__(self, tag: str, seen: int) -> bool:
+        """``seen`` closing tags of this name have passed."""
+        if tag not in self.next:
+            self.next[tag] = sum(1 for _ in _closer(tag).finditer(self.page))
+        return self.next[tag] > seen
+
+
+def parse(page: str, labelled: bool = False) -> list[Node]:
+    """The page's block elements in order, the root first; inline markup only counts as link or not.
+
+    Only ``labelled`` pages, those of the trainer, are read for labels.
+    """
+    nodes = [Node("html", -1, "")]
+    stack, link, place = [0], 0, 0
+    held: Counter[str] = Counter()  # open block elements by tag
+    passed: Counter[str] = Counter()  # closing tags of dropped elements
+    closes_later = Closers(page)
+    # the dropped element that is open, and what is open in it
+    drop, inner = "", []
+
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            held[nodes[x].tag] -= 1
+        del stack[k:]
+
+    for text, tag, attributes, closing in tokens(page):
         if tag is None:
+            if drop:
+                continue
+            node = nodes[stack[-1]]
+            if not text.isspace():
+                node.runs.append((place, text))
+                if link:
+                    node.linked += len(text)
+            elif node.runs:
+                node.runs.append((place, " "))
+            continue
+        if closing and tag in DROPPED:
+            passed[tag] += 1
+        empty = tag in VOID or attributes.endswith("/")
+        if drop:
+            if not closing:
+                if not empty and (tag in BLOCKS or tag == drop):
+                    inner.append(tag)
+                continue
+            if tag in inner:
+                while inner.pop() != tag:
+                    pass
+                continue
+            if tag == drop:
+                drop = ""
+                continue
+            if not held[tag]:
+                continue
+            drop, inner = "", []  # what holds the dropped element ends, and so does it
+        if tag in DROPPED:
+            if not closing and not empty and (tag in RAW or closes_later(tag, passed[tag])):
+                drop, inner = tag, []
             continue
-        tag = tag.lower()
         if tag not in BLOCKS:
             if tag == "a":
-                link = 0 if m[2] else 1
-            elif tag in ("br", "hr", "img", "input", "wbr") and nodes[stack[-1]].runs:
+                link = int(not closing)
+            elif tag in VOID and nodes[stack[-1]].runs:
                 nodes[stack[-1]].runs.append((place, " "))
             continue
         if tag == "html":
             continue
         place += 1
-        if m[2]:  # a closing tag closes its element and all that is open in it
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    link = 0
-                    break
+        if closing:  # a closing tag closes its element and all that is open in it
+            if held[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[k]].tag == tag:
+                        cut(k)
+                        link = 0
+                        break
             continue
         link = 0
         if tag == "body":
-            del stack[1:]
+            cut(1)
         closes, bound = CLOSES.get(tag, ({"p"}, SCOPE))
         if tag not in CLOSES:
             if tag[0] == "h" and tag[1:].isdigit():
@@ -108,24 +194,24 @@ def parse(page: str) -> list[Node]:
             for k in range(len(stack) - 1, 0, -1):
                 own = nodes[stack[k]].tag
                 if own in closes and (own == "p" or k == len(stack) - 1):
-                    del stack[k:]
+                    cut(k)
                     break
-                if own in bound or own in ("div", "section", "article", "li"):
+                if own in bound or own in ("div", "section", "article", "li") or not held["p"]:
                     break
-        else:
+        elif any(held[c] for c in closes):
             for k in range(len(stack) - 1, 0, -1):
                 own = nodes[stack[k]].tag
                 if own in closes:
-                    del stack[k:]
+                    cut(k)
                     break
                 if own in bound:
                     break
-        nodes.append(Node(tag, stack[-1], m[4] or ""))
-        if (m[4] or "").find("data-state") >= 0:
-            nodes[-1].label = int(m[4].split('data-state="')[1][0])
-        if not (m[4] or "").endswith("/"):
+        nodes.append(Node(tag, stack[-1], attributes))
+        if labelled and (m := LABEL.search(attributes)):
+            nodes[-1].label = int(m[1])
+        if not empty:
             stack.append(len(nodes) - 1)
-    text(page[last:])
+            held[tag] += 1
     return nodes
 
 
@@ -151,7 +237,7 @@ class Model:
         edge = [[[1.0, 1.0, 1.0] for _ in range(3)] for _ in range(3)]
         total = [1.0, 1.0, 1.0]
         for page in pages:
-            nodes = parse(page)
+            nodes = parse(page, labelled=True)
             for v in nodes[1:]:
                 if v.label is None:
                     continue
@@ -353,7 +439,8 @@ def extract(pages: DataFrame, model: Model | None = None, column: str = "html")
     """``pages`` with a column ``text``: the main text, empty if there is none.
 
     Null and empty pages give an empty text. Rows are independent, so repeated rows repeat their result; an
-    empty table gives none. A column ``text`` that is already there is replaced; others stay.
+    empty table gives none. The column of the pages goes, a column ``text`` that is already there is replaced;
+    others stay. Elements that a page does not close end with what holds them; nothing makes a page fail.
     """
     C.text_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or Model(labelled_pages()))
@@ -371,5 +458,6 @@ def extract(pages: DataFrame, model: Model | None = None, column: str = "html")
 
 
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; repeated rows repeat theirs."""
     pages = C.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -20,8 +20,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases that every scan counts, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: The SQL runs rules only on texts with one of these. Not all that a rule matches has one, so the scan does without.
-GATES = ("licen", "copy", "reserved", " cc ", "cc0", "spdx", "gpl", "public  domain", "permission", "warranty")
+#: Elements that ``_scanned`` puts into one array at a time.
+PART = 256
 
 #: Family, its names and its versions.
 FAMILIES = [
@@ -102,17 +102,12 @@ NOTICES = [
     ("reserved", "reproduced", "no part of this (publication|book|work|document) may be reproduced", 0.8),
     ("reserved", "permission", "(reproduced|reprinted|used) (with|by) permission", 0.5),
     ("proprietary", "proprietary", "proprietary( and| or)? confidential", 0.9),
-    ("proprietary", "proprietary", "(proprietary|commercial) licen[sc]e", 0.7),
+    ("proprietary", "licen", "(proprietary|commercial) licen[sc]e", 0.7),
     ("non-commercial", "commercial", "(for )?non ?commercial (use|purposes?)( only)?", 0.6),
     ("license", "licen", "(this|the) (work|document|file|software|page|text|content|article|data ?set) is licen[sc]ed( under| to)?", 0.5),
-    ("license", "licen", "(licen[sc]ed|released|distributed) under( the)?( terms)?", 0.4),
+    ("license", "under", "(licen[sc]ed|released|distributed) under( the)?( terms)?", 0.4),
     ("license", "licen", "see (the )?licen[sc]e( file)?( for)?( details)?", 0.4),
 ]
-#: Words of notices whose keyword in the SQL is not in all that they match, and one that is.
-KEYWORDS = {
-    "(proprietary|commercial) licen[sc]e": "licen",
-    "(licen[sc]ed|released|distributed) under( the)?( terms)?": "under",
-}
 
 
 class Rule(NamedTuple):
@@ -132,19 +127,12 @@ def _held(keyword: str) -> str:
     return f" {_wide(keyword[1:-1])} " if keyword[0] == " " else _wide(keyword)
 
 
-def rules(as_sql: bool = False) -> list[Rule]:
-    """The signature rules, first priority first: with a version before without, long forms before short.
-
-    ``as_sql``: as the SQL has them. Its keywords miss a whole word at either end of a text, and its " ?" asks for
-    one space at least, so that it finds no "sharealike".
-    """
+def rules() -> list[Rule]:
+    """The signature rules, first priority first: with a version before without, long forms before short."""
     out: list[Rule] = []
 
     def add(label: str, keyword: str, words: str, score: float) -> None:
-        if as_sql:
-            out.append(Rule(label, keyword.replace(" ", "  "), f" {words.replace(' ', '  ')} ", score))
-        else:
-            out.append(Rule(label, _held(KEYWORDS.get(words, keyword)), f" {_wide(words)} ", score))
+        out.append(Rule(label, _held(keyword), f" {_wide(words)} ", score))
 
     licensed = "(licen[sc]ed|released|distributed|available|published|provided|covered) (under|by) (the )?(terms of (the )?)?(a )?"
     for short, long in COMMONS.items():
@@ -188,6 +176,34 @@ def _words_in(part: Column) -> Column:
     return (F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))) / 2
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` and lambdas in it read it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scanned(items: Column, state: Column, kind: str, step) -> Column:
+    """What a sweep over ``items`` puts out: step(state, item) gives (state, whether something comes out, that).
+
+    The output grows in parts, so that the work is all but linear in the number of items.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def part(state: Column, some: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            after, kept, out = step(a["state"], x)
+            return F.struct(after.alias("state"), F.when(kept, F.concat(a["out"], F.array(out))).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(some, F.struct(state.alias("state"), none.alias("out")), one)
+
+    def every(it: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(it) - 1) / PART).cast("int"), F.lit(0)))
+        zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+        more = lambda a, b: _let(part(a["state"], F.slice(it, b * PART + 1, F.lit(PART))), lambda r: F.struct(r["state"].alias("state"), F.concat(a["done"], F.array(r["out"])).alias("done")))
+        return F.aggregate(parts, zero, more, lambda a: F.flatten(a["done"]))
+
+    return _let(items, every)
+
+
 def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_words, per-phrase counts and ``found`` for each row.
 
@@ -217,22 +233,27 @@ def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
 
     def places(r: Column) -> Column:
         between, hits = F.split(w, r["pattern"], -1), F.regexp_extract_all(w, r["pattern"], F.lit(0))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-        both = F.zip_with(hits, between, lambda h, b: F.struct(F.length(h).alias("h"), F.length(b).alias("b")))
-        step = lambda a, x: F.when(x["h"].isNull(), a).otherwise(
-            F.struct((a["at"] + x["b"] + x["h"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["b"]).alias("start"), (a["at"] + x["b"] + x["h"]).alias("end")))).alias("out"))
-        )
-        spans = F.aggregate(both, zero, step, lambda a: a["out"])
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["rule"].alias("rule"), r["label"].alias("label"), r["score"].alias("score")))
-
-    df = df.withColumn("all", F.flatten(F.transform("fit", places)))
-    size = lambda x: x["end"] - x["start"]
-    beats = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & ((size(y) > size(x)) | (y["rule"] < x["rule"]))
+        both = F.zip_with(hits, between, lambda h, b: F.struct(F.coalesce(F.length(b), F.lit(0)).alias("b"), F.length(h).alias("h")))
+
+        def one(at: Column, x: Column):
+            start = at + x["b"]
+            end = start + F.coalesce(x["h"], F.lit(0))
+            return end, x["h"].isNotNull(), F.struct(start.alias("start"), end.alias("end"))
+
+        spans = _scanned(both, F.lit(0), "struct<start:int,end:int>", one)
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["rule"].alias("rule"), r["label"].alias("label"), r["score"].alias("score")))
+
+    kind = "struct<start:int,back:int,rule:int,label:string,score:double>"
+    # in this order all that can suppress a detection stand before it, and do if one of them ends no sooner
+    ordered = F.array_sort(F.flatten(F.transform("fit", places)).cast(f"array<{kind}>"))
+    top = _scanned(ordered, F.lit(1), kind, lambda least, x: (F.least(least, x["back"]), x["back"] < least, x))
+    found = F.transform(top, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["rule"].alias("rule"), x["label"].alias("label"), x["score"].alias("score")))
     none = F.array().cast("array<struct<start:int,end:int,rule:int,label:string,score:double>>")
-    return df.withColumn("found", F.coalesce(F.filter("all", lambda x: ~F.exists("all", lambda y: beats(x, y))), none)).drop("w", "fit", "all")
+    return df.withColumn("found", F.coalesce(found, none)).drop("w", "fit")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's labels; rows are independent, and detections that tie on an interval go by the rules' order."""
     df = scan(C.table(spark, sf_dir, "documents"))
     n = len(BASE)
     base = F.array_compact(F.array(*(F.when(F.col(f"b{k}").isNotNull(), F.lit(label)) for k, label in enumerate(BASE.values()))))
@@ -251,13 +272,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    """The whole scan as DuckDB SQL."""
-    own = rules(as_sql=True)
-    values = ", ".join(f"({k}, {_quoted(r.keyword)}, {_quoted(r.pattern)}, {_quoted(r.label)}, {r.score}::DOUBLE)" for k, r in enumerate(own))
-    gate = " OR ".join(f"contains(w, {_quoted(g)})" for g in GATES)
+    """The whole scan as DuckDB SQL: every rule looks at every text, without keywords."""
+    own = rules()
+    values = ", ".join(f"({k}, {_quoted(r.pattern)}, {_quoted(r.label)}, {r.score}::DOUBLE)" for k, r in enumerate(own))
     phrases = ", ".join(f"({k}, {_quoted(f' {_wide(p)} ')}, {len(p.split())}, {_quoted(label)})" for k, (p, label) in enumerate(BASE.items()))
     return rf"""
-WITH rules(rule, keyword, pattern, label, score) AS (VALUES {values}),
+WITH rules(rule, pattern, label, score) AS (VALUES {values}),
 phrases(k, p, np, label) AS (VALUES {phrases}),
 n AS (
   SELECT doc_id, CASE WHEN body = '' THEN '' ELSE ' ' || body || ' ' END AS w FROM (
@@ -269,7 +289,7 @@ b AS (
     n_words - np - (length(string_split(w, p)[-1]) - length(replace(string_split(w, p)[-1], ' ', ''))) // 2 AS last
   FROM m, phrases WHERE contains(w, p)),
 ba AS (SELECT doc_id, sum(n)::BIGINT AS n_base, min(first) AS first_word, max(last) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
-fit AS (SELECT doc_id, rule, label, score, string_split_regex(w, pattern) AS parts, regexp_extract_all(w, pattern) AS hits FROM m, rules WHERE ({gate}) AND contains(w, keyword) AND regexp_matches(w, pattern)),
+fit AS (SELECT doc_id, rule, label, score, string_split_regex(w, pattern) AS parts, regexp_extract_all(w, pattern) AS hits FROM m, rules WHERE regexp_matches(w, pattern)),
 spans AS (
   SELECT doc_id, rule, label, score, s, s + length(hits[i]) AS e FROM (
     SELECT *, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0))::BIGINT AS s FROM (

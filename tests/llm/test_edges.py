@@ -89,6 +89,33 @@ def test_vectors(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_pipeline_keeps_every_unique_text(spark, tmp_path):
+    """Repeated, null and clashing doc_ids: no unique text goes, no exact copy stays, passages are cut by row."""
+    passage = prose(50, 60)
+    own = {k: prose(100 + k, 90) for k in range(8)}
+    rows = [(1, own[0]), (2, own[0]), (2, own[1]), (8, own[2]), (8, own[2]), (None, own[2]), (None, own[3]), (None, own[3]), (3, None), (4, ""), (4, ""), (None, None)]
+    rows += [(5, own[4] + " " + passage), (5, own[5]), (5, own[6] + " " + passage), (None, passage + " " + own[7])]
+    d = str(tmp_path)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    df.repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(own[7].split()[20:40]))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{d}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d)
+        out.write.parquet(f"{d}/{name}")
+        docs = spark.read.parquet(f"{d}/{name}")
+        kept[name] = docs.collect()
+    texts = [r.text for r in kept["near_duplicates"] if r.text]
+    assert sorted(texts) == sorted({t for _, t in rows if t}) and len(kept["near_duplicates"]) == len(texts) + 4
+    assert {r.doc_id for r in kept["near_duplicates"] if r.text == own[0]} == {1}
+    texts = [r.text for r in kept["substrings"] if r.text]
+    assert sum(passage in t for t in texts) == 1 and all(sum(own[k] in t for t in texts) == 1 for k in own)
+    assert all(r.n_chars == len(r.text) for r in kept["substrings"] if r.text)
+    assert not any(own[7] in (r.text or "") for r in kept["decontamination"]) and len(kept["decontamination"]) == len(kept["substrings"]) - 1
+    assert sum(r.start == 0 for r in kept["packing"]) == len(kept["decontamination"])
+
+
 def test_stages_on_edges(spark, docs, benchmark, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 0, 1), (None, None, 1), (7, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     benchmark.where("item_id = 5").write.parquet(str(tmp_path / "benchmark.parquet"))

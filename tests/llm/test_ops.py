@@ -37,11 +37,20 @@ def test_components(spark):
 
 
 def test_contamination_in_blocks(spark):
+    """Blocks change no row's result, also where doc_ids are null or name several rows."""
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.select(F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 7).alias("doc_id"), "text", F.lit("x").alias("spans"), F.lit(1).alias("__row"))
+    bench = bench.union(bench.sparkSession.createDataFrame([(-1, "a b c")], bench.schema))
     one = decontaminate.contamination(docs, bench)
-    many = decontaminate.contamination(docs, bench, block_words=150)
-    key = lambda df: {r.doc_id: (r.n, r.items) for r in df.select("doc_id", decontaminate.covered(F.col("spans")).alias("n"), "items").collect()}
-    assert key(one) == key(many)
+    assert one.columns == ["doc_id", "text", "__row", "n_words", "spans", "items"]
+    rows = lambda df: sorted(df.collect(), key=repr)
+    assert any(r.spans for r in rows(one))
+    for words in (150, 7):  # the second cuts each item into parts of few windows
+        if words == 7:
+            bench = bench.where("item_id < 4")
+            one = decontaminate.contamination(docs, bench)
+        many = decontaminate.contamination(docs, bench, block_words=words)
+        assert many.columns == one.columns and rows(many) == rows(one)
 
 
 def test_toxicity_held_out(spark):
@@ -119,7 +128,7 @@ def test_extraction_of_other_layouts():
     assert model.text(page) == "A title\nOne & two.\nThree, four and five."
     wrong = total = 0
     for p in extract.labelled_pages(100, 99):
-        nodes = extract.parse(p)
+        nodes = extract.parse(p, labelled=True)
         for v, m in zip(nodes[1:], model.marginals(nodes)[1:], strict=True):
             assert abs(sum(m) - 1) < 1e-9
             if v.runs and v.label is not None:
@@ -128,6 +137,48 @@ def test_extraction_of_other_layouts():
     assert wrong < 0.05 * total
 
 
+def test_extraction_drops_only_what_it_should():
+    model = extract.Model(extract.labelled_pages())
+    page = lambda inner: f"<body><article><h1>A title of this</h1><p>One sentence, with words.</p>{inner}<p>Another sentence, to end it.</p></article></body>"
+    whole = "A title of this\nOne sentence, with words.\n{}Another sentence, to end it."
+    cases = {
+        '<svg class="i"/><p>This stays, as it should.</p>': "This stays, as it should.\n",
+        "<p>This stays<svg><title>icon</title><path d='M0'/></svg>, as it should.</p>": "This stays, as it should.\n",
+        "<p>We know that <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>": "We know that x=2 holds.\n",
+        "<p>This stays, too. <button>Share</p><p>And this one stays.</p>": None,
+        "<p>This stays, too. <select><option>a</p><p>And this one stays, too.</p>": None,
+        '<div><video src="x"><p>This goes.</p></div><p>This stays, as it should.</p>': None,
+        '<div data-state="open"><p>This stays, as it should.</p></div>': "This stays, as it should.\n",
+        "<div data-state=open><p>This stays, as it should.</p></div>": "This stays, as it should.\n",
+        "<p>This is 1 < 2, and 3 <4 stays.</p>": "This is 1 < 2, and 3 <4 stays.\n",
+        '<p title="a > b">This stays, as it should.</p>': "This stays, as it should.\n",
+        "<!-- <p>This goes.</p> --><p>This stays, as it should.</p>": "This stays, as it should.\n",
+    }
+    for inner, want in cases.items():
+        got = model.text(page(inner))
+        if want is None:
+            assert got.endswith("Another sentence, to end it.") and "stays" in got or "This goes" in inner, (inner, got)
+        else:
+            assert got == whole.format(want), (inner, got)
+
+
+def test_extraction_never_fails_and_is_linear():
+    import time
+
+    model = extract.Model(extract.labelled_pages(60))
+    rng = random.Random(19)
+    parts = ["<", ">", "<p", "<div>", "</div>", "</p>", "<a ", '"', "'", "<!--", "-->", "<svg", "/>", "<script>", "</script", "<li>", "</ul>", "<td>", " x ", "&amp;", "&#xZ;", 'class="', "<button>", "data-state=", "</", "<?", "=", "<math>", "\0", "é"]
+    for _ in range(3000):
+        model.text("".join(rng.choice(parts) for _ in range(rng.randrange(40))))
+    for part in ["<a ", "<div>", "</p>", "<div></p>", "<p>", "<li><div>", "<button>", "<!--", '<a "', "<a '>", "<svg>", "<ul><li>", "< ", "<td><p>", "<script>", "</svg>", "<h1>", "&"]:
+        times = []
+        for n in (50_000, 500_000):
+            t = time.process_time()
+            model.text("<body>" + part * (n // len(part)))
+            times.append(time.process_time() - t)
+        assert times[1] < 40 * times[0] + 1, (part, times)
+
+
 def test_marginals_equal_enumeration():
     """Sum-product on a small tree gives the sums over all assignments."""
     import itertools
@@ -153,7 +204,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids + [1] for r in docs.collect()}
     rows = packing.pack(docs, packing.vocabulary()).collect()
@@ -175,17 +225,20 @@ def test_packing_round_trip(spark):
     assert len(places) <= -(-sum(map(len, ids.values())) // 2048) * 1.02 + 1
 
 
-def test_tokens_of_odd_white_space():
+def test_tokens_equal_the_tokenizers(spark):
+    """Ids of whole texts and of the cut ones: random white space and marks, and all documents of the largest table."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    tokens = packing.Tokens(packing.vocabulary())
+    tokens = packing.Tokens(packing.vocabulary(), most=2000)
     rng = random.Random(6)
-    for _ in range(3000):
-        text = "".join(rng.choice(["a", "Bc", " ", " ", "\n", "\t", "1", ".", "é", " ", "'s", "<|endoftext|>", "\r\n"]) for _ in range(rng.randrange(14)))
-        assert tokens(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    parts = ["a", "Bc", " ", " ", "\n", "\t", "1", ".", "!", "'", "_", "é", "×", "\xa0", "\x85", "\x1c", "\u3000", "\0", "'s", "'re", "<|endoftext|>", "\r\n", "日", "²", "-", "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(8000)]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    for k in range(0, len(texts), 500):
+        for text, e in zip(texts[k : k + 500], t.encode_batch(texts[k : k + 500], add_special_tokens=False), strict=True):
+            assert tokens(text) == np.array(e.ids, "<u4").tobytes(), repr(text[:200])
 
 
 def test_bin_slack():
@@ -223,6 +276,30 @@ def test_suffixes_find_every_shared_passage(spark):
         assert a == b and len(a) == r.n_words >= 50
 
 
+def test_suffixes_meet_across_ranges():
+    """Neighbours of sorted suffixes in batches and ranges of any size: those of a prefix that two documents have."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(18)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        rows = np.unique(np.stack([rng.integers(0, 12, n), rng.integers(0, 4, n), rng.integers(0, 3, n)], 1), axis=0)
+        want = {tuple(r) for r in rows.tolist() if len({d for k, d, _ in rows.tolist() if k == r[0]}) > 1}
+        got, open_rows = set(), []
+        for part in np.array_split(rows, int(rng.integers(1, 5))):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(x.T, (np.int64, np.int64, np.int32), strict=True)], ["key", "doc_id", "pos"]) for x in np.array_split(part, int(rng.integers(1, 6)))]
+            for b in suffixes._neighbours(iter(batches)):
+                for *row, edge in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    assert tuple(row) not in got
+                    (open_rows if edge else []).append(tuple(row))
+                    if not edge:
+                        got.add(tuple(row))
+        docs = defaultdict(set)
+        for k, d, _ in [*got, *open_rows]:
+            docs[k].add(d)
+        assert got | {r for r in open_rows if len(docs[r[0]]) > 1} == want
+
+
 def test_chunks_find_shared_passages(spark):
     docs = documents(spark)
     rows = queries.QUERIES["op6_substring"](spark, SF).collect()
