@@ -36,6 +36,10 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_
             spark.conf.set(key, most)
 
 
+#: Narrow rows of a file, where a table of known size is written.
+FILE_ROWS = 500_000
+
+
 class Scratch:
     """Tables written to the cluster's shared checkpoint folder, to cut lineage.
 
@@ -59,9 +63,14 @@ class Scratch:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return what was written."""
+    def put(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write ``df`` once and return what was written.
+
+        ``rows``: at most so many narrow rows will come; few rows are written to few files.
+        """
         path = f"{self.top}/lodestone-{uuid.uuid4().hex}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         df.write.parquet(path)
         fs, p = self._fs(path)
         fs.deleteOnExit(p)
@@ -246,10 +255,10 @@ def _local_forest(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Ite
         yield out()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """(node, component) for all nodes of ``edges``; a component is its smallest node.
 
-    ``edges`` has two long columns, the ends of an undirected edge. Each task first replaces its edges
+    ``edges`` has two long columns, the ends of an undirected edge; at most ``rows`` if that is known. Each task first replaces its edges
     by a spanning forest. Then large-star and small-star steps alternate until nothing changes, a number
     of rounds that grows with the logarithm of the longest path. A hub's smallest neighbour is aggregated
     before its edges are dealt out and written, so that both sides of the join that uses it are plain
@@ -259,17 +268,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     )
-    e = scratch.put(e.mapInArrow(_local_forest, "u long, v long").distinct())
+    e = scratch.put(e.mapInArrow(_local_forest, "u long, v long").distinct(), rows)
     was = _digest(e)
-    while was[0]:
+    while n := was[0]:
         both = e.union(e.select("v", "u"))
-        low = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n)
         e2 = both.join(small(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e2 = scratch.put(e2.where("u <> v").distinct())
-        low2 = scratch.put(e2.groupBy("u").agg(F.min("v").alias("m")))
+        e2 = scratch.put(e2.where("u <> v").distinct(), 2 * n)
+        low2 = scratch.put(e2.groupBy("u").agg(F.min("v").alias("m")), 2 * n)
         least = e2.join(small(low2), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = least.union(low2.select("u", F.col("m").alias("v")))
-        e3 = scratch.put(least.where("u <> v").distinct())
+        e3 = scratch.put(least.where("u <> v").distinct(), 4 * n)
         now = _digest(e3)
         scratch.drop(e, e2, low, low2)
         e = e3

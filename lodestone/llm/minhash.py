@@ -227,15 +227,17 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     scratch = C.Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = scratch.put(sketches(docs, bands, rows))
-    classes = scratch.put(sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    n = sketch.count()
+    classes = scratch.put(sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")).where("rep is not null"), n)
     reps = sketch.select("digest", F.col("doc_id").alias("rep"), "bands").join(classes, ["digest", "rep"])
-    banded = scratch.put(reps.select("rep", F.explode("bands").alias("band")))
+    banded = scratch.put(reps.select("rep", F.explode("bands").alias("band")), n * bands)
     low = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
-    near = banded.join(low, "band").where("rep <> low").select("rep", "low").distinct()
-    parts = scratch.put(C.components(near, scratch))
+    near = banded.join(scratch.put(low, n * bands), "band").where("rep <> low").select("rep", "low").distinct()
+    parts = scratch.put(C.components(near, scratch, n * bands), n)
+    scratch.drop(banded)
     texts = docs.join(C.small(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("part"))), "doc_id")
     sets = scratch.put(_sets(texts.select("part", "doc_id", "text")))
-    found = C.components(verified_links(sets, scratch), scratch)
+    found = C.components(verified_links(sets, scratch), scratch, n)
     # rows of one doc_id with different texts are one node as well
     of = classes.join(found, classes.rep == found.node, "left").select("digest", F.coalesce("component", "rep").alias("by_text"))
     out = sketch.drop("bands").join(of, "digest", "left")
