@@ -4,10 +4,11 @@ Two words are alike by the subsequences of three characters that they share, eac
 it spans, so "idiot", "id-iot" and "idxiot" stay close; a row of single letters ("i d i o t") counts as one
 word. Landmarks are words that tell the labels apart and frequent words; kernel values to the landmarks, times the
 inverse square root of the landmarks' own kernel matrix, are a word's Nystroem coordinates. A squared-hinge
-support vector machine is trained on words of labelled texts, weighted by how many toxic and other texts hold
-them. It is linear in the subsequences, so it folds into one weight for each of them, and a text is scored at
-the cost of its distinct words. A logistic curve over a text's highest word scores, fitted on labelled texts
-that the machine behind the scores did not see, gives the probability.
+support vector machine is trained on labelled sentences, whose feature pools the coordinates of their most toxic
+words, and on words, weighted by how many toxic and other sentences hold them. It is linear in the subsequences, so
+it folds into one weight for each of them, and a text is scored at the cost of its distinct words. A logistic curve
+over a text's highest word scores, fitted on labelled texts that the machine behind the scores did not see, gives
+the probability.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Labelled texts that are read for training, at most; those with the smallest hashes of doc_id.
-SAMPLE = 8000
-LANDMARKS, UNITS = 256, 16_000
+#: Labelled texts that are read for training, at most, those with the smallest hashes of doc_id, and their bytes together.
+SAMPLE, SAMPLE_BYTES = 8000, 64 << 20
+LANDMARKS = 256
+#: Words that are rows of their own in training, at most: half that tell the labels apart, half the most frequent.
+UNITS = 16_000
+#: Rounds of training on sentences, the units of a sentence whose coordinates its feature pools, and what it counts beside a word.
+ROUNDS, WITNESSES, SHARE = 2, 3, 0.25
 SPAN, DECAY, BITS = 5, 0.6, 18
 #: Word scores at which a text's words are counted.
 LEVELS = (0.3, 0.5, 0.7, 0.9)
@@ -80,8 +85,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     sides = np.zeros((len(used) + 1, len(landmarks)), np.float32)
     np.add.at(sides, (at, r), w.astype(np.float32))
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for s in range(0, len(words), 4000):
-        r, c, w = subsequences(words[s : s + 4000])
+    for s in range(0, len(words), 2000):
+        r, c, w = subsequences(words[s : s + 2000])
         near = np.minimum(np.searchsorted(used, c), max(len(used) - 1, 0))
         ok = used[near] == c
         r, near, w = r[ok], near[ok], w[ok]
@@ -107,6 +112,10 @@ class Machine:
             out[at] = np.maximum(out[at], np.bincount(r, self.weights[c] * w, len(at)) + self.bias)
         return out
 
+    def every(self, words: list[str], most: int = 4000) -> np.ndarray:
+        """Scores of many words, some at a time."""
+        return np.concatenate([np.zeros(0), *(self.words(words[k : k + most]) for k in range(0, len(words), most))])
+
     @staticmethod
     def pooled(scores: np.ndarray) -> np.ndarray:
         """Highest score, how many lie above some levels, and which share lies above the first."""
@@ -119,15 +128,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(pooled @ self.curve, -30, 30)))
 
 
-def _svm(x: np.ndarray, up: np.ndarray, down: np.ndarray, ridge: float = 1.0, rounds: int = 20) -> np.ndarray:
-    """Weights of the squared-hinge machine; row i counts up[i] times as 1 and down[i] times as -1 (Newton steps)."""
-    w = np.zeros(x.shape[1])
+def _svm(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ridge: float = 1.0, rounds: int = 20) -> np.ndarray:
+    """Weights of the squared-hinge machine by Newton steps, over parts (x, up, down).
+
+    Row i of x counts up[i] times as 1 and down[i] times as -1.
+    """
+    width = parts[0][0].shape[1]
+    w = np.zeros(width)
     for _ in range(rounds):
-        f = x @ w
-        gp, gn = np.maximum(0, 1 - f) * up, np.maximum(0, 1 + f) * down
-        grad = ridge * w - 2 * x.T @ (gp - gn)
-        h = 2 * ((f < 1) * up + (f > -1) * down)
-        step = np.linalg.solve((x * h[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        grad, hessian = ridge * w, ridge * np.eye(width)
+        for x, up, down in parts:
+            for s in range(0, len(x), 4000):
+                rows, u, d = x[s : s + 4000].astype(np.float64), up[s : s + 4000], down[s : s + 4000]
+                f = rows @ w
+                grad -= 2 * rows.T @ (np.maximum(0, 1 - f) * u - np.maximum(0, 1 + f) * d)
+                h = 2 * ((f < 1) * u + (f > -1) * d)
+                hessian += (rows * h[:, None]).T @ rows
+        step = np.linalg.solve(hessian, grad)
         w -= step
         if np.abs(step).max() < 1e-3 * np.abs(w).max():
             break
@@ -145,11 +162,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return w
 
 
+def _folded(landmarks: list[str], beta: np.ndarray) -> np.ndarray:
+    """A weight for each subsequence, from one for each landmark."""
+    r, c, weight = subsequences(landmarks)
+    out = np.zeros(1 << BITS)
+    np.add.at(out, c, weight * beta[r])
+    return out
+
+
+def _coordinates(words: list[str], landmarks: list[str], root: np.ndarray) -> np.ndarray:
+    """Nystroem coordinates of words, and a one."""
+    out = np.ones((len(words), len(landmarks) + 1), np.float32)
+    out[:, :-1] = kernel(words, landmarks) @ root.astype(np.float32)
+    return out
+
+
 def _machine(texts: list[np.ndarray], y: np.ndarray, to: np.ndarray, names: list[str]) -> Machine:
-    """The support vector machine of some labelled texts; ``to`` maps their unit numbers to names."""
+    """The support vector machine of some labelled texts; ``to`` maps their unit numbers to names.
+
+    Its rows are sentences and words. A sentence's feature pools the coordinates of the units that score highest in
+    it under the last round's machine, so its label says that some are toxic or that none is; words that tell the
+    labels apart and frequent ones have the labels of the texts that hold them.
+    """
+    texts = [np.unique(to[own]) for own in texts]
     n = np.zeros((len(names), 2))
     for own, t in zip(texts, y.tolist(), strict=True):
-        n[np.unique(to[own]), t] += 1
+        n[own, t] += 1
     ratio = max(1.0, (y == 0).sum()) / max(1.0, (y == 1).sum())
     odds = np.log((n[:, 1] * ratio + 0.5) / (n[:, 0] + 0.5)) * np.sqrt(n.sum(1))
     held = np.flatnonzero(n.sum(1) > 0)
@@ -157,19 +195,25 @@ def _machine(texts: list[np.ndarray], y: np.ndarray, to: np.ndarray, names: list
     landmarks = [names[k] for k in dict.fromkeys([*ranked[: 2 * LANDMARKS // 3], *common[: LANDMARKS // 3]])]
     if not landmarks:
         return Machine(np.zeros(1 << BITS), -1.0)
-    train = list(dict.fromkeys([*ranked[: UNITS // 2], *common[: UNITS // 2]]))
     own = kernel(landmarks, landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     root = vector * (1 / np.sqrt(np.maximum(value, 1e-3 * value.max())))[None, :] @ vector.T
-    x = np.hstack([kernel([names[k] for k in train], landmarks) @ root, np.ones((len(train), 1))])
-    n = n[train]
-    n *= 1 - 0.5 ** (n.sum(1, keepdims=True) - 1)  # a word seen once tells nothing
-    w = _svm(x, n[:, 1] * ratio, n[:, 0])
-    beta = root @ w[:-1]
-    r, c, weight = subsequences(landmarks)
-    folded = np.zeros(1 << BITS)
-    np.add.at(folded, c, weight * beta[r])
-    return Machine(folded, float(w[-1]))
+    units = list(dict.fromkeys([*ranked[: UNITS // 2], *common[: UNITS // 2]]))
+    x = _coordinates([names[k] for k in units], landmarks, root)
+    up, down = n[units, 1] * ratio, n[units, 0]
+    once = 1 - 0.5 ** (n[units].sum(1) - 1)  # a word of one text tells nothing
+    words = (x, up * once, down * once)
+    w = _svm([words])
+    for _ in range(ROUNDS):
+        machine = Machine(_folded(landmarks, root @ w[:-1]), float(w[-1]))
+        scores = machine.every(names)
+        top = [t for text in texts if len(t := text[np.argsort(-scores[text], kind="stable")[:WITNESSES]])]
+        label = np.array([t for text, t in zip(texts, y.tolist(), strict=True) if len(text)])
+        used = np.unique(np.concatenate(top))
+        own = _coordinates([names[k] for k in used], landmarks, root)
+        pooled = np.array([own[np.searchsorted(used, t)].mean(0) for t in top])
+        w = _svm([words, (pooled, SHARE * label * ratio, SHARE * (1.0 - label))])
+    return Machine(_folded(landmarks, root @ w[:-1]), float(w[-1]))
 
 
 def fit(texts: list[np.ndarray], toxic: list[int], vocabulary: list[str]) -> Machine:
@@ -191,7 +235,7 @@ def fit(texts: list[np.ndarray], toxic: list[int], vocabulary: list[str]) -> Mac
         if len(set(y[half::2].tolist())) < 2:
             continue
         other = _machine(texts[half::2], y[half::2], to, names)
-        scores = np.concatenate([other.words(vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)])
+        scores = other.every(vocabulary)
         rows += [Machine.pooled(scores[own]) for own in texts[1 - half :: 2]]
         marks += y[1 - half :: 2].tolist()
     machine = _machine(texts, y, to, names)
@@ -204,24 +248,38 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled texts whose doc_id is not held out."""
-    C.text_batches(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Machine:
+    """Fit on at most ``sample`` labelled texts, of ``most`` bytes together, whose doc_id is not held out.
+
+    Of several labels of a doc_id the highest counts, of several texts the smallest. Texts beyond the bound on bytes, in
+    the order of the sample, are left out of training.
+    """
+    scratch = C.Scratch(docs.sparkSession)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     own = own.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
+    texts = scratch.put(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), sample)
+    sizes = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()  # at most ``sample`` rows
+    order = sorted(sizes, key=lambda r: (int(C.mix(np.array([r.doc_id], np.int64).view(C.U64))[0]), r.doc_id))
+    place, total = {}, 0
+    for r in order:
+        if total + r.n <= most:
+            place[r.doc_id] = len(place)
+            total += r.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(units(t.as_py() or "")) for t in batch.column(2)]
+            words = [sorted(units(t.as_py() or "")) if d in place else None for d, t in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "units"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
     number: dict[str, int] = {}
     rows = []
-    for r in texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, units array<string>").toLocalIterator():
-        rows.append((int(C.mix(np.array([r.doc_id], np.int64).view(C.U64))[0]), r.doc_id, r.toxic, np.array([number.setdefault(u, len(number)) for u in r.units], np.int32)))
-    rows.sort(key=lambda r: r[:3])
-    return fit([r[3] for r in rows], [r[2] for r in rows], list(number))
+    read = texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, units array<string>")
+    for r in read.where("units is not null").toLocalIterator():
+        rows.append((place[r.doc_id], r.toxic, np.array([number.setdefault(u, len(number)) for u in r.units], np.int32)))
+    rows.sort(key=lambda r: r[0])
+    scratch.drop(texts)
+    return fit([r[2] for r in rows], [r[1] for r in rows], list(number))
 
 
 def scorer(machine, most: int = 100_000):
@@ -259,6 +317,7 @@ def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; the machine is fitted on the sample of ``train``."""
     docs = C.table(spark, sf_dir, "documents")
     out = toxicity(docs.select("doc_id", "text"), train(docs, C.table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -72,6 +72,37 @@ def test_kernel_is_symmetric_and_tolerant():
     assert np.allclose(k, k.T, atol=1e-5) and k[0, 1] > 2 * k[0, 2]
 
 
+def test_kernel_equals_enumeration():
+    """All subsequences of three characters within five, and of four within five, one by one."""
+    import itertools
+
+    def features(word):
+        w, out, norm = f"^{word}$", Counter(), 0.0
+        for n in (3, 4):
+            for at in itertools.combinations(range(len(w)), n):
+                gaps = at[-1] - at[0] + 1 - n
+                if at[-1] - at[0] < toxicity.SPAN:
+                    out["".join(w[k] for k in at)] += toxicity.DECAY**gaps
+                    norm += toxicity.DECAY ** (2 * gaps)
+        return out, norm**0.5
+
+    words = ["idiot", "idxiot", "i", "", "window", "zzzzzz", "naïve", "tioidi"]
+    got = toxicity.kernel(words, words)
+    for a, u in enumerate(words):
+        for b, v in enumerate(words):
+            (fu, nu), (fv, nv) = features(u), features(v)
+            want = sum(x * fv[k] for k, x in fu.items()) / (nu * nv) if nu and nv else 0.0
+            assert abs(got[a, b] - want) < 1e-5, (u, v, got[a, b], want)
+
+
+def test_training_is_bounded(spark):
+    docs = spark.createDataFrame([(k, ("idiot " if k % 2 else "window ") * (5000 if k == 4 else 1) + str(k)) for k in range(40)] + [(1, "aaa")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    small = toxicity.train(docs, labels, most=2000)
+    assert small.words(["idiot"])[0] > small.words(["window"])[0]
+    assert toxicity.train(docs, labels, most=0).curve is not None
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(4)
     for _ in range(30):
@@ -276,6 +307,51 @@ def test_suffixes_find_every_shared_passage(spark):
         assert a == b and len(a) == r.n_words >= 50
 
 
+def test_first_holders(spark, monkeypatch):
+    """Against a dictionary, in ranges and batches of any size; and as a table."""
+    import pyarrow as pa
+
+    kinds = (np.int64, np.int32, np.int64, np.int32, np.int32)
+    rng = np.random.default_rng(20)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        rows = np.unique(np.stack([rng.integers(0, rng.integers(1, 12), n), rng.integers(0, 2, n), rng.integers(0, 4, n), rng.integers(0, 5, n)], 1), axis=0).tolist()
+        rows = [(*r, k) for k, r in enumerate(rows)]
+        own = defaultdict(list)
+        for k, c, d, p, x in rows:
+            own[k, c].append((d, p, x))
+        want = {(d, p, x, *v[0][:2]) for v in own.values() if len({d for d, *_ in v}) > 1 for d, p, x in v}
+        done, late, sums = set(), [], defaultdict(list)
+        for part in np.array_split(np.array(rows), int(rng.integers(1, 6))):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(x.T, kinds, strict=True)], ["key", "check", "doc_id", "pos", "x"]) for x in np.array_split(part, int(rng.integers(1, 7)))]
+            summaries = 0
+            for b in common._sorted_holders(iter(batches)):
+                for k, c, d, p, x, low, low_pos, kind in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                    if kind == 0:
+                        assert (d, p, x, low, low_pos) not in done
+                        done.add((d, p, x, low, low_pos))
+                    elif kind == 1:
+                        late.append((k, c, d, p, x))
+                    else:
+                        summaries += 1
+                        sums[k, c].append((d, p, low))
+            assert summaries <= 2
+        for k, c, d, p, x in late:
+            first, last = min(sums[k, c])[:2], max(s[2] for s in sums[k, c])
+            if first[0] < last:
+                assert (d, p, x, *first) not in done
+                done.add((d, p, x, *first))
+        assert done == want
+    scratch = common.Scratch(spark)
+    rows = [(k % 7, 0, d, k % 5, k) for k in range(200) for d in range(1 + k % 3)] + [(99, 1, d, 0, d) for d in range(2000)]
+    table = scratch.put(spark.createDataFrame(rows, "key long, check int, doc_id long, pos int, x int"))
+    own = defaultdict(list)
+    for k, c, d, p, x in rows:
+        own[k, c].append((d, p, x))
+    want = Counter((d, p, x, *min(v)[:2]) for v in own.values() if len({d for d, *_ in v}) > 1 for d, p, x in v)
+    assert Counter(map(tuple, common.first_holders(table, scratch, len(rows)).collect())) == want
+
+
 def test_suffixes_meet_across_ranges():
     """Neighbours of sorted suffixes in batches and ranges of any size: those of a prefix that two documents have."""
     import pyarrow as pa
