@@ -109,10 +109,33 @@ def looks_like_regex(text: Column) -> Column:
     return F.rlike(text, F.lit(r"[\^$\\\[\]()+?{}]|\.\*"))
 
 
+#: What a query that names files holds, anywhere in it.
+TARGETS = ("--glob", "--include", "*.", "src/")
+TARGET_EXTENSIONS = (
+    ".rs", ".py", ".js", ".mjs", ".cjs", ".ts", ".tsx", ".go", ".java", ".c", ".h", ".cpp",
+    ".cc", ".cxx", ".hpp", ".hxx", ".cs", ".sql",
+)
+
+
 def looks_like_target(text: Column) -> Column:
     """names files rather than content."""
-    dotted = "|".join(sorted(set(EXTENSIONS) - {"h", "c"})) + "|md|toml|json|yaml"
-    return F.rlike(text, F.lit(rf"--glob|--include|\*\.|src/|\.({dotted})"))
+    out = F.lit(False)
+    for part in (*TARGETS, *TARGET_EXTENSIONS):
+        out = out | F.contains(text, F.lit(part))
+    return out
+
+
+#: Names too common to tell which code belongs together, and the shortest name that does.
+GENERIC_SYMBOLS = (
+    "new", "main", "default", "from", "into", "next", "drop", "clone", "eq", "hash", "cmp", "fmt", "get", "set", "run", "id", "len",
+    "add", "build", "parse", "read", "write", "init", "test", "name", "value", "path", "start", "end", "close", "open", "to_string", "as_str",
+)
+SYMBOL_LENGTH = 4
+
+
+def evaluable(symbol: Column) -> Column:
+    """A symbol long enough, in bytes, and not a generic one."""
+    return (F.octet_length(symbol) >= SYMBOL_LENGTH) & ~symbol.isin(*GENERIC_SYMBOLS)
 
 
 def passthrough(text: Column) -> Column:

@@ -51,7 +51,7 @@ def text_chunks(data: bytes, target: int = TARGET, overlap: int = OVERLAP) -> li
 
 
 def python_chunks(data: bytes) -> list[Chunk]:
-    """K2: functions and classes, nested ones too; a decorated one also with its decorators."""
+    """K2: functions and classes, nested ones too; a decorated function also with its decorators, a decorated class not at all."""
     try:
         tree = ast.parse(data)
     except (SyntaxError, ValueError):
@@ -65,18 +65,20 @@ def python_chunks(data: bytes) -> list[Chunk]:
     for node in ast.walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
+            if kind == "class" and node.decorator_list:
+                continue
             end = at(node.end_lineno, node.end_col_offset)
             out.append(Chunk(at(node.lineno, node.col_offset), end, kind, node.name))
             if node.decorator_list and kind == "function":
                 d = node.decorator_list[0]
-                out.append(Chunk(at(d.lineno, d.col_offset) - 1, end, kind, None))
+                out.append(Chunk(data.rindex(b"@", 0, at(d.lineno, d.col_offset)), end, kind, None))
     return out
 
 
 MASK = {
     "c": re.compile(rb"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'", re.S),
     "tick": re.compile(rb"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S),
-    "sql": re.compile(rb"--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:''|[^'])*'", re.S),
+    "sql": re.compile(rb"--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:''|[^'])*'|\$(?P<tag>[A-Za-z_]*)\$.*?(?:\$(?P=tag)\$|\Z)", re.S),
 }
 W = rb"[A-Za-z_][A-Za-z0-9_]*"
 MODIFIERS = rb"(?:(?:public|private|protected|internal|static|final|abstract|sealed|virtual|override|async|partial|readonly|export|default|declare|synchronized|native|unsafe|extern)\s+)*"
@@ -177,11 +179,12 @@ def scanned_chunks(data: bytes, language: str) -> list[Chunk]:
     out = sorted(found.values(), key=lambda c: (c.start, -c.end))
     holders = {"rust": ("impl", "trait"), "cpp": ("class", "struct")}.get(language, ())
     result = []
+    held: list[Chunk] = []  # what is open at a declaration, outermost first
     for c in out:
-        outer = [o for o in out if o.start < c.start and o.end >= c.end]
-        kind = c.kind
-        if kind == "function" and any(o.kind in holders for o in outer):
-            kind = "method"
+        while held and held[-1].end < c.end:
+            held.pop()
+        kind = "method" if c.kind == "function" and any(o.kind in holders for o in held) else c.kind
+        held.append(c)
         start = c.start
         if language == "rust":  # doc comments above belong to the item
             while (line := data[:start].rstrip(b" \t")).endswith(b"\n") and data[(up := line[:-1].rfind(b"\n") + 1) : len(line) - 1].lstrip()[:3] in (b"///", b"//!"):
@@ -205,7 +208,7 @@ def sql_chunks(data: bytes) -> list[Chunk]:
 CHUNKERS: dict[str, Callable[[bytes], list[Chunk]]] = {"python": python_chunks, "sql": sql_chunks} | {k: (lambda data, k=k: scanned_chunks(data, k)) for k in DECLARATIONS}
 
 
-def chunk_file(data: bytes, language: str, forced: bool = False) -> list[Chunk]:
+def chunk_file(data: bytes, language: str, forced: bool = False, overlap: int = OVERLAP) -> list[Chunk]:
     """K0: a file's chunks in byte order; unknown languages only if forced, as text; non-UTF-8 never."""
     try:
         data.decode()
@@ -214,11 +217,11 @@ def chunk_file(data: bytes, language: str, forced: bool = False) -> list[Chunk]:
     if language in CHUNKERS:
         found = CHUNKERS[language](data)
     else:
-        found = text_chunks(data) if forced else []
+        found = text_chunks(data, overlap=overlap) if forced else []
     return sorted(found, key=lambda c: (c.start, c.end))
 
 
-def chunks(files: DataFrame) -> DataFrame:
+def chunks(files: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """Chunk rows of ``files`` (repo, rel_path, language, file_hash, force_indexed, content)."""
     schema = "repo string, file_path string, byte_start long, byte_end long, line_start long, line_end long, chunk_id long, language string, kind string, name string, file_hash binary, content string"
 
@@ -226,7 +229,7 @@ def chunks(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for repo, path, language, digest, forced, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for c in chunk_file(data or b"", language, bool(forced)):
+                for c in chunk_file(data or b"", language, bool(forced), overlap):
                     body = data[c.start : c.end]
                     first = data.count(b"\n", 0, c.start) + 1
                     last = first + body.rstrip(b"\n").count(b"\n")  # W12

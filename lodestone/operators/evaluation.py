@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import keyword
+import re
+import tokenize
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions import text as X
+from lodestone.operators import chunking
 from lodestone.operators.similarity import nearest_rank
 
+#: Fixed value: where the order of edits starts.
+SHUFFLE_SEED = 0x2545F4914F6CDD1D
 SESSION, DEPTHS = 10, (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)
 
 
@@ -19,6 +28,33 @@ def spread(n: int, k: int) -> list[int]:
     return sorted({*own, n // 2}) if n else []
 
 
+def identifiers(chunks: DataFrame) -> DataFrame:
+    """(file_path, chunk_id, symbol): the distinct evaluable identifiers of each chunk's text."""
+    words = F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    return chunks.select("file_path", "chunk_id", F.explode(words).alias("symbol")).where(X.evaluable(F.col("symbol")))
+
+
+def mentions(chunks: DataFrame) -> DataFrame:
+    """(symbol, mentions, files): in how many chunks and files other than its first an identifier stands.
+
+    Chunks are counted by symbol and file before anything is exchanged by symbol, so a frequent word is a row a file.
+    """
+    per = identifiers(chunks).groupBy("symbol", "file_path").agg(F.count("*").alias("n"))
+    every = per.groupBy("symbol").agg(F.min_by("n", "file_path").alias("home"), F.sum("n").alias("n"), F.count("*").alias("files"))
+    return every.where("files > 1").select("symbol", (F.col("n") - F.col("home")).alias("mentions"), (F.col("files") - 1).alias("files"))
+
+
+def shuffled(n: int) -> list[int]:
+    """The places of n in a fixed order without a pattern: swaps from the end by an xorshift generator."""
+    out, state, mask = list(range(n)), SHUFFLE_SEED, (1 << 64) - 1
+    for last in range(n - 1, 0, -1):
+        for left, bits in ((True, 13), (False, 7), (True, 17)):
+            state ^= (state << bits if left else state >> bits) & mask
+        other = state % (last + 1)
+        out[last], out[other] = out[other], out[last]
+    return out
+
+
 def pool(pairs: DataFrame, least: float = 0.0) -> DataFrame:
     """(edit, file_path, score, rank): each edit's files by their best score, from ``least`` up."""
     best = pairs.groupBy("edit", "file_path").agg(F.max("score").alias("score")).where(F.col("score") >= least)
@@ -42,32 +78,111 @@ def precision(hits: DataFrame, k: int) -> DataFrame:
     return out.select(F.round("p_at_k", 6).alias("p_at_k"), F.round("p_at_1", 6).alias("p_at_1"), F.round("base", 6).alias("base"), F.round(lift, 6).alias("lift"))
 
 
-def replay(pools: DataFrame, depth: int, top_k: int = 5, session: int = SESSION) -> DataFrame:
-    """(session, edit, file_path): hints of sessions of consecutive edits, none shown twice in one.
+def edits(corpus: DataFrame, how: str | int = "median") -> DataFrame:
+    """(edit, own, vector) rows, an edit for each file: its median chunk, "whole", or k spread chunks.
 
-    ``pools`` has edit (0, 1, ...), file_path, rank. An edit's hints are the first ``top_k`` of its ``depth`` best
-    files that its session has not shown.
+    ``corpus`` has file_path, chunk_id and vector. Edits are numbered by a hash of the path, so that neighbours in a
+    session are no neighbours in the tree.
+    """
+    files = corpus.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "vector"))).alias("c"))
+    n = F.size("c")
+    if how == "whole":
+        at = F.sequence(F.lit(0), n - 1)
+    elif how == "median":
+        at = F.array(F.floor(n / 2).cast("int"))
+    else:
+        k = F.least(F.lit(int(how)), n)
+        even = F.when(k > 1, F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.floor(i * (n - 1) / (k - 1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+        at = F.array_distinct(F.concat(even, F.array(F.floor(n / 2).cast("int"))))
+    picked = files.select("file_path", F.xxhash64(F.col("file_path").cast("string")).alias("edit"), F.explode(at).alias("k"), "c")
+    return picked.select("edit", F.col("file_path").alias("own"), F.get("c", F.col("k"))["vector"].alias("vector"))
+
+
+def _sessions(frame: pd.DataFrame, top_k: int, depth: int | None, dedup: bool) -> list[tuple]:
+    """(edit, shown files, silent, repeated, starved) of a session's edits in order."""
+    seen: set = set()
+    lists: set = set()
+    out = []
+    for edit, own in frame.sort_values(["edit", "rank"]).groupby("edit", sort=True):
+        every = list(own.file_path)
+        near = every if depth is None else every[: top_k * depth]
+        shown = [f for f in near if not (dedup and f in seen)][:top_k]
+        starved = not shown and any(f not in seen for f in every[len(near) :])
+        seen.update(shown)
+        repeated = bool(shown) and tuple(shown) in lists
+        lists.add(tuple(shown))
+        out.append((int(edit), shown, not shown, repeated, starved))
+    return out
+
+
+def replay(pools: DataFrame, depth: int | None, top_k: int = 5, session: int = SESSION, dedup: bool = True) -> DataFrame:
+    """(session, edit, file_path, repeated, starved): hints of sessions of consecutive edits, none shown twice in one.
+
+    ``pools`` has edit (0, 1, ...), file_path, rank. An edit's hints are the first ``top_k`` of its ``top_k * depth``
+    best files (None: of all) that its session has not shown; without ``dedup`` also those it has. A silent edit has a
+    row without a file; starved, if there were new files beyond the depth. repeated: the session has had the same list.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        seen: set = set()
-        out = []
-        for edit, own in frame.sort_values(["edit", "rank"]).groupby("edit", sort=True):
-            fresh = [f for f in own.file_path if f not in seen][:top_k]
-            seen.update(fresh)
-            out += [(int(own.session.iloc[0]), int(edit), f) for f in fresh]
-        return pd.DataFrame(out, columns=["session", "edit", "file_path"])
+        own = int(frame.session.iloc[0])
+        rows = [(own, edit, f, repeated, starved) for edit, shown, _, repeated, starved in _sessions(frame, top_k, depth, dedup) for f in shown or [None]]
+        return pd.DataFrame(rows, columns=["session", "edit", "file_path", "repeated", "starved"]).astype({"file_path": object})
 
     kind = dict(pools.dtypes)["file_path"]
-    df = pools.where(F.col("rank") <= depth).withColumn("session", F.floor(F.col("edit") / session).cast("long")).select("session", "edit", "file_path", "rank")
-    return df.groupBy("session").applyInPandas(run, f"session long, edit long, file_path {kind}")
+    df = pools.withColumn("session", F.floor(F.col("edit") / session).cast("long")).select("session", "edit", "file_path", "rank")
+    return df.groupBy("session").applyInPandas(run, f"session long, edit long, file_path {kind}, repeated boolean, starved boolean")
 
 
 def replay_stats(hints: DataFrame, edits: int) -> DataFrame:
-    """Emitted hints, silent edits, distinct files, and the file shown most (ties: the last by name)."""
-    files = hints.groupBy("file_path").agg(F.count("*").alias("n"))
+    """Emitted hints, silent edits, distinct files, repeated lists, starved edits, and the file shown most (ties: the last by name)."""
+    shown = hints.where("file_path is not null")
+    files = shown.groupBy("file_path").agg(F.count("*").alias("n"))
     hub = files.agg(F.max_by("file_path", F.struct("n", "file_path")).alias("hub"), F.count("*").alias("files"))
-    return hints.agg(F.count("*").alias("emitted"), (F.lit(edits) - F.countDistinct("edit")).alias("silent")).crossJoin(F.broadcast(hub))
+    one = hints.groupBy("edit").agg(F.count("file_path").alias("n"), F.bool_or("repeated").alias("repeated"), F.bool_or("starved").alias("starved"))
+    out = one.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("emitted"),
+        (F.lit(edits) - F.count_if(F.col("n") > 0)).alias("silent"),
+        F.count_if("repeated").alias("repeated_lists"),
+        F.count_if("starved").alias("starved"),
+    )
+    return out.crossJoin(F.broadcast(hub))  # one row each
+
+
+def symbol_precision(chunks: DataFrame, pools: DataFrame, top_k: int = 5, rare: int = 3) -> DataFrame:
+    """How often neighbours of a symbol's chunk mention the symbol, against chance; one row.
+
+    ``chunks`` has file_path, chunk_id, name and content; ``pools`` (edit, file_path, rank) the neighbours of each chunk
+    by its chunk_id, without a floor. Symbols that no other file mentions are left out. rare: at most so many files do.
+    """
+    symbols = chunks.where(X.evaluable(F.col("name"))).select(F.col("chunk_id").alias("edit"), F.col("file_path").alias("own"), F.col("name").alias("symbol"))
+    where = identifiers(chunks).select("symbol", "file_path").distinct()
+    n = chunks.select("file_path").distinct().count()
+    targets = symbols.join(where, "symbol").where("file_path <> own").groupBy("edit", "symbol").agg(F.count("*").alias("files"))
+    hits = pools.where(F.col("rank") <= top_k).join(targets, "edit")
+    hits = hits.join(where.withColumn("there", F.lit(1)), ["symbol", "file_path"], "left")
+    per = hits.groupBy("edit", "files").agg(F.avg(F.coalesce("there", F.lit(0)).cast("double")).alias("p"), F.max(F.when(F.col("rank") == 1, F.coalesce("there", F.lit(0)).cast("double"))).alias("p1"))
+    base = F.col("files") / F.lit(float(max(n - 1, 1)))
+    few = F.col("files") <= rare
+    lift = lambda p, b: F.round(F.when(b > 0, p / b).otherwise(F.lit(0.0)), 6)
+    out = per.agg(F.count("*").alias("evaluated"), F.avg("p").alias("p"), F.avg("p1").alias("p1"), F.avg(base).alias("b"), F.count_if(few).alias("rare"), F.avg(F.when(few, F.col("p"))).alias("rp"), F.avg(F.when(few, base)).alias("rb"))
+    return out.select("evaluated", F.round("p", 6).alias("p_at_k"), F.round("p1", 6).alias("p_at_1"), F.round("b", 6).alias("base"), lift(F.col("p"), F.col("b")).alias("lift"), "rare", F.round("rp", 6).alias("rare_p_at_k"), F.round("rb", 6).alias("rare_base"))
+
+
+def code_identifiers(content: str, language: str) -> set[str] | None:
+    """The identifiers of a text outside its comments and strings; None for a language without a chunker."""
+    if language == "python":
+        out = set()
+        try:
+            for t in tokenize.generate_tokens(io.StringIO(content).readline):
+                if t.type == tokenize.NAME and not keyword.iskeyword(t.string):
+                    out.add(t.string)
+        except (tokenize.TokenError, SyntaxError, ValueError):
+            pass  # what was read before the fault counts
+        return out
+    if language not in chunking.CHUNKERS:
+        return None
+    how = "sql" if language == "sql" else "tick" if language in ("typescript", "javascript", "go") else "c"
+    return set(re.findall("[A-Za-z_][A-Za-z0-9_]*", chunking._masked(content.encode(), how).decode(errors="replace")))
 
 
 def depth_sweep(pools: DataFrame, edits: int, depths: tuple[int, ...] = DEPTHS) -> DataFrame:

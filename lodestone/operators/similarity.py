@@ -79,7 +79,12 @@ def duplicate_pairs(corpus: DataFrame, least: float = DUPLICATES_MIN, limit: int
 
 
 def best_of_queries(corpus: DataFrame, queries: list[list[float]], vector: str = "vector") -> DataFrame:
-    """``corpus`` with score, its highest cosine to any of the queries, at least 0; the vector goes."""
+    """``corpus`` with score, its highest cosine to any of the queries, at least 0; the vector goes.
+
+    Without queries all scores are 0, as are those of vectors that are null, zero, not finite or of another width.
+    """
+    if not queries:
+        return corpus.drop(vector).withColumn("score", F.lit(0.0))
     q = np.array(queries, np.float64).reshape(len(queries), -1)
     q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
     source = corpus.select(*[c for c in corpus.columns if c != vector], F.col(vector).cast("array<double>").alias("__v"))
@@ -88,7 +93,7 @@ def best_of_queries(corpus: DataFrame, queries: list[list[float]], vector: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, _ = unit_rows(batch.column(batch.num_columns - 1), q.shape[1])
-            best = np.maximum((x @ q.T).max(1), 0.0) if len(q) else np.zeros(len(x))
+            best = np.maximum((x @ q.T).max(1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best)], [*batch.schema.names[:-1], "score"])
 
     return source.mapInArrow(run, schema).withColumn("score", F.round("score", 6))
@@ -115,17 +120,86 @@ def seeds(corpus: DataFrame, most: int = FLOOR_MAX_SEEDS) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, percents: list[int]) -> DataFrame:
-    """(p, value): the value at rank ceil(n * p / 100), from 1."""
-    ranked = values.select(F.col(column).alias("value"), F.row_number().over(Window.orderBy(column)).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    wanted = values.sparkSession.createDataFrame([(p,) for p in percents], "p int")
-    return ranked.join(F.broadcast(wanted), F.expr("r = greatest(1, (n * p + 99) div 100)")).select("p", "value")
+    """(p, value): the value at rank ceil(n * p / 100), from 1. What is ordered is a row for each distinct value."""
+    counts = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
+    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.select("value", "c", F.sum("c").over(upto).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    wanted = F.explode(F.array(*map(F.lit, percents))).alias("p")
+    rank = F.greatest(F.lit(1), F.floor((F.col("n") * F.col("p") + 99) / 100))
+    return ranked.select("value", "c", "upto", "n", wanted).where((rank <= F.col("upto")) & (rank > F.col("upto") - F.col("c"))).select("p", "value")
+
+
+def scores(corpus: DataFrame, edits: DataFrame, least: float = 0.0, block: int = 1024) -> DataFrame:
+    """(edit, file_path, score): each edit's best cosine to a chunk of every other file, from ``least`` up.
+
+    ``edits`` has edit, own (its file) and vector, in one row or several. Blocks of edits go out one by one and meet
+    the whole corpus in matrix products, whose maxima by file are aggregated in each task before anything is exchanged.
+    """
+    spark = corpus.sparkSession
+    rows = corpus.select("file_path", F.col("vector").cast("array<double>").alias("vector"))
+    kind = dict(corpus.dtypes)["file_path"]
+    out = None
+    for part in _blocks(edits.select("edit", "own", F.col("vector").cast("array<double>").alias("vector")).toLocalIterator(), block):
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, own, q = shared.value
+            for batch in batches:
+                files = np.array(batch.column(0).to_pylist(), object)
+                names, at = np.unique(files.astype(str), return_inverse=True)
+                back = {str(f): f for f in files}
+                x, _ = unit_rows(batch.column(1), q.shape[1])
+                best = np.full((len(names), len(q)), -np.inf)
+                np.maximum.at(best, at, x @ q.T)
+                best = np.maximum(best, 0.0)
+                best[names[:, None] == own[None, :]] = -np.inf
+                f, e = np.nonzero(best >= least - 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[e]), pa.array([back[n] for n in names[f]], batch.schema.field(0).type), pa.array(best[f, e])], ["edit", "file_path", "score"])
+
+        one = rows.mapInArrow(run, f"edit long, file_path {kind}, score double")
+        out = one if out is None else out.union(one)
+    if out is None:
+        return spark.createDataFrame([], f"edit long, file_path {kind}, score double")
+    return out.groupBy("edit", "file_path").agg(F.round(F.max("score"), 6).alias("score")).where(F.col("score") >= least)
+
+
+def _blocks(rows, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(edits, their files as text, unit vectors) of usable rows, some at a time; one width for all."""
+    held: list = []
+    width = None
+
+    def out():
+        ids, own, x = zip(*held, strict=True)
+        return np.array(ids, np.int64), np.array([str(f) for f in own]), np.stack(x)
+
+    for r in rows:
+        v = np.array(r.vector, np.float64) if r.vector and None not in r.vector else None
+        n = np.sqrt((v * v).sum()) if v is not None else 0.0
+        width = width or (len(v) if v is not None else None)
+        if v is not None and len(v) == width and np.isfinite(n) and n > 0:
+            held.append((r.edit, r.own, v / n))
+        if len(held) == size:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
+
+def _seed_rows(corpus: DataFrame, most: int) -> Iterator[list]:
+    """The usable seeds with unit vectors, at most ``most``."""
+    rows = seeds(corpus, most).select(F.lit(0).alias("edit"), F.col("file_path").alias("own"), F.col("vector").cast("array<double>").alias("vector")).collect()
+    for r in rows:
+        for _, _, x in _blocks([r], 1):
+            yield [(r, x[0])]
 
 
 def best_neighbours(corpus: DataFrame, most: int = FLOOR_MAX_SEEDS) -> DataFrame:
-    """(file_path, best): each seed's highest cosine to a chunk of another file. At most ``most`` seeds."""
-    own = [(r.file_path, list(r.vector)) for r in seeds(corpus, most).select("file_path", F.col("vector").cast("array<double>").alias("vector")).collect()]
-    q = np.array([v for _, v in own]).reshape(len(own), -1)
-    q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
+    """(file_path, best): each seed's highest cosine to a chunk of another file. At most ``most`` seeds, those with a usable vector."""
+    schema = f"file_path {dict(corpus.dtypes)['file_path']}, best double"
+    own = [(r.own, v) for part in _seed_rows(corpus, most) for r, v in part]
+    if not own:
+        return corpus.sparkSession.createDataFrame([], schema)
+    q = np.stack([v for _, v in own])
     files = [f for f, _ in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

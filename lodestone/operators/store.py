@@ -1,34 +1,38 @@
-"""The chunk table and its manifest: Parquet in hash buckets, rewritten by the bucket.
+"""The chunk table and its manifest: Parquet in hash buckets, and one state file that says which files count.
 
-Writes touch only the buckets whose files change (dynamic partition overwrite), after the new rows are written
-aside, so that a lost executor or a failed write leaves the old buckets in place.
+A write puts new files beside the old ones and then replaces the state file by a rename. Whoever reads sees the old
+state or the new one, never a mixture; files that no state names are harmless, and go by ``vacuum``.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field, replace
+import uuid
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = 1
-_KINDS = {"long": T.LongType(), "string": T.StringType(), "binary": T.BinaryType(), "vector": T.ArrayType(T.FloatType())}
 CHUNKS = T.StructType(
     [
-        T.StructField(name, _KINDS[kind])
-        for kind, names in (
-            ("string", "repo file_path"),
-            ("long", "byte_start byte_end line_start line_end chunk_id"),
-            ("string", "language kind name"),
-            ("binary", "file_hash"),
-            ("string", "content"),
-            ("vector", "vector"),
-        )
-        for name in names.split()
+        T.StructField("repo", T.StringType()),
+        T.StructField("file_path", T.StringType()),
+        T.StructField("byte_start", T.LongType()),
+        T.StructField("byte_end", T.LongType()),
+        T.StructField("line_start", T.LongType()),
+        T.StructField("line_end", T.LongType()),
+        T.StructField("chunk_id", T.LongType()),
+        T.StructField("language", T.StringType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("file_hash", T.BinaryType()),
+        T.StructField("content", T.StringType()),
+        T.StructField("vector", T.ArrayType(T.FloatType())),
     ]
 )
+FILES = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("file_hash", T.BinaryType())])
 
 
 class IdentityError(ValueError):
@@ -49,7 +53,7 @@ class WidthMismatch(IdentityError):
 
 @dataclass(frozen=True)
 class Manifest:
-    """What an index says of itself."""
+    """What an index says of itself. The hashes of its files are a table beside it (``Store.files``)."""
 
     embedding_model: str
     dimensions: int
@@ -58,7 +62,6 @@ class Manifest:
     last_incremental_at: str | None = None
     chunk_count: int = 0
     file_count: int = 0
-    file_hashes: dict[str, str] = field(default_factory=dict)
     similarity_floor: float | None = None
 
     def check(self, model: str, dimensions: int) -> None:
@@ -117,44 +120,81 @@ def upsert(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 class Store:
-    """A table of chunks under ``root``, with a JSON manifest beside it."""
+    """A table of chunks under ``root`` with its manifest and the hashes of the files it covers."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64, schema: T.StructType = CHUNKS):
         self.spark, self.root, self.buckets, self.schema = spark, root.rstrip("/"), buckets, schema
-        self.table = f"{self.root}/chunks"
+
+    # -- the state file
 
     def _path(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _state(self) -> dict:
+        """manifest, the folders of each bucket, and the folder of the file hashes."""
+        fs, p = self._path("state.json")
+        if not fs.exists(p):
+            return {"manifest": None, "chunks": None, "files": None}
+        return json.loads("\n".join(r.value for r in self.spark.read.text(str(p), wholetext=True).collect()))
+
+    def _commit(self, state: dict) -> None:
+        """The new state is written aside and renamed over the old one. Folders stay until ``vacuum``, for who reads them."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        fs, p = self._path("state.json")
+        _, aside = self._path(f"state.json.{uuid.uuid4().hex}")
+        out = fs.create(aside, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, p, over)
+
+    def vacuum(self) -> None:
+        """Delete what the state does not name: old folders and what failed writes left. Nobody may be reading or writing."""
+        fs, top = self._path("")
+        if not fs.exists(top):
+            return
+        state = self._state()
+        named = {d.split("/")[0] for dirs in (state["chunks"] or {}).values() for d in dirs} | {state["files"]}
+        for x in fs.listStatus(top):
+            name = x.getPath().getName()
+            if name.startswith(("data-", "files-", "state.json.")) and name not in named:
+                fs.delete(x.getPath(), True)
+
+    # -- reading
+
     def exists(self) -> bool:
-        fs, p = self._path("chunks")
-        return fs.exists(p)
+        return self._state()["chunks"] is not None
 
-    def read(self) -> DataFrame:
-        """All rows; an absent index is an empty frame and nothing is created."""
-        if not self.exists():
+    def _read(self, state: dict, buckets: list[int] | None = None) -> DataFrame:
+        dirs = [f"{self.root}/{d}" for b, own in sorted((state["chunks"] or {}).items()) if buckets is None or int(b) in buckets for d in own]
+        if not dirs:
             return self.spark.createDataFrame([], self.schema)
-        bucketed = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
-        return self.spark.read.schema(bucketed).parquet(self.table)
+        return self.spark.read.schema(self.schema).parquet(*dirs)
 
     def rows(self) -> DataFrame:
-        return self.read().select(*self.schema.fieldNames())
+        """All rows; an absent index is an empty frame and nothing is created."""
+        return self._read(self._state())
+
+    def _bucket(self, path) -> F.Column:
+        return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
+
+    def _bucket_of(self, path: str) -> int:
+        return self.spark.range(1).select(self._bucket(F.lit(path))).first()[0]
 
     def file(self, path: str) -> DataFrame:
         """One file's chunks, from its bucket alone."""
-        df = self.read()
-        if "bucket" in df.columns:
-            df = df.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(path)), F.lit(self.buckets)).cast("int"))
-        return df.where(F.col("file_path") == path).select(*self.schema.fieldNames()).orderBy("byte_start", "chunk_id")
+        rows = self._read(self._state(), [self._bucket_of(path)])
+        return rows.where(F.col("file_path") == path).orderBy("byte_start", "chunk_id")
 
     def metadata(self) -> DataFrame:
         """Without content and vectors, which are then never read."""
-        return self.read().select("file_path", "file_hash", "language", "name")
+        return self.rows().select("file_path", "file_hash", "language", "name")
 
     def paths(self) -> DataFrame:
         """S8."""
-        return self.read().select("file_path").distinct()
+        return self.rows().select("file_path").distinct()
 
     def light(self) -> DataFrame:
         """All but the content."""
@@ -162,74 +202,136 @@ class Store:
 
     def count(self) -> int:
         """S10."""
-        return self.read().count()
-
-    def _bucketed(self, rows: DataFrame) -> DataFrame:
-        return rows.select(*self.schema.fieldNames()).withColumn("bucket", F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int"))
-
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        rows.repartition("bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.table)
+        return self.rows().count()
 
-    def append(self, rows: DataFrame, width: int) -> None:
-        """Rows whose vectors are not valid stop the write."""
+    def manifest(self) -> Manifest | None:
+        own = self._state()["manifest"]
+        return None if own is None else Manifest(**own)
+
+    def files(self) -> DataFrame:
+        """(file_path, file_hash) of the files that the index covers, those without chunks too.
+
+        Where the hashes are missing, or the table is empty though the manifest speaks of chunks, they come from the rows.
+        """
+        state = self._state()
+        claimed = (state["manifest"] or {}).get("chunk_count", 0)
+        if state["files"] is None or (claimed and not state["chunks"]):
+            return self._read(state).groupBy("file_path").agg(F.max("file_hash").alias("file_hash"))
+        return self.spark.read.schema(FILES).parquet(f"{self.root}/{state['files']}")
+
+    # -- writing
+
+    def _write(self, rows: DataFrame) -> dict[str, list[str]]:
+        """Rows in a new folder for each bucket; a large bucket is several files of a task each."""
+        name = f"data-{uuid.uuid4().hex}"
+        own = rows.select(*self.schema.fieldNames()).withColumn("bucket", self._bucket("file_path"))
+        own.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
+        fs, top = self._path(name)
+        found = [x.getPath().getName() for x in fs.listStatus(top) if x.isDirectory()]
+        return {d.removeprefix("bucket="): [f"{name}/{d}"] for d in found}
+
+    def _write_files(self, files: DataFrame) -> str:
+        name = f"files-{uuid.uuid4().hex}"
+        files.select("file_path", F.col("file_hash").cast("binary").alias("file_hash")).write.parquet(f"{self.root}/{name}")
+        return name
+
+    def _checked(self, rows: DataFrame, width: int | None) -> DataFrame:
         from lodestone.functions.vectors import valid
 
+        if width is None:
+            return rows
         ok = F.assert_true(valid(F.col("vector"), width), F.lit(f"a vector is not {width} finite numbers"))
-        self._write(self._bucketed(rows).where(ok.isNull()), "append")
-
-    def _rewrite(self, touched: DataFrame, rows: DataFrame | None) -> None:
-        buckets = [r.b for r in touched.select(F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]  # at most ``buckets``
+        return rows.where(ok.isNull())
+
+    def append(self, rows: DataFrame, width: int | None = None) -> None:
+        """Rows whose vectors are not ``width`` finite numbers stop the write, and nothing is added."""
+        was = self._state()
+        new = self._write(self._checked(rows, width))
+        chunks = {b: list(d) for b, d in (was["chunks"] or {}).items()}
+        for b, dirs in new.items():
+            chunks[b] = chunks.get(b, []) + dirs
+        self._commit(was | {"chunks": chunks})
+
+    def _rewrite(self, touched: DataFrame, rows: DataFrame | None, files: DataFrame | None) -> None:
+        """Replace the rows of some files, and their hashes by ``files`` (None: leave them out)."""
+        was = self._state()
+        touched = touched.select("file_path").distinct()
+        buckets = [r.b for r in touched.select(self._bucket("file_path").alias("b")).distinct().collect()]  # at most ``buckets``
         if not buckets:
             return
-        old = self.read()
-        if "bucket" not in old.columns:
-            old = old.withColumn("bucket", F.lit(None).cast("int"))
-        kept = delete_paths(old.where(F.col("bucket").isin(buckets)), touched)
-        new = kept if rows is None else kept.unionByName(self._bucketed(rows))
-        fs, aside = self._path("chunks.new")
-        new.write.mode("overwrite").parquet(f"{self.root}/chunks.new")
-        again = self.spark.read.schema(new.schema).parquet(f"{self.root}/chunks.new")
-        left = {r.bucket for r in again.select("bucket").distinct().collect()}
-        self._write(again, "overwrite")
-        for b in set(buckets) - left:  # a bucket that lost all its rows
-            fs.delete(self._path(f"chunks/bucket={b}")[1], True)
-        fs.delete(aside, True)
+        kept = delete_paths(self._read(was, buckets), touched)
+        new = self._write(kept if rows is None else kept.unionByName(rows.select(*self.schema.fieldNames())))
+        chunks = {b: d for b, d in (was["chunks"] or {}).items() if int(b) not in buckets} | new
+        state = was | {"chunks": chunks}
+        if was["files"] is not None or files is not None:
+            left = delete_paths(self.files(), touched)
+            state["files"] = self._write_files(left if files is None else left.unionByName(files.select("file_path", F.col("file_hash").cast("binary").alias("file_hash"))))
+        self._commit(state | {"manifest": self._counted(state)})
+
+    def _counted(self, state: dict, **more) -> dict | None:
+        """The manifest with the counts of what has landed."""
+        if state["manifest"] is None:
+            return None
+        n = self._read(state).agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files")).first()
+        return state["manifest"] | {"chunk_count": n.chunks, "file_count": n.files} | more
 
     def delete(self, paths: DataFrame) -> None:
-        """S15, S19-S20."""
+        """files' chunks and hashes go, and the manifest's counts follow."""
         if self.exists():
-            self._rewrite(paths.select("file_path").distinct(), None)
+            self._rewrite(paths, None, None)
+
+    def replace(self, rows: DataFrame, width: int | None = None) -> None:
+        """The rows' files are replaced; hashes of other files stay, also of those without chunks."""
+        rows = self._checked(rows, width)
+        hashes = rows.groupBy("file_path").agg(F.max("file_hash").alias("file_hash"))
+        self._rewrite(rows, rows, hashes)
 
-    def replace(self, rows: DataFrame) -> None:
-        """S16, S18."""
-        self._rewrite(rows.select("file_path").distinct(), rows)
+    def note(self, files: DataFrame) -> None:
+        """Remember the hashes of files that gave no chunks; what the table had of them goes."""
+        self._rewrite(files, None, files)
 
     def reset(self) -> None:
-        """S17, S21."""
-        fs, p = self._path("chunks")
-        fs.delete(p, True)
+        """An empty table; the manifest stays."""
+        was = self._state()
+        self._commit(was | {"chunks": {}, "files": None})
 
-    def manifest(self) -> Manifest | None:
-        fs, p = self._path("manifest.json")
-        if not fs.exists(p):
-            return None
-        text = "\n".join(r.value for r in self.spark.read.text(str(p), wholetext=True).collect())
-        return Manifest(**json.loads(text))
+    def clear(self) -> None:
+        """No chunks, no hashes, and a manifest that claims none."""
+        was = self._state()
+        manifest = was["manifest"] and was["manifest"] | {"chunk_count": 0, "file_count": 0, "last_full_index_at": None, "last_incremental_at": None, "similarity_floor": None}
+        self._commit({"manifest": manifest, "chunks": {}, "files": None})
 
     def write_manifest(self, m: Manifest) -> None:
-        """Written aside, then renamed."""
-        fs, p = self._path("manifest.json")
-        _, aside = self._path("manifest.json.new")
-        out = fs.create(aside, True)
-        out.write(bytearray(json.dumps(asdict(m)).encode()))
-        out.close()
-        fs.delete(p, False)
-        fs.rename(aside, p)
-
-    def sync(self, m: Manifest, now: str) -> Manifest:
-        """Counts come from what has landed."""
-        n, files = self.read().agg(F.count("*"), F.countDistinct("file_path")).first()
-        m = replace(m, chunk_count=n, file_count=files, last_full_index_at=now, last_incremental_at=now)
+        """S13."""
+        was = self._state()
+        self._commit(was | {"manifest": asdict(m)})
+
+    def sync(self, m: Manifest, now: str, files: DataFrame | None = None) -> Manifest:
+        """After a full index: counts come from what has landed, hashes from ``files``, all that were enumerated."""
+        was = self._state()
+        state = was | {"manifest": asdict(m)}
+        if files is not None:
+            state["files"] = self._write_files(files)
+        state["manifest"] = self._counted(state, last_full_index_at=now, last_incremental_at=now)
+        self._commit(state)
+        return Manifest(**state["manifest"])
+
+    def synced(self, m: Manifest, now: str) -> Manifest:
+        """After an incremental change: counts, and the time of the change."""
+        was = self._state()
+        state = was | {"manifest": asdict(m)}
+        state["manifest"] = self._counted(state, last_incremental_at=now)
+        self._commit(state)
+        return Manifest(**state["manifest"])
+
+    def touch(self, current: DataFrame, model: str, dimensions: int, now: str) -> Manifest | None:
+        """If the index is of this model and its hashes are those of ``current``, only its times change; else None."""
+        m = self.manifest()
+        if m is None or (m.schema_version, m.embedding_model, m.dimensions) != (SCHEMA_VERSION, model, dimensions):
+            return None
+        if not matches(current, self.files()).first().in_sync:
+            return None
+        m = replace(m, last_full_index_at=now, last_incremental_at=now)
         self.write_manifest(m)
         return m
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
+from lodestone.scratch import written
 
 
 @dataclass(frozen=True)
@@ -49,12 +50,24 @@ def filtered(corpus: DataFrame, languages: list[str] | None = None, prefix: str
 
 
 def term_counts(corpus: DataFrame, tokens: list[str]) -> DataFrame:
-    """A1: ``corpus`` with dl and tf, an array with each distinct query token's count."""
+    """A1: ``corpus`` with dl and tf, an array with each distinct query token's count.
+
+    Runs of letters and digits are counted in place, whole tokens only; no text becomes an array of its tokens.
+    """
+    content = F.coalesce(F.col("content"), F.lit(""))
+    # each token is one letter in ``marked``, and no other letter is left
+    marked = F.regexp_replace(content, "[A-Za-z0-9]+", "a")
+    dl = F.length(marked) - F.length(F.replace(marked, F.lit("a"), F.lit("")))
+
+    def count(token: str) -> Column:
+        # a query token is letters and digits of ASCII, and so a pattern of its own
+        core = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in token)
+        whole = F.regexp_count(content, F.lit(f"(?<![A-Za-z0-9]){core}(?![A-Za-z0-9])"))
+        return F.when(F.rlike(content, F.lit(core)), whole).otherwise(F.lit(0)).cast("int")
+
     distinct = list(dict.fromkeys(tokens))
-    df = corpus.withColumn("__tokens", X.tokenize(F.col("content")))
-    count = lambda t: F.size(F.filter("__tokens", lambda x: x == t))
-    tf = F.array(*(count(t) for t in distinct)) if distinct else F.array().cast("array<int>")
-    return df.withColumns({"dl": F.size("__tokens"), "tf": tf}).drop("__tokens")
+    tf = F.array(*map(count, distinct)) if distinct else F.array().cast("array<int>")
+    return corpus.withColumns({"dl": dl.cast("int"), "tf": tf})
 
 
 def statistics(counted: DataFrame, n_tokens: int) -> DataFrame:
@@ -116,14 +129,13 @@ def search(corpus: DataFrame, query: str, vector: DataFrame | list[float] | None
     """V1-V3: the best hit of each file, by score.
 
     ``corpus`` has repo, file_path, byte_start, chunk_id, language, name, content and (unless lexical only)
-    vector; line_start and line_end are optional. Ties end in file order.
+    vector. Content is not in the result; it is fetched for the few hits by whoever shows them. Ties end in file order.
     """
     tokens = X.tokens_of(query)
     df = dense(bm25(term_counts(filtered(corpus, languages, prefix), tokens), tokens, s), vector)
     hit = X.name_hit(F.col("name"), tokens)
-    # content is not needed for ranking; it is fetched for the few hits by whoever shows them
-    # ranks and maxima read the scores several times: keep these narrow rows, which Spark rebuilds if they are lost
-    df = fused(df.withColumn("ident", hit).drop("content", "vector").persist(), s)
+    # ranks and maxima read the scores several times
+    df = fused(written(df.withColumn("ident", hit).select(*KEYS, "dense", "bm25", "ident"), "scores"), s)
     df = df.withColumn("score", F.round(boosted(F.col("fused"), F.col("ident"), s), 6))
     df = df.where(((F.col("bm25") > 0) | F.col("ident") | (F.col("dense") >= s.similarity_threshold)) & (F.col("score") >= s.min_score))
     first = Window.partitionBy("repo", "file_path").orderBy(F.desc("score"), "byte_start", "chunk_id")

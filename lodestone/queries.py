@@ -17,6 +17,7 @@ from lodestone.functions import vectors as V
 from lodestone.functions.hashing import xxh3_128
 from lodestone.operators import chunking, evaluation, overview, ranges, similarity, store
 from lodestone.plans import search as S
+from lodestone.scratch import fresh, written
 from lodestone.streaming import queue as Q
 
 QUERY = "hent hest"
@@ -177,6 +178,9 @@ def tokenize(spark, sf_dir):
     return t.select("doc_id", F.get("t", F.lit(0)).alias("first_token"), F.size("t").cast("long").alias("n_tokens"))
 
 
+GENERIC = ", ".join(repr(s) for s in "new main default from into next drop clone eq hash cmp fmt get set run id len add build parse read write init test name value path start end close open to_string as_str".split())
+
+
 # -- vectors -------------------------------------------------------------------------------------
 
 VEC = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) "
@@ -210,12 +214,12 @@ ORDER BY similarity DESC, a_repo, a_file, a_chunk, b_repo, b_file, b_chunk LIMIT
 @query(_pairs_sql("(a.repo <> b.repo OR a.label <> b.label)"))
 def dup_pairs(spark, sf_dir):
     """J2, P8, P9, T4, V4."""
-    return similarity.duplicate_pairs(vectors(spark, sf_dir), 0.4)
+    return similarity.duplicate_pairs(vectors(spark, sf_dir), 0.4, cap=None)
 
 
 @query(_pairs_sql("a.repo <> b.repo"))
 def dup_pairs_cross_repo(spark, sf_dir):
-    return similarity.duplicate_pairs(vectors(spark, sf_dir), 0.4, cross_repo=True)
+    return similarity.duplicate_pairs(vectors(spark, sf_dir), 0.4, cap=None, cross_repo=True)
 
 
 def _near_sql(ids: str, tail: str, where: str = "label <> 0") -> str:
@@ -278,21 +282,25 @@ def validate_vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", V.valid(F.col("embedding"), 64).alias("ok"))
 
 
-EDITS = VEC + "SELECT e.vec_id AS edit, v.label AS file_path, round(greatest(max(list_cosine_similarity(v.e, e.e)), 0), 6) AS score FROM v e JOIN v ON v.label <> e.label WHERE e.vec_id < 40 GROUP BY 1, 2"
+EDITS = VEC + "SELECT e.vec_id // 100 AS edit, v.label AS file_path, round(greatest(max(list_cosine_similarity(v.e, e.e)), 0), 6) AS score FROM v e JOIN v ON v.label <> e.label WHERE e.vec_id % 100 = 0 GROUP BY 1, 2"
+
 
+def edits(spark, sf_dir, least: float = 0.0) -> DataFrame:
+    """Every hundredth vector is an edit; each meets the best chunk of every other file."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 100).alias("edit"), F.col("label").alias("own"), F.col("embedding").alias("vector"))
+    return similarity.scores(vectors(spark, sf_dir), e, least)
 
-def edits(spark, sf_dir) -> DataFrame:
-    """The first forty vectors are edits; each meets the best chunk of every other file."""
-    own = table(spark, sf_dir, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("edit"), F.col("label").alias("own"), V.doubles(F.col("embedding")).alias("q"))
-    all_ = vectors(spark, sf_dir).select("file_path", V.doubles(F.col("vector")).alias("v"))
-    pairs = all_.crossJoin(F.broadcast(own)).where("file_path <> own")  # forty rows
-    return pairs.select("edit", "file_path", F.round(F.greatest(F.lit(0.0), V.cosine(F.col("v"), F.col("q"))), 6).alias("score"))
+
+@query(EDITS)
+def neighbor_scores(spark, sf_dir):
+    """E2, J3."""
+    return edits(spark, sf_dir)
 
 
 @query("WITH p AS (" + EDITS + "), s AS (SELECT edit, count(*) AS n FROM p WHERE score >= 0.25 GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS c FROM s) SELECT max(n) AS largest, round(avg(n), 6) AS mean, count(*) FILTER (n > 5) AS over_cap, (SELECT n FROM r WHERE r.r = greatest(1, (c * 90 + 99) // 100)) AS p90 FROM s")
 def pool_stats(spark, sf_dir):
     """A19."""
-    return evaluation.pool_stats(evaluation.pool(edits(spark, sf_dir), 0.25), 5)
+    return evaluation.pool_stats(evaluation.pool(edits(spark, sf_dir, 0.25), 0.25), 5)
 
 
 @query("WITH p AS (" + EDITS + "), h AS (SELECT edit, file_path, row_number() OVER (PARTITION BY edit ORDER BY score DESC, file_path) AS r FROM p), x AS (SELECT edit, avg((file_path % 2 = edit % 2)::INT::DOUBLE) AS p, max(CASE WHEN r = 1 THEN (file_path % 2 = edit % 2)::INT::DOUBLE END) AS p1 FROM h WHERE r <= 3 GROUP BY 1) SELECT round(avg(p), 6) AS p_at_k, round(avg(p1), 6) AS p_at_1, 0.5::DOUBLE AS base, round(avg(p) / 0.5, 6) AS lift FROM x")
@@ -305,13 +313,31 @@ def precision_at_k(spark, sf_dir):
 @query()
 def session_replay(spark, sf_dir):
     """E4."""
-    return evaluation.replay(evaluation.pool(edits(spark, sf_dir)), 13)
+    return evaluation.replay(evaluation.pool(edits(spark, sf_dir)), 1, 3)
 
 
 @query()
 def depth_sweep(spark, sf_dir):
     """E5, A18, A20."""
-    return evaluation.depth_sweep(evaluation.pool(edits(spark, sf_dir)), 40, (1, 3, 5))
+    pools = written(evaluation.pool(edits(spark, sf_dir)), "pools")
+    return evaluation.depth_sweep(pools, pools.select("edit").distinct().count(), (1, 3, 5))
+
+
+@query(
+    "WITH d AS (SELECT source AS file_path, doc_id AS chunk_id, regexp_extract(text, '^(\\S*)', 1) AS name, text, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id), "
+    "w AS (SELECT DISTINCT file_path, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS symbol FROM d), "
+    "p AS (SELECT a.chunk_id AS edit, b.file_path, round(greatest(max(list_cosine_similarity(a.e, b.e)), 0), 6) AS score FROM d a JOIN d b ON a.file_path <> b.file_path WHERE a.chunk_id % 100 = 0 GROUP BY 1, 2), "
+    "h AS (SELECT *, row_number() OVER (PARTITION BY edit ORDER BY score DESC, file_path) AS rank FROM p), "
+    "t AS (SELECT d.chunk_id AS edit, d.name AS symbol, count(*) AS files FROM d JOIN w ON w.symbol = d.name AND w.file_path <> d.file_path WHERE strlen(d.name) >= 4 AND d.name NOT IN (GENERIC) GROUP BY 1, 2), "
+    "x AS (SELECT h.edit, files, avg((w.symbol IS NOT NULL)::INT::DOUBLE) AS p, max(CASE WHEN rank = 1 THEN (w.symbol IS NOT NULL)::INT::DOUBLE END) AS p1 FROM h JOIN t USING (edit) LEFT JOIN w ON w.symbol = t.symbol AND w.file_path = h.file_path WHERE rank <= 3 GROUP BY 1, 2), "
+    "y AS (SELECT *, files / greatest((SELECT count(DISTINCT file_path) FROM d) - 1, 1)::DOUBLE AS b FROM x) "
+    "SELECT count(*) AS evaluated, round(avg(p), 6) AS p_at_k, round(avg(p1), 6) AS p_at_1, round(avg(b), 6) AS base, round(CASE WHEN avg(b) > 0 THEN avg(p) / avg(b) ELSE 0 END, 6) AS lift, count(*) FILTER (files <= 3) AS rare, round(avg(p) FILTER (files <= 3), 6) AS rare_p_at_k, round(avg(b) FILTER (files <= 3), 6) AS rare_base FROM y".replace("GENERIC", GENERIC)
+)
+def symbol_precision(spark, sf_dir):
+    """Each document's first word is its symbol; edits are every hundredth."""
+    c = corpus(spark, sf_dir, named=True)
+    e = c.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("edit"), F.col("file_path").alias("own"), "vector")
+    return evaluation.symbol_precision(c, evaluation.pool(similarity.scores(c, e)), 3)
 
 
 # -- overview ------------------------------------------------------------------------------------
@@ -524,14 +550,7 @@ def queue_distinct_paths(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a streaming plan over the events as a file source until it has read all; its output as a table."""
-    import uuid
-
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not top:
-        import tempfile
-
-        top = tempfile.mkdtemp(prefix="lodestone-")
-    at = f"{top}/stream-{uuid.uuid4().hex}"
+    at = fresh(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     out = shape(spark.readStream.schema(schema).option("pathGlobFilter", "*events*").option("recursiveFileLookup", True).parquet(sf_dir))
     q = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
@@ -607,20 +626,21 @@ def language_of_ext(spark, sf_dir):
     return d.select("doc_id", "name", X.language_of(F.col("name")).alias("language"))
 
 
-@query(r"SELECT doc_id, trim(s) = '' OR regexp_matches(s, '[\^$\\\[\]()+?{}]|\.\*') OR regexp_matches(s, '--glob|--include|\*\.|src/|\.(cc|cjs|cpp|cs|cxx|go|hpp|java|js|jsx|mjs|py|rs|sql|ts|tsx|md|toml|json|yaml)') OR len(regexp_extract_all(s, '[\p{L}\p{N}]+')) < 3 AS pass FROM (SELECT doc_id, substr(text, 1, 40) AS s FROM documents)")
+TARGET = " OR ".join(f"contains(text, '{p}')" for p in ("--glob", "--include", "*.", "src/", ".rs", ".py", ".js", ".mjs", ".cjs", ".ts", ".tsx", ".go", ".java", ".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hxx", ".cs", ".sql"))
+
+
+@query(r"SELECT doc_id, trim(text) = '' OR regexp_matches(text, '[\^$\\\[\]()+?{}]|\.\*') OR " + TARGET + r" OR len(regexp_extract_all(text, '[\p{L}\p{N}]+')) < 3 AS pass FROM documents")
 def passthrough(spark, sf_dir):
     """P19, F10-F12."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("s"))
-    return d.select("doc_id", X.passthrough(F.col("s")).alias("pass"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.passthrough(F.col("text")).alias("pass"))
+
+
 
 
-@query("WITH w AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS s FROM documents), sym AS (SELECT s, min(source) AS home FROM w WHERE length(s) >= 8 GROUP BY 1) SELECT s AS symbol, count(DISTINCT doc_id) AS mentions, count(DISTINCT source) AS files FROM w JOIN sym USING (s) WHERE source <> home GROUP BY 1")
+@query(f"WITH w AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS s FROM documents), sym AS (SELECT s, min(source) AS home FROM w WHERE strlen(s) >= 4 AND s NOT IN ({GENERIC}) GROUP BY 1) SELECT s AS symbol, count(DISTINCT doc_id) AS mentions, count(DISTINCT source) AS files FROM w JOIN sym USING (s) WHERE source <> home GROUP BY 1")
 def symbol_mentions(spark, sf_dir):
     """Identifiers and the other files that mention them, by an inverted index."""
-    words = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("s"))
-    home = words.where("length(s) >= 8").groupBy("s").agg(F.min("source").alias("home"))
-    hits = words.where("length(s) >= 8").join(home, "s").where("source <> home")
-    return hits.groupBy(F.col("s").alias("symbol")).agg(F.countDistinct("doc_id").alias("mentions"), F.countDistinct("source").alias("files"))
+    return evaluation.mentions(table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
 
 
 @query("SELECT doc_id, substr(sha256(source), 1, 16) AS suffix, NOT regexp_matches(text, '[\\t\\n]') AS safe FROM documents")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import struct
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -101,8 +103,9 @@ class Filter:
     def forced(self, path: str) -> bool:
         return self._verdict(self.include, path)
 
-    def kept(self, path: str) -> bool:
-        return self.forced(path) or not (self._verdict(self.git, path) or self._verdict(self.ignore, path))
+    def kept(self, path: str, tracked: bool = False) -> bool:
+        """A file that git tracks is there whatever .gitignore says of it."""
+        return self.forced(path) or not ((self._verdict(self.git, path) and not tracked) or self._verdict(self.ignore, path))
 
     def watchable(self, path: str, state: str = ".lodestone") -> bool:
         parts = path.split("/")
@@ -121,10 +124,40 @@ def project_root(path: str) -> str | None:
     return None
 
 
+def tracked(root: str) -> set[str]:
+    """Paths of the git index of a work tree, versions 2 to 4; none without a readable one."""
+    index = Path(root) / ".git" / "index"
+    data = index.read_bytes() if index.is_file() else b""
+    if data[:4] != b"DIRC":
+        return set()
+    version, n = struct.unpack(">II", data[4:12])
+    out, at, name = set(), 12, b""
+    for _ in range(n):
+        flags = struct.unpack(">H", data[at + 60 : at + 62])[0]
+        start = at + 62 + (2 if version >= 3 and flags & 0x4000 else 0)
+        if version == 4:  # how many bytes of the last name go, then what follows them
+            drop, start = _varint(data, start)
+            end = data.index(b"\0", start)
+            name, at = name[: len(name) - drop] + data[start:end], end + 1
+        else:
+            end = data.index(b"\0", start)
+            name, at = data[start:end], at + ((end - at) // 8 + 1) * 8
+        out.add(name.decode(errors="surrogateescape"))
+    return out
+
+
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = data[at] & 127
+    while data[at] & 128:
+        at += 1
+        value = ((value + 1) << 7) | (data[at] & 127)
+    return value, at + 1
+
+
 def listing(root: str, respect_gitignore: bool = True, state: str = ".lodestone", follow_symlinks: bool = False) -> list[tuple[str, bool]]:
     """(path, forced) of a local tree, sorted; hidden files count, .git and the state folder do not."""
     top = Path(root).resolve()
-    rules = Filter(top, respect_gitignore)
+    rules, known = Filter(top, respect_gitignore), tracked(str(top))
     out = []
     for d, dirs, names in os.walk(top):
         dirs[:] = sorted(x for x in dirs if x not in (".git", state))
@@ -133,18 +166,30 @@ def listing(root: str, respect_gitignore: bool = True, state: str = ".lodestone"
             if p.is_symlink() and not (follow_symlinks and p.resolve().is_relative_to(top)):
                 continue
             rel = p.relative_to(top).as_posix()
-            if p.is_file() and n not in (".gitignore", IGNORE, INCLUDE) and rules.kept(rel):
+            if p.is_file() and n not in (".gitignore", IGNORE, INCLUDE) and rules.kept(rel, rel in known):
                 out.append((rel, rules.forced(rel)))
     return sorted(out)
 
 
 def enumerate_files(spark: SparkSession, root: str, repo: str | None = None, max_kb: int = MAX_KB, **rules) -> DataFrame:
-    """Files up to a size (inclusive) with language and hash; content is read by the executors."""
-    chosen = spark.createDataFrame(listing(root, **rules), "rel_path string, force_indexed boolean")
+    """S3: files up to a size (inclusive) with language and hash; only those that the rules keep are opened."""
+    return read_files(spark, root, listing(root, **rules), max_kb, repo)
+
+
+def read_files(spark: SparkSession, root: str, chosen: list[tuple[str, bool]], max_kb: int = MAX_KB, repo: str | None = None) -> DataFrame:
+    """Some files (path, forced) below ``root``; content is read and hashed by the executors."""
     top = str(Path(root).resolve())
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top).where(F.col("length") <= max_kb * 1024)
+    shape = "path string, content binary, force_indexed boolean"
+    parts = []
+    for forced in (False, True):
+        # special characters of a name are no pattern
+        names = [re.sub(r"([{}\[\]*?\\])", r"\\\1", f"{top}/{p}") for p, f in chosen if f == forced]
+        if names:
+            read = spark.read.format("binaryFile").load(names).where(F.col("length") <= max_kb * 1024)
+            parts.append(read.select("path", "content", F.lit(forced).alias("force_indexed")))
+    df = functools.reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], shape)
     rel = F.substring(F.regexp_replace("path", "^file:/*", "/"), len(top) + 2, 1 << 30)
-    df = read.select(rel.alias("rel_path"), "content").join(F.broadcast(chosen), "rel_path")
+    df = df.select(rel.alias("rel_path"), "content", "force_indexed")
     return df.select(F.lit(repo or top).alias("repo"), "rel_path", X.language_of(F.col("rel_path")).alias("language"), xxh3_128(F.col("content")).alias("file_hash"), "force_indexed", "content")
 
 

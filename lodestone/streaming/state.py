@@ -15,13 +15,18 @@ from lodestone.streaming.queue import DEBOUNCE, MAX_WAIT
 TTL_DAYS, READ_LINES = 7, 2000
 
 
-def debounced(edits: DataFrame, debounce: int = DEBOUNCE, max_wait: int = MAX_WAIT) -> DataFrame:
-    """(path, first_seen, last_seen, edits) when a path falls due, in event time.
+def debounced(edits: DataFrame, debounce: int = DEBOUNCE, max_wait: int = MAX_WAIT, clock: str = "event") -> DataFrame:
+    """(path, first_seen, last_seen, edits) when a path falls due.
 
     ``edits`` streams (path string, ts timestamp). A path is due when its quiet time has passed or the cap since
     its first edit has, whichever is sooner. Edits of a micro-batch are taken in order, so one batch can hold
-    several rounds of a path. The watermark, the cap, is an extension that bounds the state.
+    several rounds of a path. By the event clock time is that of the edits, and an edit that comes later than the cap
+    behind the newest one is dropped by the watermark (``late_rows`` counts them). By the processing clock
+    ("processing") timers run in real time and no edit is ever dropped; state is a row for each path that waits.
     """
+    if clock not in ("event", "processing"):
+        raise ValueError(f"no such clock: {clock}")
+    by_event = clock == "event"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get) if state.exists else None  # first, last, count
@@ -39,12 +44,22 @@ def debounced(edits: DataFrame, debounce: int = DEBOUNCE, max_wait: int = MAX_WA
             state.remove()
         else:
             state.update(tuple(held))
-            state.setTimeoutTimestamp(max(min(held[1] + debounce, held[0] + max_wait), state.getCurrentWatermarkMs() + 1))
+            due = min(held[1] + debounce, held[0] + max_wait)
+            if by_event:
+                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            else:
+                state.setTimeoutDuration(max(1, due - held[1]))
         if out:
             yield pd.DataFrame([(key[0], *h) for h in out], columns=["path", "first_seen", "last_seen", "edits"])
 
-    marked = edits.withWatermark("ts", f"{max_wait} milliseconds").select("path", "ts")
-    return marked.groupBy("path").applyInPandasWithState(run, "path string, first_seen long, last_seen long, edits long", "first long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = (edits.withWatermark("ts", f"{max_wait} milliseconds") if by_event else edits).select("path", "ts")
+    timeout = GroupStateTimeout.EventTimeTimeout if by_event else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("path").applyInPandasWithState(run, "path string, first_seen long, last_seen long, edits long", "first long, last long, n long", "append", timeout)
+
+
+def late_rows(query) -> int:
+    """How many rows a running or ended query has dropped for being later than its watermark, in the progress it still keeps."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
 
 
 def suppressed(hints: DataFrame, ttl_days: int | None = TTL_DAYS) -> DataFrame:
@@ -93,7 +108,7 @@ def read_window(offset, limit):
 
 
 def windows(edits: DataFrame, milliseconds: int = 250) -> DataFrame:
-    """Distinct paths of tumbling windows."""
+    """Distinct paths of tumbling windows of event time; rows more than a second late are dropped (``late_rows``)."""
     w = F.window("ts", f"{milliseconds} milliseconds")
     return edits.withWatermark("ts", "1 second").groupBy(w, "path").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "path", "n")
 

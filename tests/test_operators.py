@@ -140,13 +140,25 @@ def test_store(spark, tmp_path):
     s.replace(spark.createDataFrame([row("a", 9)], store.CHUNKS))
     assert sorted(values(s.rows(), "chunk_id")) == [3, 4, 9]
     s.delete(spark.createDataFrame([("b",)], "file_path string"))
-    assert sorted(values(s.rows(), "chunk_id")) == [4, 9]
+    assert sorted(values(s.rows(), "chunk_id")) == [4, 9] and sorted(values(s.files(), "file_path")) == ["a", "c"]
+    s.note(spark.createDataFrame([("empty", bytearray(b"h")), ("c", bytearray(b"n"))], store.FILES))
+    assert values(s.rows(), "chunk_id") == [9] and sorted(values(s.files(), "file_path")) == ["a", "c", "empty"]
+    s.append(spark.createDataFrame([row("c", 4)], store.CHUNKS), 2)
     m = s.sync(store.Manifest("stub", 2), "2024-01-01T00:00:00Z")
     assert s.manifest() == m and m.chunk_count == 2 and s.in_step()
     s.set_floor(0.5)
     assert s.manifest().similarity_floor == 0.5
+    now = "2024-02-01T00:00:00Z"
+    assert s.touch(s.files(), "other", 2, now) is None and s.touch(s.files().limit(1), "stub", 2, now) is None
+    assert s.touch(s.files(), "stub", 2, now).last_full_index_at == now and s.manifest().chunk_count == 2
     with pytest.raises(Exception, match="finite"):
         s.append(spark.createDataFrame([row("z", 1)], store.CHUNKS).withColumn("vector", F.array(F.lit(float("nan")), F.lit(0.0)).cast("array<float>")), 2)
+    assert s.count() == 2
+    s.delete(s.paths())
+    assert s.manifest().chunk_count == 0 and s.rows().count() == 0
+    s.append(df, 2)
+    s.clear()
+    assert s.manifest().chunk_count == 0 and s.count() == 0 and s.files().count() == 0 and s.manifest().similarity_floor is None
     for error, args in ((store.ModelMismatch, ("other", 2)), (store.WidthMismatch, ("stub", 3))):
         with pytest.raises(error):
             m.check(*args)
