@@ -10,6 +10,7 @@ The driver sees at most BLOCKS sums for each old shard, however many documents t
 from __future__ import annotations
 
 import heapq
+import json
 from collections import defaultdict
 
 import pandas as pd
@@ -168,42 +169,98 @@ def reshard(docs: DataFrame, old_shard: F.Column, shards: int, capacities: list[
     return out.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", (F.col("first") + F.row_number().over(cell) - 1).alias("slot"))
 
 
+JOURNAL, STAGED = "_reshard.json", "_reshard"
+
+
 def rewrite(spark: SparkSession, root: str, shards: int, capacities: list[int] | None = None) -> list[tuple[int, int, int]]:
     """Reshard files under ``root``/shard=K/ in place; returns the (old, new, bytes) transfers of whole files.
 
     A file is the block of the flow, its length its size. Files that stay are not touched and files that move
-    whole are renamed; only files at a border are read, split by row and written again to their shards.
+    whole are renamed; only files at a border are read, split by row and written again to their shards. What is to be
+    done is in a journal before anything is moved, and split files are written aside first: called again after a crash,
+    this goes on where it stopped, and no row is lost or doubled. Nobody may read the shards meanwhile.
     """
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = []
-    for s in range(shards):
-        d = jvm.org.apache.hadoop.fs.Path(f"{root}/shard={s}")
-        if fs.exists(d):
-            files += [(s, str(x.getPath().toString()), int(x.getLen())) for x in fs.listStatus(d) if x.getPath().getName().endswith(".parquet")]
-    files.sort()
-    sizes = [sum(n for s, _, n in files if s == x) for x in range(shards)]
-    total = sum(sizes)
-    capacities = capacities or [total // shards + (j < total % shards) for j in range(shards)]
-    whole, border = transfers([(s, k, n) for k, (s, _, n) in enumerate(files)], min_cost_flow(sizes, capacities))
-    done = []
-    for (s, k), j in whole.items():
-        if s != j:
-            d = jvm.org.apache.hadoop.fs.Path(f"{root}/shard={j}")
-            fs.mkdirs(d)
-            fs.rename(jvm.org.apache.hadoop.fs.Path(files[k][1]), jvm.org.apache.hadoop.fs.Path(d, f"from{s}-{files[k][1].rpartition('/')[2]}"))
-            done.append((s, j, files[k][2]))
-    for (s, k), parts in border.items():
-        df, n = spark.read.parquet(files[k][1]), files[k][2]
-        h = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)) / float(1 << 20)
-        low = 0.0
-        for x, (j, take) in enumerate(parts):
-            high = 1.0 if x == len(parts) - 1 else low + take / n
-            df.where((h >= low) & (h < high)).write.mode("append").parquet(f"{root}/shard={j}")
-            low = high
-        fs.delete(jvm.org.apache.hadoop.fs.Path(files[k][1]), False)
-    return done
+    files = _Files(spark, root)
+    if files.exists(JOURNAL):
+        plan = files.load(JOURNAL)
+    else:
+        found = sorted((s, name, n) for s in range(shards) for name, n in files.listed(f"shard={s}"))
+        sizes = [sum(n for s, _, n in found if s == x) for x in range(shards)]
+        total = sum(sizes)
+        capacities = capacities or [total // shards + (j < total % shards) for j in range(shards)]
+        whole, border = transfers([(s, k, n) for k, (s, _, n) in enumerate(found)], min_cost_flow(sizes, capacities))
+        plan = {
+            "moves": [[s, j, found[k][2], f"shard={s}/{found[k][1]}", f"shard={j}/from{s}-{found[k][1]}"] for (s, k), j in whole.items() if s != j],
+            "splits": [[k, f"shard={s}/{found[k][1]}", found[k][2], parts] for (s, k), parts in border.items()],
+            "parts": None,
+        }
+        files.save(JOURNAL, plan)
+    if plan["parts"] is None:
+        plan["parts"] = []
+        for k, source, n, targets in plan["splits"]:
+            df = spark.read.parquet(f"{root}/{source}")
+            h = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(1 << 20)) / float(1 << 20)
+            low = 0.0
+            for x, (j, take) in enumerate(targets):
+                high = 1.0 if x == len(targets) - 1 else low + take / n
+                aside = f"{STAGED}/{k}-{j}"
+                df.where((h >= low) & (h < high)).write.mode("overwrite").parquet(f"{root}/{aside}")
+                plan["parts"] += [[f"{aside}/{name}", f"shard={j}/split{k}-{name}"] for name, _ in files.listed(aside)]
+                low = high
+        files.save(JOURNAL, plan)
+    for source, target in [*((m[3], m[4]) for m in plan["moves"]), *plan["parts"]]:
+        files.move(source, target)
+    files.delete(*(source for _, source, _, _ in plan["splits"]), STAGED, JOURNAL)
+    return [tuple(m[:3]) for m in plan["moves"]]
+
+
+class _Files:
+    """Files below a folder of any store that Hadoop knows."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.hadoop, self.root = spark._jvm.org.apache.hadoop.fs, root
+        self.spark, self.fs = spark, self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.hadoop.Path(f"{self.root}/{name}".rstrip("/"))
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def listed(self, folder: str) -> list[tuple[str, int]]:
+        """(name, bytes) of a folder's Parquet files."""
+        if not self.exists(folder):
+            return []
+        found = [(x.getPath().getName(), int(x.getLen())) for x in self.fs.listStatus(self._path(folder))]
+        return sorted(x for x in found if x[0].endswith(".parquet"))
+
+    def move(self, source: str, target: str) -> None:
+        """Once: a source that is gone has been moved before."""
+        if self.exists(source):
+            self.fs.mkdirs(self._path(target).getParent())
+            if not self.fs.rename(self._path(source), self._path(target)):
+                raise OSError(f"{source} can't be moved to {target}")
+
+    def delete(self, *names: str) -> None:
+        for name in names:
+            self.fs.delete(self._path(name), True)
+
+    def load(self, name: str) -> dict:
+        stream = self.fs.open(self._path(name))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def save(self, name: str, value: dict) -> None:
+        """Written aside, then renamed over what was there."""
+        out = self.fs.create(self._path(f"{name}.new"), True)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+        over = self.spark.sparkContext._gateway.new_array(self.hadoop.Options.Rename, 1)
+        over[0] = self.hadoop.Options.Rename.OVERWRITE
+        context = self.hadoop.FileContext.getFileContext(self._path(name).toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._path(f"{name}.new"), self._path(name), over)
 
 
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
