@@ -141,6 +141,29 @@ def test_rewrite_keeps_rows(spark, tmp_path):
     assert moves and sorted(after) == sorted(before)
 
 
+@pytest.mark.parametrize("stop", ["save", "move", "delete"])
+def test_rewrite_goes_on_after_a_crash(spark, tmp_path, monkeypatch, stop):
+    root = str(tmp_path / "shards")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("shard", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0))
+    docs.repartition(8, "doc_id").write.partitionBy("shard").parquet(root)
+    before = sorted(r[0] for r in spark.read.parquet(root).select("doc_id").collect())
+    real, calls = getattr(reshard._Files, stop), []
+
+    def failing(self, *args):
+        calls.append(args)
+        if len(calls) == 2 or stop == "delete":
+            raise OSError("stopped")
+        return real(self, *args)
+
+    monkeypatch.setattr(reshard._Files, stop, failing)
+    with pytest.raises(OSError):
+        reshard.rewrite(spark, root, 4)
+    monkeypatch.setattr(reshard._Files, stop, real)
+    reshard.rewrite(spark, root, 4)
+    assert sorted(r[0] for r in spark.read.parquet(root).select("doc_id").collect()) == before
+    assert not (tmp_path / "shards" / reshard.JOURNAL).exists() and not (tmp_path / "shards" / reshard.STAGED).exists()
+
+
 def test_extraction(spark):
     import html
     import re
