@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import shell
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.functions.hashing import xxh3_128
-from lodestone.operators import chunking, evaluation, overview, ranges, similarity, store
+from lodestone.operators import chunking, evaluation, hints, overview, ranges, similarity, store
 from lodestone.plans import search as S
 from lodestone.scratch import fresh, written
+from lodestone.sources.files import union_repos
 from lodestone.streaming import queue as Q
 
 QUERY = "hent hest"
@@ -113,6 +115,27 @@ def search_lexical_degraded(spark, sf_dir):
     return S.search(corpus(spark, sf_dir, vectors=False), QUERY)
 
 
+@query(search_sql("d.lang IN ('en', 'de', 'fr', 'es')") + "SELECT * FROM top")
+def search_multi_repo(spark, sf_dir):
+    """A repository for each language, and one that can't be read."""
+    c = corpus(spark, sf_dir)
+    loaders = {lang: lambda lang=lang: c.where(F.col("repo") == lang) for lang in ("en", "de", "fr", "es")}
+    rows, _ = union_repos(loaders | {"none": lambda: table(spark, sf_dir, "no_such_table")})
+    return S.search(rows.drop("repo_ord"), QUERY, first_vector(spark, sf_dir))
+
+
+@query(search_sql() + "SELECT rank, t.repo, t.file_path, t.chunk_id, t.chunk_id % 3 = 0 OR t.chunk_id % 7 = 0 OR length(text) > 3000 AS stale FROM top t JOIN documents ON doc_id = t.chunk_id")
+def search_stale(spark, sf_dir):
+    """Hits whose file is gone, too large or changed; here each chunk is a file of its own."""
+    rows = corpus(spark, sf_dir)
+    digest = lambda c: F.md5(c.cast("binary"))
+    now = F.when(F.col("chunk_id") % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content"))
+    files = rows.where("chunk_id % 3 <> 0").select("repo", F.col("chunk_id").cast("string").alias("file_path"), digest(now).alias("file_hash"), F.length("content").alias("size"))
+    hits = S.search(rows, QUERY, first_vector(spark, sf_dir)).join(rows.select("chunk_id", digest(F.col("content")).alias("file_hash")), "chunk_id")
+    shown = hits.withColumns({"shown": F.col("file_path"), "file_path": F.col("chunk_id").cast("string")})
+    return S.stale(shown, files, 3000).select("rank", "repo", F.col("shown").alias("file_path"), "chunk_id", "stale")
+
+
 @query(search_sql(named=True) + "SELECT * FROM top")
 def identifier_boost(spark, sf_dir):
     """F2, F36."""
@@ -495,6 +518,101 @@ def range_overlap(spark, sf_dir):
     return lines(spark, sf_dir).where(ranges.overlaps(F.col("line_start"), F.col("line_end"), F.lit(100), F.lit(120))).select("event_id")
 
 
+# -- the store -----------------------------------------------------------------------------------
+
+
+def document_chunks(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    return d.select(
+        F.col("lang").alias("repo"), F.concat_ws("/", "source", (F.col("doc_id") % 97).cast("string")).alias("file_path"), F.lit(0).cast("long").alias("byte_start"), F.col("n_chars").cast("long").alias("byte_end"),
+        F.lit(1).cast("long").alias("line_start"), F.lit(1).cast("long").alias("line_end"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("language"), F.lit("other").alias("kind"), F.lit(None).cast("string").alias("name"),
+        F.md5(F.col("source").cast("binary")).cast("binary").alias("file_hash"), F.col("text").alias("content"), F.array(F.lit(1.0).cast("float"), F.col("n_chars").cast("float")).alias("vector"),
+    )
+
+
+def filled_store(spark, sf_dir) -> store.Store:
+    """A store that all chunks went to in two appends, in which every third file was replaced by its first chunk and every fifth deleted."""
+    out, rows = store.Store(spark, fresh(spark, "store"), 8), document_chunks(spark, sf_dir)
+    out.append(rows.where("chunk_id % 2 = 0"), 2)
+    out.append(rows.where("chunk_id % 2 = 1"), 2)
+    out.write_manifest(store.Manifest("stub", 2))
+    third = rows.where("CAST(element_at(split(file_path, '/'), -1) AS INT) % 3 = 0")
+    firsts = third.join(third.groupBy("file_path").agg(F.min("chunk_id").alias("chunk_id")), ["file_path", "chunk_id"], "left_semi")
+    out.replace(firsts.select(*store.CHUNKS.fieldNames()), 2)
+    out.delete(rows.where("CAST(element_at(split(file_path, '/'), -1) AS INT) % 5 = 0").select("file_path"))
+    return out
+
+
+STORE = "WITH r AS (SELECT source || '/' || (doc_id % 97)::VARCHAR AS file_path, doc_id % 97 AS k, doc_id AS chunk_id, lang AS language, n_chars, text, source FROM documents WHERE doc_id IS NOT NULL), s AS (SELECT * FROM r WHERE k % 5 <> 0 AND (k % 3 <> 0 OR chunk_id = (SELECT min(chunk_id) FROM r x WHERE x.file_path = r.file_path))) "
+
+
+@query(STORE + "SELECT file_path, chunk_id, n_chars AS byte_end, md5(text) AS content FROM s")
+def store_rows(spark, sf_dir):
+    """What a store gives back after appends, a replacement and a deletion."""
+    return filled_store(spark, sf_dir).rows().select("file_path", "chunk_id", "byte_end", F.md5(F.col("content").cast("binary")).alias("content"))
+
+
+@query(STORE + "SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, count(DISTINCT file_path || language) AS pairs FROM s")
+def store_counts(spark, sf_dir):
+    """Counts by metadata and paths; the manifest's are the same, or there is no row."""
+    own = filled_store(spark, sf_dir)
+    m = own.manifest()
+    out = own.metadata().agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files"), F.countDistinct(F.concat("file_path", "language")).alias("pairs"))
+    return out.where((F.col("chunks") == m.chunk_count) & (F.col("files") == own.paths().count()) & F.lit(own.in_step()))
+
+
+@query(STORE + "SELECT file_path, md5(any_value(source)) AS file_hash FROM s GROUP BY 1")
+def store_hashes(spark, sf_dir):
+    """The hashes of all files that are left."""
+    return filled_store(spark, sf_dir).files().select("file_path", F.col("file_hash").cast("string").alias("file_hash"))
+
+
+# -- hints ---------------------------------------------------------------------------------------
+
+#: Command lines and the patterns that they search for.
+COMMANDS = [
+    ("rg foo", "foo"), ("grep -n 'two words'", "two words"), ("git grep foo", "foo"), ("git log foo", None), ("time nice rg foo", "foo"), ("stdbuf -oL rg foo", "foo"), ("env A=1 ag foo", "foo"),
+    ("rg foo src", None), ("rg -l foo", None), ("rg --count foo", None), ("rg -e foo", "foo"), ("rg -e foo -e bar", None), ("rg --regexp=foo", "foo"), ("rg -t py foo", "foo"), ("rg -- -foo", "-foo"), ("rg 'unclosed", None),
+]
+
+
+def _rows(rows: list[tuple]) -> str:
+    """SQL values."""
+    one = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+@query(f"SELECT event_id, command, pattern FROM events JOIN (VALUES {_rows([(k, *c) for k, c in enumerate(COMMANDS)])}) c(k, command, pattern) ON k = event_id % {len(COMMANDS)}")
+def search_commands(spark, sf_dir):
+    """P20: patterns of command lines, against a table of what they are."""
+    lines = F.array(*(F.lit(c) for c, _ in COMMANDS))
+    e = table(spark, sf_dir, "events").select("event_id", F.get(lines, (F.col("event_id") % len(COMMANDS)).cast("int")).alias("command"))
+    return e.select("event_id", "command", shell.searched(F.col("command")).alias("pattern"))
+
+
+NEAR = "SELECT event_id, user_id::VARCHAR AS session, 'f' || (event_id % 40) || '.py' AS edited_path, 'f' || (event_id % 37) || (CASE WHEN event_id % 4 = 0 THEN '.md' ELSE '.py' END) AS file_path, 'n' || (event_id % 3) AS name, event_id % 50 AS line_start, event_id % 50 + event_id % 7 AS line_end, round((event_id % 101) / 100::DOUBLE, 2) AS score FROM events"
+
+
+@query(
+    f"WITH n AS ({NEAR}), f AS (SELECT DISTINCT file_path FROM n WHERE event_id % 10 <> 0), "
+    "k AS (SELECT * FROM n a WHERE event_id % 2 = 0 AND file_path <> edited_path AND file_path IN (SELECT file_path FROM f) "
+    "AND NOT EXISTS (SELECT 1 FROM n b WHERE b.event_id % 6 = 1 AND b.session = a.session AND b.file_path = a.file_path AND b.name = a.name AND b.line_start <= a.line_start AND b.line_end >= a.line_end) "
+    "AND NOT EXISTS (SELECT 1 FROM n b WHERE b.event_id % 6 = 3 AND b.session = a.session AND b.file_path = a.file_path AND b.line_start <= a.line_start AND b.line_end >= a.line_end)), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY session, edited_path ORDER BY score DESC, file_path, line_start, line_end) AS rank FROM k QUALIFY rank <= 5) "
+    "SELECT session, edited_path, rank, file_path, line_start, line_end, score, file_path LIKE '%.md' AS is_doc FROM r"
+)
+def related_hints(spark, sf_dir):
+    """What is shown of neighbours: not the own file, nor what is gone, seen or read."""
+    e = table(spark, sf_dir, "events")
+    ext = F.when(F.col("event_id") % 4 == 0, F.lit(".md")).otherwise(F.lit(".py"))
+    n = e.select(
+        "event_id", F.col("user_id").cast("string").alias("session"), F.concat(F.lit("f"), (F.col("event_id") % 40).cast("string"), F.lit(".py")).alias("edited_path"), F.concat(F.lit("f"), (F.col("event_id") % 37).cast("string"), ext).alias("file_path"),
+        F.concat(F.lit("n"), (F.col("event_id") % 3).cast("string")).alias("name"), (F.col("event_id") % 50).alias("line_start"), (F.col("event_id") % 50 + F.col("event_id") % 7).alias("line_end"), F.round((F.col("event_id") % 101).cast("double") / 100, 2).alias("score"),
+    )
+    files = n.where("event_id % 10 <> 0").select("file_path").distinct()
+    return hints.fresh(n.where("event_id % 2 = 0").drop("event_id"), n.where("event_id % 6 = 1"), n.where("event_id % 6 = 3"), files, 5).drop("name")
+
+
 # -- the queue -----------------------------------------------------------------------------------
 
 QUEUE = "SELECT epoch_us(ts) // 1000 AS ts, event_type || '/' || (event_id % 50)::VARCHAR AS path, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id::VARCHAR END AS session, event_id AS seq FROM events"
@@ -665,8 +783,6 @@ def payload_fields(spark, sf_dir):
 @query("SELECT 'en' AS repo, 0 AS repo_ord, count(*) AS n FROM documents WHERE lang = 'en' UNION ALL SELECT 'fr', 1, count(*) FROM documents WHERE lang = 'fr'")
 def cross_repo_union(spark, sf_dir):
     """A repository that fails is left out."""
-    from lodestone.sources.files import union_repos
-
     d = lambda lang: lambda: table(spark, sf_dir, "documents").where(F.col("lang") == lang)
     frame, _ = union_repos({"en": d("en"), "fr": d("fr"), "none": lambda: table(spark, sf_dir, "no_such_table")})
     return frame.groupBy("repo", "repo_ord").agg(F.count("*").alias("n"))
@@ -675,8 +791,6 @@ def cross_repo_union(spark, sf_dir):
 @query("SELECT 'none' AS repo, true AS failed")
 def repo_errors(spark, sf_dir):
     """Errors are rows."""
-    from lodestone.sources.files import union_repos
-
     _, errors = union_repos({"en": lambda: table(spark, sf_dir, "documents"), "none": lambda: table(spark, sf_dir, "no_such_table")})
     return spark.createDataFrame([(r, bool(e)) for r, e in errors], "repo string, failed boolean")
 
