@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import config as K
+from lodestone.functions import shell
 from lodestone.functions import text as X
 from lodestone.functions.embedding import Fallback, Http, Model, Provider, Stub, Unavailable, embed
 from lodestone.operators import chunking, overview, similarity
 from lodestone.operators import store as S
 from lodestone.plans import search as P
 from lodestone.sources import files as E
+from lodestone.streaming import state
 
 #: Hints that go with results.
 STALE_HINT = "Some files changed after they were indexed; index again for fresh results."
@@ -47,6 +49,10 @@ class Found:
     stale_hint: str | None = None
     degraded_hint: str | None = None
 
+    def json(self) -> list[str]:
+        """The hits as JSON objects, without fields that are null."""
+        return [] if self.hits is None else [r[0] for r in self.hits.select("rank", F.to_json(F.struct(*self.hits.columns)).alias("j")).orderBy("rank").select("j").collect()]
+
     def groups(self) -> DataFrame | None:
         """Hits by repository and directory, in the order of their best."""
         if self.hits is None:
@@ -303,6 +309,25 @@ class Engine:
         depth = h.related_top_k * similarity.RELATED_DEPTH
         return similarity.neighbours(rows, vectors, F.col("file_path") == path, depth, floor)
 
+    def intercept(self, tool: str, payload: str) -> str | None:
+        """The question that a search tool's JSON input asks, if a search over meaning can stand in for it."""
+        if not self.config.hooks.intercept_grep:
+            return None
+        p = F.lit(payload)
+        pattern = F.get_json_object(p, "$.pattern")
+        row = self.spark.range(1).select(F.get_json_object(p, "$.command").alias("command"), F.when(~shell.scoped(p), pattern).alias("pattern")).first()
+        asked = shell.search_command(row.command) if tool == "Bash" else row.pattern if tool == "Grep" else None
+        if asked is None or self.spark.range(1).select(X.passthrough(F.lit(asked))).first()[0]:
+            return None
+        return asked
+
+    def follow(self, edits: DataFrame, checkpoint: str, **trigger):
+        """A streaming query over edits (path) that brings each batch's files up to date, in one write a batch.
+
+        It may run a batch again after a failure; that finds nothing changed.
+        """
+        return state.indexer(edits, lambda df, _: self.reindex([r.path for r in df.collect()]), checkpoint, **trigger)
+
     def overview(self, prefix: str | None = None) -> DataFrame:
         """V7."""
         return overview.rollup(self.store.metadata(), prefix)

@@ -75,6 +75,20 @@ def language_alias(name: str) -> str:
     return low
 
 
+#: Kinds of chunks; anything else is "other".
+KINDS = ("function", "method", "class", "struct", "enum", "trait", "interface", "impl", "module", "macro", "table", "view", "trigger")
+
+
+def language_from_storage(name: Column) -> Column:
+    """a stored language; "unknown" if it is none."""
+    return F.when(name.isin(*sorted(set(EXTENSIONS.values()))), name).otherwise(F.lit("unknown"))
+
+
+def kind_from_storage(name: Column) -> Column:
+    """a stored kind; "other" if it is none."""
+    return F.when(name.isin(*KINDS), name).otherwise(F.lit("other"))
+
+
 def path_prefix(path: Column, prefix: str) -> Column:
     """The path is the prefix, lies under it, or is it with a single extension."""
     prefix = prefix.rstrip("/")

@@ -241,3 +241,20 @@ def chunks(files: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     arrow = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
     return files.select("repo", "rel_path", "language", "file_hash", F.col("force_indexed"), F.col("content").cast("binary")).mapInArrow(run, schema)
+
+
+#: Chunks and bytes of text at which an indexing window is full.
+WINDOW_CHUNKS, WINDOW_BYTES = 2000, 16 << 20
+
+
+def windows(files: Iterator[tuple], chunks: int = WINDOW_CHUNKS, size: int = WINDOW_BYTES) -> Iterator[list[tuple]]:
+    """Files (any, chunks, bytes) in windows that end with the file that fills them; files stay whole."""
+    held, n, b = [], 0, 0
+    for f in files:
+        held.append(f)
+        n, b = n + f[1], b + f[2]
+        if n >= chunks or b >= size:
+            yield held
+            held, n, b = [], 0, 0
+    if held:
+        yield held

@@ -52,3 +52,10 @@ def innermost(chunks: DataFrame, start: str = "byte_start", end: str = "byte_end
 def changed(chunks: DataFrame, previous: DataFrame) -> DataFrame:
     """Chunks whose content hash their file did not have before; all, if it had none."""
     return chunks.join(previous.select("file_path", "content_hash").distinct(), ["file_path", "content_hash"], "left_anti")
+
+
+def replaced(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(chunk, there): content hashes that an edit took away ("before") or brought ("after"), each once."""
+    a, b = (df.select(F.col("content_hash").alias("chunk")).distinct().withColumn(name, F.lit(True)) for df, name in ((before, "b"), (after, "a")))
+    both = a.join(b, "chunk", "full_outer").where(F.col("a").isNull() | F.col("b").isNull())
+    return both.select("chunk", F.when(F.col("b").isNotNull(), F.lit("before")).otherwise(F.lit("after")).alias("there"))

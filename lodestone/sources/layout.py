@@ -1,0 +1,165 @@
+"""Where an index keeps its state on a local disk, who may write it, and how far a build in the background has come."""
+
+from __future__ import annotations
+
+import datetime
+import hashlib
+import json
+import os
+import time
+import uuid
+from dataclasses import dataclass
+from pathlib import Path
+
+#: Seconds in which a new build is not spoken of, and after which one without a sign of life has failed.
+READY_GRACE, FAILURE_GRACE = 3, 60
+#: Seconds between signs of life of a writer, and after which its lock is void.
+HEARTBEAT, STALE = 10, 60
+
+
+def session_suffix(session: str) -> str:
+    """F23 for one session."""
+    return hashlib.sha256(session.encode()).hexdigest()[:16]
+
+
+class Layout:
+    """Paths below a state folder that only its owner may read and that git leaves alone."""
+
+    def __init__(self, root: str, name: str = ".lodestone"):
+        self.top = Path(root) / name
+
+    def ensure(self) -> Path:
+        self.top.mkdir(mode=0o700, parents=True, exist_ok=True)
+        os.chmod(self.top, 0o700)
+        ignore = self.top / ".gitignore"
+        if not ignore.exists():
+            self.private(ignore, "*\n")
+        return self.top
+
+    @staticmethod
+    def private(path: Path, text: str) -> None:
+        """A file for its owner alone, put there whole."""
+        aside = path.with_name(f"{path.name}.{uuid.uuid4().hex}")
+        with os.fdopen(os.open(aside, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w") as f:
+            f.write(text)
+        os.replace(aside, path)
+
+    def path(self, kind: str, session: str | None = None) -> str:
+        """The file of a kind (queue, marker, log), or of a kind and session (seen, read, failure)."""
+        return str(self.top / (kind if session is None else f"{kind}-{session_suffix(session)}"))
+
+
+class Busy(RuntimeError):
+    """Another writer holds the lock and shows signs of life."""
+
+
+class Lock:
+    """One writer of an index at a time. The holder beats now and then; a lock without a beat for ``stale`` seconds is void."""
+
+    def __init__(self, path: str, stale: float = STALE):
+        self.path, self.stale, self.own = Path(path), stale, uuid.uuid4().hex
+
+    def __enter__(self) -> Lock:
+        for _ in range(2):
+            try:
+                with os.fdopen(os.open(self.path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w") as f:
+                    json.dump({"owner": self.own, "pid": os.getpid()}, f)
+                return self
+            except FileExistsError:
+                if self.held():
+                    break
+                # taken away under another name, so that only one of several takes it
+                void = self.path.with_name(f"{self.path.name}.{self.own}")
+                try:
+                    os.replace(self.path, void)
+                    os.unlink(void)
+                except FileNotFoundError:
+                    pass
+        raise Busy(f"{self.path} is held by another writer")
+
+    def held(self) -> bool:
+        """Whether someone holds the lock and has beaten lately."""
+        try:
+            return time.time() - self.path.stat().st_mtime < self.stale
+        except FileNotFoundError:
+            return False
+
+    def beat(self) -> None:
+        if not self._mine():
+            raise Busy(f"{self.path} was taken over")
+        os.utime(self.path)
+
+    def _mine(self) -> bool:
+        try:
+            return json.loads(self.path.read_text()).get("owner") == self.own
+        except (OSError, ValueError):
+            return False
+
+    def __exit__(self, *_) -> None:
+        if self._mine():
+            self.path.unlink()
+
+
+@dataclass(frozen=True)
+class Pending:
+    """A build in the background: the index's last build before it, when it began (seconds), and its process."""
+
+    before: str | None
+    began: float
+    running: bool = False
+
+
+def readiness(pending: Pending | None, last_full_index_at: str | None, now: float) -> str:
+    """None, new, running, ready or failed, from what is known of a build in the background.
+
+    A build that began less than READY_GRACE seconds ago is new. One after which the index has another time is ready. One
+    that runs, or has had less than FAILURE_GRACE seconds, is running; any other has failed.
+    """
+    if pending is None:
+        return "none"
+    age = now - pending.began if now >= pending.began else FAILURE_GRACE
+    if age < READY_GRACE:
+        return "new"
+    if last_full_index_at is not None and last_full_index_at != pending.before and not pending.running:
+        return "ready"
+    return "running" if pending.running or age < FAILURE_GRACE else "failed"
+
+
+class Shown:
+    """A failure is spoken of once a prompt of a session, or once a build where there is no session."""
+
+    def __init__(self):
+        self.last: dict[str | None, str] = {}
+
+    def fresh(self, session: str | None, prompt: str | None, began: float) -> bool:
+        mark = prompt or "" if session is not None else str(began)
+        if self.last.get(session) == mark:
+            return False
+        self.last[session] = mark
+        return True
+
+
+class Health:
+    """Whether a provider was healthy a short while ago, so that it is not asked each time."""
+
+    def __init__(self, healthy_for: float = 60.0, unhealthy_for: float = 30.0, clock=time.monotonic):
+        self.healthy_for, self.unhealthy_for, self.clock = healthy_for, unhealthy_for, clock
+        self.known: tuple[bool, float] | None = None
+
+    def ok(self, provider) -> bool:
+        if self.known is not None:
+            healthy, at = self.known
+            if self.clock() - at < (self.healthy_for if healthy else self.unhealthy_for):
+                return healthy
+        try:
+            provider.health_check()
+            healthy = True
+        except Exception:  # any failure is the answer
+            healthy = False
+        self.known = (healthy, self.clock())
+        return healthy
+
+
+def stamp(at: float) -> str:
+    """F50 for one time in seconds."""
+    return datetime.datetime.fromtimestamp(at, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
