@@ -333,7 +333,16 @@ def precision_at_k(spark, sf_dir):
     return evaluation.precision(hits, 3)
 
 
-@query()
+REPLAY = (
+    "WITH RECURSIVE p AS (" + EDITS + "), h AS (SELECT edit, file_path, row_number() OVER (PARTITION BY edit ORDER BY score DESC, file_path) AS rank FROM p), "
+    "l AS (SELECT edit, edit // 10 AS session, list(file_path ORDER BY rank) AS every FROM h GROUP BY edit), o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY edit) AS k FROM l), "
+    "r AS (SELECT session, k, edit, every[1:3] AS shown, every[1:3] AS seen, [every[1:3]::VARCHAR] AS lists, false AS repeated, false AS starved FROM o WHERE k = 1 UNION ALL "
+    "SELECT session, k, edit, shown, list_concat(seen, shown), list_append(lists, shown::VARCHAR), len(shown) > 0 AND list_contains(lists, shown::VARCHAR), len(shown) = 0 AND len(list_filter(every[4:], lambda x: NOT list_contains(seen, x))) > 0 "
+    "FROM (SELECT o.session, o.k, o.edit, o.every, list_filter(o.every[1:3], lambda x: NOT list_contains(r.seen, x)) AS shown, r.seen, r.lists FROM o JOIN r ON o.session = r.session AND o.k = r.k + 1)) "
+)
+
+
+@query(REPLAY + "SELECT session, edit, unnest(CASE WHEN len(shown) = 0 THEN [NULL] ELSE shown END) AS file_path, repeated, starved FROM r")
 def session_replay(spark, sf_dir):
     """E4."""
     return evaluation.replay(evaluation.pool(edits(spark, sf_dir)), 1, 3)
@@ -810,7 +819,10 @@ def chunk_text(spark, sf_dir):
     return chunking.chunks(document_files(spark, sf_dir)).select("file_path", "byte_start", "byte_end", "line_start", "line_end", "chunk_id", "kind")
 
 
-@query()
+@query(
+    "WITH d AS (SELECT 'f_' || doc_id::VARCHAR AS f, length(doc_id::VARCHAR) AS n FROM documents), c AS (SELECT f, 12 AS s, 35 + n AS e, 'function' AS kind, f AS name FROM d UNION ALL SELECT f, 38 + n, 76 + n, 'class', 'C' FROM d "
+    "UNION ALL SELECT f, 51 + n, 76 + n, 'function', 'm' FROM d) SELECT f || '.py' AS file_path, s::BIGINT AS byte_start, e::BIGINT AS byte_end, kind, name FROM c"
+)
 def chunk_python(spark, sf_dir):
     """K2: each document's first word as a function of a module."""
     d = table(spark, sf_dir, "documents")
