@@ -6,8 +6,8 @@ the one of lowest hash of every few neighbours; a longer chunk than 256 bytes is
 passage of MIN_WORDS words, two cuts at least and all between them depend on its own bytes only, so every copy
 of it holds the same whole chunk. Chunks whose digest is found in more than one document are anchors: between
 these cuts a run of MIN_WORDS words that is shared holds no other chunk. The runs that pass are compared as wholes, byte by
-byte from their first word to their last (as a 64-bit hash), and those found in more than one document are
-repeats. Of each the document with the smallest doc_id keeps its first copy.
+byte from their first word to their last (as two independent hashes of 96 bits together), and those found in more
+than one document are repeats. Of each the document with the smallest doc_id keeps its first copy.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ MIN_WORDS = 50
 GEAR = np.random.default_rng(3).integers(0, 1 << 16, 256).astype(np.uint16)
 #: A random number for each byte, in hashes of runs of words.
 BYTES = np.random.default_rng(4).integers(0, 1 << 64, 256, dtype=np.uint64)
+CHECKS = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
 #: Bytes of white space.
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -128,13 +128,10 @@ def chunk_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def run_rows(docs: DataFrame, anchors: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, doc_id, pos, start, size, chunk, chunks, again) of runs of ``min_words`` words whose inner chunks are all ``anchors``.
-
-    pos and chunk number the run's first word and whole chunk; again: the document has had the same run.
-    """
+    """(key, check, doc_id, pos) of runs of ``min_words`` words whose inner chunks are all ``anchors``; pos numbers the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "pos", "start", "size", "chunk", "chunks", "again"]
+        names = ["key", "check", "doc_id", "pos"]
         powers = inverse = np.empty(0, np.uint64)
         window = _window(min_words)
         inner = 7 + window
@@ -144,8 +141,11 @@ def run_rows(docs: DataFrame, anchors: DataFrame, min_words: int = MIN_WORDS) ->
             out[0] = 1
             return np.cumprod(out)
 
+        def sums(data, numbers):
+            return np.concatenate([[np.uint64(0)], np.cumsum(numbers[data] * powers[: len(data)], dtype=np.uint64)])
+
         def pack(rows):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in range(8)], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in range(len(names))], names)
 
         for batch in batches:
             rows, held = [], 0
@@ -160,26 +160,22 @@ def run_rows(docs: DataFrame, anchors: DataFrame, min_words: int = MIN_WORDS) ->
                 e, whole = word_cuts(data, starts, min_words)
                 s, whole_s = (np.concatenate([[0], x[:-1]]) for x in (e, whole))
                 n = len(starts) - min_words + 1
-                first, last = starts[:n], ends[min_words - 1 :]
                 other = np.zeros(len(whole), bool)
                 other[np.searchsorted(whole_s, s[~np.isin(s, shared.values.to_numpy())], "right") - 1] = True
                 # cuts at these words of a run depend on nothing outside it
                 low, high = starts[inner : inner + n], starts[min_words - window : min_words - window + n]
                 until = np.append(whole[other], len(data) + 1)[np.searchsorted(whole_s[other], low)]
                 some = np.searchsorted(whole, high, "right") > np.searchsorted(whole_s, low)
-                chunk = np.searchsorted(s, first)
-                chunks = np.searchsorted(e, last, "right") - chunk
                 pos = np.flatnonzero((until > high) & some)
                 if not len(pos):
                     continue
                 if len(powers) <= len(data):
                     powers, inverse = (table(x, 2 * len(data) + 1) for x in (BASE, INVERSE))
-                total = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[data] * powers[: len(data)], dtype=np.uint64)])
-                first, last = first[pos], last[pos]
-                key = C.mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
-                again = np.ones(len(pos), bool)
-                again[np.unique(key, return_index=True)[1]] = False
-                rows.append((key, np.full(len(pos), doc, np.int64), *(x.astype(np.int32) for x in (pos, first, last - first, chunk[pos], chunks[pos])), again))
+                first, last = starts[pos], ends[pos + min_words - 1]
+                size = (last - first).astype(np.uint64) * np.uint64(BASE)
+                key, check = (C.mix((t[last] - t[first]) * inverse[first] + size) for t in (sums(data, BYTES), sums(data, CHECKS)))
+                check = (check >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                rows.append((key.view(np.int64), check, np.full(len(pos), doc, np.int64), pos.astype(np.int32)))
                 held += len(pos)
                 if held > 100_000:
                     yield pack(rows)
@@ -188,32 +184,34 @@ def run_rows(docs: DataFrame, anchors: DataFrame, min_words: int = MIN_WORDS) ->
                 yield pack(rows)
 
     anchors = anchors.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    kinds = "key long, doc_id long, pos int, start int, size int, chunk int, chunks int, again boolean"
-    return docs.join(anchors, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, kinds)
+    return docs.join(anchors, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "key long, check int, doc_id long, pos int")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, scratch: C.Scratch | None = None) -> DataFrame:
-    """Repeated passages: doc_id, start, length (bytes of UTF-8), n_words, n_chunks, source_id, cut.
+    """Repeated passages: doc_id, start, n_words, source_id, cut, in white-space words from 0.
 
     ``docs`` has doc_id and text; other columns are not read. A passage is a stretch of runs of ``min_words``
     words that each stand in another document, byte for byte. source_id is the smallest doc_id that holds one of
-    them; cut lists the [start, end) byte ranges of the runs that are kept elsewhere, and is empty where this
+    them; cut lists the [start, end) word ranges of the runs that are kept elsewhere, and is empty where this
     document keeps the passage. Texts that are null, empty or without partners, and rows
     without a doc_id, have no row here. Repeats inside one document alone do not count; rows that share a
     doc_id are one document. An empty table gives no rows.
     """
     scratch = scratch or C.Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(C.whole("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.put(chunk_rows(docs, min_words))
+    n = rows.count()
     # written first, so that the join's sides are plain shuffles and Spark can split a frequent chunk's rows
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    classes = scratch.put(classes.where("low < high").select("digest"))
-    runs = scratch.put(run_rows(docs, rows.join(classes, "digest").select("doc_id", "start"), min_words))
-    scratch.drop(rows, classes)
-    classes = runs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    classes = scratch.put(classes.where("low < high").select("key", "low"))
-    away = (F.col("low") != F.col("doc_id")) | F.col("again")
-    shared = runs.join(classes, "key").select("doc_id", "pos", "start", (F.col("start") + F.col("size")).alias("end"), "chunk", (F.col("chunk") + F.col("chunks")).alias("stop"), "low", away.alias("away"))
+    classes = scratch.put(classes.where("low < high").select("digest"), n)
+    anchors = scratch.put(rows.join(classes, "digest").select("doc_id", "start"), n)
+    scratch.free(rows, classes)
+    runs = scratch.put(run_rows(docs, anchors, min_words))
+    scratch.free(anchors)
+    shared = C.first_holders(runs, scratch, runs.count())
+    scratch.free(runs)
+    away = (F.col("low") != F.col("doc_id")) | (F.col("low_pos") != F.col("pos"))
+    shared = shared.select("doc_id", "pos", "low", away.alias("away"))
     own = Window.partitionBy("doc_id").orderBy("pos")
     before = own.rowsBetween(Window.unboundedPreceding, -1)
     far = F.lit(-(1 << 30))
@@ -221,65 +219,56 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, scratch: C.Scratch | No
     gone = F.last(F.when(F.col("away"), F.col("pos")), ignorenulls=True).over(before)
     shared = shared.withColumn("apart", (F.col("away") & (F.col("pos") - F.coalesce(gone, far) > min_words)).cast("int"))
     shared = shared.withColumn("run", F.sum("new").over(own)).withColumn("part", F.sum("apart").over(own))
+    taken = F.when(F.col("away"), F.col("pos"))
     parts = shared.groupBy("doc_id", "run", "part").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.min("pos").alias("pos"),
-        F.max("pos").alias("last"),
-        F.min("chunk").alias("chunk"),
-        F.max("stop").alias("stop"),
-        F.min("low").alias("low"),
-        F.min(F.when(F.col("away"), F.col("start"))).alias("s"),
-        F.max(F.when(F.col("away"), F.col("end"))).alias("e"),
+        F.min("pos").alias("pos"), F.max("pos").alias("last"), F.min("low").alias("low"), F.min(taken).alias("s"), (F.max(taken) + min_words).alias("e")
     )
     return parts.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"),
-        (F.max("end") - F.min("start")).alias("length"),
+        F.min("pos").cast("long").alias("start"),
         (F.max("last") - F.min("pos") + min_words).cast("long").alias("n_words"),
-        (F.max("stop") - F.min("chunk")).cast("long").alias("n_chunks"),
         F.min("low").alias("source_id"),
         F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.array("s", "e")))).alias("cut"),
     ).drop("run")
 
 
-def without(texts: pd.Series, cut: pd.Series) -> pd.Series:
-    """Texts without some byte ranges; a character that a range splits stays."""
-    out = []
-    for text, ranges in zip(texts, cut, strict=True):
-        if text is None or ranges is None or not len(ranges):
-            out.append(text)
-            continue
-        b, parts, at = text.encode(), [], 0
+def without(text: str, ranges: list) -> str:
+    """A text without some [start, end) ranges of its words, from the first byte of the one to the last of the other."""
+    b, parts, at = text.encode(), [], 0
+    starts, ends = words(np.frombuffer(b, np.uint8))
+    for s, e in sorted(ranges):
+        s, e = int(starts[s]), int(ends[min(e, len(ends)) - 1])
+        parts.append(b[at : max(s, at)])
+        at = max(e, at)
+    return b"".join([*parts, b[at:]]).decode()
 
-        def whole(k, b=b):
-            while k < len(b) and b[k] & 0xC0 == 0x80:
-                k += 1
-            return k
 
-        for s, e in sorted((whole(int(r[0])), whole(int(r[1]))) for r in ranges):
-            parts.append(b[at : max(s, at)])
-            at = max(e, at)
-        out.append(b"".join([*parts, b[at:]]).decode())
-    return pd.Series(out, dtype=object)
+def cut_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Texts without their word ranges, where there are any."""
+    for texts, cut in batches:
+        out = [without(t, r) if t is not None and r else t for t, r in zip(texts.to_pylist(), cut.to_pylist(), strict=True)]
+        yield pa.array(out, pa.string())
 
 
-def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated passages cut out of all texts but the first.
+def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id") -> DataFrame:
+    """``docs`` with repeated passages cut out of all texts but the first, the one with the smallest ``key``.
 
-    n_chars, where it is there, follows the text. A text of which nothing but white space is left goes; one
-    that was null or blank before stays.
+    ``key`` is a column of whole numbers that names documents; a row without it stays as it is, and rows that share
+    one are one document, of which each loses what any of them loses. n_chars, where it is there, follows the text.
+    A text of which nothing but white space is left goes; one that was null or blank before stays.
     """
-    ranges = repeats(docs, min_words).where(F.size("cut") > 0)
+    ranges = repeats(docs.select(F.col(f"`{key}`").alias("doc_id"), "text"), min_words).where(F.size("cut") > 0)
     ranges = ranges.groupBy(F.col("doc_id").alias("id")).agg(F.flatten(F.collect_list("cut")).alias("cut"))
     # the row goes as one column, so that no name of it can clash
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = docs.select(C.whole(key).alias("key"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
     out = rows.join(ranges, F.col("key") == F.col("id"), "left")
-    new = F.when(F.col("cut").isNotNull(), F.pandas_udf(without, "string")("text", "cut")).otherwise(F.col("text"))
-    out = out.select("row", "cut", new.alias("new")).where(F.col("cut").isNull() | (F.trim(F.regexp_replace("new", r"\s+", " ")) != ""))
+    # not deterministic to Spark, or it would run once in the filter and once more after it
+    new = F.arrow_udf(cut_out, "string").asNondeterministic()("text", "cut")
+    out = out.select("row", "cut", new.alias("new")).where(F.col("cut").isNull() | F.col("new").rlike(r"[^\s]"))
     columns = {c: F.col("new") if c == "text" else F.length("new").cast("long") if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns}
     return out.select(*(e.alias(c) for c, e in columns.items()))
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of the documents; ``removed`` says whether an earlier document keeps some of it."""
     out = repeats(C.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "start", "length", "n_words", "n_chunks", "source_id", (F.size("cut") > 0).alias("removed"))
+    return out.select("doc_id", "start", "n_words", "source_id", (F.size("cut") > 0).alias("removed"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import re
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole(name: str) -> Column:
+    """A column of ids as whole numbers; an id that is none (a text, in tables of other kinds) counts as null."""
+    return F.col(f"`{name}`").try_cast("long").alias(name)
+
+
 #: Rows and bytes that go to Python at once; either bound ends a batch, so that very long texts are batches of few.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -125,7 +131,7 @@ def keyed(docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     It is the row's doc_id where no other row has that; rows with a null or repeated doc_id get a number over 2 ** 62
     from a hash of doc_id and text, so that only rows alike in both share one.
     """
-    own = F.col("doc_id").cast("long")
+    own = whole("doc_id")
     twice = scratch.put(docs.select(own.alias("id")).where("id is not null").groupBy("id").count().where("count > 1").select("id"))
     other = F.xxhash64(own, F.col("text")).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     if twice.isEmpty():
@@ -220,6 +226,99 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+# -- equal keys ------------------------------------------------------------------------------------
+
+
+def _sorted_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over one sorted range of (key, check, doc_id, pos, ...): each row of a key that several documents have.
+
+    Added are low and low_pos, the key's first row, and kind: 0, or 1 for rows of a key that may go on beyond the
+    range, which stay for now; 2 is a summary of such a key: its first row, and in ``low`` its last document.
+    """
+
+    def out(names, rows, low, low_pos, kind):
+        n = len(rows[0])
+        if kind == 0:  # keys are not needed any more
+            rows = [np.zeros(n, np.int64), np.zeros(n, np.int32), *rows[2:]]
+        columns = [*rows, np.broadcast_to(low, n), np.broadcast_to(low_pos, n), np.full(n, kind, np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*names, "low", "low_pos", "kind"])
+
+    def summary(names, key, first, last):
+        row = [np.array([key[0]], np.int64), np.array([key[1]], np.int32), np.array([first[0]], np.int64), np.array([first[1]], np.int32)]
+        return out(names, [*row, *(np.zeros(1, np.int32) for _ in names[4:])], np.int64(last), np.int32(0), 2)
+
+    # the last key so far: its first row, its last document, its rows while one document has them all
+    key = first = last = held = None
+    leading, names = True, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.schema.names
+        rows = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        keys, checks, docs, pos = rows[:4]
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]))
+        ends = np.append(starts[1:], len(keys))
+        low, low_pos, high = docs[starts].copy(), pos[starts].copy(), docs[ends - 1]
+        if key is not None and held is None and (keys[0], checks[0]) == key:
+            low[0], low_pos[0] = first
+        elif key is not None and held is None and leading:  # the leading key ended with the last batch
+            yield summary(names, key, first, last)
+            leading = False
+        match = low != high
+        a = 0  # groups before this one are done
+        if leading:
+            yield out(names, [x[: ends[0]] for x in rows], low[0], low_pos[0], 1)
+            if len(starts) > 1:
+                yield summary(names, (keys[0], checks[0]), (low[0], low_pos[0]), high[0])
+                leading = False
+            a = 1
+        if a < len(starts):
+            kept = match[a:]
+            pick = np.repeat(kept, ends[a:] - starts[a:])
+            if pick.any():
+                sizes = (ends[a:] - starts[a:])[kept]
+                yield out(names, [x[starts[a] :][pick] for x in rows], np.repeat(low[a:][kept], sizes), np.repeat(low_pos[a:][kept], sizes), 0)
+        key, first, last = (keys[-1], checks[-1]), (low[-1], low_pos[-1]), high[-1]
+        held = None if leading or match[-1] else [x[starts[-1] :] for x in rows]
+    if key is not None:
+        if held is not None:
+            yield out(names, held, first[0], first[1], 1)
+        yield summary(names, key, first, last)
+
+
+def first_holders(rows: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """Rows of keys that several documents have, without the key and with low and low_pos, the key's first row.
+
+    ``rows`` is a written table of ``n`` rows (key long, check int, doc_id long, pos int, further ints); two rows are of
+    one key if key and check agree. Rows are dealt out by ranges and sorted, so each has its equals beside it, and are
+    exchanged once. A range may end within a key: a frequent one is spread over tasks, and what the sides of such a
+    border say of it, two rows a range, is put together afterwards.
+    """
+    names = rows.columns
+    order = names[:4]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    found = scratch.put(ranged.mapInArrow(_sorted_holders, f"{kinds}, low bigint, low_pos int, kind int"), n)
+    path = found._lodestone_path
+    border = found.where("kind = 2").groupBy("key", "check").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("low").alias("high"))
+    border = border.where("first.doc_id < high").select("key", "check", F.col("first.doc_id").alias("low"), F.col("first.pos").alias("low_pos"))
+    # at most two rows a range: a hash table in one constant, which Spark folds once, so that no row has to be exchanged
+    at = border.collect()
+    table = [{} for _ in range(max(1, len(at)))]
+    for r in at:
+        table[r.key % len(table)][f"{r.key} {r.check}"] = [r.low, r.low_pos]
+    slots = F.from_json(F.lit(json.dumps(table)), "array<map<string,array<bigint>>>")
+    slot = F.get(slots, F.pmod("key", F.lit(len(table))).cast("int"))
+    first = F.try_element_at(slot, F.concat_ws(" ", F.col("key").cast("string"), F.col("check").cast("string")))
+    found = found.where("kind < 2").withColumn("first", F.when(F.col("kind") == 1, first)).where("kind = 0 or first is not null")
+    out = found.select(*names[2:], F.coalesce(F.col("first")[0], "low").alias("low"), F.coalesce(F.col("first")[1], "low_pos").cast("int").alias("low_pos"))
+    out._lodestone_path = path
+    return out
+
+
 # -- connected components --------------------------------------------------------------------------
 
 
