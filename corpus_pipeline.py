@@ -24,21 +24,36 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    gone = C.Scratch(spark).put(minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id"))
-    return docs.join(C.small(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One row of each group of near copies: the one with the smallest doc_id that no other row has, if there is one.
+
+    Rows that say the same and share a doc_id, or have none, are copies too; one of them stays. Rows without words stay.
+    """
+    scratch, key = C.Scratch(spark), C.unused("__key", docs.columns)
+    rows = C.keyed(docs, scratch, key)
+    found = scratch.put(minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")))
+    n = found.count()
+    gone = scratch.put(found.where("not kept").select(F.col("doc_id").alias(key)).distinct(), n)
+    twice = scratch.put(found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key), n)
+    rows = rows.join(C.small(gone), key, "left_anti")
+    if not twice.isEmpty():
+        once = rows.join(C.small(twice), key, "left_semi").dropDuplicates([key])
+        rows = rows.join(C.small(twice), key, "left_anti").unionByName(once)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier document holds; those with nothing else go."""
-    return chunks.drop_repeats(docs)
+    """Documents without passages that an earlier one holds; those with nothing else go."""
+    key = C.unused("__key", docs.columns)
+    out = chunks.drop_repeats(C.keyed(docs, C.Scratch(spark), key), key=key)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
-    hits = decontaminate.contamination(docs, C.table(spark, sf_dir, "benchmark"))
-    gone = C.Scratch(spark).put(hits.where("size(spans) > 0 and doc_id is not null").select("doc_id"))
-    return docs.join(C.small(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # the row goes as one column, so that no name of it can clash
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = decontaminate.contamination(rows, C.table(spark, sf_dir, "benchmark"))
+    return out.where("size(spans) = 0").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
