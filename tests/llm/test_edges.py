@@ -87,6 +87,10 @@ def test_vectors(spark):
         assert got[k] == (0, k, True)
     assert got[13] == (1, 13, True)
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+    texts = df.select(F.concat(F.lit("v"), "vec_id").alias("vec_id"), F.concat(F.lit("l"), "label").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    assert not any(r.kept for r in embeddings.near_vectors(texts).collect()) and embeddings.near_vectors(texts).count() == len(rows)  # no ids, no groups
+    texts = df.select("vec_id", F.concat(F.lit("l"), "label").alias("label"), "embedding")
+    assert {r.vec_id: r.n_links for r in embeddings.near_vectors(texts).collect()} == {k: n for k, (n, _, _) in got.items()}
 
 
 def test_pipeline_keeps_every_unique_text(spark, tmp_path):
