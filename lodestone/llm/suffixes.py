@@ -177,28 +177,25 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -
     equal runs of one document is its first is the one that starts first. An empty table gives no rows.
     """
     scratch = C.Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select(C.whole("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     prefix = min_words - window + 1
     rows = scratch.put(suffix_rows(docs, prefix, window))
-    places = scratch.put(matches(rows, scratch))
+    places = scratch.put(matches(rows, scratch), rows.count())
     scratch.free(rows)
     runs = scratch.put(passage_rows(docs, places, min_words, window))
     scratch.free(places)
-    run = ["key", "check"]
-    classes = runs.groupBy(run).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    classes = scratch.put(classes.where("low < high").select(*run, "low"))
-    shared = scratch.put(runs.join(classes, run))
-    scratch.free(runs, classes)
-    first = scratch.put(shared.where("doc_id = low").groupBy(run).agg(F.min("pos").alias("source_pos")))
-    pairs = shared.join(first, run).select("doc_id", "pos", F.col("low").alias("source_id"), "source_pos")
+    n = runs.count()
+    shared = C.first_holders(runs, scratch, n)
+    scratch.free(runs)
+    pairs = shared.select("doc_id", "pos", F.col("low").alias("source_id"), F.col("low_pos").alias("source_pos"))
     pairs = pairs.where("doc_id <> source_id or pos <> source_pos").withColumn("diagonal", F.col("pos") - F.col("source_pos"))
     # matches of two documents on one diagonal without a word between them are one passage
     line = Window.partitionBy("doc_id", "source_id", "diagonal").orderBy("pos")
     new = (F.col("pos") - F.coalesce(F.lag("pos").over(line), F.lit(-(1 << 30))) > min_words).cast("int")
     pairs = pairs.withColumn("new", new).withColumn("part", F.sum("new").over(line))
     out = pairs.groupBy("doc_id", "source_id", "diagonal", "part").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_words).cast("int").alias("n_words"))
-    out = scratch.put(out.select("doc_id", "start", "n_words", "source_id", (F.col("start") - F.col("diagonal")).cast("int").alias("source_start")))
-    scratch.free(shared, first)
+    out = scratch.put(out.select("doc_id", "start", "n_words", "source_id", (F.col("start") - F.col("diagonal")).cast("int").alias("source_start")), n)
+    scratch.free(shared)
     return out.union(out.select("source_id", "source_start", "n_words", "source_id", "source_start")).distinct()
 
 
