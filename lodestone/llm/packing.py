@@ -43,7 +43,7 @@ class Tokens:
     ``most`` pieces and as many before them. Texts in which an added token of the tokenizer stands are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -65,13 +65,16 @@ class Tokens:
             self.old, self.young = self.young, {}
         parts, known = self.parts(text), self.young
         lacking = [p for p in set(parts) if p not in known]
-        if not lacking:
-            return b"".join([known[p] for p in parts])
-        found = {p: b for p in lacking if (b := self.old.get(p)) is not None}
-        new = [p for p in lacking if p not in found]
-        found.update(zip(new, self.encode(new), strict=True))
-        known.update((p, b) for p, b in found.items() if len(p) <= 24)
-        return b"".join([known.get(p) or found[p] for p in parts])
+        if lacking:
+            old = self.old
+            known.update((p, old[p]) for p in lacking if p in old)
+            new = [p for p in lacking if p not in known]
+            known.update(zip(new, self.encode(new), strict=True))
+        out = b"".join(map(known.__getitem__, parts))
+        for p in lacking:
+            if len(p) > 24:
+                del known[p]
+        return out
 
 
 @functools.lru_cache(1)
@@ -97,7 +100,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(C.whole("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def closest(counts: dict[int, int], capacity: int) -> dict[int, int]:
