@@ -233,7 +233,7 @@ def united(spans: str) -> F.Column:
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of each document's hits; each row of ``documents`` has one, repeated rows repeat it."""
-    docs = C.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = C.table(spark, sf_dir, "documents").select(C.whole("doc_id").alias("doc_id"), "text")
     hits = contamination(docs, C.table(spark, sf_dir, "benchmark"))
     return hits.select(
         "doc_id",

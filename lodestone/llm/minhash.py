@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     ["doc_id", "n_shingles", "digest", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select(C.whole("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, most: int = 250_000) -> DataFrame:
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(C.whole("doc_id").alias("doc_id"), "text")
     sketch = scratch.put(sketches(docs, bands, rows))
     n = sketch.count()
     classes = scratch.put(sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")).where("rep is not null"), n)

@@ -121,7 +121,7 @@ def reshard(docs: DataFrame, old_shard: F.Column, shards: int, capacities: list[
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
     raw = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        C.whole("doc_id").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),

@@ -255,10 +255,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     the order of the sample, are left out of training.
     """
     scratch = C.Scratch(docs.sparkSession)
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    own = labels.select(C.whole("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     own = own.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
-    texts = scratch.put(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), sample)
+    texts = docs.select(C.whole("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
+    texts = scratch.put(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
     sizes = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()  # at most ``sample`` rows
     order = sorted(sizes, key=lambda r: (int(C.mix(np.array([r.doc_id], np.int64).view(C.U64))[0]), r.doc_id))
     place, total = {}, 0
