@@ -84,8 +84,10 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = cross_polytope(x / np.sqrt((x * x).sum(1, keepdims=True))).reshape(len(x), -1)
             own = [labels[r] for r, _ in rows]
             digest = [xxhash.xxh3_128_digest(a.tobytes() + str((lab, width)).encode()) for (_, a), lab in zip(rows, own, strict=True)]
+            lists = lambda a, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel(), kind))
+            single = batch.schema.field(2).type.value_type == pa.float32()  # what came as such is not made longer
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[r] for r, _ in rows], pa.int64()), pa.array(own, pa.int64()), pa.array(digest, pa.binary()), pa.array(list(x), pa.list_(pa.float64())), pa.array(list(codes), pa.list_(pa.int64()))],
+                [pa.array([ids[r] for r, _ in rows], pa.int64()), pa.array(own, pa.int64()), pa.array(digest, pa.binary()), lists(x.astype(np.float32) if single else x, pa.float32() if single else pa.float64()), lists(codes, pa.int64())],
                 ["vec_id", "label", "digest", "vector", "codes"],
             )
 
@@ -140,8 +142,13 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """
     spark = vectors.sparkSession
     scratch = C.Scratch(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
-    hashed = scratch.put(rows.mapInArrow(_hashed, "vec_id long, label long, digest binary, vector array<double>, codes array<long>"))
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    embedding = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    label = F.col("label")
+    if dict(vectors.dtypes)["label"] not in ("tinyint", "smallint", "int", "bigint"):  # equal labels stay equal
+        label = F.when(label.isNotNull(), F.xxhash64(label.cast("string")))
+    rows = vectors.select(C.whole("vec_id").alias("vec_id"), label.cast("long").alias("label"), embedding.alias("embedding"))
+    hashed = scratch.put(rows.mapInArrow(_hashed, f"vec_id long, label long, digest binary, vector array<{'float' if single else 'double'}>, codes array<long>"))
     classes = scratch.put(hashed.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     alike = classes.where("rep is not null")
     reps = scratch.put(hashed.select("digest", F.col("vec_id").alias("rep"), "label", "vector", "codes").join(alike, ["digest", "rep"]).dropDuplicates(["rep", "digest"]).drop("digest"))
@@ -169,7 +176,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
             rep, weight, b, home, x, codes = (list(c) for c in zip(*held, strict=True))
             codes = np.stack(codes).reshape(len(held), -1, per)
             ids = np.array(rep, np.int64)
-            return _links(ids, np.array(weight, np.float64), np.stack(x), codes, np.array(b), np.array(home), last[1] != last[2], last[3], last[4], least)
+            return _links(ids, np.array(weight, np.float64), np.stack(x).astype(np.float64), codes, np.array(b), np.array(home), last[1] != last[2], last[3], last[4], least)
 
         for batch in batches:
             c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
@@ -191,7 +198,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     links = scratch.put(member.select(*cols).mapInArrow(run, "u long, v long, n long"))
     scratch.drop(reps)
     count = links.groupBy("u").agg(F.sum("n").alias("n"))
-    comp = C.components(links.select("u", "v"), scratch)
+    comp = C.components(links.select("u", "v"), scratch, links.count())
     of = classes.join(count, classes.rep == count.u, "left").join(comp, classes.rep == comp.node, "left")
     of = of.select("digest", F.coalesce("component", "rep").alias("by_links"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("found"))
     linked = hashed.select(F.col("vec_id").alias("id"), "digest").join(of, "digest").groupBy("id").agg(F.min("by_links").alias("by_links"), F.max("found").alias("found"))
@@ -201,6 +208,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and group; rows that tie on a vec_id show the same."""
     return near_vectors(C.table(spark, sf_dir, "embeddings"))
 
 
