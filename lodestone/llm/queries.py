@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, embeddings, extract, licenses, minhash, packing, reshard, suffixes, toxicity
+from . import chunks, conversations, decontaminate, embeddings, encoding, extract, licenses, minhash, packing, pieces, reshard, suffixes, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_suffixes": suffixes.op9_suffixes,
     "op10_licenses": licenses.op10_licenses,
+    "op11_pieces": pieces.op11_pieces,
+    "op12_encoding": encoding.op12_encoding,
+    "op13_conversations": conversations.op13_conversations,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op7_embeddings": embeddings.SQL,
     "op8_minhash": minhash.SQL,
     "op10_licenses": licenses.sql(),
+    "op12_encoding": encoding.SQL,
+    "op13_conversations": conversations.SQL,
 }
