@@ -7,7 +7,7 @@ passage of MIN_WORDS words, two cuts at least and all between them depend on its
 of it holds the same whole chunk. Chunks whose digest is found in more than one document are anchors: between
 these cuts a run of MIN_WORDS words that is shared holds no other chunk. The runs that pass are compared as wholes, byte by
 byte from their first word to their last (as two independent hashes of 96 bits together), and those found in more
-than one document are repeats. Of each the document with the smallest doc_id keeps its first copy.
+than one document are repeats. Of each the document with the smallest doc_id keeps its copies, all others lose theirs.
 """
 
 from __future__ import annotations
@@ -192,8 +192,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, scratch: C.Scratch | No
 
     ``docs`` has doc_id and text; other columns are not read. A passage is a stretch of runs of ``min_words``
     words that each stand in another document, byte for byte. source_id is the smallest doc_id that holds one of
-    them; cut lists the [start, end) word ranges of the runs that are kept elsewhere, and is empty where this
-    document keeps the passage. Texts that are null, empty or without partners, and rows
+    them, and keeps all its copies; cut lists the [start, end) word ranges of the runs that are kept elsewhere,
+    less the words of runs that this document keeps, and is empty where it keeps the passage: every run that several
+    documents hold still stands in one after the cuts. Texts that are null, empty or without partners, and rows
     without a doc_id, have no row here. Repeats inside one document alone do not count; rows that share a
     doc_id are one document. An empty table gives no rows.
     """
@@ -210,19 +211,22 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, scratch: C.Scratch | No
     scratch.free(anchors)
     shared = C.first_holders(runs, scratch, runs.count())
     scratch.free(runs)
-    away = (F.col("low") != F.col("doc_id")) | (F.col("low_pos") != F.col("pos"))
-    shared = shared.select("doc_id", "pos", "low", away.alias("away"))
+    shared = shared.select("doc_id", "pos", "low", (F.col("low") != F.col("doc_id")).alias("away"))
     own = Window.partitionBy("doc_id").orderBy("pos")
     before = own.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     far = F.lit(-(1 << 30))
     shared = shared.withColumn("new", (F.col("pos") - F.coalesce(F.lag("pos").over(own), far) > min_words).cast("int"))
-    gone = F.last(F.when(F.col("away"), F.col("pos")), ignorenulls=True).over(before)
-    shared = shared.withColumn("apart", (F.col("away") & (F.col("pos") - F.coalesce(gone, far) > min_words)).cast("int"))
-    shared = shared.withColumn("run", F.sum("new").over(own)).withColumn("part", F.sum("apart").over(own))
-    taken = F.when(F.col("away"), F.col("pos"))
-    parts = shared.groupBy("doc_id", "run", "part").agg(
-        F.min("pos").alias("pos"), F.max("pos").alias("last"), F.min("low").alias("low"), F.min(taken).alias("s"), (F.max(taken) + min_words).alias("e")
-    )
+    # words of a run that is kept here stay, also where a run that goes overlaps it
+    kept = F.when(~F.col("away"), F.col("pos"))
+    shared = shared.withColumns({"left": F.last(kept, ignorenulls=True).over(before), "right": F.last(kept, ignorenulls=True).over(after)})
+    s = F.greatest(F.col("pos"), F.coalesce(F.col("left"), far) + min_words)
+    e = F.least(F.col("pos") + min_words, F.coalesce(F.col("right"), -far))
+    shared = shared.withColumns({"s": F.when(F.col("away") & (s < e), s), "e": F.when(F.col("away") & (s < e), e)})
+    gone = F.last("e", ignorenulls=True).over(before)
+    shared = shared.withColumn("apart", (F.col("s") > F.coalesce(gone, far)).cast("int"))
+    shared = shared.withColumn("run", F.sum("new").over(own)).withColumn("part", F.sum(F.coalesce("apart", F.lit(0))).over(own))
+    parts = shared.groupBy("doc_id", "run", "part").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.min("low").alias("low"), F.min("s").alias("s"), F.max("e").alias("e"))
     return parts.groupBy("doc_id", "run").agg(
         F.min("pos").cast("long").alias("start"),
         (F.max("last") - F.min("pos") + min_words).cast("long").alias("n_words"),
