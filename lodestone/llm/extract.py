@@ -34,7 +34,7 @@ REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 #: Elements whose text is no markup, up to their closing tag or the page's end.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 #: Elements that are dropped with what is in them.
-DROPPED = RAW | frozenset("noscript template svg object select button canvas video audio annotation annotation-xml datalist".split())
+DROPPED = RAW | frozenset("template svg select canvas video audio annotation annotation-xml datalist".split())
 #: Elements that never hold anything.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -43,9 +43,11 @@ LABEL = re.compile(r'\bdata-state="([012])"')
 WORD = re.compile(r"[a-z]+")
 BLOCKS = frozenset(
     "html head body main article section div header footer nav aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd menu"
-    " blockquote pre figure figcaption table caption thead tbody tfoot tr td th address details summary dialog center hgroup search".split()
+    " blockquote pre figure figcaption table caption thead tbody tfoot tr td th address details summary dialog center hgroup search noscript object".split()
 )
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th caption summary address".split())
+#: Elements of a head; whatever else opens ends it.
+HEAD = frozenset("head title style script meta link base template noscript".split())
 #: Elements that an opening tag closes, up to the element that bounds the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "thead", "tbody", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "thead": ({"thead", "tbody"}, {"table"}), "tbody": ({"thead", "tbody"}, {"table"}), "tfoot": ({"tbody"}, {"table"})}
 SCOPE = frozenset({"table", "td", "th", "caption", "html"})
@@ -118,6 +120,8 @@ class Closers:
 def parse(page: str, labelled: bool = False) -> list[Node]:
     """The page's block elements in order, the root first; inline markup only counts as link or not.
 
+    A body that no tag opens is opened by the first text or element that no head holds; text that stands in a body
+    itself is a paragraph of its own.
     Only ``labelled`` pages, those of the trainer, are read for labels.
     """
     nodes = [Node("html", -1, "")]
@@ -133,10 +137,25 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
             held[nodes[x].tag] -= 1
         del stack[k:]
 
+    def push(tag: str, attributes: str = "") -> None:
+        nodes.append(Node(tag, stack[-1], attributes))
+        stack.append(len(nodes) - 1)
+        held[tag] += 1
+
+    def in_body() -> None:
+        if nodes[stack[-1]].tag in ("html", "head"):
+            cut(1)
+            push("body")
+
     for text, tag, attributes, closing in tokens(page):
         if tag is None:
             if drop:
                 continue
+            if not text.isspace():
+                in_body()
+                if nodes[stack[-1]].tag == "body":
+                    place += 1
+                    push("p")
             node = nodes[stack[-1]]
             if not text.isspace():
                 node.runs.append((place, text))
@@ -186,7 +205,11 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
             continue
         link = 0
         if tag == "body":
+            if held["body"]:
+                continue
             cut(1)
+        elif tag not in HEAD:
+            in_body()
         closes, bound = CLOSES.get(tag, ({"p"}, SCOPE))
         if tag not in CLOSES:
             if tag[0] == "h" and tag[1:].isdigit():
@@ -216,7 +239,7 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
 
 
 def _kind(tag: str) -> int:
-    return 0 if tag in TEXT_TAGS else 2 if tag in ("nav", "aside", "footer", "form", "header", "dialog", "head", "menu", "search") else 1
+    return 0 if tag in TEXT_TAGS else 2 if tag in ("nav", "aside", "footer", "form", "header", "dialog", "head", "menu", "search", "noscript") else 1
 
 
 def features(node: Node) -> list[str]:
@@ -370,7 +393,7 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
         if kind == "side":
             return el("aside" if plain else "div", 0, el("h3", 0, words(1, 3)) + (listing(0) if text else el("p", 0, prose(1, 4))), named(pool, 0.5 if plain else 1))
         if kind == "notice":
-            return el(rng.choice(["div", "div", "section", "dialog"]), 0, prose(1, 3) if text else el("p", 0, prose(1, 3)), named(pool, 1))
+            return el(rng.choice(["div", "div", "div", "section", "dialog", "noscript"]), 0, prose(1, 3) if text else el("p", 0, prose(1, 3)), named(pool, 1))
         if kind == "ad":
             return el(rng.choice(["div", "div", "aside", "section"]), 0, prose(1, 3) if text else el("p", 0, prose(1, 4)), named(pool, 1))
         if kind == "form":
@@ -399,7 +422,7 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
             elif kind < 0.91:
                 out.append(el("table", 2, "".join(el("tr", 2, "".join(el("td", 2, words(1, 4)) for _ in range(3))) for _ in range(rng.randint(1, 4)))))
             elif kind < 0.94:
-                out.append(el("figure", 2, "<img src=x>" + el("figcaption", 2, words(2, 9))))
+                out.append(el(rng.choice(["figure", "figure", "figure", "object", "noscript"]), 2, "<img src=x>" + (el("figcaption", 2, words(2, 9)) if rng.random() < 0.7 else prose(1, 3))))
             elif kind < 0.97:
                 out.append(el(rng.choice(["section", "div"]), 2, el("p", 2, prose(1, 4)), named(CONTENT_WORDS, 0.3)))
             else:
