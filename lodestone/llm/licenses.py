@@ -139,17 +139,24 @@ def rules() -> list[Rule]:
         label = "cc-" + short.replace(" ", "-")
         for v in COMMONS_VERSIONS:
             name = f"{label}-{v.replace(' ', '.')}"
-            add(name, "commons", f"creative commons( {long})?( license)?( {short})?( version)?( v)? {v}( international| unported| generic)?( license)?" if short != "by" else f"creative commons( attribution| by)( license)?( version)? {v}( international| unported| generic)?( license)?", 0.95)
-            add(name, f" cc {short} ", f"({licensed})?cc {short} {v}( international| unported| generic)?( license)?", 0.95)
+            add(name, "commons", f"creative commons( {long})?( license)?( {short})?( version)?( v)? v?{v}( international| unported| generic)?( license)?" if short != "by" else f"creative commons( attribution| by)( license)?( version)?( v)? v?{v}( international| unported| generic)?( license)?", 0.95)
+            add(name, f" cc {short} ", f"({licensed}|spdx license identifier )?cc {short}( license)?( version)?( v)? v?{v}( international| unported| generic)?( license)?", 0.95)
         add(label, "commons", f"creative commons ({long}|{short})( license)?", 0.9)
         add(label, f" cc {short} ", f"({licensed})?cc {short}( license)?", 0.85)
     named = [(family, name, f" {name} ", versions.split("|")) for family, names, versions in FAMILIES for name in names.split("|")]
+    later = "( or( at your option)?( any)? later( version)?| plus)"
     for family, name, keyword, versions in named:
+        # an abbreviation may have its version glued on, as in gplv3
+        glued = name.isalpha() and len(name) <= 6
         for v in filter(None, versions):
             label = f"{family}-{v.replace(' ', '.')}"
-            add(f"{label}-or-later", keyword, f"({licensed})?(gnu )?{name}( license)?( as published by the free software foundation)?( either)?( version)?( v)? {v} (or( at your option)?( any)? later( version)?|plus)", 1.0)
-            add(label, "spdx", f"spdx license identifier {family} {v}( only)?", 1.0)
-            add(label, keyword, f"({licensed})?(gnu )?{name}( license)?( version)?( v)? {v}( only)?( license)?", 0.95)
+            numbered = f"({licensed})?(gnu )?{name}" + ("(v?|( license)?( version)?( v)? v?)" if glued else "( license)?( version)?( v)? v?") + v
+            published = f"({licensed})?(gnu )?{name}( license)?( as published by the free software foundation)?( either)?( version)?( v)? v?{v}"
+            held = name if glued else keyword
+            add(f"{label}-or-later", "spdx", f"spdx license identifier {family.replace('-', ' ')} v?{v}{later}", 1.0)
+            add(f"{label}-or-later", held, f"({published}|{numbered}){later}" if glued else f"{published}{later}", 1.0)
+            add(label, "spdx", f"spdx license identifier {family.replace('-', ' ')} v?{v}( only)?", 1.0)
+            add(label, held, f"{numbered}( only)?( license)?", 0.95)
     for family in dict.fromkeys(x[0] for x in named):
         add(family, "spdx", f"spdx license identifier {family.replace('-', ' ')}", 0.95)
     for family, name, keyword, _ in named:
