@@ -12,11 +12,13 @@ them stay. Chunks are joined where they stand, so no occurrence of a word is exc
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ class Crossing(ValueError):
 class Chunks:
     """Ids of texts, exactly as the library gives them for whole texts, and texts of ids."""
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 150_000, longest: int = 64):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as M
 
@@ -89,7 +91,7 @@ def chunks_of(path: str) -> Chunks:
 
 
 #: Ids that are decoded at once.
-DECODE_IDS = 1 << 20
+DECODE_IDS = 1 << 18
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -126,10 +128,16 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
         table = chunks_of(path)
         for batch in batches:
             column, found = batch.column(batch.num_columns - 1), []
-            sizes = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(int)
-            for s, e in C.slices(sizes.tolist(), DECODE_IDS):
-                lists = column.slice(s, e - s).to_pylist()
-                found += table.decode([[i for i in x if i is not None] if x else [] for x in lists])
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+            for s, e in C.slices(sizes, DECODE_IDS):
+                part = column.slice(s, e - s)
+                values = part.flatten()
+                if values.null_count:
+                    lists = [[i for i in x or () if i is not None] for x in part.to_pylist()]
+                else:
+                    ids_of, ends = values.to_numpy().tolist(), np.cumsum([0, *sizes[s:e]]).tolist()
+                    lists = [ids_of[a:b] for a, b in itertools.pairwise(ends)]
+                found += table.decode(lists)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], [*batch.schema.names[:-1], text])
 
     return source.mapInArrow(run, schema)
