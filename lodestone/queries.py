@@ -685,23 +685,72 @@ def _streamed(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], Dat
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
-@query()
+#: Events as edits by a clock two hundred times as fast, in order by path.
+FAST = "SELECT event_type AS path, epoch_us(ts) // 200000 AS ms FROM events"
+
+
+def _fast(e: DataFrame) -> DataFrame:
+    return e.select(F.col("event_type").alias("path"), F.timestamp_millis(F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 200)).alias("ts"))
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT path, ms, row_number() OVER (PARTITION BY path ORDER BY ms) AS k FROM ({FAST})), "
+    "r AS (SELECT path, k, ms AS first, ms AS last, 1::BIGINT AS n, 1::BIGINT AS round FROM e WHERE k = 1 UNION ALL "
+    "SELECT path, k, CASE WHEN done THEN ms ELSE first END, ms, CASE WHEN done THEN 1 ELSE n + 1 END, round + done::INT FROM (SELECT e.path, e.k, e.ms, r.first, r.n, r.round, e.ms >= least(r.last + 10000, r.first + 60000) AS done FROM r JOIN e ON e.path = r.path AND e.k = r.k + 1)), "
+    "t AS (SELECT path, round, min(first) AS first_seen, max(last) AS last_seen, count(*) AS edits, max(round) OVER (PARTITION BY path) AS final FROM r GROUP BY path, round) "
+    "SELECT path, first_seen, last_seen, edits FROM t WHERE round < final OR least(last_seen + 10000, first_seen + 60000) <= (SELECT max(ms) - 60000 FROM e)"
+)
 def stream_debounce(spark, sf_dir):
-    """R1 as a stream."""
+    """R1 as a stream: rounds that a later edit closes, and those due by the watermark."""
     from lodestone.streaming import state
 
-    return _streamed(spark, sf_dir, lambda e: state.debounced(e.select(F.col("event_type").alias("path"), F.col("ts").cast("timestamp").alias("ts"))))
+    return _streamed(spark, sf_dir, lambda e: state.debounced(_fast(e)))
 
 
-@query()
+SESSIONS = "SELECT event_id, user_id::VARCHAR AS session, event_type, event_type = 'signup' AS start, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM events"
+
+
+@query(
+    f"WITH h AS (SELECT *, event_type AS file_path, 'n' || event_id % 2 AS name, event_id % 211 AS line_start, event_id % 211 + event_id % 17 AS line_end FROM ({SESSIONS})) "
+    "SELECT session, file_path, name, line_start, line_end FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.session = a.session AND b.epoch = a.epoch AND b.file_path = a.file_path AND b.name = a.name AND b.event_id < a.event_id AND b.line_start <= a.line_start AND b.line_end >= a.line_end)"
+)
 def stream_seen_dedup(spark, sf_dir):
-    """R6, R8 as a stream."""
+    """R6, R8 as a stream; a signup begins its user's session anew."""
     from lodestone.streaming import state
 
-    hint = ["CAST(user_id AS STRING) AS session", "event_type AS file_path", "'' AS name", "event_id % 211 AS line_start", "event_id % 211 + event_id % 17 AS line_end"]
+    hint = ["CAST(user_id AS STRING) AS session", "event_id AS seq", "event_type = 'signup' AS start", "event_type AS file_path", "concat('n', event_id % 2) AS name", "event_id % 211 AS line_start", "event_id % 211 + event_id % 17 AS line_end"]
     return _streamed(spark, sf_dir, lambda e: state.suppressed(e.selectExpr(*hint), None))
 
 
+@query(
+    f"WITH h AS (SELECT *, event_type AS file_path, greatest(event_id % 307, 1) AS line_start, greatest(event_id % 307, 1) + least(CASE WHEN event_id % 5 = 4 THEN 2000 ELSE event_id % 23 END, 2000) - 1 AS line_end FROM ({SESSIONS}) WHERE event_id % 5 = 4 OR event_id % 23 > 0) "
+    "SELECT session, file_path, line_start, line_end FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.session = a.session AND b.epoch = a.epoch AND b.file_path = a.file_path AND b.event_id < a.event_id AND b.line_start <= a.line_start AND b.line_end >= a.line_end)"
+)
+def stream_read_windows(spark, sf_dir):
+    """R7, R8 as a stream: windows that a session has not covered yet; every fifth read has no limit."""
+    from lodestone.streaming import state
+
+    read = ["CAST(user_id AS STRING) AS session", "event_id AS seq", "event_type = 'signup' AS start", "event_type AS file_path", "event_id % 307 AS offset", "CASE WHEN event_id % 5 <> 4 THEN event_id % 23 END AS `limit`"]
+    return _streamed(spark, sf_dir, lambda e: state.read_windows(e.selectExpr(*read), None))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT event_type AS repo, 'p' || user_id % 7 AS path, epoch_us(ts) // 5000000 AS ms FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ms, path) AS k FROM e), "
+    "r AS (SELECT repo, k, ms AS start, path FROM o WHERE k = 1 UNION ALL SELECT o.repo, o.k, CASE WHEN o.ms >= r.start + 250 THEN o.ms ELSE r.start END, o.path FROM r JOIN o ON o.repo = r.repo AND o.k = r.k + 1), "
+    "w AS (SELECT repo, start, path, min(k) AS k, count(*) AS n FROM r GROUP BY ALL) "
+    "SELECT repo, start, row_number() OVER (PARTITION BY repo, start ORDER BY k) - 1 AS place, path, n FROM w WHERE start < (SELECT max(start) FROM r x WHERE x.repo = w.repo) OR start + 250 <= (SELECT max(ms) - 1000 FROM e)"
+)
+def watch_windows(spark, sf_dir):
+    """R3 as a stream: windows of 250 ms from their first event, by a clock five thousand times as fast."""
+    from lodestone.streaming import state
+
+    def shape(e: DataFrame) -> DataFrame:
+        ts = F.timestamp_millis(F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 5000)).alias("ts")
+        return state.windows(e.select(F.col("event_type").alias("repo"), F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("path"), ts), late="1 second")
+
+    return _streamed(spark, sf_dir, shape)
+
+
 # -- scalars -------------------------------------------------------------------------------------
 
 

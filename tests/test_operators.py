@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -198,3 +199,64 @@ def test_streamed_debounce_cap(spark, tmp_path):
 
 def test_evaluation():
     assert evaluation.spread(10, 3) == [0, 4, 5, 9] and evaluation.spread(5, 1) == [2] and evaluation.spread(0, 3) == []
+
+
+def _run(out, at, name):
+    """What a streaming plan gives of all that is there, kept at one checkpoint."""
+    query = out.writeStream.format("parquet").option("path", f"{at}/{name}").option("checkpointLocation", f"{at}/{name}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def _moved(at, k):
+    """The k-th part lands in the folder that is streamed."""
+    os.makedirs(f"{at}/all", exist_ok=True)
+    for f in os.listdir(f"{at}/in{k}"):
+        if f.endswith(".parquet"):
+            os.rename(f"{at}/in{k}/{f}", f"{at}/all/{k}-{f}")
+
+
+def _files(spark, at, schema, *parts):
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/in{k}")
+
+
+def test_session_state_outlives_a_restart(spark, tmp_path):
+    """Three runs on one checkpoint: what was shown before stays known, until the session starts anew."""
+    at, schema = str(tmp_path), "session string, seq long, start boolean, file_path string, name string, line_start long, line_end long"
+    _files(
+        spark, at, schema,
+        [("s", 1, None, "a.py", "f", 1, 20), ("t", 2, False, "a.py", None, 1, 5), ("s", 3, False, "b.py", "f", 1, 20), ("s", 4, False, "a.py", "f", 2, 3)],
+        [("s", 5, False, "a.py", "f", 5, 20), ("t", 6, False, "a.py", "f", 1, 5), ("s", 7, False, "a.py", "f", 5, 21), ("t", 8, False, "a.py", None, 1, 5)],
+        [("s", 9, True, None, None, None, None), ("s", 10, False, "a.py", "f", 5, 20), ("t", 11, False, "a.py", "f", 1, 4), ("s", 12, True, "b.py", "f", 2, 3), ("s", 13, False, "a.py", "f", 5, 20)],
+    )
+    shown = [{("s", "a.py", "f", 1, 20), ("t", "a.py", None, 1, 5), ("s", "b.py", "f", 1, 20)}, {("t", "a.py", "f", 1, 5), ("s", "a.py", "f", 5, 21)}, {("s", "b.py", "f", 2, 3), ("s", "a.py", "f", 5, 20)}]
+    for k in range(3):
+        _moved(at, k)
+        query = _run(state.suppressed(spark.readStream.schema(schema).parquet(f"{at}/all"), None), at, "hints")
+        assert query.lastProgress["stateOperators"][0]["operatorName"].startswith("transformWithState")
+        now = [tuple(r) for r in spark.read.parquet(f"{at}/hints").collect()]
+        assert len(now) == len(set(now)) + (k == 2) and set(now) == set().union(*shown[: k + 1])
+
+
+def test_debounce_and_windows_outlive_a_restart(spark, tmp_path):
+    """A round, and a watcher's window, that a first run leaves open goes on in the second."""
+    at, schema = str(tmp_path), "repo string, path string, ms long"
+    _files(spark, at, schema, [("r", "a", 1000), ("r", "b", 1100), ("r", "a", 1249), ("q", "z", 90)], [("r", "c", 1240), ("r", "b", 1250), ("r", "a", 9000), ("r", "a", 400_000)])
+    for k in range(2):
+        _moved(at, k)
+        edits = spark.readStream.schema(schema).parquet(f"{at}/all").select("repo", "path", F.timestamp_millis("ms").alias("ts"))
+        _run(state.debounced(edits), at, "rounds")
+        _run(state.windows(edits, late="1 minute"), at, "windows")
+        if k == 0:
+            assert spark.read.schema("path string").parquet(f"{at}/rounds").count() == 0 and spark.read.schema("path string").parquet(f"{at}/windows").count() == 0
+    assert {tuple(r) for r in spark.read.parquet(f"{at}/rounds").collect()} == {("a", 1000, 9000, 3), ("b", 1100, 1250, 2), ("c", 1240, 1240, 1), ("z", 90, 90, 1)}
+    assert {tuple(r) for r in spark.read.parquet(f"{at}/windows").collect()} == {("r", 1000, 0, "a", 2), ("r", 1000, 1, "b", 1), ("r", 1000, 2, "c", 1), ("r", 1250, 0, "b", 1), ("r", 9000, 0, "a", 1), ("q", 90, 0, "z", 1)}
+
+
+def test_read_windows(spark, tmp_path):
+    at, schema = str(tmp_path), "session string, seq long, start boolean, file_path string, offset long, `limit` long"
+    rows = [("s", 1, False, "a", None, None), ("s", 2, False, "a", 10, 50), ("s", 3, False, "a", 1990, 20), ("s", 4, False, "a", 5, 0), ("s", 5, False, "b", 0, 1), ("s", 6, True, None, None, 0), ("s", 7, False, "a", 10, 50), ("s", 8, False, "a", 1, 9000), ("s", 9, False, "a", 11, 2)]
+    _files(spark, at, schema, rows)
+    _run(state.read_windows(spark.readStream.schema(schema).parquet(f"{at}/in0"), None), at, "reads")
+    assert {tuple(r) for r in spark.read.parquet(f"{at}/reads").collect()} == {("s", "a", 1, 2000), ("s", "a", 1990, 2009), ("s", "b", 1, 1), ("s", "a", 10, 59)}
