@@ -37,18 +37,13 @@ def normalise(column: Column, top: Column) -> Column:
     return F.when(top > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), column / top))).otherwise(F.lit(0.0))
 
 
-def global_rank(df: DataFrame, score: str, keys: list[str], name: str, per: float = 1000.0) -> DataFrame:
+def global_rank(df: DataFrame, score: str, keys: list[str], name: str) -> DataFrame:
     """``df`` with the place among rows of a positive score, highest first, ties by ``keys``; else null.
 
-    Rows are dealt by a band of their score; a rank is the rows in higher bands plus the place in the own one,
-    so that no task sorts the whole corpus. The table of bands has a few thousand rows and is broadcast.
+    Places come from ranges of the whole order (``ranks.placed``), so that no task sorts the corpus, nor all rows of one score.
     """
-    from pyspark.sql.window import Window
-
-    banded = df.withColumn("__band", F.when(F.col(score) > 0, F.floor(F.col(score) * per)))
-    bands = banded.where("__band is not null").groupBy("__band").agg(F.count("*").alias("__n"))
-    above = Window.orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.select("__band", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__above"))
-    own = Window.partitionBy("__band").orderBy(F.desc(score), *keys)
-    out = banded.join(F.broadcast(bands), "__band", "left").withColumn(name, F.when(F.col("__band").isNotNull(), F.col("__above") + F.row_number().over(own)))
-    return out.drop("__band", "__above")
+    from lodestone.operators.ranks import placed
+
+    some = F.coalesce(F.col(score) > 0, F.lit(False))
+    ranked = placed(df.where(some), [F.desc(score), *keys], name).withColumn(name, F.col(name) + 1)
+    return ranked.unionByName(df.where(~some).withColumn(name, F.lit(None).cast("long")))

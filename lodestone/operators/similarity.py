@@ -1,4 +1,4 @@
-"""Near-duplicate pairs, neighbours of an edit, and the corpus floor, by matrix products over Arrow batches."""
+"""Near-duplicate pairs, neighbours of edits, and the corpus floor, by matrix products over blocks and Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,74 +10,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators import blocks as B
+from lodestone.operators.blocks import unit_rows
+from lodestone.operators.ranks import nearest_rank, placed
+
 #: Defaults and limits.
 DUPLICATES_MIN, DUPLICATES_LIMIT, DUPLICATES_CAP = 0.85, 50, 50_000
 RELATED_TOP_K, RELATED_MIN, RELATED_DEPTH = 5, 0.80, 13
 FLOOR_PERCENTILE, FLOOR_MIN_FILES, FLOOR_MAX_CHUNKS, FLOOR_MAX_SEEDS = 30, 8, 100_000, 400
-BLOCK = 1024
 
 
 class TooManyChunks(ValueError):
     """The corpus is above the limit for exact pairs."""
 
 
-def unit_rows(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column scaled to length one, and which rows are usable; others are zero."""
-    lists = column.to_pylist()
-    width = width or max((len(v) for v in lists if v), default=1)
-    x = np.zeros((len(lists), width))
-    ok = np.zeros(len(lists), bool)
-    for r, v in enumerate(lists):
-        if v and len(v) == width and None not in v:
-            a = np.array(v, np.float64)
-            n = np.sqrt((a * a).sum())
-            if np.isfinite(n) and n > 0:
-                x[r], ok[r] = a / n, True
-    return x, ok
+def _width(rows: DataFrame) -> int:
+    return rows.agg(F.max(F.size("vector"))).first()[0] or 1
 
 
 def duplicate_pairs(corpus: DataFrame, least: float = DUPLICATES_MIN, limit: int | None = DUPLICATES_LIMIT, cap: int | None = DUPLICATES_CAP, cross_repo: bool = False) -> DataFrame:
     """Pairs of chunks of different files with a cosine of ``least`` or more, best first.
 
     ``corpus`` has repo, file_path, chunk_id and vector. Above ``cap`` chunks TooManyChunks is raised (None: no cap).
-    Chunks are dealt into blocks and each pair of blocks is one matrix product; only pairs that qualify leave it.
+    Pairs of blocks that cannot reach ``least`` are skipped (``blocks``); the others are one matrix product each, of which the pairs that
+    qualify come out, or the best ``limit``, as no more of them can be in the result.
     """
-    spark = corpus.sparkSession
     rows = corpus.select("repo", "file_path", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("vector").cast("array<double>").alias("vector"))
     n = rows.count()
     if cap is not None and n > cap:
         raise TooManyChunks(f"{n} chunks; pairs are compared up to {cap}")
-    blocks = max(1, -(-n // BLOCK))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("repo", "file_path", "chunk_id"), F.lit(blocks)).cast("int"))
-    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("b", "x"), "j": F.greatest("b", "x")})
-
-    def pairs(t: pa.Table) -> pa.Table:
-        c = {k: t.column(k).combine_chunks() for k in t.column_names}
-        x, ok = unit_rows(c["vector"])
-        same = np.unique(np.array([f"{r}\0{f}" for r, f in zip(c["repo"].to_pylist(), c["file_path"].to_pylist(), strict=True)]), return_inverse=True)[1]
-        repo = np.unique(np.array([str(r) for r in c["repo"].to_pylist()]), return_inverse=True)[1]
-        b = c["b"].to_numpy()
-        sim = x @ x.T
-        hit = np.triu((sim >= least - 1e-12) & ok[:, None] & ok[None, :], 1) & (same[:, None] != same[None, :])
-        if cross_repo:
-            hit &= repo[:, None] != repo[None, :]
-        if c["i"][0].as_py() != c["j"][0].as_py():
-            hit &= b[:, None] != b[None, :]
-        p, q = np.nonzero(hit)
-        side = [c[k] for k in ("repo", "file_path", "chunk_id")]
-        # the smaller (repo, file, chunk) comes first
-        keys = list(zip(*(s.to_pylist() for s in side), strict=True))
-        swap = np.array([keys[a] > keys[z] for a, z in zip(p, q, strict=True)], bool)
-        p, q = np.where(swap, q, p), np.where(swap, p, q)
-        return pa.table([*(s.take(pa.array(p)) for s in side), *(s.take(pa.array(q)) for s in side), pa.array(sim[p, q])], ["a_repo", "a_file", "a_chunk", "b_repo", "b_file", "b_chunk", "similarity"])
-
+    keys = ["repo", "file_path", "chunk_id"]
+    points = B.pivots(rows, min(B.PIVOTS, n // B.BLOCK + 1))
+    own = B.pack(rows, keys, points, _width(rows))
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{s}_{k} {kinds[c]}" for s in "ab" for k, c in (("repo", "repo"), ("file", "file_path"), ("chunk", "chunk_id"))) + ", similarity double"
-    out = rows.groupBy("i", "j").applyInArrow(pairs, schema).withColumn("similarity", F.round("similarity", 6))
+    homes, guests = block_pairs(own, least)
+
+    def work(home: dict, guest: dict) -> pa.RecordBatch:
+        same = home["number"] == guest["number"]
+        columns = [pa.concat_arrays([h, g]) for h, g in zip(home["keys"], guest["keys"], strict=True)]
+        m, total = len(home["x"]), len(home["x"]) if same else len(home["x"]) + len(guest["x"])
+        # places by (repo, file, chunk), nulls first: ties go by them, and the smaller one comes first
+        names = [[(v is not None, v) for v in c.to_pylist()] for c in columns]
+        place = np.empty(m + len(guest["x"]), np.int64)
+        place[sorted(range(total), key=list(zip(*names, strict=True)).__getitem__)] = np.arange(total)
+        if same:
+            place[m:] = place[:m]
+        codes = [np.unique([str(x) for x in n], return_inverse=True)[1] for n in names[:2]]
+        both = codes[0] * (1 << 32) + codes[1]
+        sim = home["x"] @ guest["x"].T
+        hit = (sim >= least - 1e-12) & (both[:m, None] != both[None, m:])
+        if cross_repo:
+            hit &= codes[0][:m, None] != codes[0][None, m:]
+        if same:
+            hit = np.triu(hit, 1)
+        p, q = np.nonzero(hit)
+        score = sim[p, q]
+        swap = place[p] > place[m + q]
+        p, q = np.where(swap, m + q, p), np.where(swap, p, m + q)
+        if limit is not None and len(score) > limit:
+            said = np.round(score, 6)
+            edge = np.partition(said, len(said) - limit)[len(said) - limit] if limit else np.inf
+            some = np.flatnonzero(said >= edge)
+            some = some[np.lexsort((place[q[some]], place[p[some]], -said[some]))[:limit]]
+            p, q, score = p[some], q[some], score[some]
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(p)) for c in columns), *(c.take(pa.array(q)) for c in columns), pa.array(score)], [f"{s}_{k}" for s in "ab" for k in ("repo", "file", "chunk")] + ["similarity"])
+
+    out = B.meet(own, own, homes, guests, work, schema).withColumn("similarity", F.round("similarity", 6))
     out = out.orderBy(F.desc("similarity"), "a_repo", "a_file", "a_chunk", "b_repo", "b_file", "b_chunk")
     return out.limit(limit) if limit is not None else out
 
 
+def block_pairs(own: B.Blocks, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, guest) numbers of the pairs of blocks that have to meet, each once; homes are taken in turn, so that none has most guests."""
+    near = np.triu(B.reach(own, own, least))
+    i, j = np.nonzero(near)
+    turn = (i + j) % 2 == 1
+    return own.numbers[np.where(turn, j, i)], own.numbers[np.where(turn, i, j)]
+
+
 def best_of_queries(corpus: DataFrame, queries: list[list[float]], vector: str = "vector") -> DataFrame:
     """``corpus`` with score, its highest cosine to any of the queries, at least 0; the vector goes.
 
@@ -114,52 +125,50 @@ def seeds(corpus: DataFrame, most: int = FLOOR_MAX_SEEDS) -> DataFrame:
     inner = Window.partitionBy("file_path")
     median = corpus.withColumns({"__n": F.count("*").over(inner), "__k": F.row_number().over(inner.orderBy("chunk_id")) - 1})
     median = median.where(F.col("__k") == F.floor(F.col("__n") / 2)).drop("__n", "__k")
-    files = median.count()
-    stride = max(1, -(-files // most))
-    return median.withColumn("__r", F.row_number().over(Window.orderBy("file_path")) - 1).where(F.col("__r") % stride == 0).drop("__r")
-
-
-def nearest_rank(values: DataFrame, column: str, percents: list[int]) -> DataFrame:
-    """(p, value): the value at rank ceil(n * p / 100), from 1. What is ordered is a row for each distinct value."""
-    counts = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select("value", "c", F.sum("c").over(upto).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    wanted = F.explode(F.array(*map(F.lit, percents))).alias("p")
-    rank = F.greatest(F.lit(1), F.floor((F.col("n") * F.col("p") + 99) / 100))
-    return ranked.select("value", "c", "upto", "n", wanted).where((rank <= F.col("upto")) & (rank > F.col("upto") - F.col("c"))).select("p", "value")
+    ranked = placed(median, ["file_path"], "__r")
+    stride = max(1, -(-ranked.count() // most))
+    return ranked.where(F.col("__r") % stride == 0).drop("__r")
 
 
-def scores(corpus: DataFrame, edits: DataFrame, least: float = 0.0, block: int = 1024) -> DataFrame:
+def scores(corpus: DataFrame, edits: DataFrame, least: float = 0.0, top: int | None = None) -> DataFrame:
     """(edit, file_path, score): each edit's best cosine to a chunk of every other file, from ``least`` up.
 
-    ``edits`` has edit, own (its file) and vector, in one row or several. Blocks of edits go out one by one and meet
-    the whole corpus in matrix products, whose maxima by file are aggregated in each task before anything is exchanged.
+    ``edits`` has edit, own (its file) and vector, in one row or several. Both sides are blocks; blocks of edits visit
+    those of the corpus that can reach ``least``, in one plan whatever their number. Of each pair of blocks come the maxima by edit and file, or with ``top`` the
+    best so many of each edit, as a file that is among the best overall is so where its maximum stands; maxima of pairs are aggregated in each task, then across.
     """
-    spark = corpus.sparkSession
-    rows = corpus.select("file_path", F.col("vector").cast("array<double>").alias("vector"))
     kind = dict(corpus.dtypes)["file_path"]
-    out = None
-    for part in _blocks(edits.select("edit", "own", F.col("vector").cast("array<double>").alias("vector")).toLocalIterator(), block):
-        shared = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, own, q = shared.value
-            for batch in batches:
-                files = np.array(batch.column(0).to_pylist(), object)
-                names, at = np.unique(files.astype(str), return_inverse=True)
-                back = {str(f): f for f in files}
-                x, _ = unit_rows(batch.column(1), q.shape[1])
-                best = np.full((len(names), len(q)), -np.inf)
-                np.maximum.at(best, at, x @ q.T)
-                best = np.maximum(best, 0.0)
-                best[names[:, None] == own[None, :]] = -np.inf
-                f, e = np.nonzero(best >= least - 1e-6)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[e]), pa.array([back[n] for n in names[f]], batch.schema.field(0).type), pa.array(best[f, e])], ["edit", "file_path", "score"])
-
-        one = rows.mapInArrow(run, f"edit long, file_path {kind}, score double")
-        out = one if out is None else out.union(one)
-    if out is None:
-        return spark.createDataFrame([], f"edit long, file_path {kind}, score double")
+    rows = corpus.select("file_path", F.col("vector").cast("array<double>").alias("vector"))
+    asked = edits.select(F.col("edit").cast("long").alias("edit"), F.col("own").cast("string").alias("own"), F.col("vector").cast("array<double>").alias("vector"))
+    schema = f"edit long, file_path {kind}, score double"
+    width = asked.agg(F.max(F.size("vector"))).first()[0]
+    if not width or width < 1:
+        return corpus.sparkSession.createDataFrame([], schema)
+    points = B.pivots(rows.where(F.size("vector") == width), min(B.PIVOTS, rows.count() // B.BLOCK + 1) if least > 0 else 0)
+    rows = rows.select(F.col("file_path").cast("string").alias("name"), "file_path", "vector")
+    home, guest = B.pack(rows, ["name", "file_path"], points, width, every=True), B.pack(asked, ["edit", "own"], points, width)
+    at, by = np.nonzero(B.reach(home, guest, least) if least > 0 else np.ones((len(home.numbers), len(guest.numbers)), bool))
+
+    def work(home: dict, guest: dict) -> pa.RecordBatch:
+        names, of = np.unique(np.array(home["keys"][0].to_pylist(), object).astype(str), return_inverse=True)
+        first = np.empty(len(names), np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        ids, group = np.unique(guest["keys"][0].to_numpy(), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        sim = np.maximum.reduceat((home["x"] @ guest["x"].T)[order], np.flatnonzero(np.diff(of[order], prepend=-1)), axis=0)
+        sim[names[:, None] == np.array(guest["keys"][1].to_pylist(), object).astype(str)[None, :]] = -np.inf
+        order = np.argsort(group, kind="stable")
+        best = np.maximum.reduceat(sim[:, order], np.flatnonzero(np.diff(group[order], prepend=-1)), axis=1)
+        own = np.isneginf(best)
+        best = np.where(own, best, np.maximum(best, 0.0))
+        if top is not None and len(names) > top:
+            # files stand in order, so a stable sort leaves ties to the first by name
+            rank = np.argsort(np.argsort(-np.round(best, 6), axis=0, kind="stable"), axis=0, kind="stable")
+            best[rank >= top] = -np.inf
+        f, e = np.nonzero(best >= max(least, 0.0) - 1e-6)
+        return pa.RecordBatch.from_arrays([pa.array(ids[e]), home["keys"][1].take(pa.array(first[f])), pa.array(best[f, e])], ["edit", "file_path", "score"])
+
+    out = B.meet(home, guest, home.numbers[at], guest.numbers[by], work, schema)
     return out.groupBy("edit", "file_path").agg(F.round(F.max("score"), 6).alias("score")).where(F.col("score") >= least)
 
 

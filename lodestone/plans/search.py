@@ -110,7 +110,7 @@ def dense(corpus: DataFrame, query: DataFrame | list[float] | None) -> DataFrame
 def fused(scored: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Ranks, rrf, the three maxima and the fused score."""
     df = V.global_rank(scored, "dense", KEYS, "dense_rank")
-    df = V.global_rank(df, "bm25", KEYS, "bm25_rank", 64.0)
+    df = V.global_rank(df, "bm25", KEYS, "bm25_rank")
     share = lambda r: F.coalesce(F.lit(1.0) / (F.lit(float(s.rrf_k)) + F.col(r)), F.lit(0.0))
     df = df.withColumn("rrf", share("dense_rank") + share("bm25_rank"))
     top = df.agg(F.max("dense").alias("top_dense"), F.max("bm25").alias("top_bm25"), F.max("rrf").alias("top_rrf"))

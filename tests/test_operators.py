@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import embedding
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
-from lodestone.operators import chunking, evaluation, ranges, similarity, store
+from lodestone.operators import blocks, chunking, evaluation, ranges, ranks, similarity, store
 from lodestone.plans import search as S
 from lodestone.sources import files
 from lodestone.streaming import queue, state
@@ -58,7 +58,7 @@ def test_search_gates(spark):
 
 
 def test_pairs_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 4))
     rows = [("r", f"f{k % 7}", k, [float(v) for v in x[k]]) for k in range(60)]
@@ -260,3 +260,87 @@ def test_read_windows(spark, tmp_path):
     _files(spark, at, schema, rows)
     _run(state.read_windows(spark.readStream.schema(schema).parquet(f"{at}/in0"), None), at, "reads")
     assert {tuple(r) for r in spark.read.parquet(f"{at}/reads").collect()} == {("s", "a", 1, 2000), ("s", "a", 1990, 2009), ("s", "b", 1, 1), ("s", "a", 10, 59)}
+
+
+def _clusters(spark, n, centres, width=16, spread=0.05, seed=4):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, width))
+    x = c[np.arange(n) % centres] + spread * rng.normal(size=(n, width))
+    rows = [("r" if k % 3 else None, f"f{k % 11}", k, [float(v) for v in x[k]]) for k in range(n)]
+    return x / np.linalg.norm(x, axis=1, keepdims=True), spark.createDataFrame(rows, "repo string, file_path string, chunk_id long, vector array<double>")
+
+
+def test_blocks_that_cannot_reach_are_skipped(spark, monkeypatch):
+    """Of clustered vectors nearly all pairs of blocks are skipped, and no pair of vectors is lost."""
+    monkeypatch.setattr(blocks, "BLOCK", 32)
+    u, df = _clusters(spark, 1600, 40)
+    own = blocks.pack(df, ["repo", "file_path", "chunk_id"], blocks.pivots(df, blocks.PIVOTS), 16)
+    homes, guests = similarity.block_pairs(own, 0.9)
+    n = len(own.numbers)
+    assert n >= 40 and len(homes) < 0.35 * n * (n + 1) / 2
+    # a block visits where it has to, and nowhere else; homes share the work
+    assert np.bincount(homes).max() <= n * 0.75
+    sim = u @ u.T
+    i, j = np.nonzero(np.triu(sim >= 0.9, 1))
+    want = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a % 11 != b % 11 or (a % 3 == 0) != (b % 3 == 0)}
+    got = similarity.duplicate_pairs(df, 0.9, None).collect()
+    assert {tuple(sorted((r.a_chunk, r.b_chunk))) for r in got} == want and len(got) == len(want)
+    best = similarity.duplicate_pairs(df, 0.9, 25)
+    plan = best._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "Generate" not in plan
+    every = sorted(((-round(r.similarity, 6), r.a_repo is not None, r.a_repo, r.a_file, r.a_chunk, r.b_repo is not None, r.b_repo, r.b_file, r.b_chunk) for r in got), key=str)
+    assert [-round(r.similarity, 6) for r in best.collect()] == sorted(x[0] for x in every)[:25]
+
+
+def test_equal_vectors_fill_a_block_and_the_best_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    rows = [("r", f"f{k:03d}", k, [1.0, 2.0]) for k in range(100)] + [("r", "z", 500, [-1.0, 2.0]), ("r", "z", 501, None), ("r", "z", 502, [0.0, 0.0]), ("r", "z", 503, [1.0])]
+    df = spark.createDataFrame(rows, "repo string, file_path string, chunk_id long, vector array<double>")
+    got = [(r.a_chunk, r.b_chunk) for r in similarity.duplicate_pairs(df, 0.99, 60).collect()]
+    assert got == [(a, b) for a in range(100) for b in range(a + 1, 100)][:60]
+
+
+def test_many_edits_are_one_plan(spark, monkeypatch):
+    """Ten thousand edits meet the corpus in one plan, whose size does not follow their number."""
+    u, df = _clusters(spark, 400, 20)
+    rng = np.random.default_rng(6)
+    picked = rng.integers(0, 400, 10_000)
+    rows = [(k, f"f{i % 11}", [float(v) for v in u[i]]) for k, i in enumerate(picked.tolist())]
+    edits = spark.createDataFrame(rows, "edit long, own string, vector array<double>")
+    out = similarity.scores(df, edits, 0.5, top=3)
+    size = lambda f: f._jdf.queryExecution().analyzed().toString().count("\n")
+    assert size(out) == size(similarity.scores(df, edits.limit(5), 0.5, top=3)) and "MapInArrow" in out._jdf.queryExecution().toString()
+    pools = evaluation.pool(out, 0.5).where("rank <= 3").collect()
+    sim = np.maximum(u[picked[:200]] @ u.T, 0)
+    for k in range(200):
+        best = {}
+        for c, s in enumerate(sim[k].tolist()):
+            if c % 11 != picked[k] % 11:
+                best[f"f{c % 11}"] = max(best.get(f"f{c % 11}", 0), round(s, 6))
+        want = sorted((f for f in best if best[f] >= 0.5), key=lambda f: (-best[f], f))[:3]
+        assert [r.file_path for r in sorted((r for r in pools if r.edit == k), key=lambda r: r.rank)] == want
+
+
+def test_places_and_values_at_a_rank(spark):
+    """Ties, equal rows, signs, extremes and one value over and over."""
+    rng = random.Random(7)
+    odd = [0.0, -0.0, 1e-300, -1e-300, 1e300, -1e300, float("inf"), float("-inf"), 5e-324]
+    for xs in ([0.25] * 700, odd * 3 + [rng.gauss(0, 1) for _ in range(500)], [rng.choice([0.1, 0.2, 0.3]) for _ in range(400)] + [None] * 9, [7.5]):
+        df = spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, v double").repartition(5)
+        whole = sorted(x for x in xs if x is not None)
+        percents = [1, 10, 33, 50, 90, 99, 100]
+        got = {r.p: r.value for r in ranks.nearest_rank(df, "v", percents).collect()}
+        assert got == {p: whole[max(1, -(-len(whole) * p // 100)) - 1] for p in percents}
+        at = {r.k: r.place for r in ranks.placed(df.where("v is not null"), [F.desc("v"), "k"], "place").collect()}
+        assert at == {k: i for i, (k, _) in enumerate(sorted(((k, x) for k, x in enumerate(xs) if x is not None), key=lambda r: (-r[1], r[0])))}
+    none = spark.createDataFrame([(None,)], "v double")
+    assert ranks.nearest_rank(none, "v", [50]).count() == 0 and ranks.placed(none.limit(0), ["v"], "place").count() == 0
+    big = spark.createDataFrame([(v,) for v in (-(1 << 63), -1, 0, 1, (1 << 63) - 1)], "v long")
+    assert {r.p: r.value for r in ranks.nearest_rank(big, "v", [1, 40, 100]).collect()} == {1: -(1 << 63), 40: -1, 100: (1 << 63) - 1}
+
+
+def test_seeds_take_every_stride_th_file(spark):
+    rows = [(f"f{k // 3:02d}", k, [1.0, float(k)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "file_path string, chunk_id long, vector array<double>")
+    got = sorted((r.file_path, r.chunk_id) for r in similarity.seeds(df, 7).collect())
+    assert got == [(f"f{f:02d}", 3 * f + 1) for f in range(0, 30, 5)]
