@@ -137,13 +137,17 @@ class Engine:
         try:
             found = current.count()
             say("enumerated", found)
+            m = self.store.manifest()
+            try:
+                if m is not None:
+                    m.check(self.provider.model_id, self.provider.dimensions)
+            except S.IdentityError:  # an index of another schema, model or width is built anew
+                self.clear()
+                m = self.store.manifest()
             indexed = self.store.paths() if self.store.exists() else None
             forced = current.where("force_indexed").select("file_path")
             again = S.orphans(forced, indexed) if indexed is not None else forced
             sound = self.store.exists() and self.store.in_step()
-            m = self.store.manifest()
-            if m is not None:
-                m.check(self.provider.model_id, self.provider.dimensions)
             same = sound and again.isEmpty() and self.store.touch(current, self.provider.model_id, self.provider.dimensions, now)
             if same:
                 return Stats(same.file_count, same.chunk_count, overview.zero_chunks(found, same.chunk_count))
@@ -154,8 +158,10 @@ class Engine:
             say("changed", changed.count())
             gone = S.orphans(stored, current).select("file_path")
             todo = files.join(changed.select(F.col("file_path").alias("rel_path")), "rel_path", "left_semi")
+            if m is None:
+                self.store.write_manifest(self._fresh())
             self._replace(self._rows(todo), changed, gone)
-            m = self.store.sync(m or self._fresh(), now, current)
+            m = self.store.sync(self.store.manifest(), now)
             changed.unpersist()
             say("indexed", m.chunk_count)
         finally:
@@ -165,11 +171,11 @@ class Engine:
             self.store.set_floor(similarity.corpus_floor(self.store.rows().select("file_path", "chunk_id", "vector")))
         return Stats(m.file_count, m.chunk_count, overview.zero_chunks(found, m.chunk_count))
 
-    def _replace(self, rows: DataFrame, files: DataFrame, gone: DataFrame) -> None:
-        """One commit: rows of ``files`` are replaced, their hashes noted, and ``gone`` files go."""
+    def _replace(self, rows: DataFrame, files: DataFrame, gone: DataFrame, **more) -> None:
+        """One commit: rows of ``files`` are replaced, their hashes noted, and ``gone`` files go; ``more`` goes into the manifest."""
         touched = files.select("file_path").union(gone.select("file_path"))
         checked = self.store._checked(rows, self.provider.dimensions)
-        self.store._rewrite(touched, checked, files.select("file_path", "file_hash"))
+        self.store._rewrite(touched, checked, files.select("file_path", "file_hash"), **more)
 
     def relative(self, path: str) -> str:
         """A path below the root, from one that may be absolute; ValueError if it leaves it."""
@@ -192,13 +198,16 @@ class Engine:
         asked = self.spark.createDataFrame([(p,) for p in wanted], "file_path string")
         files = E.read_files(self.spark, self.root, [(p, rules.forced(p)) for p in wanted if os.path.isfile(f"{self.root}/{p}")], i.max_file_size_kb)
         current = files.select(F.col("rel_path").alias("file_path"), "file_hash")
-        stored = self.store.files().join(asked, "file_path", "left_semi")
+        if (m := self.store.manifest()) is None:
+            self.store.write_manifest(self._fresh())
+        else:
+            m.check(self.provider.model_id, self.provider.dimensions)
+        stored = self.store.files(asked)
         changed = S.changed_files(current, stored)
         gone = S.orphans(stored, current).select("file_path")
         if not (changed.isEmpty() and gone.isEmpty()):
             todo = files.join(changed.select(F.col("file_path").alias("rel_path")), "rel_path", "left_semi")
-            self._replace(self._rows(todo), changed, gone)
-            self.store.synced(self.store.manifest() or self._fresh(), now or now_utc())
+            self._replace(self._rows(todo), changed, gone, last_incremental_at=now or now_utc())
             self.store.vacuum()
         return self.stats()
 
@@ -211,8 +220,8 @@ class Engine:
         return self.stats()
 
     def clear(self) -> None:
-        """V9, S21."""
-        self.store.clear()
+        """Nothing is left of the index, nor of the model and width that it was of."""
+        self.store.clear(self._fresh())
 
     def stats(self) -> Stats:
         m = self.store.manifest()

@@ -576,6 +576,44 @@ def store_hashes(spark, sf_dir):
     return filled_store(spark, sf_dir).files().select("file_path", F.col("file_hash").cast("string").alias("file_hash"))
 
 
+EDITED = "(SELECT min(file_path) FROM s)"
+
+
+@query(STORE + f", t AS (SELECT file_path, chunk_id, n_chars, md5(text) AS content FROM s WHERE file_path <> {EDITED} UNION ALL SELECT file_path, max(chunk_id) + 1, 6, md5('edited') FROM s WHERE file_path = {EDITED} GROUP BY 1) SELECT file_path, chunk_id, n_chars AS byte_end, content, (SELECT count(*) FROM t) AS chunks, (SELECT count(DISTINCT file_path) FROM t) AS files FROM t")
+def store_after_edit(spark, sf_dir):
+    """One file is edited: its bucket alone is read and written, and rows taken before are still there to read."""
+    own = filled_store(spark, sf_dir)
+    before = own.rows()
+    path = before.agg(F.min("file_path").alias("file_path"))
+    edited = before.join(F.broadcast(path), "file_path", "left_semi").groupBy("file_path").agg(F.max(F.struct("chunk_id", *(c for c in store.CHUNKS.fieldNames() if c not in ("chunk_id", "file_path")))).alias("r"))
+    rows = edited.select("file_path", "r.*").withColumns({"chunk_id": F.col("chunk_id") + 1, "byte_end": F.lit(6).cast("long"), "content": F.lit("edited")})
+    own.replace(rows.select(*store.CHUNKS.fieldNames()), 2)
+    m = own.manifest()
+    out = own.rows().select("file_path", "chunk_id", "byte_end", F.md5(F.col("content").cast("binary")).alias("content"))
+    out = out.withColumns({"chunks": F.lit(m.chunk_count).cast("long"), "files": F.lit(m.file_count).cast("long")})
+    return out.where(F.lit(before.count() > 0))
+
+
+@query("WITH r AS (SELECT source || '/' || (doc_id % 97)::VARCHAR AS file_path, doc_id % 97 AS k, doc_id AS chunk_id FROM documents WHERE doc_id IS NOT NULL), s AS (SELECT * FROM r WHERE k % 3 = 0 OR k % 3 = 1 AND chunk_id = (SELECT min(chunk_id) FROM r x WHERE x.file_path = r.file_path)) SELECT file_path, chunk_id, (SELECT count(*) FROM s) AS chunks, (SELECT count(DISTINCT file_path) FROM s) AS files FROM s")
+def store_two_writers(spark, sf_dir):
+    """Two writers at once, one that replaces a third of the files and one that deletes another; neither loses the other's work."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    top, rows = fresh(spark, "store"), document_chunks(spark, sf_dir)
+    store.Store(spark, top, 8).append(rows, 2)
+    store.Store(spark, top, 8).write_manifest(store.Manifest("stub", 2))
+    k = "CAST(element_at(split(file_path, '/'), -1) AS INT) % 3"
+    third = rows.where(f"{k} = 1")
+    firsts = third.join(third.groupBy("file_path").agg(F.min("chunk_id").alias("chunk_id")), ["file_path", "chunk_id"], "left_semi").select(*store.CHUNKS.fieldNames())
+    with ThreadPoolExecutor(2) as pool:
+        jobs = [pool.submit(store.Store(spark, top, 8).replace, firsts, 2), pool.submit(store.Store(spark, top, 8).delete, rows.where(f"{k} = 2").select("file_path"))]
+        for j in jobs:
+            j.result()
+    own = store.Store(spark, top, 8)
+    m = own.manifest()
+    return own.rows().select("file_path", "chunk_id", F.lit(m.chunk_count).cast("long").alias("chunks"), F.lit(m.file_count).cast("long").alias("files"))
+
+
 # -- hints ---------------------------------------------------------------------------------------
 
 #: Command lines and the patterns that they search for.

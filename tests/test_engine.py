@@ -202,3 +202,85 @@ def test_provider_choice():
     assert embedding.endpoint(" http://x// ") == "http://x"
     with pytest.raises(embedding.Unavailable):
         embedding.Model("none", 4, folder="/nowhere").embed(["a"])
+
+
+def chunk_row(path, chunk_id, text="x", vector=(1.0, 2.0)):
+    return ("r", path, 0, 1, 1, 1, chunk_id, "python", "function", None, bytearray(b"h"), text, list(vector))
+
+
+def test_one_edit_is_one_bucket(spark, tmp_path, monkeypatch):
+    s = S.Store(spark, str(tmp_path / "s"), 16)
+    s.write_manifest(S.Manifest("stub", 2))
+    s.append(spark.createDataFrame([chunk_row(f"f{k}", k) for k in range(200)], S.CHUNKS), 2)
+    s.note(spark.createDataFrame([("empty", bytearray(b"e"))], S.FILES))
+    was = s._state()
+    read = []
+    for name in ("_read", "_hashes"):
+        monkeypatch.setattr(S.Store, name, lambda self, *a, f=getattr(S.Store, name): read.append(out := f(self, *a)) or out)
+    s.replace(spark.createDataFrame([chunk_row("f7", 7), chunk_row("f7", 1007)], S.CHUNKS), 2)
+    now = s._state()
+    changed = {kind: {b for b in now[kind] if now[kind][b] != was[kind].get(b)} for kind in ("chunks", "files", "counts")}
+    assert all(len(c) == 1 for c in changed.values()) and len({*changed["chunks"], *changed["files"]}) == 1
+    [bucket] = changed["chunks"]
+    # what was read lies in that bucket, and so does what was written
+    files = {f for df in read for f in df.inputFiles()}
+    assert files and all(f"/bucket={bucket}/" in f for f in files)
+    assert all(len(list((tmp_path / "s" / d.split("/")[0]).glob("bucket=*"))) == 1 for kind in ("chunks", "files") for d in now[kind][bucket])
+    assert (s.manifest().chunk_count, s.manifest().file_count) == (201, 200) and s.count() == 201 and s.files().count() == 201
+    assert s.files(spark.createDataFrame([("f7",), ("none",)], "file_path string")).count() == 1
+
+
+def test_readers_outlive_a_commit(spark, tmp_path):
+    s = S.Store(spark, str(tmp_path / "s"), 4)
+    s.append(spark.createDataFrame([chunk_row(f"f{k}", k) for k in range(40)], S.CHUNKS), 2)
+    rows, one = s.rows(), s.file("f3")
+    s.replace(spark.createDataFrame([chunk_row("f3", 99)], S.CHUNKS), 2)
+    s.vacuum()
+    assert rows.count() == 40 and one.first().chunk_id == 3 and s.file("f3").first().chunk_id == 99
+    before = {p.name for p in (tmp_path / "s").glob("data-*/bucket=*")}, len(list((tmp_path / "s").glob("data-*/bucket=*")))
+    s.vacuum(-10_000)  # nobody reads the old state any more
+    named = {d for dirs in s._state()["chunks"].values() for d in dirs}
+    assert {f"{p.parent.name}/{p.name}" for p in (tmp_path / "s").glob("data-*/bucket=*")} == named and before[1] > len(named)
+    assert s.count() == 40 and len(list((tmp_path / "s").glob("state-*.json"))) == 1
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    """While one writer is between its data and its commit another one commits: to other buckets, and to the same."""
+    top = str(tmp_path / "s")
+    s = S.Store(spark, top, 4)
+    s.write_manifest(S.Manifest("stub", 2))
+    s.append(spark.createDataFrame([chunk_row(f"f{k}", k) for k in range(40)], S.CHUNKS), 2)
+    write, done = S.Store._write_chunks, []
+
+    def slow(self, rows):
+        out = write(self, rows)
+        if not done:
+            done.append(1)
+            S.Store(spark, top, 4).delete(spark.createDataFrame([("f1",), ("f2",), ("f3",), ("f4",), ("f5",)], "file_path string"))
+            S.Store(spark, top, 4).append(spark.createDataFrame([chunk_row("new", 500)], S.CHUNKS), 2)
+        return out
+
+    monkeypatch.setattr(S.Store, "_write_chunks", slow)
+    s.replace(spark.createDataFrame([chunk_row("f9", 909, "new")], S.CHUNKS), 2)
+    got = {(r.file_path, r.chunk_id) for r in s.rows().collect()}
+    assert got == {(f"f{k}", k) for k in range(40) if k not in (1, 2, 3, 4, 5, 9)} | {("f9", 909), ("new", 500)}
+    assert s.manifest().chunk_count == len(got) == s.count()
+    assert {n for n, _ in s._listed() if n.startswith("aside-")} == set()
+
+
+def test_an_index_of_another_model_is_built_anew(spark, tmp_path):
+    root = project(tmp_path / "p", FILES)
+    engine(spark, root).index()
+    new = settings(embedding={"model": "stub-2", "dimensions": 4})
+    with pytest.raises(S.ModelMismatch):
+        E.Engine(spark, str(root), new, buckets=4)
+    e = E.Engine(spark, str(root), new, validated=False, buckets=4)
+    assert e.search("hent").degraded_hint == E.MISMATCH_HINT
+    with pytest.raises(S.ModelMismatch):
+        (root / "src/beta.py").write_text("def beta():\n    pass\n")
+        e.reindex_file("src/beta.py")
+    assert e.index().chunk_count == 3 and (e.store.manifest().embedding_model, e.store.manifest().dimensions) == ("stub-2", 4)
+    assert {len(r.vector) for r in e.store.rows().collect()} == {4} and e.search("hent").degraded_hint is None
+    e2 = engine_of = E.Engine(spark, str(root), settings(), validated=False, buckets=4)
+    engine_of.clear()
+    assert e2.stats() == E.Stats() and e2.index().chunk_count == 3 and E.Engine(spark, str(root), settings(), buckets=4).stats().chunk_count == 3
