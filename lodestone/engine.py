@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import config as K
-from lodestone.functions import shell
+from lodestone.functions import commands
 from lodestone.functions import text as X
 from lodestone.functions.embedding import Fallback, Http, Model, Provider, Stub, Unavailable, embed
 from lodestone.operators import chunking, overview, similarity
@@ -100,7 +100,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, config: K.Config | None = None, provider: Provider | None = None, store: str | None = None, validated: bool = True, buckets: int = 64):
         self.spark, self.root = spark, str(Path(root).resolve())
         self.config = K.validate(config or K.load(f"{self.root}/.lodestone/config.toml"))
-        self.provider = provider or provider_of(self.config)
+        self.provider = provider or cached_provider(self.config)
         self.store = S.Store(spark, store or f"{self.root}/{self.config.paths.index_dir}", buckets)
         if validated and (m := self.store.manifest()) is not None:
             m.check(self.provider.model_id, self.provider.dimensions)
@@ -323,9 +323,8 @@ class Engine:
         if not self.config.hooks.intercept_grep:
             return None
         p = F.lit(payload)
-        pattern = F.get_json_object(p, "$.pattern")
-        row = self.spark.range(1).select(F.get_json_object(p, "$.command").alias("command"), F.when(~shell.scoped(p), pattern).alias("pattern")).first()
-        asked = shell.search_command(row.command) if tool == "Bash" else row.pattern if tool == "Grep" else None
+        asks = {"Bash": commands.searched(F.get_json_object(p, "$.command")), "Grep": F.when(~commands.scoped(p), F.get_json_object(p, "$.pattern"))}
+        asked = self.spark.range(1).select(asks[tool].alias("asked")).first().asked if tool in asks else None
         if asked is None or self.spark.range(1).select(X.passthrough(F.lit(asked))).first()[0]:
             return None
         return asked

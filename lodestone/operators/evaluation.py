@@ -16,8 +16,6 @@ from lodestone.functions import text as X
 from lodestone.operators import chunking
 from lodestone.operators.similarity import nearest_rank
 
-#: Fixed value: where the order of edits starts.
-SHUFFLE_SEED = 0x2545F4914F6CDD1D
 SESSION, DEPTHS = 10, (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)
 
 
@@ -44,17 +42,6 @@ def mentions(chunks: DataFrame) -> DataFrame:
     return every.where("files > 1").select("symbol", (F.col("n") - F.col("home")).alias("mentions"), (F.col("files") - 1).alias("files"))
 
 
-def shuffled(n: int) -> list[int]:
-    """The places of n in a fixed order without a pattern: swaps from the end by an xorshift generator."""
-    out, state, mask = list(range(n)), SHUFFLE_SEED, (1 << 64) - 1
-    for last in range(n - 1, 0, -1):
-        for left, bits in ((True, 13), (False, 7), (True, 17)):
-            state ^= (state << bits if left else state >> bits) & mask
-        other = state % (last + 1)
-        out[last], out[other] = out[other], out[last]
-    return out
-
-
 def pool(pairs: DataFrame, least: float = 0.0) -> DataFrame:
     """(edit, file_path, score, rank): each edit's files by their best score, from ``least`` up."""
     best = pairs.groupBy("edit", "file_path").agg(F.max("score").alias("score")).where(F.col("score") >= least)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import shell
+from lodestone.functions import commands
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.functions.hashing import xxh3_128
@@ -201,7 +201,7 @@ def tokenize(spark, sf_dir):
     return t.select("doc_id", F.get("t", F.lit(0)).alias("first_token"), F.size("t").cast("long").alias("n_tokens"))
 
 
-GENERIC = ", ".join(repr(s) for s in "new main default from into next drop clone eq hash cmp fmt get set run id len add build parse read write init test name value path start end close open to_string as_str".split())
+GENERIC = ", ".join(repr(s) for s in X.GENERIC_SYMBOLS)
 
 
 # -- vectors -------------------------------------------------------------------------------------
@@ -634,7 +634,7 @@ def search_commands(spark, sf_dir):
     """P20: patterns of command lines, against a table of what they are."""
     lines = F.array(*(F.lit(c) for c, _ in COMMANDS))
     e = table(spark, sf_dir, "events").select("event_id", F.get(lines, (F.col("event_id") % len(COMMANDS)).cast("int")).alias("command"))
-    return e.select("event_id", "command", shell.searched(F.col("command")).alias("pattern"))
+    return e.select("event_id", "command", commands.searched(F.col("command")).alias("pattern"))
 
 
 NEAR = "SELECT event_id, user_id::VARCHAR AS session, 'f' || (event_id % 40) || '.py' AS edited_path, 'f' || (event_id % 37) || (CASE WHEN event_id % 4 = 0 THEN '.md' ELSE '.py' END) AS file_path, 'n' || (event_id % 3) AS name, event_id % 50 AS line_start, event_id % 50 + event_id % 7 AS line_end, round((event_id % 101) / 100::DOUBLE, 2) AS score FROM events"

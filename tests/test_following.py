@@ -1,68 +1,15 @@
 """Locks, readiness, health, windows, stored names and interception."""
 
-import os
-import stat
-
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import engine as E
 from lodestone.functions import text as X
 from lodestone.operators import chunking, ranges
-from lodestone.sources import layout as L
 
 from test_engine import FILES, engine, project
 
 
-def test_layout(tmp_path):
-    own = L.Layout(str(tmp_path))
-    top = own.ensure()
-    assert stat.S_IMODE(top.stat().st_mode) == 0o700 and (top / ".gitignore").read_text() == "*\n"
-    assert own.path("queue") == str(top / "queue") and own.path("seen", "a") != own.path("seen", "b") and own.path("seen", "a/../b").startswith(str(top / "seen-"))
-
-
-def test_lock(tmp_path):
-    path = str(tmp_path / "lock")
-    with L.Lock(path) as one:
-        with pytest.raises(L.Busy):
-            L.Lock(path).__enter__()
-        one.beat()
-        os.utime(path, (0, 0))  # no sign of life for long
-        with L.Lock(path) as two:
-            with pytest.raises(L.Busy):
-                one.beat()
-            two.beat()
-    assert not os.path.exists(path) and not one.held()
-
-
-def test_readiness():
-    p = L.Pending("t0", 100.0)
-    assert [L.readiness(p, "t0", t) for t in (101, 110, 159, 161)] == ["new", "running", "running", "failed"]
-    assert L.readiness(p, "t1", 110) == "ready" and L.readiness(None, "t1", 0) == "none" and L.readiness(L.Pending(None, 100.0), None, 200) == "failed"
-    assert L.readiness(L.Pending("t0", 100.0, True), "t0", 900) == "running"
-    shown = L.Shown()
-    assert [shown.fresh(*x) for x in (("s", "p", 1), ("s", "p", 1), ("s", "q", 1), (None, None, 1), (None, "p", 1), (None, None, 2))] == [True, False, True, True, False, True]
-
-
-def test_health():
-    class Provider:
-        calls, fails = 0, False
-
-        def health_check(self):
-            self.calls += 1
-            if self.fails:
-                raise RuntimeError
-
-    now, p = [0.0], Provider()
-    h = L.Health(clock=lambda: now[0])
-    assert h.ok(p) and h.ok(p) and p.calls == 1
-    now[0], p.fails = 61.0, True
-    assert not h.ok(p) and not h.ok(p) and p.calls == 2
-    now[0], p.fails = 92.0, False
-    assert h.ok(p) and p.calls == 3
-    assert L.stamp(0) == "1970-01-01T00:00:00Z"
-
-
 def test_windows_and_names(spark):
     files = [("a", 3, 10), ("b", 1, 10), ("c", 9, 1), ("d", 1, 1)]
     assert [[f[0] for f in w] for w in chunking.windows(files, 4, 100)] == [["a", "b"], ["c"], ["d"]]

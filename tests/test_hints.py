@@ -3,33 +3,39 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import embedding, shell
+from lodestone.functions import commands, embedding
 from lodestone.functions import text as X
 from lodestone.operators import chunking, evaluation, hints
 from lodestone.operators import similarity
 from lodestone.sources import ledgers
 
 
-@pytest.mark.parametrize(
-    "command, want",
-    [
-        ("rg foo", "foo"), ("grep -n 'two words'", "two words"), ("git grep foo", "foo"), ("git log foo", None), ("ls foo", None),
-        ("time nice rg foo", "foo"), ("stdbuf -oL -eL rg foo", "foo"), ("stdbuf rg foo", "foo"), ("env A=1 B=2 ag foo", "foo"), ("env", None),
-        ("rg foo src", None), ("rg -l foo", None), ("rg -nv foo", None), ("rg --count foo", None), ("rg --json foo", None),
-        ("rg -e foo", "foo"), ("rg -efoo", None), ("rg -emain", "main"), ("rg -e foo -e bar", None), ("rg --regexp=foo", "foo"), ("rg --regexp foo", "foo"), ("rg --regexp", None),
-        ("rg -t py foo", "foo"), ("rg --glob '*.py' foo", "foo"), ("rg --type=py foo", "foo"), ("rg -- -foo", "-foo"), ("rg --hidden foo", "foo"),
-        ("rg 'unclosed", None), ("", None), (None, None), ("rg", None), ("rg -", "-"), ("rg -e", None), ("rg -i foo", "foo"),
-    ],
-)
-def test_search_commands(command, want):
-    assert shell.search_command(command) == want
+COMMANDS = [
+    ("rg foo", "foo"), ("grep -n 'two words'", "two words"), ("git grep foo", "foo"), ("git log foo", None), ("ls foo", None),
+    ("time nice rg foo", "foo"), ("stdbuf -oL -eL rg foo", "foo"), ("stdbuf rg foo", "foo"), ("env A=1 B=2 ag foo", "foo"), ("env", None),
+    ("rg foo src", None), ("rg -l foo", None), ("rg -nv foo", None), ("rg --count foo", None), ("rg --json foo", None),
+    ("rg -e foo", "foo"), ("rg -efoo", None), ("rg -emain", "main"), ("rg -e foo -e bar", None), ("rg --regexp=foo", "foo"), ("rg --regexp foo", "foo"), ("rg --regexp", None),
+    ("rg -t py foo", "foo"), ("rg --glob '*.py' foo", "foo"), ("rg --type=py foo", "foo"), ("rg -- -foo", "-foo"), ("rg --hidden foo", "foo"),
+    ("rg 'unclosed", None), ("", None), (None, None), ("rg", None), ("rg -", "-"), ("rg -e", None), ("rg -i foo", "foo"),
+]
+#: Quotes and escapes, where they end and where not, and options that the list above has not.
+COMMANDS += [
+    ('rg "two words"', "two words"), ("rg 'it'\"'s\"", "it's"), ("rg two\\ words", "two words"), ('rg "open', None), ("rg foo | head", None), ("  rg   foo  ", "foo"), ("rgx foo", None), ("ripgrep -T md -g '*.rs' foo", "foo"), ("env A=1 time rg foo", "foo"),
+    ("git  grep -e foo", "foo"), ("rg --type", None), ("rg -A 3 foo", None), ("rg -- foo bar", None), ("rg ''", ""), ("rg --color never --sort path foo", "foo"), ("rg -e -x", "-x"),
+]
+
+
+def test_search_commands(spark):
+    df = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(COMMANDS)], "k int, c string").select("k", commands.searched(F.col("c")).alias("p"))
+    assert [(COMMANDS[r.k][0], r.p) for r in sorted(df.collect())] == COMMANDS
+    assert "Python" not in df._jdf.queryExecution().toString()
 
 
 def test_command_column(spark):
     df = spark.createDataFrame([("rg foo",), (None,), ("ls",)], "c string")
-    assert [r[0] for r in df.select(shell.searched(F.col("c"))).collect()] == ["foo", None, None]
+    assert [r[0] for r in df.select(commands.searched(F.col("c"))).collect()] == ["foo", None, None]
     df = spark.createDataFrame([('{"pattern": "x"}',), ('{"pattern": "x", "-A": 2}',), ('{"path": "src"}',), (None,)], "p string")
-    assert [r[0] for r in df.select(shell.scoped(F.col("p"))).collect()] == [False, True, True, False]
+    assert [r[0] for r in df.select(commands.scoped(F.col("p"))).collect()] == [False, True, True, False]
 
 
 def test_which_events_change_files(spark):
@@ -126,7 +132,6 @@ def test_empty_and_null_vectors(spark):
 
 
 def test_edits_and_replay(spark):
-    assert sorted(evaluation.shuffled(20)) == list(range(20)) != evaluation.shuffled(20) and evaluation.shuffled(0) == []
     rows = [("a", k, [float(k), 1.0]) for k in range(5)] + [("b", 9, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "file_path string, chunk_id long, vector array<double>")
     own = lambda how: sorted((r.own, r.vector[0]) for r in evaluation.edits(df, how).collect())
