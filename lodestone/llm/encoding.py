@@ -162,7 +162,9 @@ def encode(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFr
     sold = sold.where("sale_id is not null and t is not null").groupBy("sale_id").agg(F.min(F.struct("t", "client_id")).alias("r"))
     sold = sold.select("sale_id", "r.*", fold_of(F.col("sale_id")).alias("fold"))
     one = own.groupBy("sale_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(sold, "sale_id")
-    one = one.join(_of(clients, "client_id", "segment", "segment"), "client_id", "left").withColumns({"segment": _shared("segment"), "all": F.lit("")})
+    # written first, so that both sides of each join are plain exchanges, of which Spark splits a hot id's
+    of = {key: scratch.put(_of(*about)) for key, about in (("client_id", (clients, "client_id", "segment", "segment")), ("item_id", (items, "item_id", "kind", "kind")), ("vendor_id", (vendors, "vendor_id", "nation_id", "nation")))}
+    one = scratch.put(one).join(of["client_id"], "client_id", "left").withColumns({"segment": _shared("segment"), "all": F.lit("")})
     one = scratch.put(one)
     found = {key: cells(one, key, scratch, most) for key in ("all", "segment", "client_id")}
     for key, cell in found.items():
@@ -171,7 +173,7 @@ def encode(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFr
     one = one.withColumn("prior", prior).withColumn("client_prior", rate(F.col("segment_n"), F.col("segment_s"), F.col("prior")))
     one = one.select("sale_id", "t", "fold", "prior", F.col("client_id_n").alias("client_n"), rate(F.col("client_id_n"), F.col("client_id_s"), F.col("client_prior")).alias("client_rate"))
     rows = own.join(one, "sale_id")
-    rows = rows.join(_of(items, "item_id", "kind", "kind"), "item_id", "left").join(_of(vendors, "vendor_id", "nation_id", "nation"), "vendor_id", "left")
+    rows = rows.join(of["item_id"], "item_id", "left").join(of["vendor_id"], "vendor_id", "left")
     rows = scratch.put(rows.withColumns({"kind": _shared("kind"), "nation": _shared("nation"), "vendor": F.coalesce("vendor_id", F.lit(NO_ID))}))
     found = {key: cells(rows, key, scratch, most) for key in ("kind", "nation", "item_id", "vendor")}
     for key, cell in found.items():
