@@ -134,8 +134,13 @@ def search(corpus: DataFrame, query: str, vector: DataFrame | list[float] | None
     tokens = X.tokens_of(query)
     df = dense(bm25(term_counts(filtered(corpus, languages, prefix), tokens), tokens, s), vector)
     hit = X.name_hit(F.col("name"), tokens)
+    return ranked(df.withColumn("ident", hit).select(*KEYS, "dense", "bm25", "ident"), s)
+
+
+def ranked(scored: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The best hit of each file of scored chunks (keys, dense, bm25, ident), by score."""
     # ranks and maxima read the scores several times
-    df = fused(written(df.withColumn("ident", hit).select(*KEYS, "dense", "bm25", "ident"), "scores"), s)
+    df = fused(written(scored, "scores"), s)
     df = df.withColumn("score", F.round(boosted(F.col("fused"), F.col("ident"), s), 6))
     df = df.where(((F.col("bm25") > 0) | F.col("ident") | (F.col("dense") >= s.similarity_threshold)) & (F.col("score") >= s.min_score))
     first = Window.partitionBy("repo", "file_path").orderBy(F.desc("score"), "byte_start", "chunk_id")

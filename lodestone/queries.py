@@ -17,6 +17,7 @@ from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.functions.hashing import xxh3_128
 from lodestone.operators import chunking, evaluation, hints, overview, ranges, similarity, store
+from lodestone.plans import postings
 from lodestone.plans import search as S
 from lodestone.scratch import fresh, written
 from lodestone.sources.files import union_repos
@@ -176,6 +177,30 @@ def bm25_scores(spark, sf_dir):
     return S.bm25(S.term_counts(corpus(spark, sf_dir, vectors=False), tokens), tokens).select("chunk_id", "bm25")
 
 
+def stored(spark, sf_dir, named: bool = False) -> postings.Postings:
+    return postings.Postings(spark, fresh(spark, "postings"), 32).build(corpus(spark, sf_dir, vectors=False, named=named))
+
+
+@query(search_sql(dense=None) + "SELECT * FROM top")
+def stored_lexical(spark, sf_dir):
+    """V3, J10, A1-A4 from stored postings."""
+    return stored(spark, sf_dir).search(QUERY)
+
+
+@query(search_sql("d.lang IN ('en', 'fr')", named=True) + "SELECT * FROM top")
+def stored_hybrid(spark, sf_dir):
+    """V1, V2, P1, F36 from stored postings and a scan of the vectors alone."""
+    c = corpus(spark, sf_dir, named=True)
+    index = postings.Postings(spark, fresh(spark, "postings"), 32).build(c)
+    return index.search(QUERY, first_vector(spark, sf_dir), c.drop("content"), languages=["en", "fr"])
+
+
+@query(search_sql(dense=None) + "SELECT repo, file_path, 0 AS byte_start, chunk_id, bm25 FROM s WHERE bm25 > 0 ORDER BY bm25 DESC, repo, file_path, chunk_id LIMIT 10")
+def stored_top(spark, sf_dir):
+    """The best chunks, without the parts of lists that cannot hold one."""
+    return stored(spark, sf_dir).top(QUERY, 10)
+
+
 TOKENS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
 
 
