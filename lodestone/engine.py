@@ -19,7 +19,8 @@ from lodestone.operators import chunking, overview, similarity
 from lodestone.operators import store as S
 from lodestone.plans import search as P
 from lodestone.sources import files as E
-from lodestone.streaming import state
+from lodestone.sources import queue_log
+from lodestone.streaming import queue, state
 
 #: Hints that go with results.
 STALE_HINT = "Some files changed after they were indexed; index again for fresh results."
@@ -188,8 +189,13 @@ class Engine:
         """One file's chunks are brought up to date; a file that is gone, ignored or too large loses them."""
         return self.reindex([path], now)
 
-    def reindex(self, paths: list[str], now: str | None = None) -> Stats:
-        """As ``reindex_file`` for several files, in one write; files that did not change cost one listing."""
+    def reindex(self, paths: list[str], now: str | None = None, batch: tuple[str, int] | None = None) -> Stats:
+        """As ``reindex_file`` for several files, in one write; files that did not change cost one listing.
+
+        ``batch`` (a stream's name, its batch's number) is noted in the commit itself; a batch that has gone in changes nothing when it runs again.
+        """
+        if batch is not None and (m := self.store.manifest()) is not None and (m.batches or {}).get(batch[0], -1) >= batch[1]:
+            return self.stats()
         i = self.config.indexing
         rules = E.Filter(Path(self.root), i.respect_gitignore)
         wanted = [p for p in dict.fromkeys(map(self.relative, paths)) if rules.watchable(p)]
@@ -207,7 +213,8 @@ class Engine:
         gone = S.orphans(stored, current).select("file_path")
         if not (changed.isEmpty() and gone.isEmpty()):
             todo = files.join(changed.select(F.col("file_path").alias("rel_path")), "rel_path", "left_semi")
-            self._replace(self._rows(todo), changed, gone, last_incremental_at=now or now_utc())
+            noted = {} if batch is None else {"batches": {**(self.store.manifest().batches or {}), batch[0]: batch[1]}}
+            self._replace(self._rows(todo), changed, gone, last_incremental_at=now or now_utc(), **noted)
             self.store.vacuum()
         return self.stats()
 
@@ -332,9 +339,13 @@ class Engine:
     def follow(self, edits: DataFrame, checkpoint: str, **trigger):
         """A streaming query over edits (path) that brings each batch's files up to date, in one write a batch.
 
-        It may run a batch again after a failure; that finds nothing changed.
+        The write carries the batch's number under the checkpoint's name: a batch that runs again after a failure between the two is known, and left.
         """
-        return state.indexer(edits, lambda df, _: self.reindex([r.path for r in df.collect()]), checkpoint, **trigger)
+        return state.indexer(edits, lambda df, k: self.reindex([r.path for r in df.collect()], batch=(checkpoint, k)), checkpoint, **trigger)
+
+    def drain(self, folder: str, checkpoint: str, **trigger):
+        """``follow`` the logs of an edit queue, of whose batch each path is brought up to date once."""
+        return self.follow(queue.parse(queue_log.stream(self.spark, folder)), checkpoint, **trigger)
 
     def overview(self, prefix: str | None = None) -> DataFrame:
         """V7."""

@@ -71,6 +71,8 @@ class Manifest:
     chunk_count: int = 0
     file_count: int = 0
     similarity_floor: float | None = None
+    #: The last batch of each stream that has gone in.
+    batches: dict | None = None
 
     def check(self, model: str, dimensions: int) -> None:
         """Schema, then model, then width."""

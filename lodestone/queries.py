@@ -748,6 +748,22 @@ def _streamed(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], Dat
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
+@query(f"WITH q AS ({QUEUE}) SELECT path, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS edits, arg_max(session, (ts, seq)) FILTER (session IS NOT NULL) AS session FROM q GROUP BY 1")
+def queue_stream(spark, sf_dir):
+    """The queue as logs that a stream reads by bytes: each path's edits and its last named session."""
+    from lodestone.sources import queue_log
+
+    at = fresh(spark, "queue")
+    q = edit_queue(spark, sf_dir)
+    q.orderBy("seq").select(Q.format_line(F.col("ts"), F.col("path"), F.col("session")).alias("value")).write.text(f"{at}/logs")
+    rows = Q.parse(queue_log.stream(spark, f"{at}/logs", 1 << 16), keep=["log", "upto"])
+    query = rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema(rows.schema).parquet(f"{at}/out")
+    named = F.max(F.when(F.col("session").isNotNull(), F.struct("ts", "log", "upto", "session")))
+    return out.groupBy("path").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("edits"), named.alias("n")).select("path", "first_seen", "last_seen", "edits", F.col("n.session").alias("session"))
+
+
 #: Events as edits by a clock two hundred times as fast, in order by path.
 FAST = "SELECT event_type AS path, epoch_us(ts) // 200000 AS ms FROM events"
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 DEBOUNCE, MAX_WAIT = 10_000, 60_000
 
 
-def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(ts, path, session) of well-formed lines; others are skipped. Works on streams."""
+def parse(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """(ts, path, session) of well-formed lines, and the columns ``keep``; others are skipped. Works on streams."""
     p = F.split(column, "\t")
     ok = F.size(p).between(2, 3) & F.rlike(p[0], F.lit(r"^\d{1,18}$")) & (p[1] != "")
-    return lines.where(ok).select(p[0].cast("long").alias("ts"), p[1].alias("path"), F.nullif(F.get(p, F.lit(2)), F.lit("")).alias("session"))
+    return lines.where(ok).select(p[0].cast("long").alias("ts"), p[1].alias("path"), F.nullif(F.get(p, F.lit(2)), F.lit("")).alias("session"), *(keep or []))
 
 
 def format_line(ts, path, session):
