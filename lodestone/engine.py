@@ -132,7 +132,7 @@ class Engine:
             raise NotARepository(f"{self.root} is no git work tree")
         now = now or now_utc()
         say = progress or (lambda what, n: None)
-        # listing and hashes once: content is read again for changed files only
+        # the tree is walked and hashed once
         files = self.enumerate()
         current = files.select(F.col("rel_path").alias("file_path"), "file_hash", "force_indexed").persist()
         try:
@@ -158,7 +158,9 @@ class Engine:
             changed = S.changed_files(current, stored, again).select("file_path", "file_hash").persist()
             say("changed", changed.count())
             gone = S.orphans(stored, current).select("file_path")
-            todo = files.join(changed.select(F.col("file_path").alias("rel_path")), "rel_path", "left_semi")
+            # content is read again for changed files only
+            asked = changed.join(current, "file_path").select(F.col("file_path").alias("rel_path"), "force_indexed")
+            todo = E.read_files(asked, self.root, self.config.indexing.max_file_size_kb)
             if m is None:
                 self.store.write_manifest(self._fresh())
             self._replace(self._rows(todo), changed, gone)
@@ -202,7 +204,8 @@ class Engine:
         if not wanted:
             return self.stats()
         asked = self.spark.createDataFrame([(p,) for p in wanted], "file_path string")
-        files = E.read_files(self.spark, self.root, [(p, rules.forced(p)) for p in wanted if os.path.isfile(f"{self.root}/{p}")], i.max_file_size_kb)
+        chosen = self.spark.createDataFrame([(p, rules.forced(p)) for p in wanted if os.path.isfile(f"{self.root}/{p}")], "rel_path string, force_indexed boolean")
+        files = E.read_files(chosen, self.root, i.max_file_size_kb)
         current = files.select(F.col("rel_path").alias("file_path"), "file_hash")
         if (m := self.store.manifest()) is None:
             self.store.write_manifest(self._fresh())
@@ -220,7 +223,7 @@ class Engine:
 
     def prune(self, now: str | None = None) -> Stats:
         """Rows and hashes of files that are no longer there go."""
-        there = self.spark.createDataFrame([(p,) for p, _ in E.listing(self.root, self.config.indexing.respect_gitignore)], "file_path string")
+        there = E.tree(self.spark, self.root, self.config.indexing.respect_gitignore).select(F.col("rel_path").alias("file_path"))
         gone = S.orphans(self.store.files(), there).select("file_path")
         if not gone.isEmpty():
             self.store.delete(gone)

@@ -1,16 +1,21 @@
-"""Enumerating a source tree: listing, include and ignore rules, languages and hashes."""
+"""Enumerating a source tree as a data source: subtrees are partitions, and rule files are read along the path that is walked.
+
+The driver looks at directories until there are enough subtrees to go round, never at files; a task walks its own subtrees, with the rules of the
+directories above them. Paths are rows, whose content is read and hashed where it is wanted.
+"""
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestone.functions import text as X
 from lodestone.functions.hashing import xxh3_128
@@ -80,32 +85,44 @@ class Rules:
 
 
 class Filter:
-    """Nested rule files; an include wins over ignores, a deeper ignore file over a higher one."""
+    """Nested rule files; an include wins over ignores, a deeper file over a higher one.
+
+    A path is judged by the rule files of the directories above it, from the top down; each is read once, when it is first passed.
+    """
 
     def __init__(self, root: Path, respect_gitignore: bool = True):
-        self.git, self.ignore, self.include = [], [], []
-        for d, dirs, names in os.walk(root):
-            dirs[:] = [x for x in dirs if x != ".git"]
-            base = os.path.relpath(d, root).replace(os.sep, "/")
-            base = "" if base == "." else base
-            for name, to in ((".gitignore", self.git if respect_gitignore else None), (IGNORE, self.ignore), (INCLUDE, self.include)):
-                if to is not None and name in names:
-                    to.append(Rules((Path(d) / name).read_text(errors="replace").splitlines(), base))
+        self.root, self.names = Path(root), (".gitignore" if respect_gitignore else None, IGNORE, INCLUDE)
+        self.read: dict[str, tuple] = {}
 
-    @staticmethod
-    def _verdict(rules: list[Rules], path: str) -> bool:
-        out = False
-        for r in sorted(rules, key=lambda r: r.base.count("/") + bool(r.base)):
-            if (v := r.matches(path)) is not None:
+    def _rules(self, folder: str) -> tuple:
+        """The git, ignore and include rules of one directory."""
+        if folder not in self.read:
+            own = []
+            for name in self.names:
+                f = self.root / folder / name if name else None
+                own.append(Rules(f.read_text(errors="replace").splitlines(), folder) if f is not None and f.is_file() else None)
+            self.read[folder] = tuple(own)
+        return self.read[folder]
+
+    def _verdict(self, kind: int, path: str) -> bool:
+        out, parts = False, path.split("/")
+        for k in range(len(parts)):
+            rules = self._rules("/".join(parts[:k]))[kind]
+            if rules is not None and (v := rules.matches(path)) is not None:
                 out = v
         return out
 
     def forced(self, path: str) -> bool:
-        return self._verdict(self.include, path)
+        return self._verdict(2, path)
+
+    def git_ignored(self, path: str) -> bool:
+        return self._verdict(0, path)
 
-    def kept(self, path: str, tracked: bool = False) -> bool:
+    def kept(self, path: str, tracked: Callable[[str], bool] | None = None) -> bool:
         """A file that git tracks is there whatever .gitignore says of it."""
-        return self.forced(path) or not ((self._verdict(self.git, path) and not tracked) or self._verdict(self.ignore, path))
+        if self.forced(path):
+            return True
+        return not self._verdict(1, path) and not (self.git_ignored(path) and not (tracked is not None and tracked(path)))
 
     def watchable(self, path: str, state: str = ".lodestone") -> bool:
         parts = path.split("/")
@@ -154,45 +171,127 @@ def _varint(data: bytes, at: int) -> tuple[int, int]:
     return value, at + 1
 
 
-def listing(root: str, respect_gitignore: bool = True, state: str = ".lodestone", follow_symlinks: bool = False) -> list[tuple[str, bool]]:
-    """(path, forced) of a local tree, sorted; hidden files count, .git and the state folder do not."""
-    top = Path(root).resolve()
-    rules, known = Filter(top, respect_gitignore), tracked(str(top))
-    out = []
-    for d, dirs, names in os.walk(top):
-        dirs[:] = sorted(x for x in dirs if x not in (".git", state))
-        for n in names:
-            p = Path(d) / n
-            if p.is_symlink() and not (follow_symlinks and p.resolve().is_relative_to(top)):
-                continue
-            rel = p.relative_to(top).as_posix()
-            if p.is_file() and n not in (".gitignore", IGNORE, INCLUDE) and rules.kept(rel, rel in known):
-                out.append((rel, rules.forced(rel)))
-    return sorted(out)
+#: Directories that the driver looks at before subtrees are dealt out, bytes of a batch of contents.
+FOLDERS, CONTENT_BYTES = 256, 8 << 20
 
 
-def enumerate_files(spark: SparkSession, root: str, repo: str | None = None, max_kb: int = MAX_KB, **rules) -> DataFrame:
-    """S3: files up to a size (inclusive) with language and hash; only those that the rules keep are opened."""
-    return read_files(spark, root, listing(root, **rules), max_kb, repo)
+class Subtree(InputPartition):
+    """A directory, with all below it or its own files only."""
+
+    def __init__(self, folder: str, deep: bool):
+        self.folder, self.deep = folder, deep
 
 
-def read_files(spark: SparkSession, root: str, chosen: list[tuple[str, bool]], max_kb: int = MAX_KB, repo: str | None = None) -> DataFrame:
-    """Some files (path, forced) below ``root``; content is read and hashed by the executors."""
+class TreeReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root = options["path"]
+        self.respect, self.follow = options.get("gitignore", "true") == "true", options.get("symlinks", "false") == "true"
+        self.skip, self.folders = {".git", options.get("state", ".lodestone")}, int(options.get("folders", FOLDERS))
+
+    def _below(self, folder: str) -> list[str]:
+        top = os.path.join(self.root, folder) if folder else self.root
+        with os.scandir(top) as found:
+            return sorted(f"{folder}/{x.name}" if folder else x.name for x in found if x.is_dir(follow_symlinks=False) and x.name not in self.skip)
+
+    def partitions(self) -> list[Subtree]:
+        """Subtrees, level by level, until there are enough; what lies between the top and them are directories by themselves."""
+        done, level = [], [""]
+        while level and len(done) + len(level) < self.folders:
+            below = [f for folder in level for f in self._below(folder)]
+            done += [Subtree(folder, False) for folder in level]
+            level = below
+        return done + [Subtree(folder, True) for folder in level]
+
+    def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
+        top = Path(self.root)
+        rules, known = Filter(top, self.respect), []
+
+        def in_git(path: str) -> bool:
+            if not known:
+                known.append(tracked(self.root))
+            return path in known[0]
+
+        def wanted() -> Iterator[tuple[str, bool]]:
+            for d, dirs, names in os.walk(top / partition.folder):
+                dirs[:] = sorted(x for x in dirs if x not in self.skip) if partition.deep else []
+                for n in sorted(names):
+                    p = Path(d) / n
+                    if p.is_symlink() and not (self.follow and p.resolve().is_relative_to(top)):
+                        continue
+                    rel = p.relative_to(top).as_posix()
+                    if p.is_file() and n not in (".gitignore", IGNORE, INCLUDE) and rules.kept(rel, in_git):
+                        yield rel, rules.forced(rel)
+
+        held: list[tuple[str, bool]] = []
+        for row in wanted():
+            held.append(row)
+            if len(held) == 10_000:
+                yield self._batch(held)
+                held = []
+        if held:
+            yield self._batch(held)
+
+    @staticmethod
+    def _batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], ["rel_path", "force_indexed"])
+
+
+class TreeSource(DataSource):
+    """``spark.read.format("lodestone_tree").option("path", root)``: rel_path and force_indexed of the files that the rules keep."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lodestone_tree"
+
+    def schema(self) -> str:
+        return "rel_path string, force_indexed boolean"
+
+    def reader(self, schema) -> TreeReader:
+        return TreeReader(dict(self.options))
+
+
+def tree(spark: SparkSession, root: str, respect_gitignore: bool = True, state: str = ".lodestone", follow_symlinks: bool = False, folders: int = FOLDERS) -> DataFrame:
+    """(rel_path, force_indexed) of a tree; hidden files count, .git and the state folder do not."""
+    spark.dataSource.register(TreeSource)
+    options = {"path": str(Path(root).resolve()), "gitignore": str(respect_gitignore).lower(), "symlinks": str(follow_symlinks).lower(), "state": state, "folders": str(folders)}
+    return spark.read.format("lodestone_tree").options(**options).load()
+
+
+def read_files(chosen: DataFrame, root: str, max_kb: int = MAX_KB, repo: str | None = None) -> DataFrame:
+    """Some files (rel_path, force_indexed) below ``root`` with language, hash and content, read by the tasks; those that are gone or too large are left out."""
     top = str(Path(root).resolve())
-    shape = "path string, content binary, force_indexed boolean"
-    parts = []
-    for forced in (False, True):
-        # special characters of a name are no pattern
-        names = [re.sub(r"([{}\[\]*?\\])", r"\\\1", f"{top}/{p}") for p, f in chosen if f == forced]
-        if names:
-            read = spark.read.format("binaryFile").load(names).where(F.col("length") <= max_kb * 1024)
-            parts.append(read.select("path", "content", F.lit(forced).alias("force_indexed")))
-    df = functools.reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], shape)
-    rel = F.substring(F.regexp_replace("path", "^file:/*", "/"), len(top) + 2, 1 << 30)
-    df = df.select(rel.alias("rel_path"), "content", "force_indexed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for k, rel in enumerate(batch.column(0).to_pylist()):
+                try:
+                    if os.path.getsize(f"{top}/{rel}") > max_kb * 1024:
+                        continue
+                    with open(f"{top}/{rel}", "rb") as f:
+                        held.append((k, f.read()))
+                except OSError:  # it went meanwhile
+                    continue
+                size += len(held[-1][1])
+                if size > CONTENT_BYTES:
+                    yield out(batch, held)
+                    held, size = [], 0
+            if held:
+                yield out(batch, held)
+
+    def out(batch, held):
+        at = pa.array([k for k, _ in held])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([c for _, c in held], pa.binary()), batch.column(1).take(at)], ["rel_path", "content", "force_indexed"])
+
+    df = chosen.select("rel_path", "force_indexed").mapInArrow(run, "rel_path string, content binary, force_indexed boolean")
     return df.select(F.lit(repo or top).alias("repo"), "rel_path", X.language_of(F.col("rel_path")).alias("language"), xxh3_128(F.col("content")).alias("file_hash"), "force_indexed", "content")
 
 
+def enumerate_files(spark: SparkSession, root: str, repo: str | None = None, max_kb: int = MAX_KB, **rules) -> DataFrame:
+    """S3: files up to a size (inclusive) with language and hash; only those that the rules keep are opened."""
+    return read_files(tree(spark, root, **rules), root, max_kb, repo)
+
+
 def union_repos(loaders: dict[str, callable]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
     """The frames of all repositories that load, with their order, and the errors of the rest."""
     out, errors = None, []

@@ -151,7 +151,7 @@ def test_not_a_repository(spark, tmp_path):
         engine(spark, tmp_path).index()
 
 
-def test_tracked_files(tmp_path):
+def test_tracked_files(spark, tmp_path):
     root = project(tmp_path / "p", {"a.py": "", "kept.py": "", "gone.py": "", ".gitignore": "*.py\n"})
     entries = b""
     for name in (b"gone.py", b"kept.py"):
@@ -160,7 +160,7 @@ def test_tracked_files(tmp_path):
     (root / ".git/index").write_bytes(b"DIRC" + struct.pack(">II", 2, 2) + entries)
     (root / "gone.py").unlink()
     assert files_.tracked(str(root)) == {"gone.py", "kept.py"}
-    assert files_.listing(str(root)) == [("kept.py", False)]
+    assert [tuple(r) for r in files_.tree(spark, str(root)).collect()] == [("kept.py", False)]
     entries = bytes(60) + struct.pack(">H", 7) + b"\0gone.py\0" + bytes(60) + struct.pack(">H", 7) + b"\x07kept.py\0"
     (root / ".git/index").write_bytes(b"DIRC" + struct.pack(">II", 4, 2) + entries)
     assert files_.tracked(str(root)) == {"gone.py", "kept.py"}
@@ -284,3 +284,34 @@ def test_an_index_of_another_model_is_built_anew(spark, tmp_path):
     e2 = engine_of = E.Engine(spark, str(root), settings(), validated=False, buckets=4)
     engine_of.clear()
     assert e2.stats() == E.Stats() and e2.index().chunk_count == 3 and E.Engine(spark, str(root), settings(), buckets=4).stats().chunk_count == 3
+
+
+FIXTURES = {
+    "small": ({"src/lib.rs": "fn greet() {}\n", "src/math.rs": "fn add() {}\n", "Cargo.toml": "x\n"}, {}, {"Cargo.toml": False, "src/lib.rs": False, "src/math.rs": False}),
+    "several languages": ({"src/greet.rs": "", "src/index.ts": "", "src/utils.py": ""}, {}, {"src/greet.rs": False, "src/index.ts": False, "src/utils.py": False}),
+    "overrides": ({"src/keep.rs": "", "src/skip.rs": "", "src/reinclude.rs": ""}, {".indexignore": "skip.rs\nreinclude.rs\n", ".indexinclude": "reinclude.rs\n"}, {"src/keep.rs": False, "src/reinclude.rs": True}),
+    "docs that git ignores": ({"src/lib.rs": "", "docs/guide.md": "", "docs/sub/api.md": ""}, {".gitignore": "docs/\n", ".indexinclude": "docs/\n"}, {"src/lib.rs": False, "docs/guide.md": True, "docs/sub/api.md": True}),
+    "nested include": ({"src/lib.rs": "", "docs/guide.md": "", "docs/sub/api.md": ""}, {".gitignore": "docs/\n", "docs/.indexinclude": "*.md\n"}, {"src/lib.rs": False, "docs/guide.md": True, "docs/sub/api.md": True}),
+    "nested ignore": ({"src/keep.rs": "", "src/gen/gen.rs": ""}, {"src/gen/.indexignore": "*\n"}, {"src/keep.rs": False}),
+    "many alike": ({f"src/mod_{k:02d}.rs": "fn f() {}\n" for k in range(10)}, {}, {f"src/mod_{k:02d}.rs": False for k in range(10)}),
+    "unknown only": ({"Makefile": "", "README.md": "", "notes.txt": ""}, {}, {"Makefile": False, "README.md": False, "notes.txt": False}),
+}
+
+
+@pytest.mark.parametrize("folders", [1, 3, 256])
+def test_a_tree_is_dealt_out_by_subtrees(spark, tmp_path, folders):
+    """Each fixture gives the files that its rules keep, wherever the tree is cut; the driver sees directories only."""
+    for name, (made, rules, want) in FIXTURES.items():
+        root = project(tmp_path / name, made | rules)
+        got = files_.tree(spark, str(root), folders=folders).collect()
+        assert {r.rel_path: r.force_indexed for r in got} == want and len(got) == len(want), name
+        parts = files_.TreeReader({"path": str(root), "folders": str(folders)}).partitions()
+        assert all((root / p.folder).is_dir() for p in parts) and (folders > 1 or [(p.folder, p.deep) for p in parts] == [("", True)])
+
+
+def test_contents_are_read_by_tasks(spark, tmp_path):
+    root = project(tmp_path / "p", {"a.py": "x = 1\n", "big.py": "y" * 3000, "b [1]*.py": "z"})
+    got = {r.rel_path: bytes(r.content) for r in files_.enumerate_files(spark, str(root), max_kb=2).collect()}
+    assert got == {"a.py": b"x = 1\n", "b [1]*.py": b"z"}
+    gone = spark.createDataFrame([("a.py", False), ("never.py", True)], "rel_path string, force_indexed boolean")
+    assert [r.rel_path for r in files_.read_files(gone, str(root)).collect()] == ["a.py"]
