@@ -15,7 +15,7 @@ from lodestone import config as K
 from lodestone.functions import commands
 from lodestone.functions import text as X
 from lodestone.functions.embedding import Fallback, Http, Model, Provider, Stub, Unavailable, embed
-from lodestone.operators import chunking, overview, similarity
+from lodestone.operators import chunking, hints, overview, ranges, similarity
 from lodestone.operators import store as S
 from lodestone.plans import search as P
 from lodestone.sources import files as E
@@ -328,6 +328,27 @@ class Engine:
         depth = h.related_top_k * similarity.RELATED_DEPTH
         return similarity.neighbours(rows, vectors, F.col("file_path") == path, depth, floor)
 
+    def after_edit(self, path: str, session: str | None, seen: DataFrame | None = None, read: DataFrame | None = None, now: str | None = None) -> DataFrame:
+        """One edited file is brought up to date, and what else its session may want to look at is given.
+
+        Asked with are the innermost chunks whose content the file did not have before; of their neighbours above the corpus floor the session sees the best that it
+        was not shown (``seen``: session, file_path, name, lines) and has not read (``read``: session, file_path, lines). No session, no hints.
+        Columns as of ``hints.fresh``; ``hints.contexts`` puts them into words.
+        """
+        path = self.relative(path)
+        digest = lambda rows: rows.withColumn("content_hash", F.sha2("content", 256))
+        before = digest(self.store.file(path)).select("file_path", "content_hash")
+        self.reindex([path], now)
+        asked = ranges.innermost(ranges.changed(digest(self.store.file(path)), before)) if session is not None else self.store.rows().limit(0)
+        vectors = [list(r.vector) for r in asked.select("vector").collect()]  # the chunks of one edit
+        known = "session string, file_path string, name string, line_start long, line_end long"
+        seen = seen if seen is not None else self.spark.createDataFrame([], known)
+        read = read if read is not None else self.spark.createDataFrame([], known).drop("name")
+        near = self.related(path, vectors) if vectors else self.store.rows().limit(0).drop("vector").withColumn("score", F.lit(0.0))
+        near = near.select(F.lit(session).cast("string").alias("session"), F.lit(path).alias("edited_path"), "file_path", "name", "line_start", "line_end", "score")
+        there = [(r.file_path,) for r in near.select("file_path").distinct().collect() if os.path.isfile(f"{self.root}/{r.file_path}")]  # at most the depth
+        return hints.fresh(near, seen, read, self.spark.createDataFrame(there, "file_path string"), self.config.hooks.related_top_k)
+
     def intercept(self, tool: str, payload: str) -> str | None:
         """The question that a search tool's JSON input asks, if a search over meaning can stand in for it."""
         if not self.config.hooks.intercept_grep:

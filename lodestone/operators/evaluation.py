@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
 from lodestone.operators import chunking
-from lodestone.operators.similarity import nearest_rank
+from lodestone.operators.ranks import nearest_rank
+from lodestone.scratch import written
 
 SESSION, DEPTHS = 10, (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)
 
@@ -135,19 +136,27 @@ def replay_stats(hints: DataFrame, edits: int) -> DataFrame:
     return out.crossJoin(F.broadcast(hub))  # one row each
 
 
-def symbol_precision(chunks: DataFrame, pools: DataFrame, top_k: int = 5, rare: int = 3) -> DataFrame:
-    """How often neighbours of a symbol's chunk mention the symbol, against chance; one row.
+def judged(chunks: DataFrame, pools: DataFrame, top_k: int = 5) -> DataFrame:
+    """(edit, symbol, files, file_path, rank, score, there): the neighbours of each symbol's chunk, and whether they mention the symbol.
 
-    ``chunks`` has file_path, chunk_id, name and content; ``pools`` (edit, file_path, rank) the neighbours of each chunk
-    by its chunk_id, without a floor. Symbols that no other file mentions are left out. rare: at most so many files do.
+    ``chunks`` has file_path, chunk_id, name and content; ``pools`` (edit, file_path, score, rank) the neighbours of each chunk
+    by its chunk_id, without a floor. Symbols that no other file mentions are left out; files: how many do.
     """
     symbols = chunks.where(X.evaluable(F.col("name"))).select(F.col("chunk_id").alias("edit"), F.col("file_path").alias("own"), F.col("name").alias("symbol"))
     where = identifiers(chunks).select("symbol", "file_path").distinct()
-    n = chunks.select("file_path").distinct().count()
     targets = symbols.join(where, "symbol").where("file_path <> own").groupBy("edit", "symbol").agg(F.count("*").alias("files"))
     hits = pools.where(F.col("rank") <= top_k).join(targets, "edit")
     hits = hits.join(where.withColumn("there", F.lit(1)), ["symbol", "file_path"], "left")
-    per = hits.groupBy("edit", "files").agg(F.avg(F.coalesce("there", F.lit(0)).cast("double")).alias("p"), F.max(F.when(F.col("rank") == 1, F.coalesce("there", F.lit(0)).cast("double"))).alias("p1"))
+    return hits.select("edit", "symbol", "files", "file_path", "rank", "score", F.coalesce("there", F.lit(0)).cast("double").alias("there"))
+
+
+def symbol_precision(chunks: DataFrame, pools: DataFrame, top_k: int = 5, rare: int = 3) -> DataFrame:
+    """How often neighbours of a symbol's chunk mention the symbol (``judged``), against chance; one row.
+
+    rare: at most so many files mention the symbol.
+    """
+    n = chunks.select("file_path").distinct().count()
+    per = judged(chunks, pools, top_k).groupBy("edit", "files").agg(F.avg("there").alias("p"), F.max(F.when(F.col("rank") == 1, F.col("there"))).alias("p1"))
     base = F.col("files") / F.lit(float(max(n - 1, 1)))
     few = F.col("files") <= rare
     lift = lambda p, b: F.round(F.when(b > 0, p / b).otherwise(F.lit(0.0)), 6)
@@ -155,6 +164,48 @@ def symbol_precision(chunks: DataFrame, pools: DataFrame, top_k: int = 5, rare:
     return out.select("evaluated", F.round("p", 6).alias("p_at_k"), F.round("p1", 6).alias("p_at_1"), F.round("b", 6).alias("base"), lift(F.col("p"), F.col("b")).alias("lift"), "rare", F.round("rp", 6).alias("rare_p_at_k"), F.round("rb", 6).alias("rare_base"))
 
 
+def _at(values: DataFrame, column: str, percents: list[int]) -> dict[int, float]:
+    return {r.p: r.value for r in nearest_rank(values, column, percents).collect()}  # a row for each percentage
+
+
+def score_report(pools: DataFrame, edits: DataFrame, top_k: int, floor: float) -> DataFrame:
+    """One row: percentiles of each edit's best and ``top_k``-th score without a floor, and how many edits keep one hint, or all, at ``floor``.
+
+    ``pools`` (edit, file_path, score, rank); an edit of ``edits`` (edit) without so many neighbours counts as 0.
+    """
+    own = pools.groupBy("edit").agg(F.max("score").alias("best"), F.max(F.when(F.col("rank") == top_k, F.col("score"))).alias("kth"))
+    own = edits.select("edit").distinct().join(own, "edit", "left").select("edit", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("kth", F.lit(0.0)).alias("kth"))
+    own = written(own, "scores")
+    best, kth = _at(own, "best", [10, 25, 50, 75, 90, 100]), _at(own, "kth", [10, 50, 90, 100])
+    out = own.agg(F.count("*").alias("edits"), F.count_if(F.col("best") >= floor).alias("some"), F.count_if(F.col("kth") >= floor).alias("every"))
+    share = lambda c: F.round(F.when(F.col("edits") > 0, F.lit(100.0) * F.col(c) / F.col("edits")).otherwise(F.lit(0.0)), 6).alias(f"{c}_pct")
+    said = [F.lit(v).cast("double").alias(f"{name}_p{p}") for name, table, at in (("best", best, [10, 25, 50, 75, 90, 100]), ("kth", kth, [10, 50, 90, 100])) for p in at for v in [table.get(p, 0.0)]]
+    return out.select("edits", "some", share("some"), "every", share("every"), *said)
+
+
+def floor_report(pools: DataFrame, hits: DataFrame, edits: DataFrame, percents: list[int], top_k: int) -> DataFrame:
+    """(p, floor, clear, per_edit, cover, precision, precision_1) for floors at percentiles of the edits' best scores.
+
+    clear: per cent of edits that keep a neighbour; per_edit: hints an edit, ``top_k`` at most; cover: per cent of judged symbols that keep a
+    hit; precision of the hits that they keep, and of the first one. ``hits`` as from ``judged``. Each table is read once, whatever the number of floors.
+    """
+    best = edits.select("edit").distinct().join(pools.where("rank = 1").select("edit", "score"), "edit", "left").select(F.coalesce("score", F.lit(0.0)).alias("best"))
+    floors = _at(best, "best", percents)
+    n = edits.select("edit").distinct().count()
+    own, of = pools.groupBy("edit"), hits.groupBy("edit", "symbol")
+    over = lambda f: F.col("score") >= F.lit(floors[f])
+    kept = own.agg(*(F.count_if(over(p) & (F.col("rank") <= top_k)).alias(f"k{p}") for p in floors))
+    one = of.agg(*(x for p in floors for x in (F.avg(F.when(over(p), F.col("there"))).alias(f"p{p}"), F.max(F.when(over(p) & (F.col("rank") == 1), F.col("there"))).alias(f"f{p}"))))
+    volume = kept.agg(*(x for p in floors for x in (F.count_if(F.col(f"k{p}") > 0).alias(f"c{p}"), F.sum(f"k{p}").alias(f"e{p}")))).first()
+    quality = one.agg(F.count("*").alias("n"), *(x for p in floors for x in (F.count(f"p{p}").alias(f"n{p}"), F.avg(f"p{p}").alias(f"p{p}"), F.sum(f"f{p}").alias(f"f{p}")))).first()
+    rows = [
+        (p, float(v), 100.0 * volume[f"c{p}"] / max(n, 1), (volume[f"e{p}"] or 0) / max(n, 1), 100.0 * quality[f"n{p}"] / max(quality["n"], 1), quality[f"p{p}"] or 0.0, (quality[f"f{p}"] or 0.0) / max(quality[f"n{p}"], 1))
+        for p, v in sorted(floors.items())
+    ]
+    out = pools.sparkSession.createDataFrame(rows, "p int, floor double, clear double, per_edit double, cover double, precision double, precision_1 double")
+    return out.select("p", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+
+
 def code_identifiers(content: str, language: str) -> set[str] | None:
     """The identifiers of a text outside its comments and strings; None for a language without a chunker."""
     if language == "python":

@@ -397,6 +397,43 @@ def symbol_precision(spark, sf_dir):
     return evaluation.symbol_precision(c, evaluation.pool(similarity.scores(c, e)), 3)
 
 
+@query(
+    "WITH p AS (" + EDITS + "), n AS (SELECT DISTINCT vec_id // 100 AS edit FROM embeddings WHERE vec_id % 100 = 0), h AS (SELECT *, row_number() OVER (PARTITION BY edit ORDER BY score DESC, file_path) AS rank FROM p), "
+    "o AS (SELECT n.edit, coalesce(max(score), 0) AS best, coalesce(max(score) FILTER (rank = 3), 0) AS kth FROM n LEFT JOIN h USING (edit) GROUP BY 1), "
+    "r AS (SELECT *, row_number() OVER (ORDER BY best) AS rb, row_number() OVER (ORDER BY kth) AS rk, count(*) OVER () AS c FROM o) "
+    "SELECT count(*) AS edits, count(*) FILTER (best >= 0.3) AS some, round(100.0::DOUBLE * count(*) FILTER (best >= 0.3) / count(*), 6) AS some_pct, count(*) FILTER (kth >= 0.3) AS every, round(100.0::DOUBLE * count(*) FILTER (kth >= 0.3) / count(*), 6) AS every_pct, "
+    + ", ".join(f"max({c}) FILTER ({r} = greatest(1, (c * {p} + 99) // 100))::DOUBLE AS {c}_p{p}" for c, r, at in (("best", "rb", (10, 25, 50, 75, 90, 100)), ("kth", "rk", (10, 50, 90, 100))) for p in at)
+    + " FROM r"
+)
+def score_report(spark, sf_dir):
+    """The spread of best and third scores, and what a floor of 0.3 leaves."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 100).alias("edit"))
+    return evaluation.score_report(evaluation.pool(edits(spark, sf_dir)), asked, 3, 0.3)
+
+
+@query(
+    "WITH d AS (SELECT source AS file_path, doc_id AS chunk_id, regexp_extract(text, '^(\\S*)', 1) AS name, text, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id), "
+    "w AS (SELECT DISTINCT file_path, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS symbol FROM d), "
+    "p AS (SELECT a.chunk_id AS edit, b.file_path, round(greatest(max(list_cosine_similarity(a.e, b.e)), 0), 6) AS score FROM d a JOIN d b ON a.file_path <> b.file_path WHERE a.chunk_id % 100 = 0 GROUP BY 1, 2), "
+    "h AS (SELECT *, row_number() OVER (PARTITION BY edit ORDER BY score DESC, file_path) AS rank FROM p), "
+    "t AS (SELECT d.chunk_id AS edit, d.name AS symbol FROM d JOIN w ON w.symbol = d.name AND w.file_path <> d.file_path WHERE strlen(d.name) >= 4 AND d.name NOT IN (GENERIC) GROUP BY 1, 2), "
+    "j AS (SELECT h.edit, h.rank, h.score, (w.symbol IS NOT NULL)::INT::DOUBLE AS there FROM h JOIN t USING (edit) LEFT JOIN w ON w.symbol = t.symbol AND w.file_path = h.file_path WHERE rank <= 3), "
+    "b AS (SELECT score AS best, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS c FROM h WHERE rank = 1), "
+    "f AS (SELECT p, best AS floor, c FROM b, (SELECT unnest([10, 20, 30, 40])::INT AS p) WHERE r = greatest(1, (c * p + 99) // 100)), "
+    "v AS (SELECT f.p, f.floor, f.c, h.edit, count(*) FILTER (score >= floor AND rank <= 3) AS kept FROM f, h GROUP BY ALL), "
+    "q AS (SELECT f.p, j.edit, avg(there) FILTER (score >= floor) AS pr, max(there) FILTER (score >= floor AND rank = 1) AS p1 FROM f, j GROUP BY ALL), "
+    "a AS (SELECT p, floor, 100.0::DOUBLE * count(*) FILTER (kept > 0) / any_value(c) AS clear, sum(kept)::DOUBLE / any_value(c) AS per_edit FROM v GROUP BY 1, 2), "
+    "z AS (SELECT p, 100.0::DOUBLE * count(pr) / count(*) AS cover, avg(pr) AS precision, sum(p1) / count(pr) AS precision_1 FROM q GROUP BY 1) "
+    "SELECT p, floor, round(clear, 6) AS clear, round(per_edit, 6) AS per_edit, round(coalesce(cover, 0), 6) AS cover, round(coalesce(precision, 0), 6) AS precision, round(coalesce(precision_1, 0), 6) AS precision_1 FROM a LEFT JOIN z USING (p)".replace("GENERIC", GENERIC)
+)
+def floor_report(spark, sf_dir):
+    """Floors at four percentiles, with the volume and the precision of the hints that they let through."""
+    c = corpus(spark, sf_dir, named=True)
+    e = c.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("edit"), F.col("file_path").alias("own"), "vector")
+    pools = written(evaluation.pool(similarity.scores(c, e)), "pools")
+    return evaluation.floor_report(pools, evaluation.judged(c, pools, 3), e, [10, 20, 30, 40], 3)
+
+
 # -- overview ------------------------------------------------------------------------------------
 
 PATHS = "SELECT doc_id, lang || '/' || source || '.md' AS file_path, lang AS language, text FROM documents"

@@ -315,3 +315,25 @@ def test_contents_are_read_by_tasks(spark, tmp_path):
     assert got == {"a.py": b"x = 1\n", "b [1]*.py": b"z"}
     gone = spark.createDataFrame([("a.py", False), ("never.py", True)], "rel_path string, force_indexed boolean")
     assert [r.rel_path for r in files_.read_files(gone, str(root)).collect()] == ["a.py"]
+
+
+def test_after_an_edit(spark, tmp_path):
+    """Only what an edit brought is asked with, and nothing is shown that the session knows."""
+    from lodestone.operators import hints
+
+    root = project(tmp_path / "p", FILES | {"src/twin.py": "def alpha_one():\n    return 'hent'\n"})
+    e = E.Engine(spark, str(root), settings(hooks={"related_min_similarity": 0.0}), buckets=4)
+    e.index()
+    assert e.after_edit("src/alpha.py", "s").count() == 0  # nothing changed
+    (root / "src/alpha.py").write_text(FILES["src/alpha.py"] + "\n\ndef alpha_one():\n    return 'hent'\n")
+    assert e.after_edit("src/alpha.py", None).count() == 0 and e.stats().chunk_count == 5 + 1
+    (root / "src/beta.py").write_text("class Beta:\n    def hest(self):\n        return 3\n")
+    got = e.after_edit("src/beta.py", "s").collect()
+    assert got and {r.edited_path for r in got} == {"src/beta.py"} and "src/beta.py" not in {r.file_path for r in got} and [r.rank for r in got] == list(range(1, len(got) + 1))
+    (root / "src/beta.py").write_text("class Beta:\n    def hest(self):\n        return 4\n")
+    first = got[0]
+    seen = spark.createDataFrame([("s", first.file_path, first.name, 1, 99), ("other", "src/twin.py", "alpha_one", 1, 99)], "session string, file_path string, name string, line_start long, line_end long")
+    later = e.after_edit("src/beta.py", "s", seen=seen)
+    shown = {(r.file_path, r.name, r.line_start) for r in later.collect()}
+    assert shown and (first.file_path, first.name, first.line_start) not in shown
+    assert all(r.context.startswith("related code: src/") for r in hints.contexts(later).collect())
