@@ -16,11 +16,16 @@ from lodestone.llm import toxicity as T
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.3; the labels that are held out are not learned from."""
+    """Documents with a toxicity score below 0.3; the labels that are held out are not learned from.
+
+    Each row is judged by its own text, so repeated rows stay or go together, and ties do not arise. A null, empty or blank text says nothing
+    toxic and stays, whatever the labels' share. An empty table gives none; columns of other names stay as they are.
+    """
     machine = T.train(docs, C.table(spark, sf_dir, "labels"))
     # the row goes as one column, so that a score of its own stays
     rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return T.toxicity(rows, machine).where("score < 0.3").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return T.toxicity(rows, machine).where((F.col("score") < 0.3) | blank).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,10 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item stands."""
+    """Documents in which no window of a benchmark item stands.
+
+    Each row by itself, also where doc_ids repeat or are null; null and empty texts have no words and stay, as all do where the benchmark is empty.
+    """
     # the row goes as one column, so that no name of it can clash
     rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     out = decontaminate.contamination(rows, C.table(spark, sf_dir, "benchmark"))
@@ -57,7 +65,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences, of every row: a null or empty text is its end id alone, repeated rows are documents of their own.
+
+    Ties of length go by doc_id, start and the ids' checksum. An empty table gives no pieces; columns other than doc_id and text are not read.
+    """
     return packing.pack(docs, packing.vocabulary())
 
 
