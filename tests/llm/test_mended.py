@@ -96,3 +96,15 @@ def test_spellings_of_licences(spark):
     df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(SPELLINGS)], "doc_id long, text string")
     found = {r.doc_id: r.labels for r in licenses.scan(df).select("doc_id", F.transform("found", lambda x: x["label"]).alias("labels")).collect()}
     assert [found[k] for k in range(len(SPELLINGS))] == [[label] for _, label in SPELLINGS]
+
+
+def test_texts_without_words_pass_the_toxicity_stage(spark, tmp_path):
+    """Where the labels cannot be told apart, and most are toxic, empty documents still stay."""
+    import corpus_pipeline
+
+    rows = [(k, f"word{k % 3} other{k % 5} thing") for k in range(40)] + [(100, None), (101, ""), (102, " \n\t"), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("own"))
+    spark.createDataFrame([(k, 1, 1) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.toxicity(spark, df, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in out} >= set(rows[40:]) and all(r.score == "own" for r in out)
+    assert len(out) < len(rows)
