@@ -969,6 +969,42 @@ def repo_errors(spark, sf_dir):
     return spark.createDataFrame([(r, bool(e)) for r, e in errors], "repo string, failed boolean")
 
 
+# -- SQL text ------------------------------------------------------------------------------------
+
+
+def in_sql(spark, sf_dir, text: str) -> DataFrame:
+    """A query in SQL text over the library's functions; {documents} and the like are tables."""
+    from lodestone.functions import sql
+
+    sql.register(spark)
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in ("documents", "embeddings") if "{" + t + "}" in text})
+
+
+@query(ORACLE_SQL["tokenize"])
+def sql_tokens(spark, sf_dir):
+    """F1 in SQL text."""
+    return in_sql(spark, sf_dir, "SELECT doc_id, get(t, 0) AS first_token, CAST(size(t) AS BIGINT) AS n_tokens FROM (SELECT doc_id, tokenize(text) AS t FROM {documents})")
+
+
+@query(ORACLE_SQL["search_vector_only"])
+def sql_cosine(spark, sf_dir):
+    """F30, F31, J1 in SQL text."""
+    own = "SELECT vec_id, CAST(embedding AS ARRAY<DOUBLE>) AS e FROM {embeddings}"
+    return in_sql(spark, sf_dir, f"WITH q AS (SELECT e FROM ({own}) WHERE vec_id = 0) SELECT vec_id, round(greatest(cosine(v.e, q.e), 0D), 6) AS dense FROM ({own}) v JOIN q ON true ORDER BY dense DESC, vec_id LIMIT 10")
+
+
+@query("SELECT doc_id, source = 'src1' OR starts_with(source, 'src1/') OR (starts_with(source, 'src1.') AND NOT regexp_matches(substr(source, 6), '[/.]')) AS below, snippet FROM documents JOIN (" + ORACLE_SQL["snippet"] + ") USING (doc_id)")
+def sql_snippet(spark, sf_dir):
+    """P2, T10 in SQL text."""
+    return in_sql(spark, sf_dir, "SELECT doc_id, path_prefix(source, 'src1/') AS below, snippet(text, 3) AS snippet FROM {documents}")
+
+
+@query()
+def sql_windows(spark, sf_dir):
+    """K0, K10 in SQL text: a table function with LATERAL."""
+    return in_sql(spark, sf_dir, "SELECT doc_id, w.byte_start, w.byte_end, w.line_start, w.line_end, sha2(w.content, 256) AS digest FROM {documents}, LATERAL text_windows(text, 12, 2) w")
+
+
 # -- chunks, vectors and hashes (no SQL) ---------------------------------------------------------
 
 
