@@ -115,6 +115,8 @@ class Rule(NamedTuple):
     keyword: str
     pattern: str
     score: float
+    #: What a text must hold besides, looked for where it holds the keyword.
+    second: str = ""
 
 
 def _wide(words: str) -> str:
@@ -123,16 +125,17 @@ def _wide(words: str) -> str:
 
 
 def _held(keyword: str) -> str:
-    """A keyword as it stands in spaced words; a whole word has one space of its own on either side."""
-    return f" {_wide(keyword[1:-1])} " if keyword[0] == " " else _wide(keyword)
+    """A keyword as it stands in spaced words; one that begins with a space is the beginning of a word, one that also ends with one a whole word."""
+    words = _wide(keyword.strip(" "))
+    return (" " if keyword[0] == " " else "") + words + (" " if keyword[-1] == " " else "")
 
 
 def rules() -> list[Rule]:
     """The signature rules, first priority first: with a version before without, long forms before short."""
     out: list[Rule] = []
 
-    def add(label: str, keyword: str, words: str, score: float) -> None:
-        out.append(Rule(label, _held(keyword), f" {_wide(words)} ", score))
+    def add(label: str, keyword: str, words: str, score: float, second: str = "") -> None:
+        out.append(Rule(label, _held(keyword), f" {_wide(words)} ", score, _held(second) if second else ""))
 
     licensed = "(licen[sc]ed|released|distributed|available|published|provided|covered) (under|by) (the )?(terms of (the )?)?(a )?"
     for short, long in COMMONS.items():
@@ -143,22 +146,23 @@ def rules() -> list[Rule]:
             add(name, f" cc {short} ", f"({licensed}|spdx license identifier )?cc {short}( license)?( version)?( v)? v?{v}( international| unported| generic)?( license)?", 0.95)
         add(label, "commons", f"creative commons ({long}|{short})( license)?", 0.9)
         add(label, f" cc {short} ", f"({licensed})?cc {short}( license)?", 0.85)
-    named = [(family, name, f" {name} ", versions.split("|")) for family, names, versions in FAMILIES for name in names.split("|")]
+    # an abbreviation may have its version glued on, as in gplv3: its keyword is how a word begins
+    short = lambda name, versions: bool(versions) and name.isalpha() and len(name) <= 6
+    named = [(family, name, f" {name}" if short(name, versions) else f" {name} ", versions.split("|")) for family, names, versions in FAMILIES for name in names.split("|")]
     later = "( or( at your option)?( any)? later( version)?| plus)"
     for family, name, keyword, versions in named:
-        # an abbreviation may have its version glued on, as in gplv3
-        glued = name.isalpha() and len(name) <= 6
+        glued = keyword[-1] != " "
+        first = family.split("-")[0]
         for v in filter(None, versions):
             label = f"{family}-{v.replace(' ', '.')}"
             numbered = f"({licensed})?(gnu )?{name}" + ("(v?|( license)?( version)?( v)? v?)" if glued else "( license)?( version)?( v)? v?") + v
             published = f"({licensed})?(gnu )?{name}( license)?( as published by the free software foundation)?( either)?( version)?( v)? v?{v}"
-            held = name if glued else keyword
-            add(f"{label}-or-later", "spdx", f"spdx license identifier {family.replace('-', ' ')} v?{v}{later}", 1.0)
-            add(f"{label}-or-later", held, f"({published}|{numbered}){later}" if glued else f"{published}{later}", 1.0)
-            add(label, "spdx", f"spdx license identifier {family.replace('-', ' ')} v?{v}( only)?", 1.0)
-            add(label, held, f"{numbered}( only)?( license)?", 0.95)
+            add(f"{label}-or-later", "spdx", f"spdx license identifier {family.replace('-', ' ')} v?{v}{later}", 1.0, f"identifier {first}")
+            add(f"{label}-or-later", keyword, f"({published}|{numbered}){later}" if glued else f"{published}{later}", 1.0)
+            add(label, "spdx", f"spdx license identifier {family.replace('-', ' ')} v?{v}( only)?", 1.0, f"identifier {first}")
+            add(label, keyword, f"{numbered}( only)?( license)?", 0.95)
     for family in dict.fromkeys(x[0] for x in named):
-        add(family, "spdx", f"spdx license identifier {family.replace('-', ' ')}", 0.95)
+        add(family, "spdx", f"spdx license identifier {family.replace('-', ' ')}", 0.95, f"identifier {family.split('-')[0]}")
     for family, name, keyword, _ in named:
         add(family, keyword, f"{licensed}(gnu )?{name}( style| like)?( license)?", 0.9)
         add(family, keyword, f"(gnu )?{name}( style| like)? licen[sc]e", 0.85)
@@ -230,13 +234,13 @@ def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
         df = df.withColumn(f"b{k}", F.when(has, F.struct(n.cast("long").alias("n"), first.cast("long").alias("first"), last.cast("long").alias("last"))))
     by_word: dict[str, list[str]] = {}
     for k, r in enumerate(own):
-        by_word.setdefault(r.keyword, []).append(f"named_struct('rule', {k}, 'pattern', {_quoted(r.pattern)}, 'label', {_quoted(r.label)}, 'score', {r.score}D)")
+        by_word.setdefault(r.keyword, []).append(f"named_struct('rule', {k}, 'pattern', {_quoted(r.pattern)}, 'label', {_quoted(r.label)}, 'score', {r.score}D, 'second', {_quoted(r.second)})")
     # one constant, which Spark folds once
     table = F.expr("array(" + ", ".join(f"named_struct('keyword', {_quoted(word)}, 'rules', array({', '.join(some)}))" for word, some in by_word.items()) + ")")
     w = F.col("w")
     # a lambda is evaluated for each element: what it reads from outside has to be a column, not an expression
     rules_held = F.flatten(F.transform(F.filter(table, lambda g: F.contains(w, g["keyword"])), lambda g: g["rules"]))
-    df = df.withColumn("fit", F.filter(rules_held, lambda r: F.regexp_like(w, r["pattern"])))
+    df = df.withColumn("fit", F.filter(rules_held, lambda r: F.contains(w, r["second"]) & F.regexp_like(w, r["pattern"])))
 
     def places(r: Column) -> Column:
         between, hits = F.split(w, r["pattern"], -1), F.regexp_extract_all(w, r["pattern"], F.lit(0))
