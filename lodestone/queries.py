@@ -373,7 +373,15 @@ def session_replay(spark, sf_dir):
     return evaluation.replay(evaluation.pool(edits(spark, sf_dir)), 1, 3)
 
 
-@query()
+@query(
+    "WITH RECURSIVE p AS (" + EDITS + "), h AS (SELECT edit, file_path, row_number() OVER (PARTITION BY edit ORDER BY score DESC, file_path) AS rank FROM p), "
+    "l AS (SELECT edit, edit // 10 AS session, list(file_path ORDER BY rank) AS every FROM h GROUP BY edit), o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY edit) AS k FROM l), d AS (SELECT unnest([1, 3, 5])::INT AS depth), "
+    "r AS (SELECT depth, session, k, edit, every[1:5] AS shown, every[1:5] AS seen, [every[1:5]::VARCHAR] AS lists, false AS repeated, false AS starved FROM o, d WHERE k = 1 UNION ALL "
+    "SELECT depth, session, k, edit, shown, list_concat(seen, shown), list_append(lists, shown::VARCHAR), len(shown) > 0 AND list_contains(lists, shown::VARCHAR), len(shown) = 0 AND len(list_filter(every[5 * depth + 1:], lambda x: NOT list_contains(seen, x))) > 0 "
+    "FROM (SELECT r.depth, o.session, o.k, o.edit, o.every, list_filter(o.every[1:5 * r.depth], lambda x: NOT list_contains(r.seen, x))[1:5] AS shown, r.seen, r.lists FROM o JOIN r ON o.session = r.session AND o.k = r.k + 1)), "
+    "f AS (SELECT depth, f, count(*) AS n FROM (SELECT depth, unnest(shown) AS f FROM r) GROUP BY 1, 2), g AS (SELECT depth, arg_max(f, (n, f)) AS hub, count(*) AS files FROM f GROUP BY 1) "
+    "SELECT sum(len(shown))::BIGINT AS emitted, (SELECT count(DISTINCT edit) FROM p) - count(*) FILTER (len(shown) > 0) AS silent, count(*) FILTER (repeated) AS repeated_lists, count(*) FILTER (starved) AS starved, hub, files, depth FROM r JOIN g USING (depth) GROUP BY hub, files, depth"
+)
 def depth_sweep(spark, sf_dir):
     """E5, A18, A20."""
     pools = written(evaluation.pool(edits(spark, sf_dir)), "pools")
