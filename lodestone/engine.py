@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import logging
 import os
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -365,7 +367,37 @@ class Engine:
 
         The write carries the batch's number under the checkpoint's name: a batch that runs again after a failure between the two is known, and left.
         """
-        return state.indexer(edits, lambda df, k: self.reindex([r.path for r in df.collect()], batch=(checkpoint, k)), checkpoint, **trigger)
+        return state.indexer(edits, lambda df, k: self._follow([r.path for r in df.collect()], (checkpoint, k)), checkpoint, **trigger)
+
+    def _follow(self, paths: list[str], batch: tuple[str, int], tries: int = 5, wait: float = 0.25) -> list[str]:
+        """R2: one batch; the paths that could not be brought up to date.
+
+        While other writers come first it waits, twice as long each time, and at last fails, so that the batch runs again. A file that cannot be indexed
+        holds up no other: the rest go in one by one, and it is left until its next edit.
+        """
+        for k in range(tries):
+            try:
+                self.reindex(paths, batch=batch)
+                return []
+            except S.Conflict:
+                if k + 1 == tries:
+                    raise
+                time.sleep(wait * 2**k)
+            except S.IdentityError:
+                raise
+            except Exception as e:
+                logging.getLogger(__name__).warning("batch %s goes in file by file: %s", batch, e)
+                break
+        left = []
+        for path in paths:
+            try:
+                self.reindex([path])
+            except (S.Conflict, S.IdentityError):
+                raise
+            except Exception as e:
+                logging.getLogger(__name__).warning("%s is left: %s", path, e)
+                left.append(path)
+        return left
 
     def drain(self, folder: str, checkpoint: str, **trigger):
         """``follow`` the logs of an edit queue, of whose batch each path is brought up to date once."""

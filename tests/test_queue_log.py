@@ -55,16 +55,16 @@ def test_a_drain_that_is_killed_between_write_and_commit(spark, tmp_path, monkey
     folder, checkpoint = str(tmp_path / "logs"), str(tmp_path / "state")
     (root / "src/beta.py").write_text("def beta():\n    pass\n\n\ndef more():\n    pass\n")
     L.append(folder, ["1\tsrc/beta.py\ts", "2\tsrc/beta.py\tt", "3\tsrc/none.py"])
-    reindex, calls = e.reindex, []
+    follow, calls = e._follow, []
 
-    def killed(paths, now=None, batch=None):
+    def killed(paths, batch):
         calls.append((sorted(paths), batch))
-        out = reindex(paths, now, batch)
+        out = follow(paths, batch)
         if len(calls) == 1:
             raise RuntimeError("killed")
         return out
 
-    monkeypatch.setattr(e, "reindex", killed)
+    monkeypatch.setattr(e, "_follow", killed)
     with pytest.raises(Exception, match="killed"):
         e.drain(folder, checkpoint, availableNow=True).awaitTermination()
     after = e.store._state()
@@ -77,3 +77,36 @@ def test_a_drain_that_is_killed_between_write_and_commit(spark, tmp_path, monkey
     L.append(folder, ["9\tsrc/beta.py"])
     e.drain(folder, checkpoint, availableNow=True).awaitTermination()
     assert e.stats().chunk_count == 4 - 2 + 2 and e.store.manifest().batches == {checkpoint: 1}
+
+
+def test_a_drain_waits_and_leaves_what_cannot_be_indexed(spark, tmp_path, monkeypatch):
+    from lodestone import engine as E
+    from lodestone.operators import store as S
+
+    e = engine(spark, project(tmp_path / "p", FILES))
+    slept, calls = [], []
+    monkeypatch.setattr(E.time, "sleep", slept.append)
+
+    def busy(paths, now=None, batch=None):
+        calls.append((tuple(paths), batch))
+        if len(calls) < 4:
+            raise S.Conflict("others first")
+
+    monkeypatch.setattr(e, "reindex", busy)
+    assert e._follow(["a", "b"], ("c", 3)) == [] and slept == [0.25, 0.5, 1.0] and calls == [(("a", "b"), ("c", 3))] * 4
+
+    def odd(paths, now=None, batch=None):
+        calls.append(tuple(paths))
+        if "bad" in paths:
+            raise ValueError("no text")
+
+    calls.clear()
+    monkeypatch.setattr(e, "reindex", odd)
+    assert e._follow(["a", "bad", "b"], ("c", 4)) == ["bad"] and calls == [("a", "bad", "b"), ("a",), ("bad",), ("b",)]
+
+    def always(paths, now=None, batch=None):
+        raise S.Conflict("others first")
+
+    monkeypatch.setattr(e, "reindex", always)
+    with pytest.raises(S.Conflict):
+        e._follow(["a"], ("c", 5))
