@@ -115,8 +115,8 @@ class Rule(NamedTuple):
     keyword: str
     pattern: str
     score: float
-    #: What a text must hold besides, looked for where it holds the keyword.
-    second: str = ""
+    #: Of these a text must hold one besides, where there are any; they are looked for where it holds the keyword.
+    second: tuple[str, ...] = ()
 
 
 def _wide(words: str) -> str:
@@ -134,8 +134,8 @@ def rules() -> list[Rule]:
     """The signature rules, first priority first: with a version before without, long forms before short."""
     out: list[Rule] = []
 
-    def add(label: str, keyword: str, words: str, score: float, second: str = "") -> None:
-        out.append(Rule(label, _held(keyword), f" {_wide(words)} ", score, _held(second) if second else ""))
+    def add(label: str, keyword: str, words: str, score: float, *second: str) -> None:
+        out.append(Rule(label, _held(keyword), f" {_wide(words)} ", score, tuple(map(_held, second))))
 
     licensed = "(licen[sc]ed|released|distributed|available|published|provided|covered) (under|by) (the )?(terms of (the )?)?(a )?"
     for short, long in COMMONS.items():
@@ -152,20 +152,23 @@ def rules() -> list[Rule]:
     later = "( or( at your option)?( any)? later( version)?| plus)"
     for family, name, keyword, versions in named:
         glued = keyword[-1] != " "
+        whole = [f" {name} "] if glued else []
         first = family.split("-")[0]
         for v in filter(None, versions):
             label = f"{family}-{v.replace(' ', '.')}"
+            ways = [*whole, *(f" {name}{x}{v.split()[0]}" for x in ("", "v") if glued)]
             numbered = f"({licensed})?(gnu )?{name}" + ("(v?|( license)?( version)?( v)? v?)" if glued else "( license)?( version)?( v)? v?") + v
             published = f"({licensed})?(gnu )?{name}( license)?( as published by the free software foundation)?( either)?( version)?( v)? v?{v}"
             add(f"{label}-or-later", "spdx", f"spdx license identifier {family.replace('-', ' ')} v?{v}{later}", 1.0, f"identifier {first}")
-            add(f"{label}-or-later", keyword, f"({published}|{numbered}){later}" if glued else f"{published}{later}", 1.0)
+            add(f"{label}-or-later", keyword, f"({published}|{numbered}){later}" if glued else f"{published}{later}", 1.0, *ways)
             add(label, "spdx", f"spdx license identifier {family.replace('-', ' ')} v?{v}( only)?", 1.0, f"identifier {first}")
-            add(label, keyword, f"{numbered}( only)?( license)?", 0.95)
+            add(label, keyword, f"{numbered}( only)?( license)?", 0.95, *ways)
     for family in dict.fromkeys(x[0] for x in named):
         add(family, "spdx", f"spdx license identifier {family.replace('-', ' ')}", 0.95, f"identifier {family.split('-')[0]}")
     for family, name, keyword, _ in named:
-        add(family, keyword, f"{licensed}(gnu )?{name}( style| like)?( license)?", 0.9)
-        add(family, keyword, f"(gnu )?{name}( style| like)? licen[sc]e", 0.85)
+        whole = [f" {name} "] if keyword[-1] != " " else []
+        add(family, keyword, f"{licensed}(gnu )?{name}( style| like)?( license)?", 0.9, *whole)
+        add(family, keyword, f"(gnu )?{name}( style| like)? licen[sc]e", 0.85, *whole)
     for label, keyword, words, score in NOTICES:
         add(label, keyword, words, score)
     return out
@@ -234,13 +237,13 @@ def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
         df = df.withColumn(f"b{k}", F.when(has, F.struct(n.cast("long").alias("n"), first.cast("long").alias("first"), last.cast("long").alias("last"))))
     by_word: dict[str, list[str]] = {}
     for k, r in enumerate(own):
-        by_word.setdefault(r.keyword, []).append(f"named_struct('rule', {k}, 'pattern', {_quoted(r.pattern)}, 'label', {_quoted(r.label)}, 'score', {r.score}D, 'second', {_quoted(r.second)})")
+        by_word.setdefault(r.keyword, []).append(f"named_struct('rule', {k}, 'pattern', {_quoted(r.pattern)}, 'label', {_quoted(r.label)}, 'score', {r.score}D, 'second', array({', '.join(map(_quoted, r.second)) or "CAST(NULL AS STRING)"}))")
     # one constant, which Spark folds once
     table = F.expr("array(" + ", ".join(f"named_struct('keyword', {_quoted(word)}, 'rules', array({', '.join(some)}))" for word, some in by_word.items()) + ")")
     w = F.col("w")
     # a lambda is evaluated for each element: what it reads from outside has to be a column, not an expression
     rules_held = F.flatten(F.transform(F.filter(table, lambda g: F.contains(w, g["keyword"])), lambda g: g["rules"]))
-    df = df.withColumn("fit", F.filter(rules_held, lambda r: F.contains(w, r["second"]) & F.regexp_like(w, r["pattern"])))
+    df = df.withColumn("fit", F.filter(rules_held, lambda r: F.exists(r["second"], lambda x: F.coalesce(F.contains(w, x), F.lit(True))) & F.regexp_like(w, r["pattern"])))
 
     def places(r: Column) -> Column:
         between, hits = F.split(w, r["pattern"], -1), F.regexp_extract_all(w, r["pattern"], F.lit(0))
