@@ -66,3 +66,26 @@ def test_a_query_reads_its_own_terms_and_skips_parts(built):
 def test_an_empty_corpus(spark, tmp_path):
     index = P.Postings(spark, str(tmp_path / "none"), 4).build(corpus(spark, 5).limit(0))
     assert index.search("alpha").count() == 0 and index.top("alpha", 3).count() == 0 and index.bm25("alpha").count() == 0
+
+
+def test_a_corpus_in_two_tables_is_not_joined_by_its_texts(spark):
+    c = corpus(spark)
+    one = [0.3, -0.2, 0.9, 0.1]
+    narrow = S.narrowed(c.drop("vector"), c.select("chunk_id", "vector"), "delta gamma", one)
+    assert not {"content", "vector"} & set(narrow.columns)
+    for args in ({}, {"languages": ["en"]}, {"prefix": "d1/"}):
+        assert S.search(narrow, "delta gamma", one, **args).collect() == S.search(c, "delta gamma", one, **args).collect()
+
+
+def test_stale_takes_hits_to_the_files(spark):
+    """The files of an index are not exchanged for a few hits."""
+    files = spark.createDataFrame([("r", f"f{k}", b"h", 9) for k in range(50)], "repo string, file_path string, file_hash binary, size long")
+    hits = spark.createDataFrame([(1, "r", "f3", b"h"), (2, "r", "f4", b"x"), (3, "r", "gone", b"h")], "rank int, repo string, file_path string, file_hash binary")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = S.stale(hits, files)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.rank: r.stale for r in out.collect()} == {1: False, 2: True, 3: True}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
