@@ -3,8 +3,9 @@
 Vectors are dealt out by the nearest of a few pivots and their angle to it, so that a block is small on the sphere. What is
 known of a block is its range of angles to each pivot; by the triangle inequality two vectors are at least as far apart as
 their angles to any pivot differ, so pairs of blocks that cannot reach a cosine are never brought together. A
-block is one row with its vectors as bytes. Of each pair of blocks one is at home and the other visits: homes stream past a task, each with
-its visitors one by one, so that a task holds two blocks, and a vector is copied once for each pair that its block visits.
+block is one row with its vectors as bytes. Neighbouring blocks are a group, and there are so many groups whatever the number of blocks. Of each pair of
+blocks one is at home and the other visits: a task holds a group's homes, a fixed share of all rows, and visitors stream past it one by one. A visitor comes once to a
+group, for all homes that it meets there, so a vector is copied at most once for each group, and what is exchanged grows as the rows do, not as the pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from lodestone.scratch import written
 
 #: Rows of a block, and blocks at most: beyond that many rows blocks grow.
 BLOCK, MOST_BLOCKS = 1024, 4096
+#: Groups of homes: a vector visits at most so many, and a task holds one of so many parts of the rows.
+GROUPS = 48
 #: Pivots at most, and parts of the half circle that angles are sorted into.
 PIVOTS, RINGS = 64, 48
 #: What rounding may do to an angle.
@@ -128,33 +131,51 @@ def reach(a: Blocks, b: Blocks, least: float) -> np.ndarray:
     return out
 
 
+def grouped(numbers: np.ndarray) -> np.ndarray:
+    """The group of each block of a sorted list of their numbers: neighbours share one."""
+    return np.arange(len(numbers)) * min(GROUPS, len(numbers)) // max(1, len(numbers))
+
+
+def visited(a: Blocks, homes: np.ndarray, visitors: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(home, block, at): the group in which a block meets one at home; and (home, block, meets): its visit to that group, for all of them."""
+    group = grouped(a.numbers)[np.searchsorted(a.numbers, homes)]
+    pairs = a.rows.sparkSession.createDataFrame(pa.table({"home": pa.array(group, pa.int32()), "block": pa.array(visitors, pa.int32()), "at": pa.array(homes, pa.int32())}))
+    return pairs, pairs.groupBy("home", "block").agg(F.collect_list("at").alias("meets"))
+
+
 def meet(a: Blocks, b: Blocks, homes: np.ndarray, visitors: np.ndarray, work: Callable, schema: str) -> DataFrame:
     """``work(home, visitor)`` of each pair of a block of ``a`` with one of ``b``; both have number, x and keys, and it gives a record batch or nothing."""
     spark = a.rows.sparkSession
-    pairs = spark.createDataFrame(pa.table({"home": pa.array(homes, pa.int32()), "block": pa.array(visitors, pa.int32())}))
+    pairs, visits = visited(a, homes, visitors)
     own = [(f"h{i}", k, a.rows.schema[k].dataType) for i, k in enumerate(a.keys)], [(f"g{i}", k, b.rows.schema[k].dataType) for i, k in enumerate(b.keys)]
     keys_of = lambda mine, on: [(F.col(f"`{k}`") if mine else F.lit(None).cast(kind)).alias(c) for c, k, kind in own[on]]
-    at_home = a.rows.join(F.broadcast(pairs.select(F.col("home").alias("block")).distinct()), "block", "left_semi")
-    at_home = at_home.select(F.col("block").alias("home"), F.lit(False).alias("guest"), "block", "x", *keys_of(True, 0), *keys_of(False, 1))
-    guests = b.rows.join(pairs, "block").select("home", F.lit(True).alias("guest"), "block", "x", *keys_of(False, 0), *keys_of(True, 1))
+    at_home = a.rows.join(F.broadcast(pairs.select("home", F.col("at").alias("block")).distinct()), "block")
+    at_home = at_home.select("home", F.lit(False).alias("guest"), "block", "x", F.array().cast("array<int>").alias("meets"), *keys_of(True, 0), *keys_of(False, 1))
+    guests = b.rows.join(F.broadcast(visits), "block").select("home", F.lit(True).alias("guest"), "block", "x", "meets", *keys_of(False, 0), *keys_of(True, 1))
     both = at_home.union(guests)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(a.numbers), 4 * spark.sparkContext.defaultParallelism))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * GROUPS)
     both = both.repartition(parts, "home").sortWithinPartitions("home", "guest")
     width = a.width
 
-    mine = range(4, 4 + len(a.keys)), range(4 + len(a.keys), 4 + len(a.keys) + len(b.keys))
+    mine = range(5, 5 + len(a.keys)), range(5 + len(a.keys), 5 + len(a.keys) + len(b.keys))
 
     def unpack(batch: pa.RecordBatch, r: int, guest: bool) -> dict:
         keys = [batch.column(k)[r].values for k in mine[guest]]
         return {"number": batch.column(2)[r].as_py(), "x": np.frombuffer(batch.column(3)[r].as_buffer(), np.float64).reshape(-1, width), "keys": keys}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home = at = None
+        held, at = {}, None
         for batch in batches:
             for r in range(batch.num_rows):
-                if not batch.column(1)[r].as_py():
-                    home, at = unpack(batch, r, False), batch.column(0)[r].as_py()
-                elif at == batch.column(0)[r].as_py() and (out := work(home, unpack(batch, r, True))) is not None and out.num_rows:
-                    yield out
+                if at != (now := batch.column(0)[r].as_py()):
+                    held, at = {}, now
+                one = unpack(batch, r, guest := batch.column(1)[r].as_py())
+                if not guest:
+                    # a copy of its own, so that the batch can go
+                    held[one["number"]] = one | {"x": one["x"].copy(), "keys": [pa.concat_arrays([k]) for k in one["keys"]]}
+                    continue
+                for home in batch.column(4)[r].as_py():
+                    if (out := work(held[home], one)) is not None and out.num_rows:
+                        yield out
 
     return both.mapInArrow(run, schema)

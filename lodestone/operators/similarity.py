@@ -45,9 +45,16 @@ def duplicate_pairs(corpus: DataFrame, least: float = DUPLICATES_MIN, limit: int
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{s}_{k} {kinds[c]}" for s in "ab" for k, c in (("repo", "repo"), ("file", "file_path"), ("chunk", "chunk_id"))) + ", similarity double"
     homes, guests = block_pairs(own, least)
+    shown = np.empty(0)  # the best rounded similarities that a task has given; a pair below the last of ``limit`` cannot be among the best
 
-    def work(home: dict, guest: dict) -> pa.RecordBatch:
+    def work(home: dict, guest: dict) -> pa.RecordBatch | None:
+        nonlocal shown
         same = home["number"] == guest["number"]
+        sim = home["x"] @ guest["x"].T
+        floor = least - 1e-12 if limit is None or len(shown) < limit else max(least - 1e-12, shown[-1] - 1e-6) if limit else np.inf
+        near = sim >= floor
+        if not near.any():
+            return None
         columns = [pa.concat_arrays([h, g]) for h, g in zip(home["keys"], guest["keys"], strict=True)]
         m, total = len(home["x"]), len(home["x"]) if same else len(home["x"]) + len(guest["x"])
         # places by (repo, file, chunk), nulls first: ties go by them, and the smaller one comes first
@@ -58,13 +65,11 @@ def duplicate_pairs(corpus: DataFrame, least: float = DUPLICATES_MIN, limit: int
             place[m:] = place[:m]
         codes = [np.unique([str(x) for x in n], return_inverse=True)[1] for n in names[:2]]
         both = codes[0] * (1 << 32) + codes[1]
-        sim = home["x"] @ guest["x"].T
-        hit = (sim >= least - 1e-12) & (both[:m, None] != both[None, m:])
+        p, q = np.nonzero(np.triu(near, 1) if same else near)
+        hit = both[p] != both[m + q if not same else q]
         if cross_repo:
-            hit &= codes[0][:m, None] != codes[0][None, m:]
-        if same:
-            hit = np.triu(hit, 1)
-        p, q = np.nonzero(hit)
+            hit &= codes[0][p] != codes[0][m + q if not same else q]
+        p, q = p[hit], q[hit]
         score = sim[p, q]
         swap = place[p] > place[m + q]
         p, q = np.where(swap, m + q, p), np.where(swap, p, m + q)
@@ -74,6 +79,8 @@ def duplicate_pairs(corpus: DataFrame, least: float = DUPLICATES_MIN, limit: int
             some = np.flatnonzero(said >= edge)
             some = some[np.lexsort((place[q[some]], place[p[some]], -said[some]))[:limit]]
             p, q, score = p[some], q[some], score[some]
+        if limit is not None:
+            shown = -np.sort(-np.concatenate([shown, np.round(score, 6)]))[:limit]
         return pa.RecordBatch.from_arrays([*(c.take(pa.array(p)) for c in columns), *(c.take(pa.array(q)) for c in columns), pa.array(score)], [f"{s}_{k}" for s in "ab" for k in ("repo", "file", "chunk")] + ["similarity"])
 
     out = B.meet(own, own, homes, guests, work, schema).withColumn("similarity", F.round("similarity", 6))
@@ -82,10 +89,11 @@ def duplicate_pairs(corpus: DataFrame, least: float = DUPLICATES_MIN, limit: int
 
 
 def block_pairs(own: B.Blocks, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home, guest) numbers of the pairs of blocks that have to meet, each once; homes are taken in turn, so that none has most guests."""
+    """(home, guest) numbers of the pairs of blocks that have to meet, each once; groups of homes take turns, so that none has most guests."""
     near = np.triu(B.reach(own, own, least))
     i, j = np.nonzero(near)
-    turn = (i + j) % 2 == 1
+    group = B.grouped(own.numbers)
+    turn = (group[i] + group[j]) % 2 == 1
     return own.numbers[np.where(turn, j, i)], own.numbers[np.where(turn, i, j)]
 
 

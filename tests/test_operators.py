@@ -344,3 +344,23 @@ def test_seeds_take_every_stride_th_file(spark):
     df = spark.createDataFrame(rows, "file_path string, chunk_id long, vector array<double>")
     got = sorted((r.file_path, r.chunk_id) for r in similarity.seeds(df, 7).collect())
     assert got == [(f"f{f:02d}", 3 * f + 1) for f in range(0, 30, 5)]
+
+
+def test_visits_follow_the_rows_and_not_the_pairs(spark, monkeypatch):
+    """However many blocks there are, a block goes to each group of homes once at most, and all pairs meet."""
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "GROUPS", 4)
+    u, df = _clusters(spark, 480, 40)
+    own = blocks.pack(df, ["repo", "file_path", "chunk_id"], blocks.pivots(df, 4), 16)
+    homes, guests = similarity.block_pairs(own, -1.0)
+    n = len(own.numbers)
+    _, visits = blocks.visited(own, homes, guests)
+    rows = visits.collect()
+    assert n >= 40 and len(homes) == n * (n + 1) / 2 and len(rows) <= 4 * n and sum(len(r.meets) for r in rows) == len(homes)
+    sim = u @ u.T
+    i, j = np.nonzero(np.triu(sim >= 0.5, 1))
+    want = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a % 11 != b % 11 or (a % 3 == 0) != (b % 3 == 0)}
+    got = similarity.duplicate_pairs(df, 0.5, None).collect()
+    assert {tuple(sorted((r.a_chunk, r.b_chunk))) for r in got} == want and len(got) == len(want)
+    best = [tuple(r) for r in similarity.duplicate_pairs(df, 0.5, 30).collect()]
+    assert best == [tuple(r) for r in got[:30]]
