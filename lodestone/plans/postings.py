@@ -33,7 +33,8 @@ class Postings:
     def build(self, corpus: DataFrame) -> Postings:
         """Write the index of ``corpus`` (repo, file_path, byte_start, chunk_id, language, name, content).
 
-        A term's list is never in one task: its blocks are grouped by term and part. Null texts have no terms.
+        A term's list is never in one task: its blocks are grouped by term and part. Tokens are exchanged once, as whole rows by their part,
+        in which terms are counted and blocks are made; a term of a chunk is no row of an exchange. Null texts have no terms.
         """
         rows = corpus.select(*S.KEYS, "language", "name", X.tokenize(F.coalesce("content", F.lit(""))).alias("tokens"))
         rows = rows.withColumn("doc", F.monotonically_increasing_id())
@@ -42,10 +43,7 @@ class Postings:
         rows = self.spark.read.schema(rows.schema).parquet(f"{self.root}/tokens")
         rows.select("doc", *S.KEYS, "language", "name", F.size("tokens").alias("dl")).write.mode("overwrite").parquet(f"{self.root}/docs")
         self.docs().agg(F.count("*").alias("n_docs"), F.sum("dl").alias("length")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/totals")
-        one = rows.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").cast("int").alias("tf"))
-        blocks = one.groupBy("term", F.shiftright("doc", self.part_bits).alias("part")).agg(
-            F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("list")
-        )
+        blocks = self.lists(rows)
         blocks = blocks.withColumn("bucket", self._bucket(F.col("term")))
         # a large bucket is several files
         blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "part").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/terms")
@@ -53,6 +51,14 @@ class Postings:
         fs.delete(p, True)
         return self
 
+    def lists(self, rows: DataFrame) -> DataFrame:
+        """The blocks of rows of (doc, tokens)."""
+        part = rows.select(F.shiftright("doc", self.part_bits).alias("part"), "doc", "tokens").repartition("part")
+        one = part.select("part", "doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("part", "term", "doc", "dl").agg(F.count("*").cast("int").alias("tf"))
+        return one.groupBy("part", "term").agg(
+            F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("list")
+        )
+
     def _path(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p

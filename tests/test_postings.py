@@ -68,6 +68,14 @@ def test_an_empty_corpus(spark, tmp_path):
     assert index.search("alpha").count() == 0 and index.top("alpha", 3).count() == 0 and index.bm25("alpha").count() == 0
 
 
+def test_terms_are_counted_where_their_chunks_are(spark):
+    """Whole rows of tokens are exchanged, once; no row of a term is."""
+    rows = corpus(spark, 50).select(*S.KEYS, "language", "name", S.X.tokenize("content").alias("tokens")).withColumn("doc", S.F.monotonically_increasing_id())
+    plan = P.Postings(spark, "unused", 4).lists(rows)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Generate explode", 1)
+    assert "Exchange" not in above and "Exchange hashpartitioning(part" in below
+
+
 def test_a_corpus_in_two_tables_is_not_joined_by_its_texts(spark):
     c = corpus(spark)
     one = [0.3, -0.2, 0.9, 0.1]
