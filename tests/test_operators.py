@@ -364,3 +364,20 @@ def test_visits_follow_the_rows_and_not_the_pairs(spark, monkeypatch):
     assert {tuple(sorted((r.a_chunk, r.b_chunk))) for r in got} == want and len(got) == len(want)
     best = [tuple(r) for r in similarity.duplicate_pairs(df, 0.5, 30).collect()]
     assert best == [tuple(r) for r in got[:30]]
+
+
+def test_chunks_are_made_in_batches_of_bounded_bytes(spark):
+    from lodestone import scratch
+    from lodestone.operators import chunking
+
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+        body = b"".join(b"line %d\n" % k for k in range(3000))
+        files = spark.createDataFrame([("r", f"f{k}", "unknown", b"h", True, body * 40) for k in range(6)], "repo string, rel_path string, language string, file_hash binary, force_indexed boolean, content binary")
+        out = chunking.chunks(files, overlap=0)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == scratch.BATCH_ROWS
+        # of several batches of a file's chunks none is lost
+        assert [r.n for r in out.groupBy("file_path").agg(F.sum(F.octet_length("content")).alias("n")).collect()] == [len(body) * 40] * 6
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
