@@ -5,6 +5,7 @@ import random
 import pandas as pd
 import pytest
 
+from lodestone import queries
 from lodestone.streaming import state
 
 
@@ -109,3 +110,9 @@ def test_a_new_session_has_nothing_to_ask_for(start):
     # the second batch is measured against what the first has left
     again = list(own.handleInputRows(("s",), iter([rows.assign(start=False)]), None))
     assert not again and len(out) == 5 + sum(k % 7 < min(j % 7 for j in range(k) if j % 5 == k % 5) for k in range(5, 30))
+
+
+def test_tokens_are_counted_where_their_document_is(spark):
+    plan = queries.term_stats(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Generate explode", 1)
+    assert "Exchange" not in above and "Exchange hashpartitioning(doc_id" in below
