@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.scratch import few, written
+
 SCHEMA_VERSION = 1
 CHUNKS = T.StructType(
     [
@@ -328,11 +330,13 @@ class Store:
 
         Only the buckets of these files are read and written. If another write changed one of them meanwhile the work is done again.
         """
-        touched = touched.select("file_path").distinct()
+        # written, as it is read for the buckets, for chunks and hashes, and again after another write; where paths are few no chunk is exchanged to find its own
+        touched = written(touched.select("file_path").distinct(), "touched")
         buckets = self._buckets_of(touched)
         if not buckets:
             return None
         made: dict = {}
+        touched = few(touched)
 
         def build(was: dict) -> dict:
             parts = {kind: {b: d for b, d in (was[kind] or {}).items() if int(b) in buckets} for kind in ("chunks", "files")}

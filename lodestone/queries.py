@@ -19,7 +19,7 @@ from lodestone.functions.hashing import xxh3_128
 from lodestone.operators import chunking, evaluation, hints, overview, ranges, similarity, store
 from lodestone.plans import postings
 from lodestone.plans import search as S
-from lodestone.scratch import fresh, written
+from lodestone.scratch import few, fresh, written
 from lodestone.sources.files import union_repos
 from lodestone.streaming import queue as Q
 
@@ -625,7 +625,8 @@ def filled_store(spark, sf_dir) -> store.Store:
     out.append(rows.where("chunk_id % 2 = 1"), 2)
     out.write_manifest(store.Manifest("stub", 2))
     third = rows.where("CAST(element_at(split(file_path, '/'), -1) AS INT) % 3 = 0")
-    firsts = third.join(third.groupBy("file_path").agg(F.min("chunk_id").alias("chunk_id")), ["file_path", "chunk_id"], "left_semi")
+    least = few(written(third.groupBy("file_path").agg(F.min("chunk_id").alias("chunk_id")), "least"))
+    firsts = third.join(least, ["file_path", "chunk_id"], "left_semi")
     out.replace(firsts.select(*store.CHUNKS.fieldNames()), 2)
     out.delete(rows.where("CAST(element_at(split(file_path, '/'), -1) AS INT) % 5 = 0").select("file_path"))
     return out
@@ -683,7 +684,8 @@ def store_two_writers(spark, sf_dir):
     store.Store(spark, top, 8).write_manifest(store.Manifest("stub", 2))
     k = "CAST(element_at(split(file_path, '/'), -1) AS INT) % 3"
     third = rows.where(f"{k} = 1")
-    firsts = third.join(third.groupBy("file_path").agg(F.min("chunk_id").alias("chunk_id")), ["file_path", "chunk_id"], "left_semi").select(*store.CHUNKS.fieldNames())
+    least = few(written(third.groupBy("file_path").agg(F.min("chunk_id").alias("chunk_id")), "least"))
+    firsts = third.join(least, ["file_path", "chunk_id"], "left_semi").select(*store.CHUNKS.fieldNames())
     with ThreadPoolExecutor(2) as pool:
         jobs = [pool.submit(store.Store(spark, top, 8).replace, firsts, 2), pool.submit(store.Store(spark, top, 8).delete, rows.where(f"{k} = 2").select("file_path"))]
         for j in jobs:

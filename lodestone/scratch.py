@@ -50,3 +50,14 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_
         was = str(spark.conf.get(key)).strip().lower().removesuffix("b")
         if not was.lstrip("-").isdigit() or not 0 < int(was) <= most:
             spark.conf.set(key, most)
+
+
+#: Rows of a few numbers, or of a path, up to which a side of a join is broadcast.
+FEW_ROWS = 200_000
+
+
+def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``df``, a written table of narrow rows, to be broadcast if its row count allows it."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most else df

@@ -381,3 +381,26 @@ def test_chunks_are_made_in_batches_of_bounded_bytes(spark):
         assert [r.n for r in out.groupBy("file_path").agg(F.sum(F.octet_length("content")).alias("n")).collect()] == [len(body) * 40] * 6
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_a_rewrite_exchanges_no_chunk_to_find_its_own(spark, tmp_path, monkeypatch):
+    """Few touched paths go to the chunks, whatever Spark thinks of their size."""
+    from lodestone import queries
+
+    plans, plain = [], store.delete_paths
+
+    def seen(table, paths):
+        out = plain(table, paths)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(store, "delete_paths", seen)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows, own = queries.document_chunks(spark, "/root/testdata/sf0.001").limit(200), store.Store(spark, str(tmp_path / "s"), 2)
+        own.append(rows, 2)
+        own.delete(rows.where("chunk_id % 97 = 3").select("file_path"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plans and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
