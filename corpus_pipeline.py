@@ -33,6 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that say the same and share a doc_id, or have none, are copies too; one of them stays. Rows without words stay.
     """
+    C.released(spark)
     scratch, key = C.Scratch(spark), C.unused("__key", docs.columns)
     rows = C.keyed(docs, scratch, key)
     found = scratch.put(minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")))
@@ -48,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one holds; those with nothing else go."""
+    C.released(spark)
     key = C.unused("__key", docs.columns)
     out = chunks.drop_repeats(C.keyed(docs, C.Scratch(spark), key), key=key)
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -69,6 +71,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Ties of length go by doc_id, start and the ids' checksum. An empty table gives no pieces; columns other than doc_id and text are not read.
     """
+    C.released(spark)
     return packing.pack(docs, packing.vocabulary())
 
 

@@ -278,8 +278,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     for r in read.where("units is not null").toLocalIterator():
         rows.append((place[r.doc_id], r.toxic, np.array([number.setdefault(u, len(number)) for u in r.units], np.int32)))
     rows.sort(key=lambda r: r[0])
-    scratch.drop(texts)
-    return fit([r[2] for r in rows], [r[1] for r in rows], list(number))
+    names = list(number)
+    del number, sizes, order, place
+    scratch.free(texts)
+    machine = fit([r[2] for r in rows], [r[1] for r in rows], names)
+    del rows, names
+    C.released(docs.sparkSession)
+    return machine
 
 
 def scorer(machine, most: int = 100_000):
