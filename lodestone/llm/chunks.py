@@ -98,6 +98,7 @@ def chunk_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        C.let_go()
         digest = xxhash.xxh3_64_intdigest
 
         def pack(rows):
@@ -131,6 +132,7 @@ def run_rows(docs: DataFrame, anchors: DataFrame, min_words: int = MIN_WORDS) ->
     """(key, check, doc_id, pos) of runs of ``min_words`` words whose inner chunks are all ``anchors``; pos numbers the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.let_go()
         names = ["key", "check", "doc_id", "pos"]
         powers = inverse = np.empty(0, np.uint64)
         window = _window(min_words)
@@ -248,6 +250,7 @@ def without(text: str, ranges: list) -> str:
 
 def cut_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Texts without their word ranges, where there are any."""
+    C.let_go()
     for texts, cut in batches:
         out = [without(t, r) if t is not None and r else t for t, r in zip(texts.to_pylist(), cut.to_pylist(), strict=True)]
         yield pa.array(out, pa.string())

@@ -89,6 +89,7 @@ def _counts(docs: DataFrame, block) -> dict[tuple[int, int], int]:
     """How often each shingle of the block stands in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.let_go()
         b = block.value
         total = {k: np.zeros(len(b.codes[k]), np.int64) for k in b.widths}
         for batch in batches:
@@ -126,6 +127,7 @@ def _hits(block):
 
     @F.arrow_udf(HITS)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        C.let_go()
         b = block.value
         for column in batches:
             n_words, spans, items = [], [], []

@@ -82,6 +82,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        C.let_go()
         hashes, sketch = C.WordHash(), Sketch(bands, rows)
         for batch in batches:
             n, digest, values = [], [], []
@@ -105,6 +106,7 @@ def _sets(docs: DataFrame, most: int = 250_000) -> DataFrame:
     """(part, doc_id, grams) of rows of (part, doc_id, text); a batch has about ``most`` shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.let_go()
         hashes = C.WordHash()
         for batch in batches:
             done, sets, n = 0, [], 0

@@ -11,7 +11,6 @@ which comes from counts of hash blocks, not from one sorted list.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -77,10 +76,9 @@ class Tokens:
         return out
 
 
-@functools.lru_cache(1)
 def tokens_of(path: str) -> Tokens:
     """A worker's tokenizer, which keeps what it knows from one task to the next."""
-    return Tokens(path)
+    return C.kept(Tokens, path)
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:

@@ -11,7 +11,6 @@ them stay. Chunks are joined where they stand, so no occurrence of a word is exc
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -84,10 +83,9 @@ class Chunks:
         return self.sp.decode(ids) if ids else []
 
 
-@functools.lru_cache(1)
 def chunks_of(path: str) -> Chunks:
     """A worker's table, which goes on from one task to the next."""
-    return Chunks(path)
+    return C.kept(Chunks, path)
 
 
 #: Ids that are decoded at once.

@@ -268,6 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
             total += r.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.let_go()
         for batch in batches:
             words = [sorted(units(t.as_py() or "")) if d in place else None for d, t in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "units"])
@@ -292,6 +293,7 @@ def scorer(machine, most: int = 100_000):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        C.let_go()
         own = machine.value
         known: dict[str, float] = {}
         for batch in batches:
@@ -301,8 +303,8 @@ def scorer(machine, most: int = 100_000):
                 if len(known) > most:
                     known.clear()
                 new = list({u for p in part for u in p if u not in known})
-                for s in range(0, len(new), 20_000):
-                    known.update(zip(new[s : s + 20_000], own.words(new[s : s + 20_000]).tolist(), strict=True))
+                for s in range(0, len(new), 4000):
+                    known.update(zip(new[s : s + 4000], own.words(new[s : s + 4000]).tolist(), strict=True))
                 rows = [Machine.pooled(np.array([known[u] for u in p])) for p in part]
                 out[start : start + 64] = own.probability(np.array(rows))
             yield pd.Series(out)
